@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontaminate, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op6_decontamination": decontaminate.op6_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_decontamination": decontaminate.OP6_SQL,
+}
