@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import decontaminate, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_secrets": secrets.op7_secrets,
 }
 
 ORACLE_SQL = {
     "op6_decontamination": decontaminate.OP6_SQL,
+    "op7_secrets": secrets.OP7_SQL,
 }
