@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, simhash
+from . import decontaminate, langid, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op5_language": langid.op5_language,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_secrets": secrets.op7_secrets,
 }
