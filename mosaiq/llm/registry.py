@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, secrets, simhash, toxicity
+from . import decontaminate, langid, pii, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op5_language": langid.op5_language,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_secrets": secrets.op7_secrets,
+    "op8_pii": pii.op8_pii,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 
