@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, pii, secrets, simhash, toxicity
+from . import decontaminate, langid, pii, secrets, sentencepieces, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_sentencepiece": sentencepieces.op3_sentencepiece,
     "op5_language": langid.op5_language,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_secrets": secrets.op7_secrets,
