@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, pii, secrets, sentencepieces, simhash, toxicity
+from . import decontaminate, langid, pii, secrets, sentencepieces, simhash, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_sentencepiece": sentencepieces.op3_sentencepiece,
+    "op4_topk": topk.op4_topk,
     "op5_language": langid.op5_language,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_secrets": secrets.op7_secrets,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_topk": topk.OP4_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
     "op7_secrets": secrets.OP7_SQL,
 }
