@@ -34,6 +34,8 @@ RULES = (
     Rule("hex", 1, r"[0-9a-f]{16,}", r"^.{16,}$"),
 )
 SPANS = "array<struct<start:int,stop:int>>"
+#: Keys over which the paths of one blob are dealt.
+SALTS = 64
 LEDGER = f"blob binary, rule string, version int, spans {SPANS}"
 
 
@@ -82,13 +84,15 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Ledger rows joined back to every path: (doc_id, assign, access, hex, ...), an array of spans each.
 
-    Only blobs with findings are joined; a hot blob's paths are one side's rows, which AQE splits.
-    Repeated rows and null doc_ids each come back.
+    Only blobs with findings are joined. A blob's paths are dealt over SALTS keys, and its findings
+    repeated for each, so that no hot blob meets in one task. Repeated rows and null doc_ids each
+    come back.
     """
     pairs = " OR ".join(f"(rule = '{r.name}' AND version = {r.version})" for r in rules) or "false"
     of = ledger.where(pairs).where(F.size("spans") > 0).groupBy("blob").agg(*(F.max(F.when(F.col("rule") == r.name, F.col("spans"))).alias(r.name) for r in rules))
-    paths = docs.select("doc_id", blob_id(F.col("text").cast("string")).alias("blob"))
-    return paths.join(of, "blob", "left").select("doc_id", *(F.coalesce(r.name, F.array().cast(SPANS)).alias(r.name) for r in rules))
+    of = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    paths = docs.select("doc_id", blob_id(F.col("text").cast("string")).alias("blob"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return paths.join(of, ["blob", "salt"], "left").select("doc_id", *(F.coalesce(r.name, F.array().cast(SPANS)).alias(r.name) for r in rules))
 
 
 def spans_text(kinds: dict[str, Column]) -> Column:
