@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, pii, secrets, sentencepieces, simhash, topk, toxicity
+from . import decontaminate, exact_substrings, langid, pii, secrets, sentencepieces, simhash, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_pii": pii.op8_pii,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_exact_substrings": exact_substrings.op10_exact_substrings,
 }
 
 ORACLE_SQL = {
