@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_substrings, langid, pii, secrets, sentencepieces, simhash, topk, toxicity
+from . import decontaminate, exact_substrings, langid, pages, pii, secrets, sentencepieces, simhash, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_html": pages.op2_html,
     "op3_sentencepiece": sentencepieces.op3_sentencepiece,
     "op4_topk": topk.op4_topk,
     "op5_language": langid.op5_language,
