@@ -143,7 +143,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: tuple[str, ...
                 scores += np.where(some, np.clip(cos[np.arange(len(v)), best], 0, 1), 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[1:], "lang_pred", "score"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text"), *(F.col(k) for k in keep))
+    rows = docs.select(F.col("text").cast("string").alias("_text"), *(F.col(k) for k in keep))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]), "lang_pred string", "score double"])
     return map_arrow(rows, one, schema)
 

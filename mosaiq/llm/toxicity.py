@@ -275,7 +275,7 @@ def tag(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> D
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores, pa.float64()), pa.array(spans, kind)], [*b.schema.names[1:], "score", "spans"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text"), *(F.col(k) for k in keep))
+    rows = docs.select(F.col("text").cast("string").alias("_text"), *(F.col(k) for k in keep))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]), "score double", "spans array<struct<start:int,stop:int,p:double>>"])
     return map_arrow(rows, one, schema)
 
