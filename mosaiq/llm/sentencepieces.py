@@ -16,6 +16,7 @@ would choose. Of equal scores the longest last piece wins.
 from __future__ import annotations
 
 import math
+import re
 import struct
 from dataclasses import dataclass
 from itertools import chain
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from .common import map_arrow, table
 
 SPACE = "▁"
+UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: What an unknown character costs below the least score, as in the public implementation.
 UNKNOWN_PENALTY = 10.0
 #: Model type of a BPE file, and the offset of the Zipf law by which its ranks are read.
 BPE, ZIPF_OFFSET = 2, 1000.0
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+SIFT = np.uint64(42)
 #: Distinct units that a worker remembers.
 REMEMBER = 400_000
 
@@ -68,6 +71,11 @@ def _fields(data: bytes):
             at += n
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of ``size`` numbers for each, one after another."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 @dataclass
 class Pieces:
     """The pieces of a model, by id."""
@@ -104,6 +112,8 @@ class Viterbi:
         hashes = np.array([self._hash(model.pieces[i]) for i in usable], np.uint64)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], np.array(usable, np.int32)[order]
+        self.maybe = np.zeros(1 << 22, bool)  # by a hash's first bits: whether any piece has them
+        self.maybe[self.keys >> SIFT] = True
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
         self.scores = np.array([model.scores[i] for i in self.ids], np.float64)
@@ -115,9 +125,13 @@ class Viterbi:
         for row, i in enumerate(self.ids.tolist()):
             self.table[row, : self.lengths[row]] = self.codes[i]
         self.least = min((model.scores[i] for i in usable), default=0.0) - UNKNOWN_PENALTY
-        self.surface = [b""] * len(model.pieces)
+        surface = [b""] * len(model.pieces)
         for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)):
-            self.surface[i] = bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, 4) else " ⁇ ".encode() if k == UNKNOWN else b""
+            surface[i] = bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, 4) else " ⁇ ".encode() if k == UNKNOWN else b""
+
+        self.surface_bytes = np.frombuffer(b"".join(surface), np.uint8)
+        self.surface_size = np.array([len(x) for x in surface], np.int64)
+        self.surface_start = np.cumsum(self.surface_size) - self.surface_size
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -126,21 +140,37 @@ class Viterbi:
             h = (h * int(MULTIPLIER) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def segment(self, units: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each distinct unit."""
-        out: dict[str, tuple[int, ...]] = {}
-        by_length: dict[int, list[str]] = {}
-        for u in units:
-            by_length.setdefault(len(u), []).append(u)
-        for n, words in by_length.items():
-            step = max(1, min(65536, 4_000_000 // n))
-            for at in range(0, len(words), step):
-                part = words[at : at + step]
-                out.update(zip(part, self._equal(part, n), strict=True))
-        return out
-
-    def _equal(self, words: list[str], n: int) -> list[tuple[int, ...]]:
-        """Ids of words of ``n`` characters each."""
+    def segment(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units one after another, and how many each has."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(sizes, kind="stable")
+        flat, counts = [], []
+        edges = np.flatnonzero(np.diff(sizes[order])) + 1
+        for same in np.split(order, edges):
+            n = int(sizes[same[0]]) if len(same) else 0
+            step = max(1, min(65536, 4_000_000 // max(1, n)))
+            for at in range(0, len(same), step):
+                ids, own = self._equal([units[i] for i in same[at : at + step]], n)
+                flat.append(ids)
+                counts.append(own)
+        if not flat:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        count = np.empty(len(units), np.int64)
+        count[order] = np.concatenate(counts)
+        start = np.empty(len(units), np.int64)
+        start[order] = np.cumsum(count[order]) - count[order]
+        return np.concatenate(flat)[spread(start, count)], count
+
+    def _probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are a piece's, and its place in the sorted keys."""
+        some = np.flatnonzero(self.maybe[hashes >> SIFT])
+        place = np.searchsorted(self.keys, hashes[some])
+        place[place == len(self.keys)] = 0
+        same = self.keys[place] == hashes[some] if len(some) else np.zeros(0, bool)
+        return some[same], place[same]
+
+    def _equal(self, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of ``n`` characters each, one after another, and how many each has."""
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
         rows = len(words)
         best = np.zeros((n + 1, rows))
@@ -154,12 +184,9 @@ class Viterbi:
             top, size, which = np.full(rows, -np.inf), np.ones(rows, np.int32), np.full(rows, -1, np.int32)
             for k, h in enumerate(live):
                 start = first + k
-                place = np.searchsorted(self.keys, h)
-                place[place == len(self.keys)] = 0
-                hit = np.flatnonzero(self.keys[place] == h) if len(self.keys) else np.zeros(0, np.int64)
+                hit, row = self._probe(h)
                 if not len(hit):
                     continue
-                row = place[hit]
                 # The hash says where to look; the characters decide.
                 same = (self.lengths[row] == j - start) & (self.table[row, : j - start] == codes[hit, start:j]).all(axis=1)
                 hit, row = hit[same], row[same]
@@ -168,34 +195,45 @@ class Viterbi:
                 hit, row = hit[better], row[better]
                 top[hit], size[hit], which[hit] = score[better], j - start, row
             # Where no piece is this one character, it may stand as unknown.
-            alone = np.searchsorted(self.keys, live[-1])
-            alone[alone == len(self.keys)] = 0
-            bare = self.keys[alone] != live[-1] if len(self.keys) else np.ones(rows, bool)
+            bare = np.ones(rows, bool)
+            bare[self._probe(live[-1])[0]] = False
             score = best[j - 1] + self.least
             bare &= score > top
             top[bare], size[bare], which[bare] = score[bare], 1, -1
             best[j], length[j], piece[j] = top, size, which
         return self._trace(codes, length, piece, n)
 
-    def _trace(self, codes, length, piece, n: int) -> list[tuple[int, ...]]:
+    def _trace(self, codes, length, piece, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids by the backpointers, all words at once from their ends."""
         rows = codes.shape[0]
-        at = np.full(rows, n, np.int64)
+        at, count = np.full(rows, n, np.int64), np.zeros(rows, np.int64)
         steps, who = [], np.arange(rows)
         while len(who):
             here = at[who]
-            steps.append((who, piece[here, who], here))
+            steps.append((who, piece[here, who], codes[who, here - 1]))
+            count[who] += 1
             at[who] = here - length[here, who]
             who = who[at[who] > 0]
-        out: list[list[int]] = [[] for _ in range(rows)]
-        for who, rank, here in reversed(steps):
-            known = np.where(rank >= 0, self.ids[rank], -1) if len(self.ids) else np.full(len(rank), -1)
-            for w, i, j in zip(who.tolist(), known.tolist(), here.tolist(), strict=True):
-                if i >= 0:
-                    out[w].append(i)
-                else:
-                    out[w] += self._fallback(int(codes[w, j - 1]))
-        return [tuple(x) for x in out]
+        last = np.cumsum(count) - 1
+        flat = np.empty(count.sum(), np.int64)
+        for back, (who, rank, code) in enumerate(steps):
+            # A character without a piece is kept as its code point, below 0, until all is in place.
+            known = self.ids[rank] if len(self.ids) else np.zeros(len(rank), np.int64)
+            flat[last[who] - back] = np.where(rank >= 0, known, -1 - code.astype(np.int64))
+        bare = np.flatnonzero(flat < 0)
+        if not len(bare):
+            return flat.astype(np.int32), count
+        found, which = np.unique(flat[bare], return_inverse=True)
+        ids = [self._fallback(int(-1 - c)) for c in found]
+        size = np.ones(len(flat), np.int64)
+        size[bare] = np.array([len(x) for x in ids])[which]
+        start = np.cumsum(size) - size
+        out = np.repeat(flat, size)
+        for k, own in enumerate(ids):
+            for j, i in enumerate(own):
+                out[start[bare[which == k]] + j] = i
+        owner = np.repeat(np.arange(rows), count)
+        return out.astype(np.int32), np.bincount(owner, size, rows).astype(np.int64)
 
     def _fallback(self, code: int) -> list[int]:
         raw = chr(code).encode("utf-8", "surrogatepass")
@@ -204,31 +242,49 @@ class Viterbi:
 
     def units(self, text: str) -> list[str]:
         """The marked text, cut before every run of space marks; nothing for an empty text."""
-        if not text:
-            return []
-        parts = (SPACE + text.replace(" ", SPACE)).split(SPACE)
-        out, marks = [], 0
-        for p in parts[1:]:
-            marks += 1
-            if p:
-                out.append(SPACE * marks + p)
-                marks = 0
-        if marks:
-            out.append(SPACE * marks)
-        return out
-
-    def encode(self, texts: list[str], memory: dict[str, tuple[int, ...]]) -> list[list[int]]:
-        """Ids of each text; ``memory`` keeps units between calls."""
-        if len(memory) > REMEMBER:
-            memory.clear()
+        return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def encode(self, texts: list[str], memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and how many each has; ``memory`` keeps units between calls."""
+        memory = memory or Memory()
         cut = [self.units(t) for t in texts]
-        memory.update(self.segment([u for u in set(chain.from_iterable(cut)) if u not in memory]))
-        return [list(chain.from_iterable(map(memory.__getitem__, units))) for units in cut]
+        if len(memory.place) > REMEMBER:
+            memory.clear()
+        memory.add(self, [u for u in set(chain.from_iterable(cut)) if u not in memory.place])
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        place = np.fromiter(map(memory.place.__getitem__, chain.from_iterable(cut)), np.int64, n.sum())
+        size = memory.size[place]
+        edges = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))]
+        return memory.ids[spread(memory.start[place], size)], np.diff(edges)
+
+    def surfaces(self, ids: np.ndarray, count: np.ndarray) -> list[bytes]:
+        """The bytes of ids, cut into texts of ``count`` ids each, less the space that encoding puts before them."""
+        size = self.surface_size[ids]
+        raw = self.surface_bytes[spread(self.surface_start[ids], size)].tobytes()
+        edges = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))].tolist()
+        return [raw[a + (raw[a : a + 1] == b" " and a < z) : z] for a, z in zip(edges[:-1], edges[1:], strict=True)]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: surfaces joined, less the space that encoding puts before them."""
-        raw = b"".join(map(self.surface.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        """The text of one list of ids."""
+        return self.surfaces(np.array(ids, np.int64), np.array([len(ids)]))[0].decode("utf-8", "replace")
+
+
+class Memory:
+    """Units with their ids: places in one array of all ids."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, viterbi: Viterbi, units: list[str]) -> None:
+        if units:
+            ids, size = viterbi.segment(units)
+            self.place.update(zip(units, range(len(self.size), len(self.size) + len(units)), strict=True))
+            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
+            self.ids, self.size = np.concatenate((self.ids, ids)), np.concatenate((self.size, size))
 
 
 def encode(docs: DataFrame, model: Pieces, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -241,16 +297,17 @@ def encode(docs: DataFrame, model: Pieces, keep: tuple[str, ...] = ("doc_id",))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def one(batches):
-        viterbi, memory = Viterbi(held.value), {}
+        viterbi, memory = Viterbi(held.value), Memory()
         for b in batches:
             texts = b.column(0).to_pylist()
-            ids = viterbi.encode([t or "" for t in texts], memory)
-            ids = [None if t is None else x for t, x in zip(texts, ids, strict=True)]
-            same = [None if t is None else viterbi.decode(x) == t for t, x in zip(texts, ids, strict=True)]
-            n = [len(x or ()) for x in ids]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], [*b.schema.names[1:], "n_pieces", "ids", "round_trip"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text"), *(F.col(k) for k in keep))
+            ids, n = viterbi.encode([t or "" for t in texts], memory)
+            raw = b.column(0).cast(pa.binary()).to_pylist()
+            same = [None if t is None else t == x for t, x in zip(raw, viterbi.surfaces(ids, n), strict=True)]
+            nulls = np.array([t is None for t in texts], bool)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids), mask=pa.array(nulls))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], [*b.schema.names[1:], "n_pieces", "ids", "round_trip"])
+
+    rows = docs.select(F.col("text").cast("string").alias("_text"), *(F.col(k) for k in keep))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]), "n_pieces long, ids array<int>, round_trip boolean"])
     return map_arrow(rows, one, schema)
 
