@@ -157,7 +157,7 @@ def _rows(frequent: np.ndarray):
                                 marks.append(first[0])
                             marks.append(row)
                 if marks:
-                    yield _batch(1, *(np.array(c, np.int64) for c in zip(*((0, 0, *r) for r in _runs(marks)), strict=True)))
+                    yield _batch(1, *(np.array(c, np.int64) for c in zip(*((r[0], 0, *r) for r in _runs(marks)), strict=True)))
                 cold = np.flatnonzero(~hot)
                 if len(cold):
                     o, s, e = owner[cold], start[cold].tolist(), (start[cold] + count[cold] + LENGTH - 1).tolist()
@@ -221,6 +221,9 @@ def _meet(batches):
 
     for b in batches:
         rows = np.stack([c.to_numpy().astype(np.int64) for c in b.columns])
+        if (ready := rows[0] == 1).any():  # marks of the map side come along, to be written with the others
+            yield _batch(1, *rows[1:, ready])
+            rows = rows[:, ~ready]
         if held is not None:
             rows = np.concatenate((held, rows), axis=1)
         if not rows.shape[1]:
@@ -322,11 +325,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         texts = spark.table(name)
         frequent = frequent_minis(texts)
         rows = map_arrow(texts.select("text", "u1", "u2"), _rows(frequent), _ROW_SCHEMA)
-        met = map_arrow(rows.where("kind <> 1").repartition(parts_, "key").sortWithinPartitions("key", "content"), _meet, _ROW_SCHEMA)
-        if len(frequent):
-            local = map_arrow(texts.select("text", "u1", "u2"), _rows(frequent), _ROW_SCHEMA).where("kind = 1")
-            met = met.unionByName(local)
-        met = cut(met)
+        met = cut(map_arrow(rows.repartition(parts_, "key").sortWithinPartitions("key", "content"), _meet, _ROW_SCHEMA))
         wanted = met.where("kind > 1").groupBy("u1", "u2").agg(F.collect_list(F.struct("key", "kind", "packed")).alias("wanted"))
         stretch = map_arrow(texts.join(wanted.hint("shuffle_hash"), ["u1", "u2"]).select("text", "u1", "u2", "wanted"), _contents, "key long, kind int, u1 long, u2 long, packed long, bytes binary")
         compared = map_arrow(stretch.repartition(parts_, "key").sortWithinPartitions("key"), _compare, _ROW_SCHEMA)
