@@ -62,8 +62,8 @@ def bundle(texts: list[str | None]) -> np.ndarray:
             owner.append(np.full(len(codes) - 2, i))
     if keys:
         flat = np.concatenate(keys)
-        alphabet = np.flatnonzero(np.bincount(flat & 0x1FFFFF))  # every letter and the space ends some trigram, or starts the text
-        alphabet = np.union1d(alphabet, [32])
+        # What begins a trigram is a space or stands amid the one before.
+        alphabet = np.union1d(np.flatnonzero(np.bincount(flat & 0x1FFFFF)), np.flatnonzero(np.bincount(flat >> 21 & 0x1FFFFF)))
         k = len(alphabet)
         if k**3 <= 1 << 24:
             rank = np.zeros(alphabet[-1] + 1, np.int64)

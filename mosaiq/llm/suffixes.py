@@ -23,11 +23,11 @@ def words8(text: np.ndarray) -> np.ndarray:
 
 
 def smaller_than_successor(text: np.ndarray) -> np.ndarray:
-    """For each suffix, whether it is smaller than the next; the last one, by convention, is."""
+    """For each suffix, whether it is smaller than the next; the last isn't, what follows it being empty."""
     n = len(text)
     sign = np.zeros(n, np.int8)
     sign[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1])
-    sign[-1] = 1
+    sign[-1] = -1
     at = np.where(sign != 0, np.arange(n), n)
     following = np.minimum.accumulate(at[::-1])[::-1]  # equal characters have the order of what follows them
     return sign[following] > 0
@@ -69,6 +69,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     first = text[direct]
     edges = np.searchsorted(first, np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
+    waiting[text[-1]].append(np.array([n - 1]))  # the empty suffix, the least of all, puts the last one first in its bucket
     out = []
     for c in np.flatnonzero(np.bincount(text, minlength=256)).tolist():
         induced = waiting[c]
