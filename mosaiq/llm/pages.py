@@ -200,7 +200,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
     counts = cut(rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n")))
     hosts = counts.where("kind = 2").select("host", F.col("n").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     n = F.col("n").cast("double")
-    content = counts.where("kind = 1").join(hosts, "host").groupBy("host", "path").agg(F.avg(1 - F.least(F.lit(1.0), F.log(n) / F.log(F.col("pages").cast("double")))).alias("content"))
+    # Added up by element first, so that the join with the hosts' pages meets few rows of each host.
+    spread = counts.where("kind = 1").groupBy("host", "path").agg(F.avg(F.log(n)).alias("spread"))
+    content = spread.join(hosts, "host").select("host", "path", (1 - F.col("spread") / F.log(F.col("pages").cast("double"))).alias("content"))
     style = counts.where("kind = 0").groupBy("host", "path").agg(F.sum("n").alias("all"), F.count("*").alias("styles"), F.sum(n * F.log(n)).alias("nlogn"))
     entropy = F.when(F.col("styles") > 1, (F.log(F.col("all").cast("double")) - F.col("nlogn") / F.col("all")) / F.log(F.col("styles").cast("double"))).otherwise(0.0)
     importance = (1 - CONTENT) * F.coalesce("presentation", F.lit(0.0)) + CONTENT * F.col("content")
