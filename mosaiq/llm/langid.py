@@ -23,6 +23,9 @@ UNDETERMINED = "und"
 SCALE = 1 << 20
 #: Texts bundled together; bounds the matrix of trigram counts.
 GROUP = 64
+#: Letters and trigrams handled at once; with these a worker's arrays stay within some 100 MB.
+CHARS, TRIGRAMS = 1 << 18, 4096
+_FRAME = np.array([32], np.uint32)
 
 
 @functools.cache
@@ -52,40 +55,50 @@ def bundle(texts: list[str | None]) -> np.ndarray:
     Case is folded, and what is not a letter becomes one space, which also frames the text.
     """
     out = np.zeros((len(texts), DIMS), np.float32)
-    keys, owner = [], []
+    held, size = [], 0
     for i, text in enumerate(texts):
         codes = _letters()[np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-        codes = np.concatenate(([32], codes, [32])).astype(np.int64)
+        codes = np.concatenate((_FRAME, codes, _FRAME))
         codes = codes[np.concatenate(([True], (codes[1:] != 32) | (codes[:-1] != 32)))]
-        if len(codes) > 2:
-            keys.append(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])
-            owner.append(np.full(len(codes) - 2, i))
-    if keys:
-        flat = np.concatenate(keys)
-        # What begins a trigram is a space or stands amid the one before.
-        alphabet = np.union1d(np.flatnonzero(np.bincount(flat & 0x1FFFFF)), np.flatnonzero(np.bincount(flat >> 21 & 0x1FFFFF)))
-        k = len(alphabet)
-        if k**3 <= 1 << 24:
-            rank = np.zeros(alphabet[-1] + 1, np.int64)
-            rank[alphabet] = np.arange(k)
-            small = (rank[flat >> 42] * k + rank[flat >> 21 & 0x1FFFFF]) * k + rank[flat & 0x1FFFFF]
-            present = np.flatnonzero(np.bincount(small, minlength=k**3))
-            place = np.zeros(k**3, np.int32)
-            place[present] = np.arange(len(present))
-            at = place[small]
-            unique = alphabet[present // (k * k)] << 42 | alphabet[present // k % k] << 21 | alphabet[present % k]
-        else:
-            unique, at = np.unique(flat, return_inverse=True)
-        n = len(unique)
-        owner = np.concatenate(owner)
-        for part in range(0, n, 16384):
-            own = slice(None) if n <= 16384 else (at >= part) & (at < part + 16384)
-            width = min(16384, n - part)
-            counts = np.bincount(owner[own] * width + at[own] - part, minlength=len(texts) * width).reshape(len(texts), width)
-            out += counts.astype(np.float32) @ _trigrams(unique[part : part + width])
+        for at in range(0, len(codes) - 2, CHARS):
+            part = codes[at : at + CHARS + 2]
+            if size + len(part) > CHARS and held:
+                _add(out, held)
+                held, size = [], 0
+            held.append((i, part))
+            size += len(part)
+    if held:
+        _add(out, held)
     return out
 
 
+def _add(out: np.ndarray, parts: list[tuple[int, np.ndarray]]) -> None:
+    """Add the trigrams of each (row, letters) to its row of ``out``, by their counts."""
+    flat = np.concatenate([c[:-2].astype(np.int64) << 42 | c[1:-1].astype(np.int64) << 21 | c[2:] for _, c in parts])
+    rows = np.unique([i for i, _ in parts])
+    owner = np.repeat(np.searchsorted(rows, [i for i, _ in parts]), [len(c) - 2 for _, c in parts])
+    # What begins a trigram is a space, stands amid the one before, or begins a part.
+    alphabet = np.unique(np.concatenate([c for _, c in parts])).astype(np.int64)
+    k = len(alphabet)
+    if k**3 <= 1 << 22:
+        rank = np.zeros(alphabet[-1] + 1, np.int32)
+        rank[alphabet] = np.arange(k)
+        small = (rank[flat >> 42] * k + rank[flat >> 21 & 0x1FFFFF]) * k + rank[flat & 0x1FFFFF]
+        present = np.flatnonzero(np.bincount(small, minlength=k**3))
+        place = np.zeros(k**3, np.int32)
+        place[present] = np.arange(len(present))
+        at = place[small]
+        unique = alphabet[present // (k * k)] << 42 | alphabet[present // k % k] << 21 | alphabet[present % k]
+    else:
+        unique, at = np.unique(flat, return_inverse=True)
+    n = len(unique)
+    for start in range(0, n, TRIGRAMS):
+        own = slice(None) if n <= TRIGRAMS else (at >= start) & (at < start + TRIGRAMS)
+        width = min(TRIGRAMS, n - start)
+        counts = np.bincount(owner[own] * width + at[own] - start, minlength=len(rows) * width).reshape(len(rows), width)
+        out[rows] += counts.astype(np.float32) @ _trigrams(unique[start : start + width])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(v, axis=1, keepdims=True)
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)

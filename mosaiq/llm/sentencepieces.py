@@ -39,7 +39,7 @@ BPE, ZIPF_OFFSET = 2, 1000.0
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SIFT = np.uint64(42)
 #: Distinct units that a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 
 def _fields(data: bytes):
@@ -148,7 +148,7 @@ class Viterbi:
         edges = np.flatnonzero(np.diff(sizes[order])) + 1
         for same in np.split(order, edges):
             n = int(sizes[same[0]]) if len(same) else 0
-            step = max(1, min(65536, 4_000_000 // max(1, n)))
+            step = max(1, min(16384, 1_000_000 // max(1, n)))
             for at in range(0, len(same), step):
                 ids, own = self._equal([units[i] for i in same[at : at + step]], n)
                 flat.append(ids)

@@ -34,7 +34,7 @@ LEAST = 5
 AROUND = 6
 EPOCHS = 60
 #: Words whose emission a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 200_000
 
 
 def tokens(text: str | None) -> list[str]:
