@@ -560,10 +560,12 @@ def string_pool(spark, d):
 
 # ------------------------------------------------------------------ ordered rows
 
-@query("diff8", sql("byte_seq", "SELECT doc_id, pos, (b - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY pos), 0) + 256) % 256 AS b FROM byte_seq"))
+@query("diff8", sql("byte_seq", "WITH t AS (SELECT doc_id, pos, (b - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY pos), 0) + 256) % 256 AS v FROM byte_seq) SELECT doc_id, count(*) AS n, CAST(sum(v * (pos % 251 + 1)) AS BIGINT) AS total FROM t GROUP BY doc_id"))
 def diff8(spark, d):
-    rows = R.byte_arrays(spark, d).select("doc_id", S.difference_array(c("bytes")).alias("bytes"))
-    return rows.selectExpr("doc_id", "posexplode(bytes) AS (pos, b)").select("doc_id", c("pos").cast(BIG).alias("pos"), "b")
+    """Every document's difference bytes, weighed by place; all within its array."""
+    rows = R.byte_arrays(spark, d).select("doc_id", S.difference_array(c("bytes")).alias("v"))
+    total = F.aggregate(F.transform("v", lambda v, i: v * (i % 251 + 1)), F.lit(0).cast(BIG), lambda s, v: s + v)
+    return rows.select("doc_id", F.size("v").cast(BIG).alias("n"), total.alias("total"))
 
 
 @query("diff16_back", """SELECT o_custkey AS g, o_orderkey AS pos, o_orderkey * 40503 % 65536 AS v FROM orders""")
@@ -710,3 +712,112 @@ def flood(spark, d):
 @query("covering")
 def covering(spark, d):
     return S.covering(R.pixel(spark, d))
+
+
+# ------------------------------------------------------------------ bytes and files
+
+from ..functions import codecs as K  # noqa: E402
+from ..sources import objects as O  # noqa: E402
+
+
+def _files(spark, d):
+    """Documents' texts as files."""
+    return R.table(spark, d, "documents").where("text IS NOT NULL").select(c("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("bytes"))
+
+
+def _coded_query(kind):
+    def run(spark, d):
+        packed = K.coded(_files(spark, d), "bytes", K.PACK[kind], keep=("path", "bytes"))
+        plain = K.coded(packed, "coded", K.UNPACK[kind], name="plain", keep=("path", "bytes"))
+        return plain.select("path", (c("plain") == c("bytes")).alias("same"), F.length("bytes").cast(BIG).alias("n"))
+
+    return run
+
+
+for _kind in ("lz", "lz_magic", "lzx", "runs", "huffman4", "huffman8", "diff8", "diff16"):
+    query(f"codec_{_kind}", "SELECT CAST(doc_id AS VARCHAR) AS path, true AS same, strlen(text) AS n FROM documents WHERE text IS NOT NULL")(_coded_query(_kind))
+
+
+@query("smallest_codec")
+def smallest_codec(spark, d):
+    return K.coded(_files(spark, d), "bytes", lambda x: K.smallest(x)[0], "string", keep=("path",))
+
+
+@query("detect_codec", "SELECT CAST(doc_id AS VARCHAR) AS path, 'runs' AS codec, strlen(text) AS n FROM documents WHERE text IS NOT NULL")
+def detect_codec(spark, d):
+    packed = K.coded(_files(spark, d), "bytes", K.pack_runs, name="bytes", keep=("path",))
+    return O.unpacked(packed).select("path", "codec", F.length("bytes").cast(BIG).alias("n"))
+
+
+@query("crc16", sql("byte_seq", "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(list_reduce(list(b ORDER BY pos), lambda s, b: xor(xor(s, b) >> 8, xor(xor(xor(s, b) & 255, (xor(s, b) & 255) * 0)::BIGINT * 0, list_reduce(range(8), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 40961) ELSE v // 2 END, xor(s, b) & 255))), 65535) AS BIGINT) AS crc FROM byte_seq GROUP BY doc_id").replace("xor(xor(xor(s, b) & 255, (xor(s, b) & 255) * 0)::BIGINT * 0, list_reduce", "(list_reduce"))
+def crc16(spark, d):
+    return K.coded(_files(spark, d).where("length(bytes) > 0"), "bytes", K.crc16, "long", "crc", ("path",))
+
+
+@query("huffman_lengths")
+def huffman_lengths(spark, d):
+    """Canonical codes of all documents' bytes: counts by the engine, a tree of 256 leaves at most on the driver."""
+    counts = {r["b"]: r["n"] for r in A.frequencies(R.byte_seq(spark, d), "b").collect()}
+    codes = K.canonical(K.code_lengths(counts))
+    return spark.createDataFrame([(s, code, bits) for s, (code, bits) in sorted(codes.items())] or [(0, 0, 0)], "symbol long, code long, bits long")
+
+
+def _confidence_sql():
+    rows = []
+    for k, entry in enumerate(O.FORMATS.replace("\n", " ").split(";")):
+        kind, name, checks = entry.split()
+        score = sum({"H": 100, "F": 50, "S": 400, "C": 100, "X": 200, "Z": 50, "N": 25, "W": 475}.get(x, 0) for x in checks)
+        rows.append(f"({k}, '{kind}', '{name}', {score})")
+    values = ", ".join(rows)
+    return f"""WITH f(id, type, name, confidence) AS (VALUES {values}), s AS (SELECT s_suppkey AS path, s_nationkey AS k FROM supplier)
+    SELECT CAST(path AS VARCHAR) AS path, type, name, CAST(confidence AS BIGINT) AS confidence, row_number() OVER (PARTITION BY path ORDER BY confidence DESC, id) AS place FROM s JOIN f ON (f.id + s.path) % 11 = s.k % 11"""
+
+
+@query("identify_formats", _confidence_sql())
+def identify_formats(spark, d):
+    files = R.table(spark, d, "supplier").select(c("s_suppkey").cast("string").alias("path"), c("s_suppkey").alias("p"), c("s_nationkey").alias("k"))
+    found = O.identify(files, O.registry(spark), (c("id") + c("p")) % 11 == c("k") % 11)
+    return found.select("path", "type", "name", "confidence", "place")
+
+
+@query("guess_kinds")
+def guess_kinds(spark, d):
+    return K.coded(_files(spark, d), "bytes", O.guess_kind, "string", "kind", ("path",))
+
+
+@query("message_files", "SELECT conv_id AS file_id, turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, text FROM conversations")
+def message_files(spark, d):
+    files = O.write_messages(R.message(spark, d)).select(c("file_id").cast("string").alias("path"), "bytes")
+    return O.read_messages(files).select(c("path").cast(BIG).alias("file_id"), "id", "pos", "text")
+
+
+@query("chunk_list", "SELECT CAST(conv_id AS VARCHAR) AS path, k, s AS signature FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES (0::BIGINT, 'INF1'), (1, 'DAT1'), (2, 'MID1')) v(k, s)")
+def chunk_list(spark, d):
+    files = O.write_messages(R.message(spark, d)).select(c("file_id").cast("string").alias("path"), "bytes")
+    return O.chunks(files).select("path", "k", "signature")
+
+
+@query("raw_palettes", sql("palette", "SELECT idx // 16 AS bank, idx % 16 AS idx, color FROM palette"))
+def raw_palettes(spark, d):
+    rows = R.palette(spark, d).selectExpr("idx div 16 AS bank", "idx % 16 AS i", "color")
+    return O.read_palettes(O.write_u16(rows, "bank", "i", "color").withColumnRenamed("bank", "path")).withColumnRenamed("path", "bank")
+
+
+@query("raw_screens", sql("screen_cell", "SELECT cell // 1024 AS path, cell % 1024 AS cell, raw FROM screen_cell"))
+def raw_screens(spark, d):
+    rows = R.screen_cell(spark, d).selectExpr("cell div 1024 AS path", "cell % 1024 AS i", "raw")
+    return O.read_screens(O.write_u16(rows, "path", "i", "raw"))
+
+
+@query("raw_characters", sql("byte_seq", "SELECT CAST(doc_id AS VARCHAR) AS path, (2 * pos + h) // 64 AS tile_no, CAST(sum(((2 * pos + h) % 64 + 1) * CASE h WHEN 0 THEN b % 16 ELSE b // 16 END) AS BIGINT) AS total FROM byte_seq, (VALUES (0), (1)) v(h) GROUP BY ALL"))
+def raw_characters(spark, d):
+    px = O.read_characters(_files(spark, d).where("length(bytes) > 0"))
+    return px.groupBy("path", "tile_no").agg(F.sum((c("pos") + 1) * c("idx")).alias("total"))
+
+
+@query("file_slices", "SELECT CAST(doc_id AS VARCHAR) AS path, p AS part, strlen(text) // 4 AS n FROM documents, range(4) t(p) WHERE text IS NOT NULL")
+def file_slices(spark, d):
+    files = _files(spark, d)
+    quarter = F.expr("length(bytes) div 4")
+    specs = files.select("path", quarter.alias("size"), F.explode(F.sequence(F.lit(0).cast(BIG), F.lit(3).cast(BIG))).alias("part")).withColumn("offset", c("part") * c("size"))
+    return O.slices(files, specs).select("path", "part", F.length("bytes").cast(BIG).alias("n"))
