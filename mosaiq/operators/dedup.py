@@ -20,19 +20,22 @@ def flipped(px: Column, mask: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get(px, i.bitwiseXOR(mask)))
 
 
-def merge_flipped(tiles: DataFrame, by: str = "tile_no") -> DataFrame:
+def merge_flipped(tiles: DataFrame, by: str = "tile_no", group: str | None = None) -> DataFrame:
     """(tile_no, master, flip, id): equal tiles under flips go to the smallest of them.
 
     The canonical form is the least of the four flips; one grouping by it finds masters, with no
     pair of tiles compared. ``flip`` is the first, of none, across, down and both, that turns the
-    master into the tile; ids count the masters from 0.
+    master into the tile; ids count the masters from 0. With ``group``, each group merges and
+    counts for itself; without, all is one character file.
     """
     forms = F.array(*(flipped(F.col("px"), m) for m in FLIPS))
+    own = [group] if group else []
     t = tiles.withColumn("canon", F.array_min(forms))
-    masters = t.groupBy("canon").agg(F.min(by).alias("master"), F.min_by("px", by).alias("mpx"))
-    ids = masters.withColumn("id", (F.row_number().over(Window.orderBy("master")) - 1).cast("bigint"))
+    masters = t.groupBy(*own, "canon").agg(F.min(by).alias("master"), F.min_by("px", by).alias("mpx"))
+    order = Window.partitionBy(*own).orderBy("master") if group else Window.orderBy("master")
+    ids = masters.withColumn("id", (F.row_number().over(order) - 1).cast("bigint"))
     flip = F.array_position(F.array(*(flipped(F.col("mpx"), m) == F.col("px") for m in FLIPS)), True) - 1
-    return t.join(ids, "canon").select(by, "master", flip.cast("bigint").alias("flip"), "id")
+    return t.join(ids, [*own, "canon"]).select(*own, by, "master", flip.cast("bigint").alias("flip"), "id")
 
 
 def tile_distances(pairs: DataFrame) -> DataFrame:

@@ -821,3 +821,110 @@ def file_slices(spark, d):
     quarter = F.expr("length(bytes) div 4")
     specs = files.select("path", quarter.alias("size"), F.explode(F.sequence(F.lit(0).cast(BIG), F.lit(3).cast(BIG))).alias("part")).withColumn("offset", c("part") * c("size"))
     return O.slices(files, specs).select("path", "part", F.length("bytes").cast(BIG).alias("n"))
+
+
+# ------------------------------------------------------------------ textures, text, backgrounds
+
+from ..functions import text as T  # noqa: E402
+from ..functions import texture as X  # noqa: E402
+from ..operators import background as B  # noqa: E402
+
+
+@query("texel_a3i5", sql("pixel palette", "SELECT img, x, y, coalesce(color, 0) AS color, (((r // 32) * 4 + (r // 32) // 2) * 510 + 31) // 62 AS a FROM pixel LEFT JOIN palette ON idx = r % 32"))
+def texel_a3i5(spark, d):
+    i, a = X.a3i5(c("r"))
+    px = R.pixel(spark, d).select("img", "x", "y", i.alias("idx"), a.alias("a"))
+    return px.join(L.within(R.palette(spark, d)), "idx", "left").select("img", "x", "y", F.coalesce("color", F.lit(0)).alias("color"), "a")
+
+
+@query("texel_a5i3", sql("pixel palette", "SELECT img, x, y, coalesce(color, 0) AS color, ((r // 8) * 510 + 31) // 62 AS a FROM pixel LEFT JOIN palette ON idx = r % 8"))
+def texel_a5i3(spark, d):
+    i, a = X.a5i3(c("r"))
+    px = R.pixel(spark, d).select("img", "x", "y", i.alias("idx"), a.alias("a"))
+    return px.join(L.within(R.palette(spark, d)), "idx", "left").select("img", "x", "y", F.coalesce("color", F.lit(0)).alias("color"), "a")
+
+
+@query("texel_indexed", sql("pixel", "SELECT img, x, y, (r >> (CAST(x % 4 AS INT) * 2)) % 4 AS i2, (r >> (CAST(x % 2 AS INT) * 4)) % 16 AS i4, CASE WHEN r % 4 = 0 AND img % 2 = 0 THEN 0 ELSE 255 END AS a FROM pixel"))
+def texel_indexed(spark, d):
+    return R.pixel(spark, d).select("img", "x", "y", X.indexed(c("r"), c("x"), 2).alias("i2"), X.indexed(c("r"), c("x"), 4).alias("i4"), X.indexed_opacity(c("r") % 4, c("img") % 2 == 0).alias("a"))
+
+
+@query("texel_direct", sql("pixel", "SELECT img, x, y, (510 * (v % 32) + 31) // 62 AS r, (510 * ((v // 32) % 32) + 31) // 62 AS g, (510 * ((v // 1024) % 32) + 31) // 62 AS b, v // 32768 * 255 AS a FROM (SELECT *, r + 256 * g AS v FROM pixel)"))
+def texel_direct(spark, d):
+    r, g, b, a = X.direct(c("r") + c("g") * 256)
+    return R.pixel(spark, d).select("img", "x", "y", r.alias("r"), g.alias("g"), b.alias("b"), a.alias("a"))
+
+
+def _block_sql():
+    mix = lambda p: f"(510 * ((126 * ((c0 * {8 - p} + c1 * {p} + 4) // 8) + 255) // 510) + 63) // 126"
+    return sql("pixel", f"WITH k AS (SELECT img, x, y, b % 4 AS v, a % 2 = 0 AS mixed, g % 2 = 0 AS whole, r AS c0, g AS c1, b AS c2, (r + g) % 256 AS c3 FROM pixel) SELECT img, x, y, CASE v WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN CASE WHEN mixed AND whole THEN {mix(3)} WHEN mixed THEN {mix(4)} ELSE c2 END ELSE CASE WHEN NOT whole THEN 0 WHEN mixed THEN {mix(5)} ELSE c3 END END AS r, CASE WHEN v = 3 AND NOT whole THEN 0 ELSE 255 END AS a FROM k")
+
+
+@query("texel_block", _block_sql())
+def texel_block(spark, d):
+    colors = [(v, v, v) for v in (c("r"), c("g"), c("b"), (c("r") + c("g")) % 256)]
+    r, _, _, a = X.block(c("b") % 4, colors, c("a") % 2 == 0, c("g") % 2 == 0)
+    return R.pixel(spark, d).select("img", "x", "y", r.alias("r"), a.alias("a"))
+
+
+@query("masked15", sql("pixel", f"""
+WITH px AS (SELECT img, x, y, r AS pr, g AS pg, b AS pb FROM pixel), l AS (SELECT *, greatest(0, least(31, (62 * pr + 255) // 510 + dr)) AS lr, greatest(0, least(31, (62 * pg + 255) // 510 + dg)) AS lg, greatest(0, least(31, (62 * pb + 255) // 510 + db)) AS lb FROM px, (VALUES (-1), (0), (1)) u(dr), (VALUES (-1), (0), (1)) v(dg), (VALUES (-1), (0), (1)) w(db)),
+e AS (SELECT *, CAST((510 * lr + 31) // 62 - pr AS DOUBLE) AS r, CAST((510 * lg + 31) // 62 - pg AS DOUBLE) AS g, CAST((510 * lb + 31) // 62 - pb AS DOUBLE) AS b FROM l), f AS (SELECT *, {_YIQ} FROM e)
+SELECT img, x, y, arg_min(lr + lg * 32 + lb * 1024, (round(400 * cy ** 2 + 400 * ci ** 2 + 400 * cq ** 2, 4), lr + lg * 32 + lb * 1024)) AS color FROM f GROUP BY img, x, y"""))
+def masked15(spark, d):
+    return B.masked15(R.pixel(spark, d)).select("img", "x", "y", "color")
+
+
+@query("object_links", "SELECT o_custkey AS from_id, arg_max(o_orderkey % 100, o_orderkey) AS to_id FROM orders GROUP BY o_custkey")
+def object_links(spark, d):
+    return B.linked(R.table(spark, d, "orders").selectExpr("o_custkey AS from_id", "o_orderkey % 100 AS to_id", "o_orderkey AS at"))
+
+
+@query("message_tags", "SELECT conv_id, turn, text AS back, strlen(text) + 6 AS n FROM conversations WHERE text NOT LIKE '%[%'")
+def message_tags(spark, d):
+    m = R.table(spark, d, "conversations").where("NOT contains(text, '[')")
+    tagged = m.select("conv_id", "turn", F.encode(F.concat(F.lit("[Color:7]"), "text"), "UTF-8").alias("t"))
+    packed = K.coded(tagged, "t", lambda x: T.compile_text(x.decode()), keep=("conv_id", "turn"))
+    back = K.coded(packed, "coded", lambda x: T.decode_text(x), "string", "back", ("conv_id", "turn", "coded"))
+    return back.select("conv_id", "turn", F.substring("back", 10, 1 << 30).alias("back"), F.length("coded").cast(BIG).alias("n"))
+
+
+@query("message_recode", "SELECT conv_id, turn, true AS same FROM conversations")
+def message_recode(spark, d):
+    m = R.table(spark, d, "conversations").select("conv_id", "turn", F.encode("text", "UTF-8").alias("t"))
+    wide = K.coded(m, "t", lambda x: T.recode(x, 4, 2), name="w", keep=("conv_id", "turn", "t"))
+    back = K.coded(wide, "w", lambda x: T.recode(x, 2, 4), name="b", keep=("conv_id", "turn", "t"))
+    return back.select("conv_id", "turn", (c("b") == c("t")).alias("same"))
+
+
+@query("name_hashes", "SELECT p_partkey AS id, CAST(list_reduce(list_transform(string_split(p_name, ''), lambda x: CAST(unicode(x) AS BIGINT)), lambda h, b: (xor(((h << 5) | (h >> 27)) & 4294967295, b) + b) & 4294967295, CAST(0 AS BIGINT)) AS BIGINT) AS h FROM part")
+def name_hashes(spark, d):
+    p = R.table(spark, d, "part").select(c("p_partkey").alias("id"), F.encode("p_name", "UTF-8").alias("n"))
+    return K.coded(p, "n", lambda x: T.name_hash(x.decode()), "long", "h", ("id",))
+
+
+@query("background")
+def background(spark, d):
+    return B.generate(R.pixel_q(spark, d), 4)[0]
+
+
+@query("best_tile_palettes", sql("pixel_q", f"""
+WITH pal AS (SELECT k, i, CAST((i * 37 + k * 50) % 256 AS DOUBLE) AS r, CAST((i * 91 + k * 20) % 256 AS DOUBLE) AS g, CAST((i * 151 + k * 90) % 256 AS DOUBLE) AS b FROM range(1, 8) t(i), range(3) u(k)), py AS (SELECT k, {_YIQ} FROM pal),
+p AS (SELECT img * 64 + (y // 8) * 8 + x // 8 AS tile_no, row_number() OVER () AS n, {_YIQ} FROM (SELECT img, x, y, {_DBL} FROM pixel_q WHERE a >= 128)),
+e AS (SELECT tile_no, n, k, min(round(400 * (p.cy - py.cy) ** 2 + 400 * (p.ci - py.ci) ** 2 + 400 * (p.cq - py.cq) ** 2, 6)) AS e FROM p, py GROUP BY ALL), s AS (SELECT tile_no, k, round(sum(e), 4) AS e FROM e GROUP BY ALL)
+SELECT tile_no, arg_min(k, (e, k)) AS pal FROM s GROUP BY tile_no"""))
+def best_tile_palettes(spark, d):
+    banks = [[(i, (i * 37 + k * 50) % 256, (i * 91 + k * 20) % 256, (i * 151 + k * 90) % 256) for i in range(8)] for k in range(3)]
+    return B.best_palettes(R.pixel_q(spark, d), banks).select("tile_no", "pal")
+
+
+@query("replace_blocks", sql("tile_dup", f"""
+WITH cs AS (SELECT i, {_YIQ} FROM (SELECT i, CAST((i * 37) % 256 AS DOUBLE) AS r, CAST((i * 91) % 256 AS DOUBLE) AS g, CAST((i * 151) % 256 AS DOUBLE) AS b FROM range(11) t(i))),
+b AS (SELECT block, pos, {_YIQ} FROM (SELECT k AS block, p AS pos, CAST((k * 53 + p * 7) % 256 AS DOUBLE) AS r, CAST((k * 31 + p * 11) % 256 AS DOUBLE) AS g, CAST((k * 17 + p * 3) % 256 AS DOUBLE) AS b FROM range(20) t(k), range(64) u(p))),
+s AS (SELECT block, tile_no, f, round(sum(400 * (b.cy - cs.cy) ** 2 + 400 * (b.ci - cs.ci) ** 2 + 400 * (b.cq - cs.cq) ** 2), 4) AS e FROM b JOIN (VALUES (0, 0), (1, 7), (2, 56), (3, 63)) v(f, m) ON true JOIN tile_dup t ON t.pos = xor(b.pos, m) JOIN cs ON cs.i = t.idx GROUP BY ALL),
+w AS (SELECT block, tile_no, min(e) AS e, arg_min(f, (e, f)) AS f FROM s GROUP BY ALL)
+SELECT block, arg_min(tile_no, (e, tile_no)) AS tile_no, CAST(arg_min(f, (e, tile_no)) AS BIGINT) AS flip FROM w GROUP BY block"""))
+def replace_blocks(spark, d):
+    blocks = spark.range(20).selectExpr("id AS block", "explode(sequence(0L, 63L)) AS pos").selectExpr("block", "pos", "(block * 53 + pos * 7) % 256 AS r", "(block * 31 + pos * 11) % 256 AS g", "(block * 17 + pos * 3) % 256 AS b")
+    colors = [(i * 37 % 256, i * 91 % 256, i * 151 % 256) for i in range(11)]
+    return B.replace_blocks(blocks, D.tile_arrays(R.tile_dup(spark)), colors).select("block", "tile_no", "flip")

@@ -230,3 +230,47 @@ def test_guess_kind():
 def test_neighbour_chain():
     assert S.neighbour_chain([(0, 0, 0), (9, 0, 0), (1, 0, 0), (4, 0, 0)]) in ([0, 2, 3, 1], [1, 3, 2, 0])
     assert S.neighbour_chain([]) == []
+
+
+# ---- text, backgrounds
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from(["a", "é", "[Color:3]", "[Size:12]", "[Ruby:ab|xy]", "[7:300:0AFF]", "[x", "漢"]), max_size=12).map("".join))
+def test_message_text_round_trip(text):
+    from mosaiq.functions import text as T
+
+    for encoding in (2, 4):
+        assert T.decode_text(T.compile_text(text, encoding), encoding) == text
+    assert T.units(T.compile_text(text) + b"\0tail") == len(T.compile_text(text))
+
+
+def test_background_draws_the_image(spark):
+    from mosaiq.operators import background as B
+
+    r = random.Random(8)
+    colors = [(248, 0, 0), (0, 248, 0), (0, 0, 248), (248, 248, 0), (0, 248, 248), (248, 0, 248)]
+    px = [(0, x, y, *colors[(x // 8 + y // 8 * 3 + (x ^ y) % 2) % 6], 255 if r.random() < 0.9 else 0) for x in range(64) for y in range(64)]
+    df = spark.createDataFrame(px, "img long, x long, y long, r long, g long, b long, a long")
+    cells, chars, palettes = B.generate(df, 4)
+    art, drawn = {x.id: x.px for x in chars.collect()}, {}
+    for c in cells.collect():
+        for pos in range(64):
+            i = art[c.raw & 1023][pos ^ (0, 7, 56, 63)[c.raw >> 10 & 3]]
+            drawn[c.tile_no % 8 * 8 + pos % 8, c.tile_no // 8 * 8 + pos // 8] = palettes[c.raw >> 12][i][1:] if i else None
+    for _, x, y, red, green, blue, a in px:
+        got = drawn[x, y]
+        assert (got is None) == (a == 0)
+        assert got is None or max(abs(p - q) for p, q in zip(got, (red, green, blue), strict=True)) < 30
+
+
+def test_masked15_is_the_nearest_of_all(spark):
+    from mosaiq.operators import background as B
+
+    r = random.Random(9)
+    px = spark.createDataFrame([(r.randrange(256), r.randrange(256), r.randrange(256)) for _ in range(60)], "r long, g long, b long")
+    every = np.array([(i, j, k) for i in range(32) for j in range(32) for k in range(32)])
+    yiq = ((every * 510 + 31) // 62) @ np.array(C.YIQ).T
+    for x in B.masked15(px).collect():
+        d = ((yiq - np.array([x.r, x.g, x.b]) @ np.array(C.YIQ).T) ** 2).sum(axis=1)
+        k = x.color
+        assert np.isclose(d.min(), d[(k % 32) * 1024 + (k // 32 % 32) * 32 + k // 1024])
