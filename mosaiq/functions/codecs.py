@@ -401,3 +401,21 @@ def coded(rows: DataFrame, column: str, fn, out: str = "binary", name: str = "co
     src = rows.select(column, *keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[1:]), f"{name} {out}"])
     return src.mapInArrow(one, schema)
+
+
+def byte_counts(rows: DataFrame, column: str) -> DataFrame:
+    """(b, n): occurrences of each byte in a binary column: counted by batch, then added up."""
+
+    def one(batches):
+        for b in batches:
+            n = np.bincount(np.frombuffer(b"".join(x for x in b.column(0).to_pylist() if x), np.uint8), minlength=256)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], ["b", "n"])
+
+    return rows.select(column).mapInArrow(one, "b long, n long").groupBy("b").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+
+
+def weighed(data: bytes, period: int = 251) -> int:
+    """Sum of bytes, each times its place within a period counted from 1: a digest that SQL can repeat."""
+    a = np.frombuffer(data, np.uint8).astype(np.int64)
+    return int((a * (np.arange(len(a)) % period + 1)).sum())

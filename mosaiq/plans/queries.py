@@ -270,7 +270,7 @@ def event_runs(spark, d):
 
 @query("byte_frequencies", sql("byte_seq", "SELECT b, count(*) AS n FROM byte_seq GROUP BY b"))
 def byte_frequencies(spark, d):
-    return A.frequencies(R.byte_seq(spark, d), "b")
+    return K.byte_counts(_files(spark, d), "bytes")
 
 
 @query("used_intervals", """
@@ -562,10 +562,16 @@ def string_pool(spark, d):
 
 @query("diff8", sql("byte_seq", "WITH t AS (SELECT doc_id, pos, (b - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY pos), 0) + 256) % 256 AS v FROM byte_seq) SELECT doc_id, count(*) AS n, CAST(sum(v * (pos % 251 + 1)) AS BIGINT) AS total FROM t GROUP BY doc_id"))
 def diff8(spark, d):
-    """Every document's difference bytes, weighed by place; all within its array."""
+    """Every document's difference bytes, weighed by place."""
+    coded = K.coded(_files(spark, d).where("length(bytes) > 0"), "bytes", lambda x: K.weighed(K.diff8(x)[4:]), "long", "total", ("path", "bytes"))
+    return coded.select(c("path").cast(BIG).alias("doc_id"), F.length("bytes").cast(BIG).alias("n"), "total")
+
+
+@query("diff8_arrays", sql("byte_seq", "WITH t AS (SELECT doc_id, (b - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY pos), 0) + 256) % 256 AS v FROM byte_seq) SELECT doc_id, count_if(v = 0) AS zeros FROM t GROUP BY doc_id"))
+def diff8_arrays(spark, d):
+    """The same filter over arrays, by column functions alone."""
     rows = R.byte_arrays(spark, d).select("doc_id", S.difference_array(c("bytes")).alias("v"))
-    total = F.aggregate(F.transform("v", lambda v, i: v * (i % 251 + 1)), F.lit(0).cast(BIG), lambda s, v: s + v)
-    return rows.select("doc_id", F.size("v").cast(BIG).alias("n"), total.alias("total"))
+    return rows.select("doc_id", F.size(F.filter("v", lambda v: v == 0)).cast(BIG).alias("zeros"))
 
 
 @query("diff16_back", """SELECT o_custkey AS g, o_orderkey AS pos, o_orderkey * 40503 % 65536 AS v FROM orders""")
@@ -757,7 +763,7 @@ def crc16(spark, d):
 @query("huffman_lengths")
 def huffman_lengths(spark, d):
     """Canonical codes of all documents' bytes: counts by the engine, a tree of 256 leaves at most on the driver."""
-    counts = {r["b"]: r["n"] for r in A.frequencies(R.byte_seq(spark, d), "b").collect()}
+    counts = {r["b"]: r["n"] for r in K.byte_counts(_files(spark, d), "bytes").collect()}
     codes = K.canonical(K.code_lengths(counts))
     return spark.createDataFrame([(s, code, bits) for s, (code, bits) in sorted(codes.items())] or [(0, 0, 0)], "symbol long, code long, bits long")
 
