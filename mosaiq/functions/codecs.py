@@ -333,9 +333,70 @@ def unpack_huffman(data: bytes) -> bytes:
     return bytes(out) if bits == 8 else bytes(out[i] | out[i + 1] << 4 for i in range(0, len(out), 2))
 
 
+# ---- containers
+
+SEGMENT = 4096
+# The segmented form's mark (in either byte order), and kinds of the form that chooses.
+SEGMENTED = (b"PMOC", b"COMP")
+STORED, CHOSE_LZ, CHOSE_RUNS = 0, 1, 3
+
+
+def pack_segments(data: bytes) -> bytes:
+    """Segments of 4 KiB, each by ``pack_lzx`` or, with its length negative, as it is if that is no longer."""
+    parts = []
+    for at in range(0, len(data), SEGMENT):
+        plain = data[at : at + SEGMENT]
+        packed = pack_lzx(plain)
+        parts.append((len(packed), packed) if len(packed) < len(plain) else (-len(plain), plain))
+    head = [len(data), len(parts), max((abs(n) for n, _ in parts), default=0), *(n & 0xFFFFFFFF for n, _ in parts)]
+    return SEGMENTED[0] + b"".join(n.to_bytes(4, "little") for n in head) + b"".join(p for _, p in parts)
+
+
+def unpack_segments(data: bytes) -> bytes:
+    if data[:4] not in SEGMENTED or len(data) < 20:
+        raise ValueError("another kind")
+    total, count = (int.from_bytes(data[k : k + 4], "little") for k in (4, 8))
+    at, out = 16 + 4 * count, bytearray()
+    if not count or at > len(data):
+        raise ValueError("too short")
+    for k in range(count):
+        n = int.from_bytes(data[16 + 4 * k : 20 + 4 * k], "little", signed=True)
+        piece = data[at : at + abs(n)]
+        if len(piece) < abs(n):
+            raise ValueError("too short")
+        out += unpack_lzx(piece) if n >= 0 else piece
+        at += abs(n)
+    if len(out) != total:
+        raise ValueError("another size")
+    return bytes(out)
+
+
+def pack_choice(data: bytes) -> bytes:
+    """The smallest of the data as it is, its dictionary form and its runs, after the size and which it was."""
+    forms = [(STORED, data), (CHOSE_LZ, pack_lz(data)[4:]), (CHOSE_RUNS, pack_runs(data)[4:])]
+    kind, body = min(forms, key=lambda f: len(f[1]))
+    return (len(data) << 2 | kind).to_bytes(4, "little") + body
+
+
+def unpack_choice(data: bytes) -> bytes:
+    if len(data) < 4:
+        raise ValueError("too short")
+    head = int.from_bytes(data[:4], "little")
+    n, kind, body = head >> 2, head & 3, data[4:]
+    if kind == STORED:
+        if not n <= len(body) <= (n + 3) // 4 * 4:
+            raise ValueError("another size")
+        return body[:n]
+    if kind == CHOSE_LZ and n < 1 << 24:
+        return unpack_lz(header(LZ, n) + body)
+    if kind == CHOSE_RUNS and n < 1 << 24:
+        return unpack_runs(header(RUNS, n) + body)
+    raise ValueError("another kind")
+
+
 # ---- all of them
 
-PACK = {"lz": pack_lz, "lz_magic": lambda d: MAGIC + pack_lz(d), "lzx": pack_lzx, "runs": pack_runs, "huffman4": lambda d: pack_huffman(d, 4), "huffman8": pack_huffman, "diff8": diff8, "diff16": diff16, "none": lambda d: d}
+PACK = {"lz": pack_lz, "lz_magic": lambda d: MAGIC + pack_lz(d), "lzx": pack_lzx, "runs": pack_runs, "huffman4": lambda d: pack_huffman(d, 4), "huffman8": pack_huffman, "diff8": diff8, "diff16": diff16, "segments": pack_segments, "choice": pack_choice, "none": lambda d: d}
 
 
 def _magic(data: bytes) -> bytes:
@@ -354,7 +415,7 @@ def _huffman(bits: int):
 
 
 #: In the order in which kinds are tried; the first that decodes wins.
-UNPACK = {"lz_magic": _magic, "lz": unpack_lz, "lzx": unpack_lzx, "runs": unpack_runs, "huffman4": _huffman(4), "huffman8": _huffman(8), "diff8": undiff8, "diff16": undiff16, "none": lambda d: d}
+UNPACK = {"lz_magic": _magic, "lz": unpack_lz, "lzx": unpack_lzx, "segments": unpack_segments, "runs": unpack_runs, "huffman4": _huffman(4), "huffman8": _huffman(8), "diff8": undiff8, "diff16": undiff16, "choice": unpack_choice, "none": lambda d: d}
 
 
 def detect(data: bytes) -> str:

@@ -56,12 +56,12 @@ def render_opaque(spark, d):
 
 @query("vram_remap", """
 WITH a AS (SELECT o_orderkey AS id, (o_custkey * 97) % 65536 AS addr FROM orders),
-t AS (SELECT p_partkey * 640 AS dst, 300000 + p_partkey * 1000 AS src, 8 * p_size AS size FROM part WHERE p_partkey < 100),
+t AS (SELECT p_partkey * 640 AS dst, 300000 + p_partkey * 1000 AS src, 8 * p_size AS size FROM part),
 h AS (SELECT a.id, arg_min(t.src - t.dst, t.dst) AS shift FROM a JOIN t ON a.addr >= t.dst AND a.addr < t.dst + t.size GROUP BY a.id)
 SELECT a.id, a.addr, a.addr + coalesce(h.shift, 0) AS mapped FROM a LEFT JOIN h USING (id)""")
 def vram_remap(spark, d):
     a = R.table(spark, d, "orders").selectExpr("o_orderkey AS id", "(o_custkey * 97) % 65536 AS addr")
-    t = R.table(spark, d, "part").where("p_partkey < 100").selectExpr("p_partkey * 640 AS dst", "300000 + p_partkey * 1000 AS src", "8 * p_size AS size")
+    t = R.table(spark, d, "part").selectExpr("p_partkey * 640 AS dst", "300000 + p_partkey * 1000 AS src", "8 * p_size AS size")
     return L.remap(a, t)
 
 
@@ -448,11 +448,11 @@ def lloyd_step(spark, d):
 
 
 @query("palette_distances", f"""
-WITH b AS (SELECT p_partkey // 16 AS pal, CAST((p_partkey * 37) % 256 AS DOUBLE) AS r, CAST((p_partkey * 91) % 256 AS DOUBLE) AS g, CAST(p_size * 5 AS DOUBLE) AS b FROM part WHERE p_partkey < 128),
+WITH b AS (SELECT p_partkey // 16 AS pal, CAST((p_partkey * 37) % 256 AS DOUBLE) AS r, CAST((p_partkey * 91) % 256 AS DOUBLE) AS g, CAST(p_size * 5 AS DOUBLE) AS b FROM part WHERE p_partkey < 256),
 p AS (SELECT *, {_YIQ} FROM b), n AS (SELECT u.pal AS p, v.pal AS q, u.r, u.g, u.b, min(400 * (u.cy - v.cy) ** 2 + 400 * (u.ci - v.ci) ** 2 + 400 * (u.cq - v.cq) ** 2) AS dd FROM p u JOIN p v ON u.pal <> v.pal GROUP BY ALL)
 SELECT p, q, round(sum(dd), 4) AS d FROM n GROUP BY p, q""")
 def palette_distances(spark, d):
-    bank = R.table(spark, d, "part").where("p_partkey < 128").selectExpr("p_partkey div 16 AS pal", "(p_partkey * 37) % 256 AS r", "(p_partkey * 91) % 256 AS g", "p_size * 5L AS b")
+    bank = R.table(spark, d, "part").where("p_partkey < 256").selectExpr("p_partkey div 16 AS pal", "(p_partkey * 37) % 256 AS r", "(p_partkey * 91) % 256 AS g", "p_size * 5L AS b")
     return Q.palette_distances(bank)
 
 
@@ -504,12 +504,12 @@ def merge_tiles(spark, d):
 
 
 @query("tile_distances", sql("tile_dup", """
-WITH s AS (SELECT a.tile_no AS a, b.tile_no AS b, k, CAST(sum((a.idx - b.idx) ** 2) AS BIGINT) AS d FROM tile_dup a JOIN tile_dup b ON a.tile_no < b.tile_no AND b.tile_no - a.tile_no <= 40 JOIN (VALUES (0, 0), (1, 7), (2, 56), (3, 63)) v(k, m) ON a.pos = xor(b.pos, m) GROUP BY ALL)
+WITH s AS (SELECT a.tile_no AS a, b.tile_no AS b, k, CAST(sum((a.idx - b.idx) ** 2) AS BIGINT) AS d FROM tile_dup a JOIN tile_dup b ON a.tile_no < b.tile_no JOIN (VALUES (0, 0), (1, 7), (2, 56), (3, 63)) v(k, m) ON a.pos = xor(b.pos, m) GROUP BY ALL)
 SELECT a, b, min(d) AS d, CAST(arg_min(k, (d, k)) AS BIGINT) AS flip FROM s GROUP BY a, b"""))
 def tile_distances(spark, d):
     t = D.tile_arrays(R.tile_dup(spark))
     a, b = t.select(c("tile_no").alias("a"), c("px").alias("pa")), t.select(c("tile_no").alias("b"), c("px").alias("pb"))
-    return D.tile_distances(a.join(F.broadcast(b), (c("a") < c("b")) & (c("b") - c("a") <= 40)))
+    return D.tile_distances(a.join(F.broadcast(b), c("a") < c("b")))
 
 
 @query("merge_tiles_to")
@@ -740,7 +740,7 @@ def _coded_query(kind):
     return run
 
 
-for _kind in ("lz", "lz_magic", "lzx", "runs", "huffman4", "huffman8", "diff8", "diff16"):
+for _kind in ("lz", "lz_magic", "lzx", "runs", "huffman4", "huffman8", "diff8", "diff16", "segments", "choice"):
     query(f"codec_{_kind}", "SELECT CAST(doc_id AS VARCHAR) AS path, true AS same, strlen(text) AS n FROM documents WHERE text IS NOT NULL")(_coded_query(_kind))
 
 
@@ -886,9 +886,9 @@ def object_links(spark, d):
     return B.linked(R.table(spark, d, "orders").selectExpr("o_custkey AS from_id", "o_orderkey % 100 AS to_id", "o_orderkey AS at"))
 
 
-@query("message_tags", "SELECT conv_id, turn, text AS back, strlen(text) + 6 AS n FROM conversations WHERE text NOT LIKE '%[%'")
+@query("message_tags", "SELECT conv_id, turn, text AS back, strlen(text) + 6 AS n FROM conversations")
 def message_tags(spark, d):
-    m = R.table(spark, d, "conversations").where("NOT contains(text, '[')")
+    m = R.table(spark, d, "conversations")
     tagged = m.select("conv_id", "turn", F.encode(F.concat(F.lit("[Color:7]"), "text"), "UTF-8").alias("t"))
     packed = K.coded(tagged, "t", lambda x: T.compile_text(x.decode()), keep=("conv_id", "turn"))
     back = K.coded(packed, "coded", lambda x: T.decode_text(x), "string", "back", ("conv_id", "turn", "coded"))
