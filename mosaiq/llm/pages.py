@@ -38,6 +38,7 @@ NOISE = frozenset(
     notification alert popup overlay modal newsletter subscribe subscription signup login sidebar side rail menu menubar nav navbar navigation breadcrumb breadcrumbs footer
     comment comments commentlist reply replies respond disqus discussion share sharing social related recommended widget toolbar pagination pager search masthead skip""".split()
 )
+COMMENTS = frozenset("comment comments commentlist reply replies disqus discussion".split())
 NOISE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 #: Elements that such a start ends, and those within which that is looked for.
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
@@ -68,9 +69,11 @@ def _dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     if tag == "header":
         return not in_article
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body"):
         return False
     words = {w.lower() for k in ("class", "id") for w in _WORDS.findall(attributes.get(k, ""))}
+    if tag in ("article", "main"):  # a page's own container, whatever else its classes say; a reader's comment may be one too
+        return bool(words & COMMENTS)
     return bool(words & NOISE) or (not in_article and "header" in words)
 
 

@@ -126,6 +126,15 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_pages_of_other_shapes():
+    text = pages.main_text
+    assert text("<main><h1>H</h1><p>a</p><div class='related-posts'><p>r</p></div></main><div>out</div>") == "H\n\na"
+    assert text("<article><p>a</p></article><section id='comments'><article class='comment'><p>c</p></article></section><article class='user-comment'><p>d</p></article>") == "a"
+    assert text("<body class='has-sidebar nav-open'><header>h</header><div id=sidebar>s</div><DIV><P>A&nbsp;b &#233; &eacute;<P>c  d\n e</DIV><div role=search>q</div></body>") == "A b é é\n\nc d e"
+    assert text("<article><ul><li>x<ul><li>y</ul><li>z</ul><table><tr><td>1<td>2<tr><th>3</table><pre>p  q</pre></article>") == "x\n\ny\n\nz\n\n1\n\n2\n\n3\n\np q"
+    assert text("<p>1 < 2 && 3 > 2</p><!-- <p>no</p> --><p title='a>b'>q<span class=ad>x</span>r") == "1 < 2 && 3 > 2\n\nqr"
+
+
 def test_style_tree_cuts_what_all_pages_share(spark, monkeypatch):
     plain = "<div><p>Same on every page.</p></div><section><h2>Own {i}</h2></section>"
     df = spark.createDataFrame([(i, "http://h/x", plain.format(i=i)) for i in range(15)], "page_id long, url string, html string")
