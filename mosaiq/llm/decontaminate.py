@@ -7,14 +7,15 @@ that window are hit and the items that hold it are known.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import cut, map_arrow, table
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 13
@@ -135,19 +136,23 @@ class Automaton:
         return merged, items
 
 
-def automata(benchmark: DataFrame) -> list[Automaton]:
-    """Automata over all items, of at most ``PART_WORDS`` words each unless one item alone has more."""
+def automata(benchmark: DataFrame) -> Iterator[Automaton]:
+    """Automata over all items, of at most ``PART_WORDS`` words each unless one item alone has more.
+
+    One at a time: items are read as they are needed, and a caller lets go of one before the next.
+    """
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string").cast("binary"))
-    parts, part, size = [], [], 0
+    part, size = [], 0
     for name, text in rows.toLocalIterator(prefetchPartitions=False):
         if name is None or not (words := words_of(bytes(text) if text is not None else None)):
             continue
         if part and size + len(words) > PART_WORDS:
-            parts.append(part)
+            yield Automaton(part)
             part, size = [], 0
         part.append((name, words))
         size += len(words)
-    return [Automaton(p) for p in [*parts, *([part] if part else [])]]
+    if part:
+        yield Automaton(part)
 
 
 def _join_runs(all_runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -167,12 +172,18 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     count words, end exclusive. Null, empty and wordless texts have no hits; items without words
     or id have no windows; an empty benchmark hits nothing; repeated rows each come back. Each
     automaton is broadcast: ``PART_WORDS`` bounds its size, and a larger benchmark makes one more
-    narrow pass for each further automaton.
+    narrow pass for each further automaton, written before the next, so that workers hold one at a time.
     """
     spark = docs.sparkSession
     out = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(None).cast("array<struct<start:long,stop:long>>").alias("runs"), F.lit(None).cast("array<string>").alias("items"))
     schema = "doc_id long, text string, n_words long, runs array<struct<start:long,stop:long>>, items array<string>"
-    for automaton in automata(benchmark) or [None]:
+    passes = 0
+    for automaton in chain(automata(benchmark), [None]):
+        if automaton is None and passes:
+            break
+        if passes:
+            out = cut(out)
+        passes += 1
         held = spark.sparkContext.broadcast(automaton)
 
         def one(batches, held=held):
@@ -219,23 +230,39 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_chars, where the column is there, follows. Rows without hits keep their text as it is.
     """
     spark = docs.sparkSession
-    held = [spark.sparkContext.broadcast(a) for a in automata(benchmark)]
     names = docs.columns
+    at = names.index("text")
+    kind = "array<struct<start:long,stop:long>>"
+    out = docs.withColumn("_runs", F.lit(None).cast(kind))
+    full = out.schema
+
+    def track(held):
+        def one(batches):
+            for b in batches:
+                merged = []
+                for text, old in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                    found = held.value.hits(words_of(text))[0]
+                    merged.append([{"start": x, "stop": y} for x, y in _join_runs([*((r["start"], r["stop"]) for r in old or ()), *found])])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(merged, b.schema.field(len(names)).type)], b.schema.names)
+
+        return one
 
-    def one(batches):
+    def strip(batches):
         for b in batches:
             texts, keep = [], []
-            for text in b.column(names.index("text")).cast(pa.binary()).to_pylist():
-                words = words_of(text)
-                runs = _join_runs([r for h in held for r in h.value.hits(words)[0]])
+            for text, old in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                runs = [(r["start"], r["stop"]) for r in old or ()]
                 n = sum(y - x for x, y in runs)
-                keep.append(not (n and COVERAGE * n >= len(words)))
+                keep.append(not n or COVERAGE * n < len(words_of(text)))
                 texts.append(without_runs(text, runs) if n and keep[-1] else text)
-            at = names.index("text")
             new = pa.array(texts, pa.binary()).cast(b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns)], names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns[:-1])], names).filter(pa.array(keep, pa.bool_()))
 
-    out = map_arrow(docs, one, docs.schema)
+    passes = 0
+    for automaton in automata(benchmark):
+        out = map_arrow(cut(out) if passes else out, track(spark.sparkContext.broadcast(automaton)), full)
+        passes += 1
+    out = map_arrow(out, strip, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
