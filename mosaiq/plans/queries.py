@@ -534,9 +534,14 @@ def message_dedup(spark, d):
     return t.join(first, t["text"].eqNullSafe(first["text"])).select("conv_id", "turn", "first")
 
 
-@query("previous_block", sql("tile_px", "SELECT tile_no, pos, lag(tile_no) OVER (PARTITION BY pos, idx ORDER BY tile_no) AS previous FROM tile_px"))
+@query("previous_block", sql("tile_dup", "WITH f AS (SELECT tile_no, list(idx ORDER BY pos) AS px FROM tile_dup GROUP BY tile_no) SELECT tile_no, lag(tile_no) OVER (PARTITION BY px ORDER BY tile_no) AS previous FROM f"))
 def previous_block(spark, d):
-    return D.previous_equal(R.tile_px(spark, d), ["pos", "idx"], "tile_no").select("tile_no", "pos", "previous")
+    return D.previous_equal(D.tile_arrays(R.tile_dup(spark)), ["px"], "tile_no").select("tile_no", "previous")
+
+
+@query("first_block", sql("tile_px", "WITH f AS (SELECT tile_no, list(idx ORDER BY pos) AS px FROM tile_px GROUP BY tile_no), m AS (SELECT px, min(tile_no) AS first FROM f GROUP BY px) SELECT tile_no, first FROM f JOIN m USING (px)"))
+def first_block(spark, d):
+    return D.first_equal(D.tile_arrays(R.tile_px(spark, d)), ["px"], "tile_no").select("tile_no", "first")
 
 
 @query("compact_palettes", "WITH k AS (SELECT p_partkey // 16 AS pal, CASE WHEN (p_partkey // 16) % 3 = 0 THEN 0 ELSE p_size END AS color FROM part), s AS (SELECT pal FROM k GROUP BY pal HAVING bool_or(color <> 0)) SELECT row_number() OVER (ORDER BY pal) - 1 AS slot, pal FROM s")
