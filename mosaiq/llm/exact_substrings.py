@@ -41,6 +41,9 @@ LEAST_FREQUENT = 256
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
+#: Odd factors of a gram's words after the first; a minimiser's hash only says where its strings meet.
+_GRAM = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -58,10 +61,11 @@ def stretches(text: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndar
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     words = words8(text)
     m = len(text) - GRAM + 1
-    h = words[:m]
-    for at in range(8, GRAM, 8):
-        h = _mix(h + words[at : at + m] * np.uint64(2 * at + 1))
-    least = (_mix(h) & ~np.uint64((1 << 24) - 1)) | np.arange(m, dtype=np.uint64)  # of equal hashes the leftmost
+    h = words[:m] * _M1
+    for at, k in zip(range(8, GRAM, 8), _GRAM, strict=True):
+        h += words[at : at + m] * k
+    h = _mix(h)
+    least = (h & ~np.uint64((1 << 24) - 1)) | np.arange(m, dtype=np.uint64)  # of equal hashes the leftmost
     width = 1
     while 2 * width <= WINDOW:
         least = np.minimum(least[:-width], least[width:])
