@@ -8,16 +8,19 @@ columns of ``documents``, whatever others the table has.
 from __future__ import annotations
 
 import uuid
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import decontaminate, langid, pii, sentencepieces, simhash
+from mosaiq.llm import decontaminate, langid, nearcopies, pii, sentencepieces
 from mosaiq.llm.common import shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Cosine with the nearest language under which a text counts as in none.
 LEAST_SCORE = 0.02
+#: Near copies share this much of their shingles of so many words.
+SHINGLE, SIMILARITY = 5, Fraction(4, 5)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +39,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each class of near copies."""
-    return simhash.deduplicate(docs.select(*COLUMNS)).select(*COLUMNS)
+    """Documents less near copies of one with a smaller doc_id: exact shingle similarity, whatever their fingerprints."""
+    return nearcopies.deduplicate(docs.select(*COLUMNS), SHINGLE, SIMILARITY).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

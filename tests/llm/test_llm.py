@@ -486,3 +486,35 @@ def test_pipeline(spark, tmp_path):
     out = C.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in out} == set(kept[3]) and all(x.round_trip for x in out)
 
+
+
+def test_near_copies_of_the_pipeline(spark):
+    import corpus_pipeline as C
+
+    r = random.Random(16)
+    texts = []
+    for _ in range(12):
+        base = words(r, 200, 10**6).split()
+        texts.append(base)
+        for edits in (1, 2, 4, 6, 10, 25):
+            near = list(base)
+            for i in r.sample(range(len(near)), edits):
+                near[i] = "zz"
+            texts.append(near)
+    texts += [texts[0][:i] + texts[0][i + 1 :] for i in range(40)]  # one large group
+    texts = [" ".join(t) for t in texts]
+    kept = sorted(x.doc_id for x in C.near_duplicates(spark, docs_of(spark, texts), "").collect())
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    assert not [(i, j) for i in kept for j in kept if i < j and near(i, j)]
+    assert all(any(near(i, j) for i in range(j)) for j in set(range(len(texts))) - set(kept))
+    assert 12 < len(kept) < 60
+
+
+def test_texts_that_share_an_id_are_judged_each(spark):
+    import corpus_pipeline as C
+
+    rows = [(1, "a b c d e f g"), (1, "p q r s t u v"), (1, "a b c d e f g"), (2, "p q r s t u v"), (None, "a b c d e f g")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), 1) for i, t in rows], DOCS)
+    got = sorted((x.doc_id or 0, x.text) for x in C.near_duplicates(spark, df, "").collect())
+    assert got == [(0, rows[0][1]), (1, rows[0][1]), (1, rows[1][1])]
