@@ -33,7 +33,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_TRIGGER = re.compile(r"[0-9@]|[\[({]at[\])}]", re.I)
+_TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]", re.I)
+_MORE = re.compile(r"\s?[\[({](?:at|dot)[\])}]", re.I)
+_LED = re.compile(r"[\[({](?:at|dot)[\])}]\s?\Z", re.I)
 _CHUNK = re.compile(r"\S+")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|[^\w\s]|[\w]", re.ASCII)
 
@@ -73,10 +75,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def zones(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Stretches outside ``taken`` that hold a trigger: its words, and the words beside them."""
+    """Stretches outside ``taken`` that hold a trigger: the words of all their triggers, and the words beside each."""
     out: list[tuple[int, int]] = []
+    word = 0
     for m in _TRIGGER.finditer(text):
-        if out and m.start() < out[-1][1]:
+        if m.start() < word:  # in the word of the trigger before, with the same neighbours
             continue
         a, b = m.start(), m.end()
         for _ in range(2):  # the word itself and one more on either side
@@ -85,9 +88,10 @@ def zones(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
             while b < len(text) and not text[b].isspace():
                 b += 1
             if _ == 0:
+                word = b
                 a, b = max(0, a - 1), min(len(text), b + 1)
         if out and a < out[-1][1]:
-            out[-1] = (out[-1][0], b)
+            out[-1] = (min(a, out[-1][0]), b)
         else:
             out.append((a, b))
     left: list[tuple[int, int]] = []
@@ -113,7 +117,9 @@ def _shape(s: str) -> str:
 
 
 def segment_features(s: str, before: str, after: str) -> list[str]:
-    """What is known of a whole segment ``s`` between the characters ``before`` and ``after``."""
+    """What is known of a whole segment ``s`` between the texts ``before`` and ``after``, of up to 6 characters."""
+    cut_off = f"cut={bool(_LED.search(before))},{bool(_MORE.match(after))}"
+    before, after = before[-1:], after[:1]
     digits = re.sub(r"[^0-9]", "", s)
     letters = sum(c.isalpha() for c in s)
     shape = _shape(s)
@@ -125,7 +131,7 @@ def segment_features(s: str, before: str, after: str) -> list[str]:
         "bias", f"shape={shape[:40]}", f"n={min(len(digits), 20)}", f"letters={letters > 0}", f"marks={kinds[:12]}",
         f"at={len(re.findall(r'@|[^a-z]at[^a-z]', s, re.I))}", f"dots={min(s.count('.'), 5)}", f"plus={s[0] == '+'}", f"card={card and luhn(digits)},{card}", f"ip={ip}",
         f"before={'s' if not before or before.isspace() else 'w' if before.isalnum() else before}", f"after={'s' if not after or after.isspace() else 'w' if after.isalnum() else after}",
-        f"last={'d' if s[-1].isdigit() else 'a'}", f"first={'d' if s[0].isdigit() else 'a' if s[0].isalpha() else s[0]}", f"space={min(s.count(' '), 6)},{letters > 0}",
+        f"last={'d' if s[-1].isdigit() else 'a'}", f"first={'d' if s[0].isdigit() else 'a' if s[0].isalpha() else s[0]}", f"space={min(s.count(' '), 6)},{letters > 0}", cut_off,
     ]
 
 
@@ -139,7 +145,7 @@ def candidates(text: str, a: int, b: int):
         for j in range(i + 1, min(len(spans), i + LONGEST) + 1):
             e = spans[j - 1][1]
             if text[e - 1].isalnum() and _TRIGGER.search(text, s, e) and "\n" not in text[s:e]:
-                out.append((i, j, segment_features(text[s:e], text[s - 1 : s], text[e : e + 1])))
+                out.append((i, j, segment_features(text[s:e], text[max(0, s - 6) : s], text[e : e + 6])))
     return spans, out
 
 
@@ -220,11 +226,11 @@ def rewritten(kind: int, s: str, turn: int) -> str | None:
 def fit(examples: list[tuple[str, list[tuple[int, int, int]]]]) -> Field:
     """Train on (zone text, its labelled (start, kind, end)) by gradient ascent on the log-likelihood."""
     data = []
-    for turn, (text, gold) in enumerate(examples):
+    for text, gold in examples:
         variants = [(text, gold)]
-        if len(gold) == 1 and (new := rewritten(gold[0][1], text[gold[0][0] : gold[0][2]], turn)):
+        if len(gold) == 1:
             s, k, e = gold[0]
-            variants.append((text[:s] + new + text[e:], [(s, k, s + len(new))]))
+            variants += [(text[:s] + new + text[e:], [(s, k, s + len(new))]) for turn in range(3) if (new := rewritten(k, text[s:e], turn))]
         for t, g in variants:
             spans, found = candidates(t, 0, len(t))
             at = {(spans[i][0], spans[j - 1][1]): x for x, (i, j, _) in enumerate(found)}

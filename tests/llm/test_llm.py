@@ -343,6 +343,26 @@ def test_pii(spark):
     assert pii.detect(df.limit(0), pii.fit(pii.training_zones(df.limit(0)))).count() == 0
 
 
+def test_pii_finds_every_rewritten_form_in_a_sentence(spark):
+    r = random.Random(17)
+    name = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    mails = [f"{name()}{r.choice(['', '.' + name(), '82'])}@{name()}{r.choice(['', '7'])}.{r.choice(['', name() + '.'])}com" for _ in range(60)]
+    phones = [f"+1 ({r.randrange(200, 999)}) {r.randrange(200, 999)}-{r.randrange(1000, 9999)}" for _ in range(60)]
+    texts = [f"please write to {m} or call {p} before noon, {i % 9} people said" for i, (m, p) in enumerate(zip(mails, phones))]
+    model = pii.fit(pii.training_zones(docs_of(spark, [*texts, *(f"page {i} of {i + 3} has a table" for i in range(40))])))
+    for kind, whole in ((0, "jane@mail.com"), (0, "jane82@mail.com"), (0, "jane@mail7.example.com"), (0, "ann.lee@host.com"), (3, "+1 (415) 555-0123")):
+        for turn in range(3):
+            form = pii.rewritten(kind, whole, turn)
+            text = f"you may ask {form} for more of it"
+            assert [x for x in pii.spans_of(text, model)[1] if text[x[0] : x[2]] == form] == [(12, kind, 12 + len(form))], form
+    assert pii.spans_of("page 3 of 6 has a table", model)[1] == []
+
+
+def test_pii_zones_hold_the_neighbours_of_all_their_triggers():
+    for text in ("a jane [at] mail [dot] com b", "a jane82 [at] mail.com b"):
+        assert [text[a:b] for a, b in pii.zones(text, [])] in (["jane [at] mail [dot] com"], ["a jane82 [at] mail.com"])
+
+
 def test_pii_posteriors_add_up():
     model = pii.Field({"email|bias": 0.3, "phone|bias": -0.2, "card|n=3": 0.9})
     spans, found = pii.candidates("a1 22 333", 0, 9)
