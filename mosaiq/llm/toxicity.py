@@ -30,8 +30,6 @@ THRESHOLD = 0.7
 EVIDENCE, PURITY = 30.0, 0.9
 #: A feature in fewer documents of the sample has no weight of its own.
 LEAST = 5
-#: Tokens on either side of a labelled one that a training window holds.
-AROUND = 6
 EPOCHS = 60
 #: Words whose emission a worker remembers.
 REMEMBER = 200_000
@@ -142,37 +140,24 @@ def toxic_features(docs: list[tuple[list[str], int]]) -> set[str]:
 
 
 def fit(docs: list[tuple[str | None, int]]) -> Model:
-    """Train on (text, label): token labels from toxic features, then weights by gradient ascent, then the score."""
-    split = [(tokens(t), int(y)) for t, y in docs]
+    """Train on (text, label): token labels from toxic features, then weights by gradient ascent over whole texts, then the score."""
+    own: dict[str, str] = {}  # one string a word, however often it stands
+    split = [([own.setdefault(w, w) for w in tokens(t)], int(y)) for t, y in docs]
     toxic = toxic_features(split)
-    word_toxic = {w: any(f in toxic for f in features(w)) for words, _ in split for w in set(words)}
-    windows: list[tuple[list[str], list[int]]] = []
-    for words, y in split:
-        marked = [i for i, w in enumerate(words) if y and word_toxic[w]]
-        labels = [0] * len(words)
-        for i in marked:
-            labels[i] = 1
-        spans = [(max(0, i - AROUND), i + AROUND + 1) for i in marked[:8]] or [(0, 3 * AROUND)]
-        at = 0
-        for a, b in spans:
-            if (a := max(a, at)) < b and words[a:b]:
-                windows.append((words[a:b], labels[a:b]))
-                at = b
+    place = {w: i for i, w in enumerate(own)}
+    word_toxic = np.array([any(f in toxic for f in features(w)) for w in own], bool)
     df: Counter = Counter()
     for words, _ in split:
         df.update({f for w in set(words) for f in features(w)})
     names = sorted(f for f, n in df.items() if n >= LEAST)
     ids = {f: i for i, f in enumerate(names)}
-    owner, feature, y, sizes = [], [], [], []
-    for words, labels in windows:
-        sizes.append(len(words))
-        for w, label in zip(words, labels, strict=True):
-            for f in features(w):
-                if (j := ids.get(f)) is not None:
-                    owner.append(len(y))
-                    feature.append(j)
-            y.append(label)
-    owner, feature, y = np.array(owner, np.int64), np.array(feature, np.int64), np.array(y, np.float64)
+    # Features belong to words, tokens refer to words: whole texts fit, at a few numbers a token.
+    has = [(i, ids[f]) for w, i in place.items() for f in features(w) if f in ids]
+    owner, feature = (np.array(x, np.int64) for x in (zip(*has, strict=True) if has else ((), ())))
+    whole = [(words, y) for words, y in split if words]
+    sizes = [len(words) for words, _ in whole]
+    word = np.fromiter((place[w] for words, _ in whole for w in words), np.int32, sum(sizes))
+    y = (word_toxic[word] & np.repeat(np.array([y == 1 for _, y in whole], bool), sizes)).astype(np.float64)
     weights, bias, moves = np.zeros(len(names)), -4.0, np.zeros(3)
     square = {"w": np.full(len(names), 1e-6), "b": 1e-6, "m": np.full(3, 1e-6)}
     chains = Chains(sizes)
@@ -181,11 +166,11 @@ def fit(docs: list[tuple[str | None, int]]) -> Model:
     pair = np.flatnonzero(~ends)
     truth = np.array([((1 - y[pair]) * y[pair + 1]).sum() + y[first].sum() if len(y) else 0.0, (y[pair] * (1 - y[pair + 1])).sum(), (y[pair] * y[pair + 1]).sum()]) if len(y) else np.zeros(3)
     for _ in range(EPOCHS if len(y) else 0):
-        emit = np.bincount(owner, weights[feature], len(y)) + bias
+        emit = np.bincount(owner, weights[feature], len(own))[word] + bias
         p = chains.marginals(emit, tuple(moves))
         # The chain's pair marginals, by their independence given p, close enough for three shared weights.
         q = np.array([((1 - p[pair]) * p[pair + 1]).sum() + p[first].sum(), (p[pair] * (1 - p[pair + 1])).sum(), (p[pair] * p[pair + 1]).sum()])
-        g = np.bincount(feature, (y - p)[owner], len(names)) - 0.05 * weights
+        g = np.bincount(feature, np.bincount(word, y - p, len(own))[owner], len(names)) - 0.05 * weights
         gb, gm = (y - p).sum(), truth - q - 0.5 * moves
         square["w"] += g * g
         square["b"] += gb * gb

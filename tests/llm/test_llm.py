@@ -429,6 +429,21 @@ def test_toxicity(spark):
     assert toxicity.fit(toxicity.sample(df, labels.limit(0))).weights == {}
 
 
+def test_toxicity_learns_from_whole_texts():
+    r = random.Random(18)
+    plain = ["".join(r.choice("bcdlmnrst") + r.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    rows = []
+    for i in range(120):
+        t = [r.choice(plain) for _ in range(60)]
+        if i % 3 == 0:
+            t[40] = r.choice(["gralk", "gralko"])
+        else:
+            t[50] = "gralkine"  # clean, with a toxic word's beginning, late in the text
+        rows.append((" ".join(t), int(i % 3 == 0)))
+    model = toxicity.fit(rows)
+    assert model.weights.get("gralkine", 0.0) < 0 and model.emission("gralk") > 0 > model.emission("gralkine")
+
+
 # ---------------------------------------------------------------- 10
 
 def test_suffix_array():
