@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import cut, map_arrow, table
 
 #: Weight of content against presentation, and importance up to which a branch is cut.
-CONTENT, LOW = 0.9, 0.03
-#: A host of fewer pages has no style tree to speak of.
-LEAST_PAGES = 12
+CONTENT, LOW = 0.9, 0.25
+#: Pages added to a host's own: the fewer it has, the larger a share of them must have a text before that counts as low.
+SMOOTH = 0.25
 #: (host, path) pairs that may be broadcast; more are joined to the pages by host.
 BROADCAST = 1_000_000
 
@@ -197,15 +197,15 @@ def style_tree(pages: DataFrame) -> DataFrame:
     Counts are added up over all pages of a host. An element's presentation importance is the
     entropy of its children's sequences, to the base of their number; its content importance is 1
     less the mean, over its different texts, of the log of the pages that have the text to the base
-    of the host's pages. Only hosts of LEAST_PAGES or more are judged.
+    of the host's pages and SMOOTH. Every host of two pages or more is judged.
     """
     rows = map_arrow(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), _tree, "host string, path long, kind int, value long")
     counts = cut(rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n")))
-    hosts = counts.where("kind = 2").select("host", F.col("n").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    hosts = counts.where("kind = 2").select("host", F.col("n").alias("pages")).where("pages > 1")
     n = F.col("n").cast("double")
     # Added up by element first, so that the join with the hosts' pages meets few rows of each host.
     spread = counts.where("kind = 1").groupBy("host", "path").agg(F.avg(F.log(n)).alias("spread"))
-    content = spread.join(hosts, "host").select("host", "path", (1 - F.col("spread") / F.log(F.col("pages").cast("double"))).alias("content"))
+    content = spread.join(hosts, "host").select("host", "path", (1 - F.col("spread") / F.log(F.col("pages") + F.lit(SMOOTH))).alias("content"))
     style = counts.where("kind = 0").groupBy("host", "path").agg(F.sum("n").alias("all"), F.count("*").alias("styles"), F.sum(n * F.log(n)).alias("nlogn"))
     entropy = F.when(F.col("styles") > 1, (F.log(F.col("all").cast("double")) - F.col("nlogn") / F.col("all")) / F.log(F.col("styles").cast("double"))).otherwise(0.0)
     importance = (1 - CONTENT) * F.coalesce("presentation", F.lit(0.0)) + CONTENT * F.col("content")

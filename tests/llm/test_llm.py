@@ -143,6 +143,14 @@ def test_style_tree_cuts_what_all_pages_share(spark, monkeypatch):
     assert {x.text for x in pages.extract(df).collect()} == {f"Own {i}" for i in range(15)}
 
 
+@pytest.mark.parametrize("n, shared", [(2, 2), (3, 3), (5, 5), (20, 10), (100, 50)])
+def test_style_tree_judges_small_hosts_and_half_shared_blocks(spark, n, shared):
+    page = "<div><p>{}</p></div><section><h2>Own {}</h2></section>"
+    df = spark.createDataFrame([(i, "http://h/x", page.format("Shared." if i < shared else "", i)) for i in range(n)] + [(n, "http://lone/x", page.format("Shared.", n))], "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in pages.extract(df).collect()}
+    assert got == {i: f"Own {i}" for i in range(n)} | {n: f"Shared.\n\nOwn {n}"}
+
+
 # ---------------------------------------------------------------- 3
 
 def tiny_model():
