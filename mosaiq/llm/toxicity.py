@@ -1,8 +1,9 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
 Tokens are runs of letters. Each has the states clean and toxic; emission weights belong to the
-word, its beginnings of 3 to 6 letters and its shape, transition weights to pairs of states.
-Marginals come from the forward-backward recursion over the whole text, kept as odds.
+word, its beginnings of 3 to 8 letters and its shape, transition weights to pairs of states.
+Marginals of tokens and of pairs of neighbours come from the forward-backward recursion over the
+whole text, kept as odds.
 """
 
 from __future__ import annotations
@@ -25,12 +26,16 @@ from .langid import held_out
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Labelled rows that a fit reads, of each label, at most: the documented bound of the sample.
 FIT_ROWS = 3000
+#: Characters of either label that a fit reads, at most, and the last text whole: the rest of that bound.
+FIT_CHARS = 40_000_000
 THRESHOLD = 0.7
 #: Evidence (in documents' log-likelihood ratio) and purity that mark a feature's tokens as toxic.
 EVIDENCE, PURITY = 30.0, 0.9
 #: A feature in fewer documents of the sample has no weight of its own.
 LEAST = 5
 EPOCHS = 60
+#: Marks a feature that two or more tokens of a document have, and one in so many at least.
+TWICE, DENSE = "2:", 100
 #: Words whose emission a worker remembers.
 REMEMBER = 200_000
 
@@ -41,7 +46,7 @@ def tokens(text: str | None) -> list[str]:
 
 def features(word: str) -> list[str]:
     """The word whole, its beginnings (marked), and whether it is short."""
-    return [word, *(word[:n] + "-" for n in range(3, 7) if len(word) > n), "#short" if len(word) < 4 else "#long"]
+    return [word, *(word[:n] + "-" for n in range(3, 9) if len(word) > n), "#short" if len(word) < 4 else "#long"]
 
 
 @dataclass
@@ -50,8 +55,8 @@ class Model:
     #: Log potentials of clean to toxic, toxic to clean and toxic to toxic; clean to clean is 0.
     moves: tuple[float, float, float]
     bias: float
-    #: Weight and offset of the document score's logistic over the log of the expected toxic tokens.
-    score: tuple[float, float]
+    #: The document score's logistic: weights of the log of the expected toxic tokens and of all, and offset.
+    score: tuple[float, float, float]
 
     def emission(self, word: str) -> float:
         get = self.weights.get
@@ -76,19 +81,35 @@ class Chains:
 
     def marginals(self, emissions: np.ndarray, moves: tuple[float, float, float]) -> np.ndarray:
         """Probability of the toxic state of each token, all sequences' tokens one after another."""
+        return self.expected(emissions, moves)[0]
+
+    def expected(self, emissions: np.ndarray, moves: tuple[float, float, float], pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """``marginals``, and with ``pairs`` the expected numbers of moves clean to toxic, toxic to clean, toxic to toxic.
+
+        A sequence begins after a clean token. Weights are taken relative to the clean state, so a
+        pair's four cases weigh 1, what goes forward into it times what comes back, and so on.
+        """
         e = np.empty(len(emissions))
         e[self.place] = np.exp(np.clip(emissions, -30, 30))
         ct, tc, tt = np.exp(moves)
-        fwd, bwd = np.empty_like(e), np.ones_like(e)
+        fwd, bwd, q = np.empty_like(e), np.ones_like(e), np.zeros(3)
         a = self.start.tolist()
         odds = None
         for lo, hi in zip(a[:-1], a[1:], strict=True):
             odds = fwd[lo:hi] = e[lo:hi] * (ct if odds is None else (ct + tt * odds[: hi - lo]) / (1 + tc * odds[: hi - lo]))
         for t in range(len(a) - 3, -1, -1):
+            n = a[t + 2] - a[t + 1]
             after = bwd[a[t + 1] : a[t + 2]] * e[a[t + 1] : a[t + 2]]
-            bwd[a[t] : a[t] + a[t + 2] - a[t + 1]] = (tc + tt * after) / (1 + ct * after)
-        p = (fwd * bwd)[self.place]
-        return np.where(np.isinf(p), 1.0, p / (1 + p))
+            bwd[a[t] : a[t] + n] = (tc + tt * after) / (1 + ct * after)
+            if pairs:
+                before = fwd[a[t] : a[t] + n]
+                cases = np.stack((ct * after, tc * before, tt * before * after))
+                q += (cases / (1 + cases.sum(axis=0))).sum(axis=1)
+        own = fwd * bwd
+        p = np.where(np.isinf(own), 1.0, own / (1 + own))
+        if pairs and len(a) > 1:
+            q[0] += p[a[0] : a[1]].sum()
+        return p[self.place], q
 
     def split(self, flat: np.ndarray) -> list[np.ndarray]:
         return np.split(flat, self.stops[:-1]) if len(self.stops) else []
@@ -119,19 +140,47 @@ def toxic_features(docs: list[tuple[list[str], int]]) -> set[str]:
     """Features whose presence marks toxic documents, by log-likelihood ratio and smoothed purity.
 
     Near copies count once: else the chance words of a text that is copied often would qualify.
+    In rounds: toxic documents that hold a marked feature are set aside, and those left are held
+    against all clean ones again, until nothing more qualifies. That two tokens of a document have
+    a feature may qualify where one token doesn't: families of words show that chance words join.
     """
-    of: dict[tuple[int, int], set[str]] = {}
+    of: dict[tuple[int, int], Counter] = {}
     for c, (words, y) in zip(clusters([words for words, _ in docs]), docs, strict=True):
-        of.setdefault((y, c), set()).update(words)
-    counts = {0: Counter(), 1: Counter()}
+        of[y, c] = of.get((y, c), Counter()) | Counter(words)
+    clean: Counter = Counter()
     total = Counter(y for y, _ in of)
     for (y, _), words in of.items():
-        counts[y].update({f for w in words for f in features(w)})
-    base = total[1] / max(1, total[0] + total[1])
+        if y == 0:
+            clean.update(_shown(words))
+    found: set[str] = set()
+    own = [_shown(words) for (y, _), words in of.items() if y == 1]
+    while own:
+        # What is marked already explains its documents; rarer families show among the others.
+        more = _marking(Counter(chain.from_iterable(own)), clean, len(own), total[0])
+        own = [f for f in own if not f & more]
+        found |= more
+        if not more:
+            break
+    return {f.removeprefix(TWICE) for f in found}
+
+
+def _shown(words: Counter) -> set[str]:
+    """Features of a document's words, and those that two or more of its tokens and one in DENSE have, marked."""
+    n: Counter = Counter()
+    least = max(2, -(-words.total() // DENSE))
+    for w, k in words.items():
+        for f in features(w):
+            n[f] += k
+    return {*n, *(TWICE + f for f, k in n.items() if k >= least)}
+
+
+def _marking(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> set[str]:
+    """Features whose counts of ``n_toxic`` and ``n_clean`` documents reach EVIDENCE and PURITY."""
+    base = n_toxic / max(1, n_toxic + n_clean)
     found = set()
-    for f, k in counts[1].items():
-        n = k + counts[0][f]
-        if f[0] == "#" or n < LEAST or (k + 0.5) / (n + 1) < PURITY:
+    for f, k in toxic.items():
+        n = k + clean[f]
+        if f.removeprefix(TWICE)[0] == "#" or n < LEAST or (k + 0.5) / (n + 1) < PURITY:
             continue
         ratio = 2 * (k * math.log(k / (n * base)) + ((n - k) * math.log((n - k) / (n * (1 - base))) if n > k else 0.0)) if base < 1 else 0.0
         if ratio >= EVIDENCE:
@@ -167,9 +216,7 @@ def fit(docs: list[tuple[str | None, int]]) -> Model:
     truth = np.array([((1 - y[pair]) * y[pair + 1]).sum() + y[first].sum() if len(y) else 0.0, (y[pair] * (1 - y[pair + 1])).sum(), (y[pair] * y[pair + 1]).sum()]) if len(y) else np.zeros(3)
     for _ in range(EPOCHS if len(y) else 0):
         emit = np.bincount(owner, weights[feature], len(own))[word] + bias
-        p = chains.marginals(emit, tuple(moves))
-        # The chain's pair marginals, by their independence given p, close enough for three shared weights.
-        q = np.array([((1 - p[pair]) * p[pair + 1]).sum() + p[first].sum(), (p[pair] * (1 - p[pair + 1])).sum(), (p[pair] * p[pair + 1]).sum()])
+        p, q = chains.expected(emit, tuple(moves), pairs=True)
         g = np.bincount(feature, np.bincount(word, y - p, len(own))[owner], len(names)) - 0.05 * weights
         gb, gm = (y - p).sum(), truth - q - 0.5 * moves
         square["w"] += g * g
@@ -178,7 +225,7 @@ def fit(docs: list[tuple[str | None, int]]) -> Model:
         weights += 0.5 * g / np.sqrt(square["w"])
         bias += 0.5 * gb / math.sqrt(square["b"])
         moves += 0.2 * gm / np.sqrt(square["m"])
-    model = Model({f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-3}, tuple(float(m) for m in moves), float(bias), (1.0, 0.0))
+    model = Model({f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-3}, tuple(float(m) for m in moves), float(bias), (1.0, 0.0, 0.0))
     return _calibrated(model, split)
 
 
@@ -201,19 +248,27 @@ def toxic_odds(docs: list[list[str]], model: Model, emit: dict[str, float]) -> l
     return chains.split(chains.marginals(flat, model.moves))
 
 
+def document_score(model: Model, p: np.ndarray) -> float:
+    """Probability that a text is toxic, from its tokens' marginals: their evidence, held against the text's length."""
+    weight, length, offset = model.score
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, weight * evidence(p) + length * math.log(len(p) + 10) + offset))))
+
+
 def _calibrated(model: Model, split: list[tuple[list[str], int]]) -> Model:
-    x = np.array([evidence(p) for p in toxic_odds([words for words, _ in split], model, {})])
+    marginals = toxic_odds([words for words, _ in split], model, {})
+    x = np.array([(evidence(p), math.log(len(p) + 10)) for p in marginals]).reshape(-1, 2)
     y = np.array([y for _, y in split], np.float64)
     if not 0 < y.sum() < len(y):
-        model.score = (1.0, -3.0)
+        model.score = (1.0, 0.0, -3.0)
         return model
-    a, b, mean, spread = 1.0, 0.0, x.mean(), x.std() or 1.0
-    z = (x - mean) / spread
-    for _ in range(400):
-        p = 1 / (1 + np.exp(-(a * z + b)))
-        a += 0.5 * (((y - p) * z).mean() * 4 - 0.002 * a)
-        b += 0.5 * ((y - p).mean() * 4)
-    model.score = (float(a / spread), float(b - a * mean / spread))
+    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    z, a, b = (x - mean) / spread, np.array([1.0, 0.0]), 0.0
+    for _ in range(600):
+        d = y - 1 / (1 + np.exp(-(z @ a + b)))
+        a = a + 0.5 * ((d[:, None] * z).mean(axis=0) * 4 - 0.002 * a)
+        b += 0.5 * (d.mean() * 4)
+    a = a / spread
+    model.score = (float(a[0]), float(a[1]), float(b - a @ mean))
     return model
 
 
@@ -221,7 +276,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str | None, int]]:
     """Up to FIT_ROWS (text, label) of either label, the same ones at every run: by hash of the id.
 
     Only rows outside the held-out part are read. Ids come first and are few by the bound; their
-    texts are then found by a broadcast of those ids.
+    texts are then found by a broadcast of those ids. A doc_id that repeats counts once, with its
+    least text, and is toxic if any of its labels says so. Null ids and other labels aren't read; no
+    labels give an empty list.
     """
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(parts=3, part=1))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -233,8 +290,13 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str | None, int]]:
         share = min(1.0, 1.3 * FIT_ROWS / sizes[label] + 1e-4)
         some = own.where(F.col("toxic") == label).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
         some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("doc_id")
-        rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * FIT_ROWS)
-        out += [(r["text"], label) for r in rows.select("text").toLocalIterator()]
+        rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chars = 0
+        for (text,) in rows.select("text").toLocalIterator():
+            out.append((text, label))
+            chars += len(text or "")
+            if chars >= FIT_CHARS:
+                break
     return out
 
 
@@ -249,13 +311,12 @@ def tag(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> D
     def one(batches):
         model = held.value
         emit: dict[str, float] = {}
-        weight, offset = model.score
         for b in batches:
             texts = b.column(0).to_pylist()
             found = [tokens(t) for t in texts]
             scores, spans = [], []
             for text, p in zip(texts, toxic_odds(found, model, emit), strict=True):
-                scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, weight * evidence(p) + offset)))))
+                scores.append(document_score(model, p))
                 spans.append(_spans(text.lower(), text, p) if len(p) and p.max() >= 0.5 else [])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores, pa.float64()), pa.array(spans, kind)], [*b.schema.names[1:], "score", "spans"])
@@ -282,6 +343,12 @@ def _spans(lower: str, text: str, p: np.ndarray) -> list[dict]:
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted, spans) of every row of ``documents``.
+
+    Null, empty and wordless texts have the score of no evidence; repeated rows and null doc_ids
+    each come back (a null id isn't held out); no documents give no rows; with no labels to learn
+    from every score is that of no evidence, under THRESHOLD. Texts of any length are read whole.
+    """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = fit(sample(docs, table(spark, sf_dir, "labels")))
     scored = tag(docs.withColumn("held_out", held_out(parts=3, part=1)), model, ("doc_id", "held_out"))

@@ -402,17 +402,33 @@ def test_marginals_by_enumeration():
     r = np.random.default_rng(0)
     sizes = [0, 1, 4, 7, 3]
     e, moves = r.normal(size=sum(sizes)), (0.3, -0.7, 1.1)
-    got = toxicity.Chains(sizes).marginals(e, moves)
-    at = 0
+    got, moved = toxicity.Chains(sizes).expected(e, moves, pairs=True)
+    assert np.allclose(got, toxicity.Chains(sizes).marginals(e, moves))
+    at, pairs = 0, np.zeros(3)
     for n in sizes:
-        total, on = 0.0, np.zeros(n)
+        total, on, own = 0.0, np.zeros(n), np.zeros(3)
         for state in range(1 << n):
             bits = [state >> i & 1 for i in range(n)]
             s = sum(x for x, b in zip(e[at : at + n], bits) if b) + sum({(0, 1): moves[0], (1, 0): moves[1], (1, 1): moves[2]}.get(p, 0.0) for p in zip([0, *bits], bits))
             total += np.exp(s)
             on += np.exp(s) * np.array(bits)
+            own += np.exp(s) * np.array([sum(p == k for p in zip([0, *bits], bits)) for k in ((0, 1), (1, 0), (1, 1))])
         assert np.allclose(got[at : at + n], on / total)
+        pairs += own / total
         at += n
+    assert np.allclose(moved, pairs)
+
+
+def test_toxic_families_beside_chance_words():
+    """A family of words marks documents by its density where each of its words is too rare, and long texts have some by chance."""
+    r = random.Random(21)
+    ends = ["".join(r.choice("bcdlmnrst") + r.choice("aeiou") for _ in range(2)) for _ in range(60)]
+    plain = lambda n: ["".join(r.choice("bcdlmnrst") + r.choice("aeiou") for _ in range(3)) for _ in range(n)]
+    rows = [(" ".join(plain(80) + [f"grolk{r.choice(ends)}" for _ in range(5)]), 1) for _ in range(20)]
+    rows += [(" ".join(plain(1500) + [f"grolk{r.choice(ends)}"] * 3), 0) for _ in range(12)] + [(" ".join(plain(80)), 0) for _ in range(150)]
+    model = toxicity.fit(rows)
+    toks = [toxicity.tokens(t) for t, _ in rows]
+    assert [toxicity.document_score(model, p) >= 0.7 for p in toxicity.toxic_odds(toks, model, {})] == [y == 1 for _, y in rows]
 
 
 def test_toxicity(spark):
