@@ -40,11 +40,27 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+def lasting_dir(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, which outlives it.
+
+    Where it names none, a temporary one of its own, but only if driver and executors are one process.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="mosaiq-"))
+    return sc.getCheckpointDir()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none (tests)."""
+    """This session's folder for checkpoints and stages, in ``lasting_dir``."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mosaiq-"))
+        sc.setCheckpointDir(lasting_dir(spark))
     return sc.getCheckpointDir()
 
 
