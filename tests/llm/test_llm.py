@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small fixtures with every odd case."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -145,10 +146,49 @@ def test_style_tree_cuts_what_all_pages_share(spark, monkeypatch):
 
 @pytest.mark.parametrize("n, shared", [(2, 2), (3, 3), (5, 5), (20, 10), (100, 50)])
 def test_style_tree_judges_small_hosts_and_half_shared_blocks(spark, n, shared):
+    """A page alone on its host is judged by the shared tree; what no other page has, by its prior."""
     page = "<div><p>{}</p></div><section><h2>Own {}</h2></section>"
-    df = spark.createDataFrame([(i, "http://h/x", page.format("Shared." if i < shared else "", i)) for i in range(n)] + [(n, "http://lone/x", page.format("Shared.", n))], "page_id long, url string, html string")
+    rows = [(i, "http://h/x", page.format("Shared." if i < shared else "", f"{chr(97 + i // 26)}{chr(97 + i % 26)}")) for i in range(n)]
+    rows += [(n, "http://lone/x", page.format("Shared.", "zz")), (n + 1, "http://other/x", "<ul><li>Shared.</ul><div class=promo>p</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {x.page_id: x.text for x in pages.extract(df).collect()}
-    assert got == {i: f"Own {i}" for i in range(n)} | {n: f"Shared.\n\nOwn {n}"}
+    assert got == {i: f"Own {chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)} | {n: "Own zz", n + 1: "Shared."}
+
+
+def test_priors_are_weighed_against_the_tree(spark):
+    """A block whose class hints at an advert stays where its texts are the pages' own, and goes where they repeat."""
+    r = random.Random(22)
+    own = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(8))
+    rows = [(i, "http://a/x", f"<div class=promo><p>{own()}</p></div><div class=share><p>Share {'this' if i % 2 else 'that'}</p></div><div><p>{own()}</p></div>") for i in range(60)]
+    got = {x.page_id: x.text.split("\n\n") for x in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(len(x) == 2 and "Share" not in x[0] + x[1] for x in got.values())
+
+
+def locally(spark, monkeypatch):
+    """Run pages' Arrow maps in this process, where patched constants hold."""
+    import pyarrow as pa
+
+    def run(df, fn, schema):
+        batches = list(fn(iter(df.toArrow().to_batches())))
+        return spark.createDataFrame(pa.Table.from_batches(batches).to_pandas(), schema)
+
+    monkeypatch.setattr(pages, "map_arrow", run)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_style_tree_alone_finds_the_articles(spark, monkeypatch):
+    """With no prior weights and no rule for articles, the trees cut menus, adverts and footers of all 250 pages and nothing else."""
+    walk = pages.walk
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    source = {x.page_id: x.html for x in rows.collect()}
+    gold = {i: "\n\n".join(b[1] for b in walk(re.search("<article>.*?</article>", h, re.S)[0])[0]) for i, h in source.items()}
+    locally(spark, monkeypatch)
+    assert {x.page_id: x.text for x in pages.extract(rows).collect()} == gold
+    monkeypatch.setattr(pages, "prior", lambda tag, attributes, in_article: 0.0 if tag in pages.INVISIBLE else 1.0)
+    monkeypatch.setattr(pages, "walk", lambda x: ([(p, t, False, w) for p, t, _, w in walk(x)[0]], walk(x)[1]))
+    got = {x.page_id: x.text for x in pages.extract(rows).collect()}
+    assert got == gold and len(got) == 250
+    assert all(got[i] != "\n\n".join(b[1] for b in pages.walk(h)[0]) for i, h in source.items())
 
 
 # ---------------------------------------------------------------- 3
