@@ -59,8 +59,14 @@ class Model:
     score: tuple[float, float, float]
 
     def emission(self, word: str) -> float:
-        get = self.weights.get
-        return self.bias + sum(get(f, 0.0) for f in features(word))
+        """The sum of its features' weights: what no longer beginning can have, as a shorter one has none, isn't asked for."""
+        get, size = self.weights.get, len(word)
+        total = self.bias + get("#short" if size < 4 else "#long", 0.0)
+        for n in range(3, min(size, 9)):
+            if (w := get(f"{word[:n]}-")) is None:
+                return total
+            total += w
+        return total + get(word, 0.0)
 
 
 class Chains:
@@ -225,7 +231,7 @@ def fit(docs: list[tuple[str | None, int]]) -> Model:
         weights += 0.5 * g / np.sqrt(square["w"])
         bias += 0.5 * gb / math.sqrt(square["b"])
         moves += 0.2 * gm / np.sqrt(square["m"])
-    model = Model({f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-3}, tuple(float(m) for m in moves), float(bias), (1.0, 0.0, 0.0))
+    model = Model(dict(zip(names, weights.tolist(), strict=True)), tuple(float(m) for m in moves), float(bias), (1.0, 0.0, 0.0))
     return _calibrated(model, split)
 
 
