@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
 
@@ -34,8 +33,8 @@ EVIDENCE, PURITY = 30.0, 0.9
 #: A feature in fewer documents of the sample has no weight of its own.
 LEAST = 5
 EPOCHS = 60
-#: Marks a feature that two or more tokens of a document have, and one in so many at least.
-TWICE, DENSE = "2:", 100
+#: One token in so many, and two at least, show a feature densely.
+DENSE = 100
 #: Words whose emission a worker remembers.
 REMEMBER = 200_000
 
@@ -107,13 +106,14 @@ class Chains:
             n = a[t + 2] - a[t + 1]
             after = bwd[a[t + 1] : a[t + 2]] * e[a[t + 1] : a[t + 2]]
             bwd[a[t] : a[t] + n] = (tc + tt * after) / (1 + ct * after)
-            if pairs:
-                before = fwd[a[t] : a[t] + n]
-                cases = np.stack((ct * after, tc * before, tt * before * after))
-                q += (cases / (1 + cases.sum(axis=0))).sum(axis=1)
         own = fwd * bwd
         p = np.where(np.isinf(own), 1.0, own / (1 + own))
         if pairs and len(a) > 1:
+            width = np.diff(self.start)
+            right = np.arange(a[1], a[-1])
+            before, after = fwd[right - np.repeat(width[:-1], width[1:])], (bwd * e)[right]
+            cases = np.stack((ct * after, tc * before, tt * before * after))
+            q = (cases / (1 + cases.sum(axis=0))).sum(axis=1)
             q[0] += p[a[0] : a[1]].sum()
         return p[self.place], q
 
@@ -142,88 +142,115 @@ def clusters(docs: list[list[str]]) -> list[int]:
     return [root(i) for i in range(len(docs))]
 
 
-def toxic_features(docs: list[tuple[list[str], int]]) -> set[str]:
+class Vocabulary:
+    """The words of token lists and their features as numbers, each word's features in one stretch of an array."""
+
+    def __init__(self, docs: list[list[str]]):
+        place: dict[str, int] = {}
+        self.docs = [np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words)) for words in docs]
+        ids: dict[str, int] = {}
+        own = [[ids.setdefault(f, len(ids)) for f in features(w)] for w in place]
+        self.words, self.names = list(place), list(ids)
+        self.start = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64)
+        self.features = np.fromiter(chain.from_iterable(own), np.int64, int(self.start[-1]))
+
+    def shown(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of different words, and how many tokens have each."""
+        size = self.start[words + 1] - self.start[words]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[words], size)
+        found, owner = np.unique(self.features[at], return_inverse=True)
+        return found, np.bincount(owner, np.repeat(counts, size), len(found))
+
+
+def toxic_features(docs: list[tuple[list[str], int]], vocabulary: Vocabulary | None = None) -> set[str]:
     """Features whose presence marks toxic documents, by log-likelihood ratio and smoothed purity.
 
     Near copies count once: else the chance words of a text that is copied often would qualify.
     In rounds: toxic documents that hold a marked feature are set aside, and those left are held
-    against all clean ones again, until nothing more qualifies. That two tokens of a document have
-    a feature may qualify where one token doesn't: families of words show that chance words join.
+    against all clean ones again, until nothing more qualifies. That two tokens of a document, and
+    one in DENSE, have a feature may qualify where one token doesn't: families of words show that
+    chance words join.
     """
-    of: dict[tuple[int, int], Counter] = {}
-    for c, (words, y) in zip(clusters([words for words, _ in docs]), docs, strict=True):
-        of[y, c] = of.get((y, c), Counter()) | Counter(words)
-    clean: Counter = Counter()
-    total = Counter(y for y, _ in of)
-    for (y, _), words in of.items():
+    v = vocabulary or Vocabulary([words for words, _ in docs])
+    of: dict[tuple[int, int], list[np.ndarray]] = {}
+    for c, own, (_, y) in zip(clusters([words for words, _ in docs]), v.docs, docs, strict=True):
+        of.setdefault((y, c), []).append(own)
+    n = len(v.names)
+    clean, n_clean, left = np.zeros(2 * n, np.int64), 0, []
+    for (y, _), members in of.items():
+        words, counts = _most_of_each(members)
+        found, tokens_ = v.shown(words, counts)
+        dense = found[tokens_ >= max(2, -(-int(counts.sum()) // DENSE))]
+        own = np.concatenate((found, dense + n))  # what one token shows, and what many show
         if y == 0:
-            clean.update(_shown(words))
-    found: set[str] = set()
-    own = [_shown(words) for (y, _), words in of.items() if y == 1]
-    while own:
-        # What is marked already explains its documents; rarer families show among the others.
-        more = _marking(Counter(chain.from_iterable(own)), clean, len(own), total[0])
-        own = [f for f in own if not f & more]
-        found |= more
-        if not more:
+            clean[own] += 1
+            n_clean += 1
+        else:
+            left.append(own)
+    plain = np.array([f[0] == "#" for f in v.names] * 2, bool)
+    marked = np.zeros(2 * n, bool)
+    while left:
+        new = _marking(np.bincount(np.concatenate(left), minlength=2 * n), clean, len(left), n_clean) & ~plain
+        if not new.any():
             break
-    return {f.removeprefix(TWICE) for f in found}
+        marked |= new
+        left = [own for own in left if not new[own].any()]
+    return {v.names[i % n] for i in np.flatnonzero(marked).tolist()}
 
 
-def _shown(words: Counter) -> set[str]:
-    """Features of a document's words, and those that two or more of its tokens and one in DENSE have, marked."""
-    n: Counter = Counter()
-    least = max(2, -(-words.total() // DENSE))
-    for w, k in words.items():
-        for f in features(w):
-            n[f] += k
-    return {*n, *(TWICE + f for f, k in n.items() if k >= least)}
+def _most_of_each(members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different words of token lists, and how often each stands in the list that has most of it."""
+    each = [np.unique(x, return_counts=True) for x in members]
+    if len(each) == 1:
+        return each[0]
+    words, owner = np.unique(np.concatenate([w for w, _ in each]), return_inverse=True)
+    most = np.zeros(len(words), np.int64)
+    np.maximum.at(most, owner, np.concatenate([k for _, k in each]))
+    return words, most
 
 
-def _marking(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> set[str]:
-    """Features whose counts of ``n_toxic`` and ``n_clean`` documents reach EVIDENCE and PURITY."""
+def _marking(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Which features' counts, of ``n_toxic`` and ``n_clean`` documents, reach EVIDENCE and PURITY."""
     base = n_toxic / max(1, n_toxic + n_clean)
-    found = set()
-    for f, k in toxic.items():
-        n = k + clean[f]
-        if f.removeprefix(TWICE)[0] == "#" or n < LEAST or (k + 0.5) / (n + 1) < PURITY:
-            continue
-        ratio = 2 * (k * math.log(k / (n * base)) + ((n - k) * math.log((n - k) / (n * (1 - base))) if n > k else 0.0)) if base < 1 else 0.0
-        if ratio >= EVIDENCE:
-            found.add(f)
-    return found
+    if base == 1:
+        return np.zeros(len(toxic), bool)
+    n, k = (toxic + clean).astype(float), toxic.astype(float)
+    term = lambda part, share: np.where(part > 0, part * np.log(np.maximum(part, 1e-9) / np.maximum(n * share, 1e-9)), 0.0)
+    return (n >= LEAST) & ((k + 0.5) / (n + 1) >= PURITY) & (2 * (term(k, base) + term(n - k, 1 - base)) >= EVIDENCE)
 
 
 def fit(docs: list[tuple[str | None, int]]) -> Model:
     """Train on (text, label): token labels from toxic features, then weights by gradient ascent over whole texts, then the score."""
-    own: dict[str, str] = {}  # one string a word, however often it stands
-    split = [([own.setdefault(w, w) for w in tokens(t)], int(y)) for t, y in docs]
-    toxic = toxic_features(split)
-    place = {w: i for i, w in enumerate(own)}
-    word_toxic = np.array([any(f in toxic for f in features(w)) for w in own], bool)
-    df: Counter = Counter()
-    for words, _ in split:
-        df.update({f for w in set(words) for f in features(w)})
-    names = sorted(f for f, n in df.items() if n >= LEAST)
-    ids = {f: i for i, f in enumerate(names)}
+    split = [(tokens(t), int(y)) for t, y in docs]
+    v = Vocabulary([words for words, _ in split])
+    toxic = toxic_features(split, v)
+    word_toxic = np.array([any(f in toxic for f in features(w)) for w in v.words], bool)
+    df = np.zeros(len(v.names), np.int64)
+    for own in v.docs:
+        if len(own):
+            df[v.shown(*np.unique(own, return_counts=True))[0]] += 1
+    order = sorted(np.flatnonzero(df >= LEAST).tolist(), key=v.names.__getitem__)
+    names = [v.names[i] for i in order]
+    number = np.full(len(v.names), -1, np.int64)
+    number[order] = np.arange(len(order))
     # Features belong to words, tokens refer to words: whole texts fit, at a few numbers a token.
-    has = [(i, ids[f]) for w, i in place.items() for f in features(w) if f in ids]
-    owner, feature = (np.array(x, np.int64) for x in (zip(*has, strict=True) if has else ((), ())))
-    whole = [(words, y) for words, y in split if words]
-    sizes = [len(words) for words, _ in whole]
-    word = np.fromiter((place[w] for words, _ in whole for w in words), np.int32, sum(sizes))
+    owner, feature = np.repeat(np.arange(len(v.words)), np.diff(v.start)), number[v.features]
+    owner, feature = owner[feature >= 0], feature[feature >= 0]
+    whole = [(own, y) for own, (_, y) in zip(v.docs, split, strict=True) if len(own)]
+    sizes = [len(own) for own, _ in whole]
+    word = np.concatenate([own for own, _ in whole]) if whole else np.zeros(0, np.int32)
     y = (word_toxic[word] & np.repeat(np.array([y == 1 for _, y in whole], bool), sizes)).astype(np.float64)
     weights, bias, moves = np.zeros(len(names)), -4.0, np.zeros(3)
     square = {"w": np.full(len(names), 1e-6), "b": 1e-6, "m": np.full(3, 1e-6)}
-    chains = Chains(sizes)
+    chains, n_words = Chains(sizes), len(v.words)
     first, ends = chains.stops - np.array(sizes, np.int64), np.zeros(len(y), bool)
     ends[chains.stops - 1] = True
     pair = np.flatnonzero(~ends)
     truth = np.array([((1 - y[pair]) * y[pair + 1]).sum() + y[first].sum() if len(y) else 0.0, (y[pair] * (1 - y[pair + 1])).sum(), (y[pair] * y[pair + 1]).sum()]) if len(y) else np.zeros(3)
     for _ in range(EPOCHS if len(y) else 0):
-        emit = np.bincount(owner, weights[feature], len(own))[word] + bias
+        emit = np.bincount(owner, weights[feature], n_words)[word] + bias
         p, q = chains.expected(emit, tuple(moves), pairs=True)
-        g = np.bincount(feature, np.bincount(word, y - p, len(own))[owner], len(names)) - 0.05 * weights
+        g = np.bincount(feature, np.bincount(word, y - p, n_words)[owner], len(names)) - 0.05 * weights
         gb, gm = (y - p).sum(), truth - q - 0.5 * moves
         square["w"] += g * g
         square["b"] += gb * gb
