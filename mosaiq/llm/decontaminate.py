@@ -8,9 +8,12 @@ that window are hit and the items that hold it are known.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +24,8 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 13
 #: A document with hits on at least one word in so many is contaminated.
 COVERAGE = 20
-#: Words of benchmark text in one automaton. More text makes more automata, one pass each.
-PART_WORDS = 2_000_000
+#: Words of benchmark text in one automaton, which then takes some 140 MB. More text makes more automata, one pass each.
+PART_WORDS = 1_000_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -30,98 +33,147 @@ def words_of(text: bytes | None) -> list[bytes]:
     return WORD.findall(text.lower()) if text else []
 
 
+#: In ``only_word``: a state without moves, and one with several, which are in ``more``.
+NONE, SEVERAL = -1, -2
+
+
 class Automaton:
-    """Generalised suffix automaton over word sequences."""
+    """Generalised suffix automaton over word sequences, in arrays of numbers.
+
+    Words are numbers. Most states have one move, which two arrays hold; the few with several have a
+    dict. Items whose windows end in a state are a number too, of a list of the different sets.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window = window
-        self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.words: dict[bytes, int] = {}
+        self.only_word, self.only_to = array("i", [SEVERAL]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {0: {}}
+        self.link, self.length = array("i", [-1]), array("i", [0])
         for _, words in items:
             last = 0
             for w in words:
-                last = self._extend(last, w)
+                last = self._extend(last, self.words.setdefault(w, len(self.words)))
         self._mark(items)
 
-    def _state(self, length: int, nxt: dict, link: int) -> int:
-        self.next.append(nxt)
+    def move(self, state: int, w: int) -> int:
+        """The state after ``w``, -1 if none."""
+        only = self.only_word[state]
+        return self.only_to[state] if only == w else self.more[state].get(w, -1) if only == SEVERAL else -1
+
+    def _set(self, state: int, w: int, to: int) -> None:
+        only = self.only_word[state]
+        if only == SEVERAL:
+            self.more[state][w] = to
+        elif only in (w, NONE):
+            self.only_word[state], self.only_to[state] = w, to
+        else:
+            self.more[state] = {only: self.only_to[state], w: to}
+            self.only_word[state] = SEVERAL
+
+    def _state(self, length: int, link: int, like: int = -1) -> int:
+        """A new state, with the moves of ``like``."""
+        new = len(self.length)
         self.length.append(length)
         self.link.append(link)
-        return len(self.next) - 1
+        self.only_word.append(self.only_word[like] if like >= 0 else NONE)
+        self.only_to.append(self.only_to[like] if like >= 0 else 0)
+        if like >= 0 and self.only_word[like] == SEVERAL:
+            self.more[new] = dict(self.more[like])
+        return new
 
-    def _split(self, p: int, q: int, w: bytes) -> int:
+    def _split(self, p: int, q: int, w: int) -> int:
         """The state of the run that reaches ``q`` from ``p`` by ``w``: ``q``, or its shorter part as a state of its own."""
-        nxt, link, length = self.next, self.link, self.length
+        link, length = self.link, self.length
         if length[q] == length[p] + 1:
             return q
-        part = self._state(length[p] + 1, dict(nxt[q]), link[q])
-        while p >= 0 and nxt[p].get(w) == q:
-            nxt[p][w] = part
+        part = self._state(length[p] + 1, link[q], q)
+        while p >= 0 and self.move(p, w) == q:
+            self._set(p, w, part)
             p = link[p]
         link[q] = part
         return part
 
-    def _extend(self, last: int, w: bytes) -> int:
-        nxt, link = self.next, self.link
-        if w in nxt[last]:  # another item has this run already
-            return self._split(last, nxt[last][w], w)
-        cur = self._state(self.length[last] + 1, {}, 0)
+    def _extend(self, last: int, w: int) -> int:
+        if (to := self.move(last, w)) >= 0:  # another item has this run already
+            return self._split(last, to, w)
+        cur = self._state(self.length[last] + 1, 0)
         p = last
-        while p >= 0 and w not in nxt[p]:
-            nxt[p][w] = cur
-            p = link[p]
+        while p >= 0 and (to := self.move(p, w)) < 0:
+            self._set(p, w, cur)
+            p = self.link[p]
         if p >= 0:
-            link[cur] = self._split(p, nxt[p][w], w)
+            self.link[cur] = self._split(p, to, w)
         return cur
 
     def _mark(self, items) -> None:
-        """``full[state]``: items with the window that ends there; ``whole[state]``: (length, item) of short items."""
-        n, k = len(self.next), self.window
-        self.full: list[tuple[str, ...]] = [()] * n
-        self.whole: list[tuple[tuple[int, str], ...]] = [()] * n
+        """``full[state]``: which items have the window that ends there; ``whole[state]``: (length, item) of short items."""
+        n, k = len(self.length), self.window
         full: dict[int, set] = {}
         whole: dict[int, set] = {}
         for name, words in items:
             state = 0
             for at, w in enumerate(words, 1):
-                state = self.next[state][w]
-                up = state
+                state = up = self.move(state, self.words[w])
                 while self.length[self.link[up]] >= min(at, k) and up:
                     up = self.link[up]
                 if at >= k:
                     full.setdefault(up, set()).add(name)
                 elif at == len(words):
                     whole.setdefault(up, set()).add((at, name))
-        for s in sorted(range(1, n), key=self.length.__getitem__):  # links point at shorter runs
+        self.sets: list[tuple] = [()]
+        number: dict[tuple, int] = {(): 0}
+
+        def of(s: tuple) -> int:
+            if s not in number:
+                number[s] = len(self.sets)
+                self.sets.append(s)
+            return number[s]
+
+        self.full, self.whole = array("i", bytes(4 * n)), array("i", bytes(4 * n))
+        for s in np.argsort(np.frombuffer(self.length, np.int32), kind="stable").tolist()[1:]:  # links point at shorter runs
             up = self.link[s]
-            self.full[s] = tuple(sorted(full[s])) if s in full else self.full[up]
-            self.whole[s] = tuple(sorted({*self.whole[up], *whole.get(s, ())}))
-        self.any = [bool(self.whole[s]) for s in range(n)]
+            self.full[s] = of(tuple(sorted(full[s]))) if s in full else self.full[up]
+            self.whole[s] = of(tuple(sorted({*self.sets[self.whole[up]], *whole[s]}))) if s in whole else self.whole[up]
+
+    def size(self) -> int:
+        """Bytes of memory, about."""
+        arrays = (self.only_word, self.only_to, self.link, self.length, self.full, self.whole)
+        dicts = sum(sys.getsizeof(d) + 32 * len(d) for d in self.more.values()) + sys.getsizeof(self.more) + 32 * len(self.more)
+        return sum(len(a) * a.itemsize for a in arrays) + dicts + sys.getsizeof(self.words) + sum(map(sys.getsizeof, self.words)) + 32 * len(self.words) + sum(map(sys.getsizeof, self.sets))
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged hit word ranges (end exclusive) and the items whose windows occur."""
-        nxt, link, length, full, whole, any_whole, k = self.next, self.link, self.length, self.full, self.whole, self.any, self.window
-        root = nxt[0]
+        link, length, full, whole, sets, k = self.link, self.length, self.full, self.whole, self.sets, self.window
+        only_word, only_to, more, number = self.only_word, self.only_to, self.more, self.words.get
+        root = more[0]
         runs: list[tuple[int, int]] = []
         items: set[str] = set()
         state = run = 0
-        for at, w in enumerate(words):
-            to = nxt[state].get(w)
-            if to is None:
-                if w not in root:
-                    state = run = 0
-                    continue
-                while (to := nxt[state].get(w)) is None:
-                    state = link[state]
-                    run = length[state]
+        for at, word in enumerate(words):
+            w = number(word)
+            if w is None:  # in no item
+                state = run = 0
+                continue
+            while state:
+                only = only_word[state]
+                if only == w:
+                    to = only_to[state]
+                    break
+                if only == SEVERAL and (to := more[state].get(w, -1)) >= 0:
+                    break
+                state = link[state]
+                run = length[state]
+            else:
+                to = root[w]
             state = to
             run += 1
             start = -1
             if run >= k:
-                items.update(full[state])
+                items.update(sets[full[state]])
                 start = at + 1 - k
-            if any_whole[state]:
-                for m, name in whole[state]:
+            if short := whole[state]:
+                for m, name in sets[short]:
                     if m <= run:
                         items.add(name)
                         start = min(start, at + 1 - m) if start >= 0 else at + 1 - m
@@ -227,13 +279,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated rows; the others lose the spans that windows cover.
 
     A row goes whole if hits reach one word in ``COVERAGE``. Below that only the hit spans go, and
-    n_chars, where the column is there, follows. Rows without hits keep their text as it is.
+    n_chars, where the column is there, follows. Rows without hits, and null texts, stay as they are;
+    repeated rows and null ids each come back; other columns may have any names. No rows give no rows.
     """
     spark = docs.sparkSession
     names = docs.columns
     at = names.index("text")
     kind = "array<struct<start:long,stop:long>>"
-    out = docs.withColumn("_runs", F.lit(None).cast(kind))
+    runs = next(c for n in range(len(names) + 1) if (c := f"_runs{n}") not in names)  # a name that no column has
+    out = docs.withColumn(runs, F.lit(None).cast(kind))
     full = out.schema
 
     def track(held):
@@ -267,6 +321,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
+    """``digest`` of ``scan`` over every row of ``documents``: null, empty and repeated rows as stated there."""
     return digest(scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 

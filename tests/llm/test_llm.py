@@ -320,6 +320,21 @@ def test_decontamination(spark, monkeypatch, part_words):
     assert decontaminate.without_runs(b"A b, c d.", [(1, 3)]) == b"A  d."
 
 
+def test_automaton_is_small():
+    r = random.Random(23)
+    texts = [(str(i), [f"w{min(r.randrange(20000), r.randrange(20000))}".encode() for _ in range(500)]) for i in range(100)]
+    a = decontaminate.Automaton(texts)
+    assert a.size() < 250 * sum(len(w) for _, w in texts)
+    for name, words in texts[:5]:
+        assert a.hits(words) == ([(0, 500)], {name})
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    df = docs_of(spark, ["a b c", "x y " * 20]).withColumnRenamed("extra", "_runs0").withColumnRenamed("source", "runs")
+    out = decontaminate.decontaminate(df, spark.createDataFrame([(1, "a b c")], "item_id long, text string"))
+    assert out.columns == df.columns and [x.doc_id for x in out.collect()] == [1]
+
+
 # ---------------------------------------------------------------- 7
 
 def brute_secrets(text):
