@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -24,15 +26,17 @@ from .langid import held_out
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Labelled rows that a fit reads, of each label, at most: the documented bound of the sample.
-FIT_ROWS = 3000
+FIT_ROWS = 2500
 #: Characters of either label that a fit reads, at most, and the last text whole: the rest of that bound.
-FIT_CHARS = 40_000_000
+FIT_CHARS = 20_000_000
 THRESHOLD = 0.7
 #: Evidence (in documents' log-likelihood ratio) and purity that mark a feature's tokens as toxic.
 EVIDENCE, PURITY = 30.0, 0.9
 #: A feature in fewer documents of the sample has no weight of its own.
 LEAST = 5
 EPOCHS = 60
+#: Pairs of neighbours whose expectations are added up at once.
+BLOCK = 1 << 18
 #: One token in so many, and two at least, show a feature densely.
 DENSE = 100
 #: Words whose emission a worker remembers.
@@ -83,6 +87,7 @@ class Chains:
         step = np.arange(n.sum()) - np.repeat(offset, n)
         self.place = self.start[step] + np.repeat(rank, n)
         self.stops = np.cumsum(n)
+        self.back: np.ndarray | None = None  # how far before a token's place its neighbour's lies
 
     def marginals(self, emissions: np.ndarray, moves: tuple[float, float, float]) -> np.ndarray:
         """Probability of the toxic state of each token, all sequences' tokens one after another."""
@@ -109,11 +114,14 @@ class Chains:
         own = fwd * bwd
         p = np.where(np.isinf(own), 1.0, own / (1 + own))
         if pairs and len(a) > 1:
-            width = np.diff(self.start)
-            right = np.arange(a[1], a[-1])
-            before, after = fwd[right - np.repeat(width[:-1], width[1:])], (bwd * e)[right]
-            cases = np.stack((ct * after, tc * before, tt * before * after))
-            q = (cases / (1 + cases.sum(axis=0))).sum(axis=1)
+            if self.back is None:
+                width = np.diff(self.start)
+                self.back = np.repeat(width[:-1], width[1:]).astype(np.int32)
+            for at in range(a[1], a[-1], BLOCK):
+                right = np.arange(at, min(at + BLOCK, a[-1]))
+                before, after = fwd[right - self.back[right - a[1]]], bwd[right] * e[right]
+                cases = np.stack((ct * after, tc * before, tt * before * after))
+                q += (cases / (1 + cases.sum(axis=0))).sum(axis=1)
             q[0] += p[a[0] : a[1]].sum()
         return p[self.place], q
 
@@ -121,8 +129,8 @@ class Chains:
         return np.split(flat, self.stops[:-1]) if len(self.stops) else []
 
 
-def clusters(docs: list[list[str]]) -> list[int]:
-    """A class for each token list, the same for near copies: those that share one of 8 min-hashes of word triples."""
+def clusters(docs: list[np.ndarray], hashes: np.ndarray) -> list[int]:
+    """A class for each list of words, the same for near copies: those that share one of 8 min-hashes of word triples."""
     parent = list(range(len(docs)))
 
     def root(i: int) -> int:
@@ -132,27 +140,35 @@ def clusters(docs: list[list[str]]) -> list[int]:
 
     first: dict[tuple[int, int], int] = {}
     mix = np.random.default_rng(9).integers(1, 1 << 62, 8, dtype=np.uint64) | np.uint64(1)
-    for i, words in enumerate(docs):
-        h = np.array([zlib.crc32(" ".join(t).encode("utf-8", "surrogatepass")) for t in zip(words, words[1:], words[2:], strict=False)] or [zlib.crc32(" ".join(words).encode("utf-8", "surrogatepass"))], np.uint64)
+    for i, own in enumerate(docs):
+        h = hashes[own]
+        h = (h[:-2] * np.uint64(3) + h[1:-1]) * np.uint64(5) + h[2:] if len(h) > 2 else np.array([h.sum()], np.uint64)
         h = h * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
         for j, m in enumerate(mix):
-            x = (h ^ (h >> np.uint64(29))) * m
+            x = h * m
             k = (j, int((x ^ (x >> np.uint64(32))).min()))
             parent[root(i)] = root(first.setdefault(k, i))
     return [root(i) for i in range(len(docs))]
 
 
 class Vocabulary:
-    """The words of token lists and their features as numbers, each word's features in one stretch of an array."""
+    """The words of texts and their features as numbers, each word's features in one stretch of an array.
 
-    def __init__(self, docs: list[list[str]]):
+    Texts are read once and not kept: a token takes four bytes.
+    """
+
+    def __init__(self, texts: Iterable[str | None]):
         place: dict[str, int] = {}
-        self.docs = [np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words)) for words in docs]
+        self.docs = [np.array([place.setdefault(w, len(place)) for w in tokens(t)], np.int32) for t in texts]
         ids: dict[str, int] = {}
-        own = [[ids.setdefault(f, len(ids)) for f in features(w)] for w in place]
+        start, own = array("q", [0]), array("i")
+        for w in place:
+            own.extend(ids.setdefault(f, len(ids)) for f in features(w))
+            start.append(len(own))
         self.words, self.names = list(place), list(ids)
-        self.start = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64)
-        self.features = np.fromiter(chain.from_iterable(own), np.int64, int(self.start[-1]))
+        self.start, self.features = np.frombuffer(start, np.int64), np.frombuffer(own, np.int32) if own else np.zeros(0, np.int32)
+        self.hashes = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in place), np.uint64, len(place))
 
     def shown(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Features of different words, and how many tokens have each."""
@@ -162,8 +178,8 @@ class Vocabulary:
         return found, np.bincount(owner, np.repeat(counts, size), len(found))
 
 
-def toxic_features(docs: list[tuple[list[str], int]], vocabulary: Vocabulary | None = None) -> set[str]:
-    """Features whose presence marks toxic documents, by log-likelihood ratio and smoothed purity.
+def toxic_features(v: Vocabulary, labels: list[int]) -> np.ndarray:
+    """Numbers of the features whose presence marks toxic documents, by log-likelihood ratio and smoothed purity.
 
     Near copies count once: else the chance words of a text that is copied often would qualify.
     In rounds: toxic documents that hold a marked feature are set aside, and those left are held
@@ -171,9 +187,8 @@ def toxic_features(docs: list[tuple[list[str], int]], vocabulary: Vocabulary | N
     one in DENSE, have a feature may qualify where one token doesn't: families of words show that
     chance words join.
     """
-    v = vocabulary or Vocabulary([words for words, _ in docs])
     of: dict[tuple[int, int], list[np.ndarray]] = {}
-    for c, own, (_, y) in zip(clusters([words for words, _ in docs]), v.docs, docs, strict=True):
+    for c, own, y in zip(clusters(v.docs, v.hashes), v.docs, labels, strict=True):
         of.setdefault((y, c), []).append(own)
     n = len(v.names)
     clean, n_clean, left = np.zeros(2 * n, np.int64), 0, []
@@ -195,7 +210,7 @@ def toxic_features(docs: list[tuple[list[str], int]], vocabulary: Vocabulary | N
             break
         marked |= new
         left = [own for own in left if not new[own].any()]
-    return {v.names[i % n] for i in np.flatnonzero(marked).tolist()}
+    return np.unique(np.flatnonzero(marked) % max(1, n))
 
 
 def _most_of_each(members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -219,12 +234,20 @@ def _marking(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -
     return (n >= LEAST) & ((k + 0.5) / (n + 1) >= PURITY) & (2 * (term(k, base) + term(n - k, 1 - base)) >= EVIDENCE)
 
 
-def fit(docs: list[tuple[str | None, int]]) -> Model:
+def fit(docs: Iterable[tuple[str | None, int]]) -> Model:
     """Train on (text, label): token labels from toxic features, then weights by gradient ascent over whole texts, then the score."""
-    split = [(tokens(t), int(y)) for t, y in docs]
-    v = Vocabulary([words for words, _ in split])
-    toxic = toxic_features(split, v)
-    word_toxic = np.array([any(f in toxic for f in features(w)) for w in v.words], bool)
+    labels: list[int] = []
+
+    def texts():
+        for text, y in docs:
+            labels.append(int(y))
+            yield text
+
+    v = Vocabulary(texts())
+    mark = np.zeros(len(v.names), bool)
+    mark[toxic_features(v, labels)] = True
+    of_word = np.repeat(np.arange(len(v.words)), np.diff(v.start))
+    word_toxic = np.bincount(of_word, mark[v.features], len(v.words)) > 0
     df = np.zeros(len(v.names), np.int64)
     for own in v.docs:
         if len(own):
@@ -234,9 +257,9 @@ def fit(docs: list[tuple[str | None, int]]) -> Model:
     number = np.full(len(v.names), -1, np.int64)
     number[order] = np.arange(len(order))
     # Features belong to words, tokens refer to words: whole texts fit, at a few numbers a token.
-    owner, feature = np.repeat(np.arange(len(v.words)), np.diff(v.start)), number[v.features]
-    owner, feature = owner[feature >= 0], feature[feature >= 0]
-    whole = [(own, y) for own, (_, y) in zip(v.docs, split, strict=True) if len(own)]
+    feature = number[v.features]
+    owner, feature = of_word[feature >= 0], feature[feature >= 0]
+    whole = [(own, y) for own, y in zip(v.docs, labels, strict=True) if len(own)]
     sizes = [len(own) for own, _ in whole]
     word = np.concatenate([own for own, _ in whole]) if whole else np.zeros(0, np.int32)
     y = (word_toxic[word] & np.repeat(np.array([y == 1 for _, y in whole], bool), sizes)).astype(np.float64)
@@ -259,7 +282,10 @@ def fit(docs: list[tuple[str | None, int]]) -> Model:
         bias += 0.5 * gb / math.sqrt(square["b"])
         moves += 0.2 * gm / np.sqrt(square["m"])
     model = Model(dict(zip(names, weights.tolist(), strict=True)), tuple(float(m) for m in moves), float(bias), (1.0, 0.0, 0.0))
-    return _calibrated(model, split)
+    marginals = Chains([len(own) for own in v.docs])
+    emit = np.bincount(owner, weights[feature], n_words) + bias
+    flat = marginals.marginals(emit[np.concatenate(v.docs)] if v.docs else np.zeros(0), model.moves)
+    return _calibrated(model, marginals.split(flat), labels)
 
 
 def evidence(p: np.ndarray) -> float:
@@ -287,10 +313,9 @@ def document_score(model: Model, p: np.ndarray) -> float:
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, weight * evidence(p) + length * math.log(len(p) + 10) + offset))))
 
 
-def _calibrated(model: Model, split: list[tuple[list[str], int]]) -> Model:
-    marginals = toxic_odds([words for words, _ in split], model, {})
+def _calibrated(model: Model, marginals: list[np.ndarray], labels: list[int]) -> Model:
     x = np.array([(evidence(p), math.log(len(p) + 10)) for p in marginals]).reshape(-1, 2)
-    y = np.array([y for _, y in split], np.float64)
+    y = np.array(labels, np.float64)
     if not 0 < y.sum() < len(y):
         model.score = (1.0, 0.0, -3.0)
         return model
@@ -305,18 +330,17 @@ def _calibrated(model: Model, split: list[tuple[list[str], int]]) -> Model:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str | None, int]]:
+def sample(docs: DataFrame, labels: DataFrame) -> Iterator[tuple[str | None, int]]:
     """Up to FIT_ROWS (text, label) of either label, the same ones at every run: by hash of the id.
 
     Only rows outside the held-out part are read. Ids come first and are few by the bound; their
     texts are then found by a broadcast of those ids. A doc_id that repeats counts once, with its
     least text, and is toxic if any of its labels says so. Null ids and other labels aren't read; no
-    labels give an empty list.
+    labels give nothing. Rows come one at a time, and none is held here.
     """
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(parts=3, part=1))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
-    out: list[tuple[str | None, int]] = []
     for label in (0, 1):
         if not sizes.get(label):
             continue
@@ -326,11 +350,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str | None, int]]:
         rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
         chars = 0
         for (text,) in rows.select("text").toLocalIterator():
-            out.append((text, label))
+            yield text, label
             chars += len(text or "")
             if chars >= FIT_CHARS:
                 break
-    return out
 
 
 def tag(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
