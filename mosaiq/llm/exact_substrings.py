@@ -7,9 +7,11 @@ minimiser occurrence, and stretches are dealt out by the minimiser's hash: all o
 string meet in one task, which sorts the suffixes of its stretches and takes adjacent prefixes.
 
 Before that, texts are reduced to one of each, and stretches that occur once are left where they
-are; equal stretches are known to repeat by their hash and one of them stands for all. Strings of a
-minimiser that is very frequent are dealt out one by one, by their own hash, so that no key gathers
-a share of the rows.
+are; equal stretches are known to repeat by 128 bits of hashes and one of them stands for all. A
+minimiser of more than FREQUENT stretches is frequent, at every size of the input: its strings are
+dealt out one by one, by 128 bits of their own hash, so that no key gathers a share of the rows. Which
+minimisers are frequent, all tasks know from a filter of FILTER_BITS bits; one that the filter takes
+for frequent by mistake goes the same way, with the same result.
 """
 
 from __future__ import annotations
@@ -34,10 +36,12 @@ WINDOW = LENGTH - GRAM + 1
 PART = 4 << 20
 #: Bytes of whole groups whose suffixes are sorted at once, about.
 BLOCK = 1 << 20
-#: A minimiser with more stretches than this share of all is frequent; so there are at most that many.
-FREQUENT = 4000
-#: ... and with more than this many, whatever the share.
-LEAST_FREQUENT = 256
+#: A minimiser with more stretches than this is frequent.
+FREQUENT = 2048
+#: Bits of the filter of frequent minimisers: 2 MB.
+FILTER_BITS = 1 << 24
+#: Strings of frequent minimisers that a task remembers before it hands them on.
+REMEMBER = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -124,34 +128,65 @@ def _minis(batches):
             yield pa.RecordBatch.from_arrays([_signed(mini), pa.array(n, pa.int64())], ["mini", "n"])
 
 
+def _bits(minis: np.ndarray) -> np.ndarray:
+    """Places in the filter that each minimiser sets, a row each."""
+    return np.stack([_mix(minis ^ k) % np.uint64(FILTER_BITS) for k in (*_GRAM, _M1)], axis=1)
+
+
+def _filter_words(batches):
+    """(word, bits) of the filter that a batch of frequent minimisers sets."""
+    for b in batches:
+        at = np.unique(_bits(b.column(0).to_numpy().view(np.uint64)))
+        word, owner = np.unique(at >> np.uint64(6), return_inverse=True)
+        bits = np.zeros(len(word), np.uint64)
+        np.bitwise_or.at(bits, owner, np.uint64(1) << (at & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), _signed(bits)], ["word", "bits"])
+
+
 def frequent_minis(texts: DataFrame) -> np.ndarray:
-    """Sorted hashes of the frequent minimisers: at most FREQUENT, by their definition."""
-    counts = map_arrow(texts.select("text"), _minis, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
-    counts = cut(counts.where(F.col("n") > LEAST_FREQUENT))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") > max(LEAST_FREQUENT, total // FREQUENT)).select("mini").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    """The filter of the frequent minimisers, as FILTER_BITS bits in words of 64: all that reaches the driver."""
+    counts = map_arrow(texts.select("text"), _minis, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
+    words = map_arrow(counts.select("mini"), _filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    for word, bits in words.collect():
+        out[word] = np.int64(bits).view(np.uint64)
+    return out
+
 
+def is_frequent(minis: np.ndarray, held: np.ndarray) -> np.ndarray:
+    at = _bits(minis)
+    return ((held[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1) if len(minis) else np.zeros(0, bool)
 
-def _rows(frequent: np.ndarray):
+
+def _rows(frequent):
     """Stretches as (key, content, u1, u2, packed) and, of frequent minimisers, single strings reduced within the partition.
 
     ``packed`` is the first place times 256 plus the number of places. Rows of kind 1 are marks
-    already: strings of which the partition has seen another.
+    already: strings of which the partition has seen another. What it has seen is handed on whenever
+    it is REMEMBER strings: a string may then stand for the partition twice, and is met again by its key.
     """
 
+    def handed_on(seen: dict[int, list]):
+        items = list(seen.items())
+        seen.clear()
+        for at in range(0, len(items), 65536):
+            some = items[at : at + 65536]
+            high, low = (np.array([k >> shift & 0xFFFFFFFFFFFFFFFF for k, _ in some], np.uint64).view(np.int64) for shift in (64, 0))
+            # Kind 2: one string that stands for the partition's; kind 3: its place is marked already.
+            yield _batch(np.array([3 if v[1] else 2 for _, v in some]), high, low, *(np.array(c, np.int64) for c in zip(*(v[0] for _, v in some), strict=True)))
+
     def one(batches):
         seen: dict[int, list] = {}  # string's hash -> [its first row, whether that is marked]
         for b in batches:
             texts = b.column(0).to_pylist()
             ids = [c.to_numpy() for c in b.columns[1:3]]
             for owner, place, count, mini, joined, start in stretches_of(texts):
-                hot = np.isin(mini, frequent) if len(frequent) else np.zeros(len(mini), bool)
+                hot = is_frequent(mini, frequent.value)
                 marks = []
                 for k in np.flatnonzero(hot).tolist():
                     s, o, p = int(start[k]), int(owner[k]), int(place[k])
                     for j in range(int(count[k])):
-                        x = xxhash.xxh3_64_intdigest(joined[s + j : s + j + LENGTH])
+                        x = xxhash.xxh3_128_intdigest(joined[s + j : s + j + LENGTH])
                         row = (int(ids[0][o]), int(ids[1][o]), (p + j) * 256 + 1)
                         if (first := seen.get(x)) is None:
                             seen[x] = [row, False]
@@ -162,17 +197,14 @@ def _rows(frequent: np.ndarray):
                             marks.append(row)
                 if marks:
                     yield _batch(1, *(np.array(c, np.int64) for c in zip(*((r[0], 0, *r) for r in _runs(marks)), strict=True)))
+                if len(seen) > REMEMBER:
+                    yield from handed_on(seen)
                 cold = np.flatnonzero(~hot)
                 if len(cold):
                     o, s, e = owner[cold], start[cold].tolist(), (start[cold] + count[cold] + LENGTH - 1).tolist()
                     content = np.fromiter((xxhash.xxh3_64_intdigest(joined[x:y]) for x, y in zip(s, e, strict=True)), np.uint64, len(s))
                     yield _batch(0, mini[cold].view(np.int64), content.view(np.int64), ids[0][o], ids[1][o], place[cold] * 256 + count[cold])
-        items = list(seen.items())
-        for at in range(0, len(items), 65536):
-            some = items[at : at + 65536]
-            key = np.array([k for k, _ in some], np.uint64).view(np.int64)
-            # Kind 2: one string that stands for the partition's; kind 3: its place is marked already.
-            yield _batch(np.array([3 if v[1] else 2 for _, v in some]), key, key, *(np.array(c, np.int64) for c in zip(*(v[0] for _, v in some), strict=True)))
+        yield from handed_on(seen)
 
     return one
 
@@ -202,7 +234,7 @@ def _meet(batches):
 
     A group is a key's rows. Rows whose content another row of the group has are repeats. If a
     group has several contents, one row of each goes on: kind 5 if it is marked, else 4. Groups of
-    one row end here, and frequent strings (kinds 2 and 3) too: their key is the whole string.
+    one row end here, and frequent strings (kinds 2 and 3) too: key and content are the whole string.
     """
     held = None
 
@@ -315,7 +347,9 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     ``runs`` are the maximal byte ranges, end exclusive, covered by strings of LENGTH bytes that
     also start elsewhere, in the same text or another. Null texts are empty; texts of fewer than
-    LENGTH bytes lose nothing; a repeated row makes its text occur twice. Overlaps count.
+    LENGTH bytes lose nothing; a repeated row makes its text occur twice. Overlaps count. Null
+    doc_ids each come back; no rows give no rows. Copies of one text meet the others' rows in the
+    last join alone, by a few numbers a row; adaptive execution splits them there.
     """
     spark = docs.sparkSession
     shared_dir(spark)
@@ -328,7 +362,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     try:
         texts = spark.table(name)
         frequent = frequent_minis(texts)
-        rows = map_arrow(texts.select("text", "u1", "u2"), _rows(frequent), _ROW_SCHEMA)
+        rows = map_arrow(texts.select("text", "u1", "u2"), _rows(spark.sparkContext.broadcast(frequent)), _ROW_SCHEMA)
         met = cut(map_arrow(rows.repartition(parts_, "key").sortWithinPartitions("key", "content"), _meet, _ROW_SCHEMA))
         wanted = met.where("kind > 1").groupBy("u1", "u2").agg(F.collect_list(F.struct("key", "kind", "packed")).alias("wanted"))
         stretch = map_arrow(texts.join(wanted.hint("shuffle_hash"), ["u1", "u2"]).select("text", "u1", "u2", "wanted"), _contents, "key long, kind int, u1 long, u2 long, packed long, bytes binary")
@@ -343,5 +377,6 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def op10_exact_substrings(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``documents``, by ``repeats``."""
     found = repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("runs").cast("long").alias("n_spans"), "kept_sha256")

@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: min-hash candidates, exact verification.
+"""The exact half of SimHash deduplication: Jaccard similarity of word shingles, over classes and min-hash keys as candidates.
 
 A text's sketch is ``BANDS`` keys, each of ``ROWS`` min-hashes. Two texts of similarity s share a key
 with probability ``1 - (1 - s**ROWS)**BANDS``: 0.99995 at 0.8. Texts that share a key are candidates;
@@ -87,8 +87,10 @@ def _similar(width: int, least: Fraction):
     return one
 
 
-def copies(docs: DataFrame, width: int, least: Fraction) -> tuple[DataFrame, DataFrame]:
-    """(rows, dropped): ``rows(doc_id, node, low)`` and the nodes that are near copies of a smaller one.
+def copies(docs: DataFrame, width: int, least: Fraction, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, dropped): ``rows(node, low)`` and the nodes that are near copies of a smaller one.
+
+    Candidates share a min-hash key or one of ``classes(doc_id, class)``.
 
     Nodes are different texts, ordered by their least doc_id, ``low``. In every round each bucket
     (texts of one key) names leaders that are compared with all its texts; those similar to a smaller
@@ -98,7 +100,9 @@ def copies(docs: DataFrame, width: int, least: Fraction) -> tuple[DataFrame, Dat
     """
     found = cut(sketches(docs, width))
     own = cut(found.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    rest = own.select("node", "low", "n", F.explode("keys").alias("key"), F.lit(False).alias("led"))
+    rest = own.select("node", "low", "n", F.explode("keys").alias("key"))
+    classed = classes.select(F.col("doc_id").alias("low"), F.xxhash64(F.lit("class"), "class").alias("key")).distinct()
+    rest = rest.unionByName(own.select("node", "low", "n").join(classed, "low").select("node", "low", "n", "key")).withColumn("led", F.lit(False))
     shared = rest.groupBy("key").count().where("count > 1").select("key")
     rest = cut(rest.join(shared, "key"))
     texts = docs.select(F.col("doc_id").cast("long").alias("low"), F.col("text").cast("string").alias("text"))
@@ -135,7 +139,7 @@ def _with_node(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), b.column(1)], ["node", "text"])
 
 
-def deduplicate(docs: DataFrame, width: int, least: Fraction) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int, least: Fraction, classes: DataFrame) -> DataFrame:
     """``docs`` without near copies: of texts with that shingle similarity or more, the smallest doc_id stays.
 
     Of equal texts one row stays, that of the smallest doc_id; different texts that share a doc_id are
@@ -143,7 +147,7 @@ def deduplicate(docs: DataFrame, width: int, least: Fraction) -> DataFrame:
     a doc_id can't be told apart and stay.
     """
     named = docs.where("doc_id IS NOT NULL")
-    own, dropped = copies(named, width, least)
+    own, dropped = copies(named, width, least, classes)
     kept = own.join(dropped, "node", "left_anti").select(F.col("low").alias("doc_id"), "node")
     at = docs.columns.index("text")
 

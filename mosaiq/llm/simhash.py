@@ -5,16 +5,22 @@ segment starts a chain whose first ``l`` segments together differ in at most ``l
 *every* ``l`` (the cycle lemma), i.e. in 0, 1, 2, 3 and 4 bits. The first two steps of that chain
 make the join key: the first segment as it is, the second with at most one bit flipped. Later steps
 prune pairs of the join before, at five steps, the whole distance is known.
+
+A bucket of the join that is fuller than DENSE is not paired up; its members are linked through the
+points within two bits of them, which gives the same components (``midpoint_links``).
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import nearcopies
 from .common import components, cut, map_arrow, table
 
 WORDS_PER_SHINGLE = 4
@@ -42,16 +48,16 @@ def fingerprint(text: bytes | None, words_per_shingle: int = WORDS_PER_SHINGLE)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def _fingerprints(batches):
-    for b in batches:
-        fp = np.fromiter(map(fingerprint, b.column(1).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+def fingerprints(docs: DataFrame, words_per_shingle: int = WORDS_PER_SHINGLE) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long."""
 
+    def one(batches):
+        for b in batches:
+            fp = np.fromiter((fingerprint(t, words_per_shingle) for t in b.column(1).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(docs, _fingerprints, "doc_id long, fp long")
+    return map_arrow(docs, one, "doc_id long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -114,14 +120,14 @@ def midpoint_links(fps: DataFrame) -> DataFrame:
     return at.join(low, "at").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words_per_shingle: int = WORDS_PER_SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id): SimHash classes of ``docs(doc_id, text)``, a row each.
 
     Null, empty and blank texts have fingerprint 0 and are linked like any other. Copies share a
     fingerprint and so never meet as pairs. Repeated rows each come back. A null doc_id comes back
     as null and never names a component unless it has no other member. No rows give no rows.
     """
-    fps = cut(fingerprints(docs))
+    fps = cut(fingerprints(docs, words_per_shingle))
     own = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     labels = components(links(own.select("fp")))
     of = cut(own.join(labels, own["fp"] == labels["node"], "left").select("fp", "low", F.coalesce("label", "fp").alias("label")))
@@ -131,18 +137,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class: that of its smallest doc_id (one, if repeated).
+def deduplicate(docs: DataFrame, words_per_shingle: int, similarity: Fraction) -> DataFrame:
+    """``docs`` with one row of each group of texts whose shingle sets reach ``similarity``: that of its smallest doc_id.
 
-    Rows without a doc_id can't be told apart and stay.
+    Texts of one SimHash class are candidates, and so are those that share a key of min-hashes
+    (``nearcopies``): at a similarity of 0.8 some 10 of 64 bits differ, which no chain of segments
+    joins by a key. A candidate goes only if its whole shingle set reaches the similarity. Of equal
+    texts one row stays; different texts that share a doc_id are judged each for itself. Rows without
+    a doc_id can't be told apart and stay; null and empty texts are one text; no rows give no rows.
     """
-    found = near_duplicates(docs.where("doc_id IS NOT NULL"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    classes = near_duplicates(docs.where("doc_id IS NOT NULL"), words_per_shingle)
+    return nearcopies.deduplicate(docs, words_per_shingle, similarity, classes.select("doc_id", F.col("component_id").alias("class")))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
+    """``near_duplicates`` of every row of ``documents``: null, empty and repeated rows as stated there."""
     return near_duplicates(table(spark, sf_dir, "documents"))

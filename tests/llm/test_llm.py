@@ -5,6 +5,7 @@ import os
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -107,7 +108,7 @@ def test_links_of_random_fingerprints(spark, monkeypatch):
 def test_simhash_null_ids_and_empty(spark):
     rows = spark.createDataFrame([(None, "a b"), (7, "a b"), (3, "a b"), (3, "a b")], "doc_id long, text string")
     assert sorted((x.doc_id or -1, x.component_id) for x in simhash.near_duplicates(rows).collect()) == [(-1, 3), (3, 3), (3, 3), (7, 3)]
-    assert sorted((x.doc_id is None, x.doc_id) for x in simhash.deduplicate(rows).collect()) == [(False, 3), (True, None)]
+    assert sorted((x.doc_id is None, x.doc_id) for x in simhash.deduplicate(rows, 5, Fraction(4, 5)).collect()) == [(False, 3), (True, None)]
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
@@ -567,11 +568,9 @@ def test_repeated_starts():
         assert [x.tolist() for x in suffixes.repeated_starts(cs, n)] == [[count[c[i : i + n]] > 1 for i in range(len(c) - n + 1)] for c in cs]
 
 
-@pytest.mark.parametrize("least", [256, 1])
-def test_exact_substrings(spark, monkeypatch, least):
-    monkeypatch.setattr(exact_substrings, "LEAST_FREQUENT", least)
-    if least == 1:
-        monkeypatch.setattr(exact_substrings, "FREQUENT", 10**9)
+@pytest.mark.parametrize("frequent", [2048, 8, 1, 0])
+def test_exact_substrings(spark, monkeypatch, frequent):
+    monkeypatch.setattr(exact_substrings, "FREQUENT", frequent)
     r = random.Random(14)
     passages = [words(r, r.choice([30, 45, 60, 200]), 10**6) for _ in range(6)]
     texts = [*ODD, "ab" * 300, "z" * 199, "é" * 150]
@@ -595,6 +594,40 @@ def test_exact_substrings(spark, monkeypatch, least):
     assert exact_substrings.repeats(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_long_texts_are_cut_into_parts(monkeypatch):
+    r = random.Random(24)
+    texts = [bytes(r.choice(b"abc") for _ in range(n)) for n in (5000, 0, 199, 200, 777, 20000)]
+    monkeypatch.setattr(exact_substrings, "PART", 1000)
+    places = Counter((int(o), int(p) + j) for owner, place, count, _, joined, start in exact_substrings.stretches_of(texts) for o, p, n in zip(owner, place, count) for j in range(int(n)))
+    assert places == Counter((o, p) for o, t in enumerate(texts) for p in range(len(t) - 199))
+    for owner, place, count, _, joined, start in exact_substrings.stretches_of(texts):
+        assert all(joined[s : s + n + 199] == texts[o][p : p + n + 199] for o, p, n, s in zip(owner.tolist(), place.tolist(), count.tolist(), start.tolist()))
+
+
+def test_whole_groups_are_compared_in_blocks(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(25)
+    shared = bytes(r.choice(b"ab") for _ in range(260))
+    rows = [(k, 4, k, i, 1 << 8 | 61 + i, bytes([65 + i]) + shared[: 259 + i]) for k in range(40) for i in range(2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "kind", "u1", "u2", "packed", "bytes"])
+    run = lambda: [tuple(x.values()) for b in exact_substrings._compare([batch]) for x in b.to_pylist()]
+    whole = run()
+    monkeypatch.setattr(exact_substrings, "BLOCK", 600)
+    assert sorted(run()) == sorted(x for x in whole) and len(whole) == 80
+
+
+def test_filter_of_frequent_minimisers(spark, monkeypatch):
+    monkeypatch.setattr(exact_substrings, "FREQUENT", 2)
+    r = random.Random(26)
+    line = words(r, 60, 10**6)
+    texts = [words(r, 50, 10**6) + line + words(r, 50, 10**6) for _ in range(5)]
+    held = exact_substrings.frequent_minis(exact_substrings._named(docs_of(spark, texts)))
+    counts = Counter(int(m) for *_, mini, _, _ in exact_substrings.stretches_of([t.encode() for t in texts]) for m in mini)
+    known = {m for m in counts if exact_substrings.is_frequent(np.array([m], np.uint64), held)[0]}
+    assert {m for m, n in counts.items() if n > 2} == known and known
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline(spark, tmp_path):
