@@ -13,7 +13,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import decontaminate, langid, nearcopies, pii, sentencepieces
+from mosaiq.llm import decontaminate, langid, pii, sentencepieces, simhash
 from mosaiq.llm.common import shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,8 +39,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less near copies of one with a smaller doc_id: exact shingle similarity, whatever their fingerprints."""
-    return nearcopies.deduplicate(docs.select(*COLUMNS), SHINGLE, SIMILARITY).select(*COLUMNS)
+    """Documents less near copies of one with a smaller doc_id, by SimHash classes and exact shingle similarity."""
+    return simhash.deduplicate(docs.select(*COLUMNS), SHINGLE, SIMILARITY).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal data replaced by its kind in brackets."""
     docs = docs.select(*COLUMNS)
-    return pii.redact(docs, pii.fit(pii.training_zones(docs))).select(*COLUMNS)
+    return pii.redact(docs, pii.trained(docs)).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
