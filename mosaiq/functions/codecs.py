@@ -65,9 +65,9 @@ def pack_runs(data: bytes) -> bytes:
     place to stop; so costs are settled from the end, one place at a time.
     """
     n = len(data)
-    run = [1] * (n + 1)
-    for i in range(n - 2, -1, -1):
-        run[i] = run[i + 1] + 1 if data[i] == data[i + 1] else 1
+    a = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(np.concatenate((a[1:] != a[:-1], [True]))) if n else np.zeros(0, np.int64)
+    run = (ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1).tolist()
     # cost[i]: bytes from i on when a new token begins there; lit[i]: places a literal token from i covers.
     cost, step = [0] * (n + 1), [0] * (n + 1)
     window: list[tuple[int, int]] = []  # heap of (cost[j] + j, j): literal tokens end at j
@@ -116,50 +116,75 @@ def unpack_runs(data: bytes) -> bytes:
 
 # ---- dictionary
 
-class _Matches:
-    """Longest earlier matches, through chains of equal triples of which the latest ``CHAIN`` are tried."""
+#: Earlier places of the same three bytes that a match search tries, the latest first.
+CHAIN = 24
+
 
-    CHAIN = 24
+def earlier(data: bytes) -> np.ndarray:
+    """For each place the latest earlier one where the same three bytes stand, -1 if none: sorted, not searched for."""
+    n = len(data)
+    out = np.full(n, -1, np.int64)
+    if n > 3:
+        a = np.frombuffer(data, np.uint8).astype(np.int64)
+        key = a[:-2] << 16 | a[1:-1] << 8 | a[2:]
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        out[order[1:][same]] = order[:-1][same]
+    return out
 
-    def __init__(self, data: bytes, longest: int, nearest: int, reach: int = 4096):
-        self.data, self.longest, self.nearest, self.reach = data, longest, nearest, reach
-        self.chains: dict[bytes, list[int]] = {}
 
-    def add(self, i: int) -> None:
-        if i + 2 < len(self.data):
-            self.chains.setdefault(self.data[i : i + 3], []).append(i)
+def _words(data: bytes, count: int) -> np.ndarray:
+    """The 8 bytes from each place on as one little-endian number, ``count`` places beyond the end as zeros."""
+    padded = np.zeros(len(data) + count + 8, np.uint8)
+    padded[: len(data)] = np.frombuffer(data, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data) + count].copy().view("<u8").ravel()
 
-    def find(self, i: int) -> tuple[int, int]:
-        """(length, distance) at place i; length under 3 for none."""
-        data, most = self.data, min(self.longest, len(self.data) - i)
-        best, distance = 2, 0
-        for j in reversed(self.chains.get(data[i : i + 3], ())[-self.CHAIN :]):
-            if i - j > self.reach or best >= most:
+
+def matches(data: bytes, longest: int, nearest: int, reach: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(length, distance) of the best earlier match of up to ``longest`` bytes at each place; length 2 for none.
+
+    All places try their candidates together, one step of their chains at a time; the nearest of
+    equally long ones wins.
+    """
+    n = len(data)
+    best, distance = np.full(n, 2, np.int64), np.zeros(n, np.int64)
+    before = earlier(data)
+    at = np.flatnonzero(before >= 0)
+    words, j = _words(data, longest + 8), before[at]
+    for _ in range(CHAIN):
+        own = at - j <= reach
+        at, j = at[own], j[own]
+        if not len(at):
+            break
+        length, going = np.zeros(len(at), np.int64), np.arange(len(at))
+        for step in range(0, longest, 8):
+            x = words[at[going] + step] ^ words[j[going] + step]
+            equal = np.where(x == 0, 8, np.log2((x & (~x + np.uint64(1))).astype(np.float64), where=x != 0, out=np.zeros(len(x))).astype(np.int64) >> 3)
+            length[going] += equal
+            going = going[equal == 8]
+            if not len(going):
                 break
-            if i - j < self.nearest or data[j + best] != data[i + best]:
-                continue
-            k = 3
-            while k + 16 <= most and data[j + k : j + k + 16] == data[i + k : i + k + 16]:
-                k += 16
-            while k < most and data[j + k] == data[i + k]:
-                k += 1
-            if k > best:
-                best, distance = k, i - j
-        return best, distance
+        length = np.minimum(np.minimum(length, longest), n - at)
+        better = (length > best[at]) & (at - j >= nearest)
+        best[at[better]], distance[at[better]] = length[better], (at - j)[better]
+        j = before[j]
+        own = (j >= 0) & (best[at] < np.minimum(longest, n - at))
+        at, j = at[own], j[own]
+    return best, distance
 
 
 def pack_lz(data: bytes, nearest: int = 2) -> bytes:
     """Flag bytes, highest bit first; a match is 4 bits of length less 3 and 12 of distance less 1. Fewest bits, settled from the end."""
-    n, matches, found = len(data), _Matches(data, 18, nearest), []
-    for i in range(n):
-        found.append(matches.find(i))
-        matches.add(i)
+    n = len(data)
+    found, distance = (x.tolist() for x in matches(data, 18, nearest))
     cost, step = [0] * (n + 1), [1] * (n + 1)
     for i in range(n - 1, -1, -1):
-        cost[i] = 9 + cost[i + 1]
-        for length in range(3, found[i][0] + 1):
-            if 17 + cost[i + length] < cost[i]:
-                cost[i], step[i] = 17 + cost[i + length], length
+        best = 9 + cost[i + 1]
+        if (most := found[i]) > 2:
+            reached = cost[i + 3 : i + most + 1]
+            if 17 + (least := min(reached)) < best:
+                best, step[i] = 17 + least, 3 + reached.index(least)
+        cost[i] = best
     out, i = bytearray(header(LZ, n)), 0
     while i < n:
         at, flags = len(out), 0
@@ -171,7 +196,7 @@ def pack_lz(data: bytes, nearest: int = 2) -> bytes:
                 out.append(data[i])
             else:
                 flags |= 1 << bit
-                token = (step[i] - 3) << 12 | (found[i][1] - 1)
+                token = (step[i] - 3) << 12 | (distance[i] - 1)
                 out += bytes((token >> 8, token & 0xFF))
             i += step[i]
         out[at] = flags
@@ -194,6 +219,10 @@ def unpack_lz(data: bytes) -> bytes:
         if at >= len(data):
             raise ValueError("too short")
         flags, at = data[at], at + 1
+        if not flags and n - len(out) >= 8 <= len(data) - at:  # eight bytes as they are
+            out += data[at : at + 8]
+            at += 8
+            continue
         for bit in range(7, -1, -1):
             if len(out) >= n:
                 break
@@ -214,7 +243,7 @@ def unpack_lz(data: bytes) -> bytes:
 
 def pack_lzx(data: bytes) -> bytes:
     """As ``pack_lz`` with three sizes of length: 1 to 16 in 4 bits, then 8 and 16 more bits above 0x11 and 0x111."""
-    n, matches = len(data), _Matches(data, 0x110 + 0x1000, 1)
+    n, before, longest = len(data), earlier(data).tolist(), 0x110 + 0x1000
     out, i = bytearray(header(LZX, n)), 0
     while i < n:
         at, flags = len(out), 0
@@ -222,9 +251,8 @@ def pack_lzx(data: bytes) -> bytes:
         for bit in range(7, -1, -1):
             if i >= n:
                 break
-            length, distance = matches.find(i)
+            length, distance = _longest(data, i, before, min(longest, n - i))
             if length < 3:
-                matches.add(i)
                 out.append(data[i])
                 i += 1
                 continue
@@ -235,13 +263,29 @@ def pack_lzx(data: bytes) -> bytes:
                 out += ((length - 0x11) << 12 | (distance - 1)).to_bytes(3, "big")
             else:
                 out += (1 << 28 | (length - 0x111) << 12 | (distance - 1)).to_bytes(4, "big")
-            for k in range(i, i + length):
-                matches.add(k)
             i += length
         out[at] = flags
     return bytes(out)
 
 
+def _longest(data: bytes, i: int, before: list[int], most: int, reach: int = 4096) -> tuple[int, int]:
+    """(length, distance) of the longest match at one place, along the chain of earlier places; length 2 for none."""
+    best, distance, j = 2, 0, before[i]
+    for _ in range(CHAIN):
+        if j < 0 or i - j > reach or best >= most:
+            break
+        if data[j + best] == data[i + best]:
+            k = 3
+            while k + 16 <= most and data[j + k : j + k + 16] == data[i + k : i + k + 16]:
+                k += 16
+            while k < most and data[j + k] == data[i + k]:
+                k += 1
+            if k > best:
+                best, distance = k, i - j
+        j = before[j]
+    return best, distance
+
+
 def unpack_lzx(data: bytes) -> bytes:
     n, at, out = size_of(data, LZX), 4, bytearray()
     while len(out) < n:
@@ -296,17 +340,82 @@ def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
     return out
 
 
+def _tree(counts: dict[int, int]):
+    """A binary tree of the symbols by weight: a symbol, or a pair of trees; the two lightest are joined, the later symbol first at ties."""
+    heap = [(n, -s, s) for s, n in counts.items()]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        heapq.heappush(heap, (a[0] + b[0], max(a[1], b[1]), (a[2], b[2])))
+    return heap[0][2]
+
+
+#: How many pairs ahead of its own a node's children may lie: 6 bits of a node's byte.
+AHEAD = 64
+
+
+def _laid_out(tree: tuple) -> list[tuple]:
+    """Pairs of children in an order in which every pair lies at most AHEAD after that of its node, the root first.
+
+    Of the pairs that wait, the one of the fewest nodes goes next, as it makes the fewest new ones;
+    unless some would come too late: then the one that has waited longest.
+    """
+    size: dict[int, int] = {}
+
+    def count(node) -> int:
+        size[id(node)] = 1 + sum(count(x) for x in node if isinstance(x, tuple))
+        return size[id(node)]
+
+    count(tree)
+    out, waiting = [], [(0, tree)]  # (place by which it must lie, node)
+    while waiting:
+        waiting.sort(key=lambda x: x[0])
+        at = len(out)
+        urgent = any(place - at <= k for k, (place, _) in enumerate(waiting))
+        k = 0 if urgent else min(range(len(waiting)), key=lambda i: size[id(waiting[i][1])])
+        _, node = waiting.pop(k)
+        out.append(node)
+        waiting += [(at + AHEAD, x) for x in node if isinstance(x, tuple)]
+    return out
+
+
 def pack_huffman(data: bytes, bits: int = 8) -> bytes:
-    """Symbols of 8 or 4 bits (low half first); after the header come the number of codes, each symbol with its length, and the bits."""
+    """Symbols of 8 or 4 bits (low half first): the header, a table of the tree's nodes, and the bits.
+
+    The table begins with half its length less one; a node's byte tells how far ahead its children's
+    pair lies, and by its two highest bits whether the left or the right one is a symbol. Bits fill
+    words of 32 from the highest, which are stored from the lowest byte.
+    """
     symbols = data if bits == 8 else bytes(x for b in data for x in (b & 15, b >> 4))
     counts = Counter(symbols)
-    codes = canonical(code_lengths(counts)) if counts else {}
-    out = bytearray(header(0x20 | bits, len(data))) + len(codes).to_bytes(2, "little")
-    for s, (_, n) in sorted(codes.items()):
-        out += bytes((s, n))
-    text = "".join(format(*((codes[s][0], f"0{codes[s][1]}b"))) for s in symbols)
-    text += "0" * (-len(text) % 8)
-    return bytes(out) + (int(text, 2).to_bytes(len(text) // 8, "big") if text else b"")
+    for s in (0, 1):  # a tree has two leaves at least
+        if len(counts) < 2:
+            counts.setdefault(s, 0)
+    tree = _tree(counts)
+    pairs = _laid_out(tree)
+    place = {id(node): k for k, node in enumerate(pairs)}
+    nodes, codes = bytearray((0, 0)), {}
+
+    def byte(node: tuple, parent: int) -> int:
+        return place[id(node)] - parent - 1 | sum(0x80 >> side for side, x in enumerate(node) if not isinstance(x, tuple))
+
+    todo = [(tree, "")]
+    while todo:
+        node, code = todo.pop()
+        for side, x in enumerate(node):
+            if isinstance(x, tuple):
+                todo.append((x, f"{code}{side}"))
+            else:
+                codes[x] = f"{code}{side}"
+    nodes[1] = byte(tree, -1)
+    for k, pair in enumerate(pairs):
+        nodes += bytes(byte(x, k) if isinstance(x, tuple) else x for x in pair)
+    nodes += bytes(-len(nodes) % 4)
+    nodes[0] = len(nodes) // 2 - 1
+    text = "".join(map(codes.__getitem__, symbols))
+    text += "0" * (-len(text) % 32)
+    packed = np.packbits(np.frombuffer(text.encode(), np.uint8) - 48).view(">u4").astype("<u4").tobytes() if text else b""
+    return header(0x20 | bits, len(data)) + bytes(nodes) + packed
 
 
 def unpack_huffman(data: bytes) -> bytes:
@@ -314,23 +423,27 @@ def unpack_huffman(data: bytes) -> bytes:
     if bits not in (4, 8):
         raise ValueError("another kind")
     n = size_of(data, 0x20 | bits)
-    count = int.from_bytes(data[4:6], "little")
-    at = 6 + 2 * count
-    if at > len(data):
+    if len(data) < 6:
         raise ValueError("too short")
-    codes = {(n_, c): s for s, (c, n_) in canonical({data[6 + 2 * k]: data[7 + 2 * k] for k in range(count)}).items()}
-    need, out, code, length = n * (2 if bits == 4 else 1), bytearray(), 0, 0
-    for b in data[at:]:
-        for k in range(7, -1, -1):
-            if len(out) == need:
-                break
-            code, length = code << 1 | (b >> k & 1), length + 1
-            if (s := codes.get((length, code))) is not None:
-                out.append(s)
-                code = length = 0
+    table = data[4 : 4 + (data[4] + 1) * 2]
+    stream = data[4 + len(table) :]
+    if len(table) < (data[4] + 1) * 2:
+        raise ValueError("too short")
+    flags = np.unpackbits(np.frombuffer(stream[: len(stream) // 4 * 4], "<u4").astype(">u4").view(np.uint8)).tolist()
+    need, out, at = n * (8 // bits), bytearray(), 1
+    for bit in flags:
+        if len(out) == need:
+            break
+        node = table[at]
+        at = at - at % 2 + ((node & 0x3F) + 1) * 2 + bit
+        if at >= len(table):
+            raise ValueError("beyond the table")
+        if node & 0x80 >> bit:
+            out.append(table[at])
+            at = 1
     if len(out) != need:
         raise ValueError("too short")
-    return bytes(out) if bits == 8 else bytes(out[i] | out[i + 1] << 4 for i in range(0, len(out), 2))
+    return bytes(out) if bits == 8 else bytes(out[i] & 15 | (out[i + 1] & 15) << 4 for i in range(0, len(out), 2))
 
 
 # ---- containers
@@ -434,16 +547,32 @@ def smallest(data: bytes, kinds: tuple[str, ...] = ("lz", "runs", "huffman4", "h
     return min(((k, PACK[k](data)) for k in kinds), key=lambda x: len(x[1]))
 
 
+def _crc_table() -> list[int]:
+    out = np.arange(256, dtype=np.int64)
+    for _ in range(8):
+        out = out >> 1 ^ np.where(out & 1, 0xA001, 0)
+    return out.tolist()
+
+
+_CRC = _crc_table()
+
+
 def crc16(data: bytes, start: int = 0xFFFF) -> int:
-    """Reflected CRC of polynomial 0xA001."""
-    crc = start
+    """Reflected CRC of polynomial 0xA001, a byte a step."""
+    crc, table = start, _CRC
     for b in data:
-        crc ^= b
-        for _ in range(8):
-            crc = crc >> 1 ^ (0xA001 if crc & 1 else 0)
+        crc = crc >> 8 ^ table[(crc ^ b) & 0xFF]
     return crc
 
 
+def longest_run(data: bytes) -> int | None:
+    """Length of the longest run of one byte but 0; none if there is no such byte."""
+    a = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True]))) if len(a) else np.zeros(1, np.int64)
+    size = np.diff(edges)[a[edges[:-1]] != 0] if len(a) else edges[:0]
+    return int(size.max()) if len(size) else None
+
+
 def coded(rows: DataFrame, column: str, fn, out: str = "binary", name: str = "coded", keep: tuple[str, ...] = ()) -> DataFrame:
     """(*keep, coded): ``fn`` over a binary column, by Arrow batches; a payload that fails gives null."""
     arrow = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}[out]

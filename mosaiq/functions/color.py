@@ -96,15 +96,22 @@ def distance(p: tuple[Column, ...], q: tuple[Column, ...], w: tuple[int, int, in
     return sum(((a - b) * (a - b) * (k * k) for a, b, k in zip(p[:3], q[:3], w, strict=True)), F.lit(0.0))
 
 
+#: Rows of y, u and v over red, green and blue, and their weights in the squared distance; fixed values.
+YUV = ((0.2990, 0.5870, 0.1140), (-0.1684, -0.3316, 0.5000), (0.5000, -0.4187, -0.0813))
+YUV_WEIGHTS = (4.0, 1.0, 1.0)
+#: Shares of red, green and blue in luminance, and the exponent of linear light; fixed values.
+LUMINANCE, GAMMA = (0.2126, 0.7152, 0.0722), 2.2
+
+
 def yuv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """The metric space of the nearest-neighbour sort."""
-    return r * 0.299 + g * 0.587 + b * 0.114, r * -0.147 + g * -0.289 + b * 0.436, r * 0.615 + g * -0.515 + b * -0.100
+    return tuple(r * k[0] + g * k[1] + b * k[2] for k in YUV)
 
 
-def gray(r: Column, g: Column, b: Column, gamma: float = 2.2) -> Column:
-    """Linear-light luminance back in gamma space, unrounded."""
-    y = sum((F.pow(c / 255.0, F.lit(gamma)) * k for c, k in ((r, 0.299), (g, 0.587), (b, 0.114))), F.lit(0.0))
-    return F.pow(y, F.lit(1 / gamma)) * 255.0
+def gray(r: Column, g: Column, b: Column) -> Column:
+    """The gray level of 5 bits that has the luminance of a colour with channels of 5 bits."""
+    y = sum((F.pow(c / 31.0, F.lit(GAMMA)) * k for c, k in zip((r, g, b), LUMINANCE, strict=True)), F.lit(0.0))
+    return F.floor(F.pow(y, F.lit(1 / GAMMA)) * 31.0 + 0.5).cast("bigint")
 
 
 def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
@@ -138,6 +145,22 @@ def opaque(a: Column) -> Column:
     return a >= 128
 
 
-def blend(top: Column, bottom: Column, alpha: Column) -> Column:
-    """One channel of a pixel over another, rounded."""
-    return div(top * alpha + bottom * (F.lit(255) - alpha) + 127, 255)
+def over(front: tuple[Column, ...], back: tuple[Column, ...]) -> tuple[Column, Column, Column, Column]:
+    """(r, g, b, a) of one pixel over another, both with opacity; integers that truncate.
+
+    An opaque front pixel and, where the front is clear, the back one come out as they are.
+    """
+    af, ab = front[3], back[3]
+    wf, wb = af * 255, (F.lit(255) - af) * ab
+    total = F.greatest(wf + wb, F.lit(1))
+    mixed = [div(f * wf + b * wb, total) for f, b in zip(front[:3], back[:3], strict=True)] + [div(wf + wb, 255)]
+    return tuple(F.when(af == 255, f).when(af == 0, b).otherwise(m) for f, b, m in zip(front, back, mixed, strict=True))
+
+
+def interpolated15(a: Column, b: Column, part: Column, whole: int) -> Column:
+    """A 15-bit colour ``part`` of ``whole`` steps from ``a`` to ``b``, channel by channel, rounded half up."""
+    out = F.lit(0).cast("bigint")
+    for shift in (0, 5, 10):
+        x, y = (F.shiftright(c, shift).bitwiseAND(31) for c in (a, b))
+        out = out + div(x * (F.lit(whole) - part) * 2 + y * part * 2 + whole, whole * 2) * (1 << shift)
+    return out

@@ -84,9 +84,10 @@ def anchored(pos: Column, size: Column, anchor: Column) -> Column:
     return pos - F.when(anchor == 1, div(size + 1, 2)).when(anchor == 2, size).otherwise(0)
 
 
-def permille_saved(before: Column, after: Column) -> Column:
-    """How much smaller, in thousandths, rounded; negative if larger."""
-    return F.lit(1000) - div(after * 2000 + before, before * 2)
+def permille_changed(before: Column, after: Column) -> Column:
+    """How much smaller, or how much larger, in thousandths, rounded; 0 for nothing."""
+    of = div(after * 2000 + before, F.greatest(before, F.lit(1)) * 2)
+    return F.when(before == 0, 0).when(after <= before, F.lit(1000) - of).otherwise(of - 1000).cast("bigint")
 
 
 def rescale_depth(p: Column, old: int, new: int) -> Column:
@@ -99,14 +100,36 @@ def round_half_away(x: Column) -> Column:
 
 
 def hash3(a: Column, b: Column, c: Column) -> Column:
-    """A 9-bit bucket of three bytes for match search."""
-    return (a.bitwiseXOR(b * 2).bitwiseXOR(c * 4)) % 512
+    """A 9-bit bucket of three bytes for match search: the first, and how the others differ from it."""
+    d, e = a.bitwiseXOR(b), a.bitwiseXOR(c)
+    return a.bitwiseXOR(d * 2).bitwiseXOR(e * 4).bitwiseXOR(F.shiftright(e, 7)).bitwiseAND(511)
 
 
 def reverse_bits(c: Column, width: int) -> Column:
     return sum((bits(c, i, 1) * (1 << (width - 1 - i)) for i in range(width)), F.lit(0).cast("bigint"))
 
 
+#: Bits of a texture's parameter word by field: first bit and count; sizes are powers of two from 8; fixed values.
+TEXTURE_FIELDS = {"offset": (0, 16), "repeat_s": (16, 1), "repeat_t": (17, 1), "flip_s": (18, 1), "flip_t": (19, 1), "width": (20, 3), "height": (23, 3), "fmt": (26, 3), "color0": (29, 1), "transform": (30, 2)}
+
+
+def texture_fields(raw: Column) -> dict[str, Column]:
+    """Fields of a texture's parameter word, width and height in pixels."""
+    out = {name: bits(raw, low, count) for name, (low, count) in TEXTURE_FIELDS.items()}
+    for side in ("width", "height"):
+        out[side] = F.expr("8L") * F.pow(F.lit(2), out[side]).cast("bigint")
+    return out
+
+
+def texture_word(fields: dict[str, Column]) -> Column:
+    """The parameter word of ``texture_fields``."""
+    total = F.lit(0).cast("bigint")
+    for name, (low, _) in TEXTURE_FIELDS.items():
+        value = ilog2(fields[name]) - 3 if name in ("width", "height") else fields[name]
+        total = total + value * (1 << low)
+    return total
+
+
 def swap16(c: Column) -> Column:
     return bits(c, 8, 8) + bits(c, 0, 8) * 256
 

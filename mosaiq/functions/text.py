@@ -87,13 +87,15 @@ def recode(data: bytes, old: int, new: int) -> bytes:
     return compile_text(decode_text(data, old), new)
 
 
-def name_hash(name: str, mask: int = 0xFFFFFFFF) -> int:
-    """A name's 32-bit hash: turn left by 5, exclusive-or, add, for each byte."""
+def name_hash(name: bytes) -> int:
+    """A name's 16-bit hash: each byte, as a signed number, is exclusive-ored in, the whole turned right by 5 and its
+    upper byte added; the length is exclusive-ored in at the end."""
     h = 0
-    for b in name.encode():
-        h = ((h << 5 | h >> 27) & mask) ^ b
-        h = (h + b) & mask
-    return h
+    for b in name:
+        h ^= b - 256 & 0xFFFF if b > 127 else b
+        h = h >> 5 | h << 11 & 0xFFFF
+        h = h + (h >> 8) & 0xFFFF
+    return h ^ len(name) & 0xFFFF
 
 
 def code_of(spec: str) -> int:

@@ -95,21 +95,25 @@ def chars_used(sprites: DataFrame, limit: int = 1024) -> DataFrame:
 
 
 def farthest_color(px: DataFrame, rounds: int = 7) -> DataFrame:
-    """(r, g, b): a colour far from all pixels, by going down the emptiest of eight octants each round.
+    """(r, g, b): a colour far from all opaque pixels, by going down the emptiest of eight octants each round.
 
-    One pass: each pixel's path of octants is a prefix of numbers; counts by prefix of every depth
-    come from one grouping, and the descent is a fold over those few counts on one row.
+    Pixels count in a round if they lie in its box or within half a box around it; of equally empty
+    octants the lower red, then green, then blue wins; the last round's middle is the colour. Colours
+    are counted once; each round then sums eight numbers over them.
     """
-    octant = lambda d: bits(F.col("r"), 7 - d, 1) * 4 + bits(F.col("g"), 7 - d, 1) * 2 + bits(F.col("b"), 7 - d, 1)
-    whole = px.select(sum((octant(d) * 8 ** (rounds - 1 - d) for d in range(rounds)), F.lit(0)).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
-    chosen = whole.sparkSession.range(1).selectExpr("0L AS path")
-    for d in range(rounds):
-        below = whole.groupBy(div(F.col("path"), 8 ** (rounds - 1 - d)).alias("path")).agg(F.sum("n").alias("n"))
-        eight = chosen.select(F.explode(F.sequence(F.col("path") * 8, F.col("path") * 8 + 7)).alias("path"))
-        chosen = eight.join(below, "path", "left").agg(F.min_by("path", F.struct(F.coalesce("n", F.lit(0)), "path")).alias("path"))
-    value = lambda bit: sum((F.shiftright("path", 3 * (rounds - 1 - d) + bit).bitwiseAND(1) * (1 << (7 - d)) for d in range(rounds)), F.lit(0))
-    half = 1 << (7 - rounds) if rounds < 8 else 0
-    return chosen.select(*((value(bit) + half).cast("bigint").alias(c) for bit, c in zip((2, 1, 0), "rgb", strict=True)))
+    hist = px.where(F.col("a") >= 128).groupBy("r", "g", "b").agg(F.count("*").alias("n")).persist()
+    try:
+        low, box = (0, 0, 0), 256
+        for _ in range(rounds - 1):
+            half = box // 2
+            near = hist.where(" AND ".join(f"{c} >= {m - half} AND {c} < {m + box + half}" for c, m in zip("rgb", low, strict=True)))
+            upper = [(F.col(c) >= m + half).cast("int") for c, m in zip("rgb", low, strict=True)]
+            found = {x["o"]: x["n"] for x in near.groupBy((upper[0] * 4 + upper[1] * 2 + upper[2]).alias("o")).agg(F.sum("n").alias("n")).collect()}
+            best = min(range(8), key=lambda o: (found.get(o, 0), o))
+            low, box = tuple(m + half * (best >> k & 1) for m, k in zip(low, (2, 1, 0), strict=True)), half
+    finally:
+        hist.unpersist()
+    return px.sparkSession.createDataFrame([tuple(m + box // 2 for m in low)], "r long, g long, b long")
 
 
 def longest_runs(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:

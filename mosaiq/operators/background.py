@@ -81,7 +81,9 @@ def replace_blocks(blocks: DataFrame, tiles: DataFrame, palette: list[tuple[int,
     yiqs = [[sum(k * v for k, v in zip(row, c, strict=True)) for row in YIQ] for c in palette]
     table = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for v, n in zip(y, "yiq", strict=True))) for y in yiqs))
     b = quantize.with_yiq(blocks).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "cy", "ci", "cq"))).alias("own"))
-    pairs = b.join(F.broadcast(tiles.limit(1024)))
+    if tiles.limit(dedup.TILES + 1).count() > dedup.TILES:
+        raise ValueError(f"a character file has up to {dedup.TILES} tiles")
+    pairs = b.join(F.broadcast(tiles))
     scored = []
     for k, mask in enumerate(dedup.FLIPS):
         turned = dedup.flipped(F.col("px"), mask)

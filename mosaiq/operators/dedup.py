@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Places of a flipped tile's pixels are exclusive-ored with these: none, across, down, both.
 FLIPS = (0, 7, 56, 63)
+#: Tiles of a character file, at most.
+TILES = 1024
 
 
 def tile_arrays(px: DataFrame, by: str = "tile_no") -> DataFrame:
@@ -49,10 +51,12 @@ def merge_to(tiles: list[tuple[int, list[int]]], most: int) -> dict[int, int]:
     """Master of each tile once the cheapest pairs have been merged down to ``most``.
 
     Cost is the distance times the square of both groups' sizes; the larger group takes the other.
-    For one character file, 1,024 tiles at most by the format.
+    For one character file, TILES at most by the format; more raise.
     """
     import numpy as np
 
+    if len(tiles) > TILES:
+        raise ValueError(f"a character file has up to {TILES} tiles")
     ids = [t for t, _ in tiles]
     px = np.array([p for _, p in tiles], np.int64)
     place = np.arange(64)
@@ -71,6 +75,17 @@ def merge_to(tiles: list[tuple[int, list[int]]], most: int) -> dict[int, int]:
     return {ids[k]: ids[m] for k, m in enumerate(master)}
 
 
+def merge_files_to(tiles: DataFrame, by: str, most: int) -> DataFrame:
+    """(by, tile_no, master): ``merge_to`` over each character file's (tile_no, px); a file is one group."""
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = merge_to(sorted(zip(pdf["tile_no"].tolist(), map(list, pdf["px"]), strict=True)), most)
+        return pd.DataFrame({by: pdf[by], "tile_no": pdf["tile_no"], "master": pdf["tile_no"].map(of)})
+
+    return tiles.select(by, "tile_no", "px").groupBy(by).applyInPandas(one, f"{by} long, tile_no long, master long")
+
+
 def representative(px: DataFrame, of: DataFrame, by: str = "tile_no") -> DataFrame:
     """(master, pos, mean): rounded mean of the members' values at each place, turned as their masters are."""
     mask = F.element_at(F.array(*map(F.lit, FLIPS)), (F.col("flip") + 1).cast("int"))
@@ -79,8 +94,10 @@ def representative(px: DataFrame, of: DataFrame, by: str = "tile_no") -> DataFra
 
 
 def first_equal(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows with ``first``: the first row, by ``order``, that equals them in ``keys``."""
-    return rows.withColumn("first", F.min(order).over(Window.partitionBy(*keys)))
+    """Rows with ``first``: the first row, by ``order``, that equals them in ``keys``: a grouped minimum, joined back."""
+    least = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min(order).alias("first"))
+    same = [rows[k].eqNullSafe(least[f"_{k}"]) for k in keys]
+    return rows.join(least, same).drop(*(f"_{k}" for k in keys))
 
 
 def previous_equal(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

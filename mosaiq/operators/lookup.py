@@ -72,23 +72,57 @@ def with_default(rows: DataFrame, found: DataFrame, key: str, value: str, defaul
 
 #: Length that names are cut to, and the ending of a palette's name.
 NAME, ENDING = 16, "_pl"
+# Most colours of a palette by texture format, the format without one, the block format and its leeway.
+MOST_COLORS = {1: 256, 2: 8, 3: 16, 4: 256, 6: 256}
+DIRECT_FORMAT, BLOCK_FORMAT, BLOCK_LEEWAY = 7, 5, 7
+
+
+def palette_fits(fmt: Column, highest: Column, n_colors: Column) -> Column:
+    """Whether a palette has enough colours for a texture's highest index, and no more than its format allows."""
+    most = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in MOST_COLORS.items() for x in kv)), fmt.cast("int")), F.lit(1 << 30))
+    return (n_colors <= most) & (highest < n_colors) & ((fmt != BLOCK_FORMAT) | (highest + BLOCK_LEEWAY >= n_colors))
 
 
 def guess_palettes(textures: DataFrame, palettes: DataFrame) -> DataFrame:
-    """(id, pal, rule): the palette that a texture's name suggests, by the first rule that fits.
+    """(id, pal, rule): the palette that suits a texture (id, name, fmt, highest), by the first rule that fits.
 
-    1 equal but for case; 2 with ``_pl``, cut to 16; 3 that cut to 15; 4 the name cut to 13 with
-    ``_pl``; 5 cut to 12 with ``_pl``; 7 the nearest by edits among all, the first at ties. Rules 1 to 5 are
-    lookups by an equal key; only textures that they leave are compared with all palettes of a file.
+    1 equal names but for case; 2 with ``_pl``, cut to 16; 3 that cut to 15; 4 the name cut to 13 with
+    ``_pl``; 5 cut to 12 with ``_pl``; of the palettes (pal, pal_name, n_colors) that fit by size 6 the
+    only one, 7 the nearest by edits, the first at ties; 8 the first of all. Textures of the direct
+    format have none and give no row. Rules 1 to 5 are lookups by an equal key; only the different
+    (name, format, highest index) that they leave are compared with all palettes of a file.
     """
+    textures = textures.where(F.col("fmt") != DIRECT_FORMAT)
     low = F.lower("name")
     keys = [low, F.substring(F.concat(low, F.lit(ENDING)), 1, NAME), F.substring(F.concat(low, F.lit(ENDING)), 1, NAME - 1), F.concat(F.substring(low, 1, NAME - 3), F.lit(ENDING)), F.concat(F.substring(low, 1, NAME - 4), F.lit(ENDING))]
     wanted = textures.select("id", "name", F.posexplode(F.array(*keys)).alias("rule", "key"))
     first = palettes.groupBy(F.lower("pal_name").alias("key")).agg(F.min("pal").alias("pal"))
     by_key = wanted.join(first, "key").groupBy("id").agg(F.min_by("pal", F.struct("rule", "pal")).alias("pal"), (F.min("rule") + 1).alias("rule"))
-    rest = textures.join(by_key.select("id"), "id", "left_anti").select("id", "name")
-    near = rest.join(within(palettes, 4096)).groupBy("id").agg(F.min_by("pal", F.struct(F.levenshtein(F.lower("name"), F.lower("pal_name")), "pal")).alias("pal"))
-    return by_key.select("id", "pal", F.col("rule").cast("bigint")).unionByName(near.select("id", "pal", F.lit(7).cast("bigint").alias("rule")))
+    rest = textures.join(by_key.select("id"), "id", "left_anti").select("id", "name", "fmt", "highest")
+    pairs = rest.select("name", "fmt", "highest").distinct().join(within(palettes, 4096))
+    fits = palette_fits(F.col("fmt"), F.col("highest"), F.col("n_colors"))
+    edits = F.when(fits, F.levenshtein("name", "pal_name"))
+    near = pairs.groupBy("name", "fmt", "highest").agg(F.count(edits).alias("n"), F.min(F.when(fits, F.struct(edits.alias("e"), "pal"))).alias("best"), F.min("pal").alias("any"))
+    pal = F.when(F.col("n") > 0, F.col("best")["pal"]).otherwise(F.col("any"))
+    rule = F.when(F.col("n") == 1, 6).when(F.col("n") > 1, 7).otherwise(8)
+    found = rest.join(near, [rest[k].eqNullSafe(near[k]) for k in ("name", "fmt", "highest")]).select("id", pal.alias("pal"), rule.cast("bigint").alias("rule"))
+    return by_key.select("id", "pal", F.col("rule").cast("bigint")).unionByName(found)
+
+
+def highest_index(texels: DataFrame) -> DataFrame:
+    """(id, highest): the greatest palette index of textures' texel bytes (id, fmt, byte); -1 for the direct format.
+
+    Block textures are read from their index words instead: (id, fmt, word) with the mode in the two
+    highest bits, which says whether a block has four colours or two, and the offset in pairs below.
+    """
+    b = F.col("byte")
+    parts = lambda width: F.greatest(*(F.shiftright(b, s).bitwiseAND((1 << width) - 1) for s in range(0, 8, width)))
+    word = F.col("word")
+    mode = F.shiftright(word, 14).bitwiseAND(3)
+    block = word.bitwiseAND(0x3FFF) * 2 + F.when(mode % 2 == 0, 3).otherwise(1)
+    f = F.col("fmt")
+    index = F.when(f == 1, b.bitwiseAND(31)).when(f == 2, parts(2)).when(f == 3, parts(4)).when(f == 4, b).when(f == 6, b.bitwiseAND(7)).when(f == BLOCK_FORMAT, block)
+    return texels.groupBy("id").agg(F.when(F.max("fmt") == DIRECT_FORMAT, -1).otherwise(F.coalesce(F.max(index), F.lit(0))).cast("bigint").alias("highest"))
 
 
 def overlapping(rects: DataFrame, group: str, tile: int = 64) -> DataFrame:

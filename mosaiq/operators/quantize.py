@@ -46,16 +46,27 @@ def top_colors(hist: DataFrame, n: int) -> DataFrame:
     return hist.orderBy(F.desc("w"), "r", "g", "b").limit(n)
 
 
+#: Distances are told apart to this many parts of one.
+PARTS = 1_000_000
+
+
 def nearest(px: DataFrame, palette: list[tuple[int, int, int, int]], w: tuple[int, int, int] = (20, 20, 20)) -> tuple[Column, Column]:
-    """(index, distance) of the nearest of (idx, r, g, b) to the row's cy, ci, cq; the lowest index at ties."""
+    """(index, distance) of the nearest of (idx, r, g, b) to the row's cy, ci, cq; the lowest index at ties.
+
+    A candidate is one whole number, its distance in PARTS above its place among the ascending
+    indices, so that the least of numbers is the nearest.
+    """
     if len(palette) > CLUSTERS:
         raise ValueError(f"a palette has up to {CLUSTERS} colours")
-    entries = []
-    for idx, r, g, b in palette:
+    own = sorted(palette)
+    keys = []
+    for place, (_, r, g, b) in enumerate(own):
         y, i, q = (k[0] * r + k[1] * g + k[2] * b for k in YIQ)
-        entries.append(F.struct(F.round(distance((F.col("cy"), F.col("ci"), F.col("cq")), (F.lit(y), F.lit(i), F.lit(q)), w), 6).alias("d"), F.lit(idx).cast("bigint").alias("idx")))
-    best = F.array_min(F.array(*entries))
-    return best["idx"], best["d"]
+        d = distance((F.col("cy"), F.col("ci"), F.col("cq")), (F.lit(y), F.lit(i), F.lit(q)), w)
+        keys.append(F.floor(d * PARTS + 0.5) * CLUSTERS + place)
+    best = F.least(*keys) if len(keys) > 1 else keys[0]
+    place = (best % CLUSTERS + 1).cast("int")
+    return F.element_at(F.array(*(F.lit(x[0]).cast("bigint") for x in own)), place), F.floor(best / CLUSTERS) / PARTS
 
 
 def palette_rows(palette: DataFrame) -> list[tuple[int, int, int, int]]:

@@ -277,12 +277,14 @@ def affine_inverse(a: Column, b: Column, c: Column, d: Column) -> tuple[Column,
 def neighbour_chain(colors: list[tuple[float, float, float]]) -> list[int]:
     """Order of a palette in which each colour is the nearest left to the last: the shortest over all starts.
 
-    For one palette, 256 colours at most. The metric weighs the first part fourfold.
+    For one palette, 256 colours at most. The metric weighs the parts by ``YUV_WEIGHTS``.
     """
     import numpy as np
 
+    from ..functions.color import YUV_WEIGHTS
+
     p = np.array(colors, float)
-    d = ((p[:, None] - p[None]) ** 2 * np.array([4.0, 2.0, 2.0])[: p.shape[1]]).sum(-1) if len(p) else np.zeros((0, 0))
+    d = ((p[:, None] - p[None]) ** 2 * np.array(YUV_WEIGHTS)[: p.shape[1]]).sum(-1) if len(p) else np.zeros((0, 0))
     best, order = np.inf, []
     for start in range(len(p)):
         left, at, total, path = np.ones(len(p), bool), start, 0.0, [start]

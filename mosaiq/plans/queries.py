@@ -72,28 +72,40 @@ def frame_cells(spark, d):
 
 
 @query("node_frames", sql("anim_frame", """
-WITH head AS (SELECT seq, cell FROM anim_frame WHERE frame_no = 0)
-SELECT o_orderkey AS node, o_custkey AS mc, coalesce(head.cell, -1) AS cell FROM orders LEFT JOIN head ON o_custkey = head.seq"""))
+WITH f AS (SELECT seq, list(cell ORDER BY frame_no) AS cells FROM anim_frame GROUP BY seq)
+SELECT o_orderkey AS node, o_custkey AS mc, coalesce(f.cells[o_orderkey % len(f.cells) + 1], -1) AS cell FROM orders LEFT JOIN f ON o_custkey = f.seq"""))
 def node_frames(spark, d):
-    head = R.anim_frame(spark, d).where("frame_no = 0").select(c("seq").alias("mc"), "cell")
+    """Every node's current frame's cell: nodes of one sequence stand at different frames."""
+    f = R.anim_frame(spark, d)
+    size = f.groupBy("seq").agg(F.count("*").alias("n"))
     nodes = R.table(spark, d, "orders").select(c("o_orderkey").alias("node"), c("o_custkey").alias("mc"))
-    return L.with_default(nodes, head, "mc", "cell", F.lit(-1)).select("node", "mc", "cell")
+    at = nodes.join(size.withColumnRenamed("seq", "mc"), "mc", "left").withColumn("frame_no", c("node") % c("n"))
+    return at.join(f.select(c("seq").alias("mc"), "frame_no", "cell"), ["mc", "frame_no"], "left").select("node", "mc", F.coalesce("cell", F.lit(-1)).alias("cell"))
 
 
 @query("guess_palette_names", """
-WITH t AS (SELECT p_partkey AS id, substr(p_name, 1, 12) || CAST(p_partkey % 37 AS VARCHAR) AS name FROM part),
-p AS (SELECT n_nationkey AS pal, CASE WHEN n_nationkey % 2 = 0 THEN upper(substr(q.p_name, 1, 12)) || CAST(q.p_partkey % 37 AS VARCHAR) ELSE substr(substr(q.p_name, 1, 12) || CAST(q.p_partkey % 37 AS VARCHAR), 1, 13) || '_pl' END AS pal_name FROM nation JOIN part q ON q.p_partkey = n_nationkey * 3),
-x AS (SELECT id, lower(name) AS n, pal, lower(pal_name) AS q FROM t, p),
-s AS (SELECT id, pal, CASE WHEN q = n THEN 1 WHEN q = substr(n || '_pl', 1, 16) THEN 2 WHEN q = substr(n || '_pl', 1, 15) THEN 3 WHEN q = substr(n, 1, 13) || '_pl' THEN 4 WHEN q = substr(n, 1, 12) || '_pl' THEN 5 ELSE 7 END AS rule, CASE WHEN q IN (n, substr(n || '_pl', 1, 16), substr(n || '_pl', 1, 15), substr(n, 1, 13) || '_pl', substr(n, 1, 12) || '_pl') THEN 0 ELSE levenshtein(n, q) END AS e FROM x),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rule, e, pal) AS k FROM s)
-SELECT id, CAST(pal AS BIGINT) AS pal, CAST(rule AS BIGINT) AS rule FROM r WHERE k = 1""")
+WITH t AS (SELECT p_partkey AS id, substr(p_name, 1, 12) || CAST(p_partkey % 37 AS VARCHAR) AS name, p_partkey % 8 AS fmt, p_size % 20 AS highest FROM part),
+p AS (SELECT n_nationkey AS pal, CASE WHEN n_nationkey % 2 = 0 THEN upper(substr(q.p_name, 1, 12)) || CAST(q.p_partkey % 37 AS VARCHAR) ELSE substr(substr(q.p_name, 1, 12) || CAST(q.p_partkey % 37 AS VARCHAR), 1, 13) || '_pl' END AS pal_name, n_nationkey * 7 % 22 + 1 AS n_colors FROM nation JOIN part q ON q.p_partkey = n_nationkey * 3),
+x AS (SELECT id, name, lower(name) AS n, pal, pal_name, lower(pal_name) AS q, n_colors <= CASE fmt WHEN 2 THEN 8 WHEN 3 THEN 16 WHEN 5 THEN 1000000 ELSE 256 END AND highest < n_colors AND (fmt <> 5 OR highest + 7 >= n_colors) AS ok FROM t, p WHERE fmt <> 7),
+k AS (SELECT id, pal, CASE WHEN q = n THEN 1 WHEN q = substr(n || '_pl', 1, 16) THEN 2 WHEN q = substr(n || '_pl', 1, 15) THEN 3 WHEN q = substr(n, 1, 13) || '_pl' THEN 4 WHEN q = substr(n, 1, 12) || '_pl' THEN 5 END AS rule FROM x),
+a AS (SELECT id, arg_min(pal, (rule, pal)) AS pal, min(rule) AS rule FROM k WHERE rule IS NOT NULL GROUP BY id),
+v AS (SELECT id, count_if(ok) AS n, arg_min(pal, (levenshtein(name, pal_name), pal)) FILTER (ok) AS pal, min(pal) AS least FROM x WHERE id NOT IN (SELECT id FROM a) GROUP BY id)
+SELECT id, CAST(pal AS BIGINT) AS pal, CAST(rule AS BIGINT) AS rule FROM a UNION ALL SELECT id, CAST(coalesce(pal, least) AS BIGINT), CASE n WHEN 0 THEN 8 WHEN 1 THEN 6 ELSE 7 END FROM v""")
 def guess_palette_names(spark, d):
-    part = R.table(spark, d, "part").selectExpr("p_partkey AS id", "concat(substr(p_name, 1, 12), CAST(p_partkey % 37 AS STRING)) AS name")
-    n = R.table(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS pal", "CAST(n_nationkey * 3 AS BIGINT) AS id")
-    pal = n.join(part, "id").selectExpr("pal", "CASE WHEN pal % 2 = 0 THEN concat(upper(substr(name, 1, 12)), substr(name, 13)) ELSE concat(substr(name, 1, 13), '_pl') END AS pal_name")
+    part = R.table(spark, d, "part").selectExpr("p_partkey AS id", "concat(substr(p_name, 1, 12), CAST(p_partkey % 37 AS STRING)) AS name", "p_partkey % 8 AS fmt", "p_size % 20 AS highest")
+    n = R.table(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS pal", "CAST(n_nationkey * 3 AS BIGINT) AS id", "n_nationkey * 7 % 22 + 1 AS n_colors")
+    pal = n.join(part.select("id", "name"), "id").selectExpr("pal", "CASE WHEN pal % 2 = 0 THEN concat(upper(substr(name, 1, 12)), substr(name, 13)) ELSE concat(substr(name, 1, 13), '_pl') END AS pal_name", "n_colors")
     return L.guess_palettes(part, pal)
 
 
+@query("highest_indices", """
+WITH b AS (SELECT o_custkey AS id, o_custkey % 8 AS fmt, o_orderkey % 256 AS byte, o_orderkey * 40503 % 65536 AS word FROM orders),
+x AS (SELECT *, CASE fmt WHEN 1 THEN byte % 32 WHEN 2 THEN greatest(byte % 4, byte // 4 % 4, byte // 16 % 4, byte // 64) WHEN 3 THEN greatest(byte % 16, byte // 16) WHEN 4 THEN byte WHEN 5 THEN word % 16384 * 2 + CASE WHEN word // 16384 % 2 = 0 THEN 3 ELSE 1 END WHEN 6 THEN byte % 8 END AS i FROM b)
+SELECT id, CAST(CASE WHEN max(fmt) = 7 THEN -1 ELSE coalesce(max(i), 0) END AS BIGINT) AS highest FROM x GROUP BY id""")
+def highest_indices(spark, d):
+    return L.highest_index(R.table(spark, d, "orders").selectExpr("o_custkey AS id", "o_custkey % 8 AS fmt", "o_orderkey % 256 AS byte", "o_orderkey * 40503 % 65536 AS word"))
+
+
 @query("name_distance", "SELECT s_suppkey AS id, n_name AS name, levenshtein(upper(s_name), n_name) AS edits FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def name_distance(spark, d):
     n = R.table(spark, d, "nation").select(c("n_nationkey").alias("s_nationkey"), c("n_name").alias("name"))
@@ -158,12 +170,15 @@ def palette_permutation(spark, d):
 
 
 @query("glyph_lookup", """
-WITH g AS (SELECT p_partkey AS cp, p_size AS width FROM part WHERE p_partkey BETWEEN 32 AND 220 AND p_partkey % 7 <> 0)
-SELECT doc_id, length(text) AS n, unicode(text) AS cp, coalesce(g.width, -1) AS width FROM documents LEFT JOIN g ON g.cp = unicode(text)""")
+WITH g AS (SELECT p_partkey AS cp, p_size AS width FROM part WHERE p_partkey BETWEEN 32 AND 220 AND p_partkey % 7 <> 0),
+k AS (SELECT doc_id, unicode(ch) AS cp, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ALL)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * coalesce(width, 5)) AS BIGINT) AS width, CAST(coalesce(sum(n) FILTER (width IS NULL), 0) AS BIGINT) AS missing FROM k LEFT JOIN g USING (cp) GROUP BY doc_id""")
 def glyph_lookup(spark, d):
+    """Every character's glyph: widths added up, and how many have none. Characters are counted by text before they meet the font."""
     g = R.table(spark, d, "part").where("p_partkey BETWEEN 32 AND 220 AND p_partkey % 7 <> 0").selectExpr("p_partkey AS cp", "CAST(p_size AS BIGINT) AS width")
-    t = R.table(spark, d, "documents").selectExpr("doc_id", "CAST(length(text) AS BIGINT) AS n", "CAST(ascii(text) AS BIGINT) AS cp")
-    return L.with_default(t, L.within(g), "cp", "width", F.lit(-1)).select("doc_id", "n", "cp", "width")
+    t = R.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
+    j = t.select("doc_id", F.ascii("ch").cast(BIG).alias("cp"), "n").join(L.within(g), "cp", "left")
+    return j.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(c("n") * F.coalesce("width", F.lit(5))).alias("width"), F.coalesce(F.sum(F.when(c("width").isNull(), c("n"))), F.lit(0)).alias("missing"))
 
 
 # ------------------------------------------------------------------ aggregates
@@ -239,13 +254,14 @@ def chars_used(spark, d):
 
 
 def _far_sql():
-    bit = lambda k: f"((r // {1 << (7 - k)}) % 2) * 4 + ((g // {1 << (7 - k)}) % 2) * 2 + (b // {1 << (7 - k)}) % 2"
-    parts = ["w AS (SELECT " + ", ".join(f"{bit(k)} AS o{k}" for k in range(7)) + " FROM pixel)"]
-    for k in range(7):
-        before = " AND ".join([f"o{j} = (SELECT o FROM c{j})" for j in range(k)] or ["true"])
-        parts.append(f"c{k} AS (SELECT e AS o FROM range(8) x(e) LEFT JOIN (SELECT o{k} AS o, count(*) AS n FROM w WHERE {before} GROUP BY o{k}) y ON e = o ORDER BY coalesce(n, 0), e LIMIT 1)")
-    ch = lambda s: " + ".join(f"((SELECT o FROM c{k}) // {s}) % 2 * {1 << (7 - k)}" for k in range(7))
-    return sql("pixel", "WITH " + ", ".join(parts) + f" SELECT {ch(4)} + 1 AS r, {ch(2)} + 1 AS g, {ch(1)} + 1 AS b")
+    """Seven boxes, each half the one before; counts within half a box around; the last one's middle."""
+    parts = ["px AS (SELECT r, g, b FROM pixel WHERE a >= 128)", "e AS (SELECT i, j, l FROM range(2) u(i), range(2) v(j), range(2) w(l))", "s0 AS (SELECT 0 AS r, 0 AS g, 0 AS b)"]
+    for k in range(6):
+        h = 128 >> k
+        near = " AND ".join(f"px.{ch} >= s.{ch} - {h} AND px.{ch} < s.{ch} + {3 * h}" for ch in "rgb")
+        parts.append(f"n{k} AS (SELECT CAST(px.r >= s.r + {h} AS INT) AS i, CAST(px.g >= s.g + {h} AS INT) AS j, CAST(px.b >= s.b + {h} AS INT) AS l, count(*) AS n FROM px, s{k} s WHERE {near} GROUP BY ALL)")
+        parts.append(f"s{k + 1} AS (SELECT s.r + i * {h} AS r, s.g + j * {h} AS g, s.b + l * {h} AS b FROM s{k} s, e LEFT JOIN n{k} USING (i, j, l) ORDER BY coalesce(n, 0), i, j, l LIMIT 1)")
+    return sql("pixel", "WITH " + ", ".join(parts) + " SELECT CAST(r + 2 AS BIGINT) AS r, CAST(g + 2 AS BIGINT) AS g, CAST(b + 2 AS BIGINT) AS b FROM s6")
 
 
 @query("farthest_color", _far_sql())
@@ -257,8 +273,8 @@ def farthest_color(spark, d):
 WITH i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, b ORDER BY pos) AS k FROM byte_seq)
 SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, b, k, count(*) AS n FROM i WHERE b <> 0 GROUP BY ALL) GROUP BY doc_id"""))
 def longest_runs(spark, d):
-    t = R.table(spark, d, "documents").where("text IS NOT NULL AND text <> ''")
-    return t.select("doc_id", A.longest_byte_run(F.encode("text", "UTF-8")).alias("longest")).where("longest IS NOT NULL")
+    runs = K.coded(_files(spark, d), "bytes", K.longest_run, "long", "longest", ("path",))
+    return runs.where("longest IS NOT NULL").select(c("path").cast(BIG).alias("doc_id"), "longest")
 
 
 @query("event_runs", """
@@ -339,9 +355,25 @@ def yiq_round_trip(spark, d):
     return Q.round_trip(R.pixel(spark, d))
 
 
-@query("gray", sql("pixel", "SELECT img, x, y, round(pow(0.299 * pow(r / 255.0, 2.2) + 0.587 * pow(g / 255.0, 2.2) + 0.114 * pow(b / 255.0, 2.2), 1 / 2.2) * 255, 4) AS v FROM pixel"))
+@query("gray", sql("pixel", "SELECT img, x, y, CAST(floor(pow(0.2126 * pow((62 * r + 255) // 510 / 31.0, 2.2) + 0.7152 * pow((62 * g + 255) // 510 / 31.0, 2.2) + 0.0722 * pow((62 * b + 255) // 510 / 31.0, 2.2), 1 / 2.2) * 31.0 + 0.5) AS BIGINT) AS v FROM pixel"))
 def gray(spark, d):
-    return R.pixel(spark, d).select("img", "x", "y", F.round(C.gray(c("r"), c("g"), c("b")), 4).alias("v"))
+    return R.pixel(spark, d).select("img", "x", "y", C.gray(*(C.to5(c(ch)) for ch in "rgb")).alias("v"))
+
+
+@query("yuv", sql("pixel", "SELECT img, x, y, round(0.2990 * r + 0.5870 * g + 0.1140 * b, 4) + 0.0 AS cy, round(-0.1684 * r - 0.3316 * g + 0.5000 * b, 4) + 0.0 AS cu, round(0.5000 * r - 0.4187 * g - 0.0813 * b, 4) + 0.0 AS cv FROM (SELECT img, x, y, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM pixel)"))
+def yuv(spark, d):
+    return R.pixel(spark, d).select("img", "x", "y", *((F.round(v, 4) + 0.0).alias(n) for v, n in zip(C.yuv(c("r"), c("g"), c("b")), ("cy", "cu", "cv"), strict=True)))
+
+
+@query("interpolated_colors", sql("palette", "SELECT idx, (2 * ((color % 32) * (8 - idx % 9) + (color * 3 % 32768 % 32) * (idx % 9)) + 8) // 16 + (2 * ((color // 32 % 32) * (8 - idx % 9) + (color * 3 % 32768 // 32 % 32) * (idx % 9)) + 8) // 16 * 32 + (2 * ((color // 1024) * (8 - idx % 9) + (color * 3 % 32768 // 1024) * (idx % 9)) + 8) // 16 * 1024 AS color FROM palette"))
+def interpolated_colors(spark, d):
+    return R.palette(spark, d).select("idx", C.interpolated15(c("color"), c("color") * 3 % 32768, c("idx") % 9, 8).alias("color"))
+
+
+@query("texture_words", "SELECT o_orderkey AS id, w % 65536 AS \"offset\", 8 << CAST((w >> 20) % 8 AS INT) AS width, 8 << CAST((w >> 23) % 8 AS INT) AS height, (w >> 26) % 8 AS fmt, (w >> 29) % 2 AS color0, (w >> 16) % 2 AS repeat_s, (w >> 18) % 2 AS flip_s, (w >> 30) % 4 AS transform, w AS packed FROM (SELECT o_orderkey, o_orderkey * 2654435761 % 4294967296 AS w FROM orders)")
+def texture_words(spark, d):
+    f = P.texture_fields(F.expr("o_orderkey * 2654435761 % 4294967296"))
+    return R.table(spark, d, "orders").select(c("o_orderkey").alias("id"), *(f[k].cast(BIG).alias(k) for k in ("offset", "width", "height", "fmt", "color0", "repeat_s", "flip_s", "transform")), P.texture_word(f).alias("packed"))
 
 
 @query("screen_fields", sql("screen_cell", "SELECT cell, raw % 1024 AS ch, (raw // 1024) % 4 AS flip, (raw // 4096) % 16 AS pal, raw AS packed FROM screen_cell"))
@@ -367,11 +399,11 @@ def layout_coordinates(spark, d):
     return o.select("id", pos.alias("pos"), origin.alias("origin"), P.anchored(pos, c("size"), c("anchor")).alias("edge"))
 
 
-@query("integer_functions", "SELECT o_orderkey AS id, 1000 - (2000 * o_custkey + o_orderkey + 1) // (2 * (o_orderkey + 1)) AS permille, (o_orderkey % 4 * 14 + 3) // 6 AS level, xor(xor(o_orderkey % 256, o_custkey % 256 * 2), o_orderkey // 256 % 256 * 4) % 512 AS bucket, (o_orderkey % 65536) // 256 + (o_orderkey % 256) * 256 AS swapped, CAST(floor(log2(o_orderkey + 1)) AS BIGINT) AS ilog, list_sum(list_transform(range(8), lambda i: ((o_orderkey >> i) & 1) << (7 - i)))::BIGINT AS mirrored, CAST(CASE WHEN o_totalprice - 200000 < 0 THEN ceil(o_totalprice - 200000 - 0.5) ELSE floor(o_totalprice - 200000 + 0.5) END AS BIGINT) AS rounded FROM orders")
+@query("integer_functions", "SELECT o_orderkey AS id, CASE WHEN o_custkey <= o_orderkey + 1 THEN 1000 - (2000 * o_custkey + o_orderkey + 1) // (2 * (o_orderkey + 1)) ELSE (2000 * o_custkey + o_orderkey + 1) // (2 * (o_orderkey + 1)) - 1000 END AS permille, (o_orderkey % 4 * 14 + 3) // 6 AS level, xor(xor(xor(o_orderkey % 256, xor(o_orderkey % 256, o_custkey % 256) * 2), xor(o_orderkey % 256, o_orderkey // 256 % 256) * 4), xor(o_orderkey % 256, o_orderkey // 256 % 256) // 128) % 512 AS bucket, (o_orderkey % 65536) // 256 + (o_orderkey % 256) * 256 AS swapped, CAST(floor(log2(o_orderkey + 1)) AS BIGINT) AS ilog, list_sum(list_transform(range(8), lambda i: ((o_orderkey >> i) & 1) << (7 - i)))::BIGINT AS mirrored, CAST(CASE WHEN o_totalprice - 200000 < 0 THEN ceil(o_totalprice - 200000 - 0.5) ELSE floor(o_totalprice - 200000 + 0.5) END AS BIGINT) AS rounded FROM orders")
 def integer_functions(spark, d):
     o = R.table(spark, d, "orders")
     k = c("o_orderkey")
-    return o.select(k.alias("id"), P.permille_saved(k + 1, c("o_custkey")).alias("permille"), P.rescale_depth(k % 4, 3, 7).alias("level"), P.hash3(k % 256, c("o_custkey") % 256, C.div(k, 256) % 256).alias("bucket"), P.swap16(k).alias("swapped"), P.ilog2(k + 1).alias("ilog"), P.reverse_bits(k, 8).alias("mirrored"), P.round_half_away(c("o_totalprice") - 200000).alias("rounded"))
+    return o.select(k.alias("id"), P.permille_changed(k + 1, c("o_custkey")).alias("permille"), P.rescale_depth(k % 4, 3, 7).alias("level"), P.hash3(k % 256, c("o_custkey") % 256, C.div(k, 256) % 256).alias("bucket"), P.swap16(k).alias("swapped"), P.ilog2(k + 1).alias("ilog"), P.reverse_bits(k, 8).alias("mirrored"), P.round_half_away(c("o_totalprice") - 200000).alias("rounded"))
 
 
 @query("suffix_and_base", "SELECT page_id, lower(url) LIKE '%.html' OR lower(url) LIKE '%/' AS ends, split_part(url, '/', -1) AS base FROM pages")
@@ -483,48 +515,80 @@ def diffused(spark, d):
     return Q.diffused(R.pixel(spark, d), PALETTE24)
 
 
-@query("chain_palette")
+@query("chain_palette", sql("palette", """
+WITH RECURSIVE h AS (SELECT idx, (510 * (color % 32) + 31) // 62 AS r, (510 * ((color // 32) % 32) + 31) // 62 AS g, (510 * ((color // 1024) % 32) + 31) // 62 AS b FROM palette),
+k AS (SELECT idx, 2990 * r + 5870 * g + 1140 * b AS y, -1684 * r - 3316 * g + 5000 * b AS u, 5000 * r - 4187 * g - 813 * b AS v FROM h),
+d AS MATERIALIZED (SELECT p.idx AS i, q.idx AS j, 4 * (p.y - q.y) ** 2 + (p.u - q.u) ** 2 + (p.v - q.v) ** 2 AS d FROM k p JOIN k q ON p.idx <> q.idx),
+s AS (SELECT idx AS start, idx AS at, [idx] AS path, CAST(0 AS DOUBLE) AS total, 1 AS n FROM k
+ UNION ALL SELECT start, nx['j'], list_append(path, nx['j']), total + nx['d'], n + 1 FROM (SELECT s.start, any_value(s.path) AS path, any_value(s.total) AS total, any_value(s.n) AS n, arg_min({'j': d.j, 'd': d.d}, (d.d, d.j)) AS nx FROM s JOIN d ON d.i = s.at AND NOT list_contains(s.path, d.j) GROUP BY s.start) z),
+w AS (SELECT arg_min(path, (total, start)) AS path FROM s WHERE n = (SELECT count(*) FROM k))
+SELECT unnest(range(len(path))) AS place, unnest(path) AS idx FROM w""").replace("WITH palette", "WITH RECURSIVE palette", 1).replace(", RECURSIVE h AS", ", h AS", 1))
 def chain_palette(spark, d):
+    """In whole ten-thousandths, so that equal distances are equal."""
     r, g, b = C.channels15(c("color"))
-    rows = R.palette(spark, d).select("idx", *(v.alias(n) for v, n in zip(C.yuv(r, g, b), "yuv", strict=True))).orderBy("idx").collect()
+    rows = R.palette(spark, d).select("idx", *(sum((v * round(10000 * w) for v, w in zip((r, g, b), row, strict=True)), F.lit(0)).alias(n) for row, n in zip(C.YUV, "yuv", strict=True))).orderBy("idx").limit(Q.CLUSTERS + 1).collect()
+    if len(rows) > Q.CLUSTERS:
+        raise ValueError(f"a palette has up to {Q.CLUSTERS} colours")
     order = S.neighbour_chain([(x["y"], x["u"], x["v"]) for x in rows])
     return spark.createDataFrame([(k, rows[i]["idx"]) for k, i in enumerate(order)], "place long, idx long")
 
 
 # ------------------------------------------------------------------ merging
 
-@query("merge_tiles", sql("tile_dup", """
-WITH f AS (SELECT tile_no, k, list(idx ORDER BY xor(pos, m)) AS px FROM tile_dup, (VALUES (0, 0), (1, 7), (2, 56), (3, 63)) v(k, m) GROUP BY ALL),
+@query("merge_tiles", sql("tile_copies", """
+WITH f AS (SELECT tile_no, k, list(idx ORDER BY xor(pos, m)) AS px FROM tile_copies, (VALUES (0, 0), (1, 7), (2, 56), (3, 63)) v(k, m) GROUP BY ALL),
 cn AS (SELECT tile_no, min(px) AS canon FROM f GROUP BY tile_no), ms AS (SELECT canon, min(tile_no) AS master FROM cn GROUP BY canon),
 j AS (SELECT cn.tile_no, ms.master FROM cn JOIN ms USING (canon)), own AS (SELECT tile_no, px FROM f WHERE k = 0),
 x AS (SELECT j.tile_no, j.master, min(f.k) AS flip FROM j JOIN own ON own.tile_no = j.tile_no JOIN f ON f.tile_no = j.master AND f.px = own.px GROUP BY ALL)
 SELECT tile_no, master, CAST(flip AS BIGINT) AS flip, dense_rank() OVER (ORDER BY master) - 1 AS id FROM x"""))
 def merge_tiles(spark, d):
-    return D.merge_flipped(D.tile_arrays(R.tile_dup(spark)))
+    return D.merge_flipped(D.tile_arrays(R.tile_copies(spark, d)))
 
 
-@query("tile_distances", sql("tile_dup", """
-WITH s AS (SELECT a.tile_no AS a, b.tile_no AS b, k, CAST(sum((a.idx - b.idx) ** 2) AS BIGINT) AS d FROM tile_dup a JOIN tile_dup b ON a.tile_no < b.tile_no JOIN (VALUES (0, 0), (1, 7), (2, 56), (3, 63)) v(k, m) ON a.pos = xor(b.pos, m) GROUP BY ALL)
+@query("tile_distances", sql("tile_px", """
+WITH s AS (SELECT a.tile_no AS a, b.tile_no AS b, k, CAST(sum((a.idx - b.idx) ** 2) AS BIGINT) AS d FROM tile_px a JOIN tile_px b ON a.tile_no // 16 = b.tile_no // 16 AND a.tile_no < b.tile_no JOIN (VALUES (0, 0), (1, 7), (2, 56), (3, 63)) v(k, m) ON a.pos = xor(b.pos, m)
+ WHERE a.tile_no IN (SELECT tile_no FROM tile_px GROUP BY tile_no HAVING count(*) = 64) AND b.tile_no IN (SELECT tile_no FROM tile_px GROUP BY tile_no HAVING count(*) = 64) GROUP BY ALL)
 SELECT a, b, min(d) AS d, CAST(arg_min(k, (d, k)) AS BIGINT) AS flip FROM s GROUP BY a, b"""))
 def tile_distances(spark, d):
-    t = D.tile_arrays(R.tile_dup(spark))
-    a, b = t.select(c("tile_no").alias("a"), c("px").alias("pa")), t.select(c("tile_no").alias("b"), c("px").alias("pb"))
-    return D.tile_distances(a.join(F.broadcast(b), c("a") < c("b")))
-
-
-@query("merge_tiles_to")
+    """Distances of all pairs within a character file of 16 tiles; pairs meet by file, never across."""
+    t = D.tile_arrays(R.tile_px(spark, d)).where("NOT array_contains(px, -1)").withColumn("file", F.expr("tile_no div 16"))
+    a, b = t.select("file", c("tile_no").alias("a"), c("px").alias("pa")), t.select("file", c("tile_no").alias("b"), c("px").alias("pb"))
+    return D.tile_distances(a.join(b, "file").where("a < b"))
+
+
+def _merge_to_sql(most, step):
+    """The cheapest pair of each file is merged until ``most`` are left: a state per file holds masters and sizes as lists."""
+    return sql("tile_px", f"""
+WITH RECURSIVE t AS (SELECT tile_no // 8 AS file, tile_no, tile_no % 8 AS n, list(idx ORDER BY pos) AS px FROM tile_px GROUP BY tile_no HAVING count(*) = 64),
+d AS (SELECT a.file, a.n AS i, b.n AS j, list_min(list_transform([0, 7, 56, 63], lambda m: list_sum(list_transform(range(64), lambda p: (a.px[p + 1] - b.px[xor(p, m) + 1]) ** 2)))) AS d FROM t a JOIN t b ON a.file = b.file AND a.n < b.n),
+s AS (SELECT file, list(n ORDER BY n) AS live, list_transform(range(8), lambda x: x) AS master, list_transform(range(8), lambda x: 1) AS size FROM t GROUP BY file
+ UNION ALL
+ SELECT file, list_filter(live, lambda x: x <> lose), list_transform(master, lambda x: CASE WHEN x = lose THEN keep ELSE x END), list_transform(size, lambda x, k: CASE WHEN k = keep + 1 THEN x + size[lose + 1] ELSE x END) FROM (
+  SELECT file, live, master, size, CASE WHEN size[i + 1] >= size[j + 1] THEN i ELSE j END AS keep, CASE WHEN size[i + 1] >= size[j + 1] THEN j ELSE i END AS lose FROM (
+   SELECT *, best['i'] AS i, best['j'] AS j FROM (
+    SELECT s.file, s.live, s.master, s.size, arg_min({{'i': d.i, 'j': d.j}}, (d.d * (s.size[d.i + 1] + s.size[d.j + 1]) ** 2, d.i, d.j)) AS best
+    FROM s JOIN d ON d.file = s.file AND list_contains(s.live, d.i) AND list_contains(s.live, d.j) WHERE len(s.live) > {most} GROUP BY ALL) u) v) w),
+l AS (SELECT file, arg_min(master, len(live)) AS master FROM s GROUP BY file)
+SELECT t.file, t.tile_no, CAST(t.file * 8 + l.master[t.n + 1] AS BIGINT) AS master FROM t JOIN l USING (file)""").replace("WITH pixel", "WITH RECURSIVE pixel", 1).replace(", RECURSIVE t AS", ", t AS", 1)
+
+
+@query("merge_tiles_to", _merge_to_sql(5, 0))
 def merge_tiles_to(spark, d):
-    rows = D.tile_arrays(R.tile_dup(spark)).orderBy("tile_no").limit(1024).collect()
-    return spark.createDataFrame(sorted(D.merge_to([(r["tile_no"], r["px"]) for r in rows], 24).items()), "tile_no long, master long")
+    t = D.tile_arrays(R.tile_px(spark, d)).where("NOT array_contains(px, -1)").withColumn("file", F.expr("tile_no div 8"))
+    return D.merge_files_to(t, "file", 5)
 
 
-@query("representatives", sql("tile_dup", """
-WITH f AS (SELECT tile_no, k, list(idx ORDER BY xor(pos, m)) AS px FROM tile_dup, (VALUES (0, 0), (1, 7), (2, 56), (3, 63)) v(k, m) GROUP BY ALL),
-cn AS (SELECT tile_no, min(px) AS canon FROM f GROUP BY tile_no), ms AS (SELECT canon, min(tile_no) AS master FROM cn GROUP BY canon)
-SELECT ms.master, t.pos, t.idx AS mean FROM ms JOIN tile_dup t ON t.tile_no = ms.master"""))
+@query("representatives", sql("tile_copies", """
+WITH t AS (SELECT tile_no, pos, 4 * idx + (tile_no // 240 + pos) % 4 AS idx FROM tile_copies),
+f AS MATERIALIZED (SELECT tile_no, k, list(idx // 4 ORDER BY xor(pos, m)) AS px FROM t, (VALUES (0, 0), (1, 7), (2, 56), (3, 63)) v(k, m) GROUP BY ALL),
+cn AS (SELECT tile_no, min(px) AS canon FROM f GROUP BY tile_no), ms AS (SELECT canon, min(tile_no) AS master FROM cn GROUP BY canon),
+j AS MATERIALIZED (SELECT cn.tile_no, ms.master FROM cn JOIN ms USING (canon)), own AS MATERIALIZED (SELECT tile_no, px FROM f WHERE k = 0),
+x AS MATERIALIZED (SELECT j.tile_no, j.master, min(f.k) AS flip FROM j JOIN own ON own.tile_no = j.tile_no JOIN f ON f.tile_no = j.master AND f.px = own.px GROUP BY ALL)
+SELECT master, xor(pos, [0, 7, 56, 63][flip + 1]) AS pos, CAST((2 * sum(idx) + count(*)) // (2 * count(*)) AS BIGINT) AS mean FROM t JOIN x USING (tile_no) GROUP BY ALL"""))
 def representatives(spark, d):
-    t = R.tile_dup(spark)
-    return D.representative(t, D.merge_flipped(D.tile_arrays(t)))
+    """Means of tiles that are alike but for their two lowest bits."""
+    t = R.tile_copies(spark, d).selectExpr("tile_no", "pos", "4 * idx + (tile_no div 240 + pos) % 4 AS idx")
+    return D.representative(t, D.merge_flipped(D.tile_arrays(t.selectExpr("tile_no", "pos", "idx div 4 AS idx"))))
 
 
 @query("message_dedup", "SELECT conv_id, turn, min(conv_id * 1000 + turn) OVER (PARTITION BY text) AS first FROM conversations")
@@ -534,14 +598,14 @@ def message_dedup(spark, d):
     return t.join(first, t["text"].eqNullSafe(first["text"])).select("conv_id", "turn", "first")
 
 
-@query("previous_block", sql("tile_dup", "WITH f AS (SELECT tile_no, list(idx ORDER BY pos) AS px FROM tile_dup GROUP BY tile_no) SELECT tile_no, lag(tile_no) OVER (PARTITION BY px ORDER BY tile_no) AS previous FROM f"))
+@query("previous_block", sql("tile_copies", "WITH f AS (SELECT tile_no, list(idx ORDER BY pos) AS px FROM tile_copies GROUP BY tile_no) SELECT tile_no, lag(tile_no) OVER (PARTITION BY px ORDER BY tile_no) AS previous FROM f"))
 def previous_block(spark, d):
-    return D.previous_equal(D.tile_arrays(R.tile_dup(spark)), ["px"], "tile_no").select("tile_no", "previous")
+    return D.previous_equal(D.tile_arrays(R.tile_copies(spark, d)), ["px"], "tile_no").select("tile_no", "previous")
 
 
-@query("first_block", sql("tile_px", "WITH f AS (SELECT tile_no, list(idx ORDER BY pos) AS px FROM tile_px GROUP BY tile_no), m AS (SELECT px, min(tile_no) AS first FROM f GROUP BY px) SELECT tile_no, first FROM f JOIN m USING (px)"))
+@query("first_block", sql("tile_copies", "WITH f AS (SELECT tile_no, list(idx ORDER BY pos) AS px FROM tile_copies GROUP BY tile_no), m AS (SELECT px, min(tile_no) AS first FROM f GROUP BY px) SELECT tile_no, first FROM f JOIN m USING (px)"))
 def first_block(spark, d):
-    return D.first_equal(D.tile_arrays(R.tile_px(spark, d)), ["px"], "tile_no").select("tile_no", "first")
+    return D.first_equal(D.tile_arrays(R.tile_copies(spark, d)), ["px"], "tile_no").select("tile_no", "first")
 
 
 @query("compact_palettes", "WITH k AS (SELECT p_partkey // 16 AS pal, CASE WHEN (p_partkey // 16) % 3 = 0 THEN 0 ELSE p_size END AS color FROM part), s AS (SELECT pal FROM k GROUP BY pal HAVING bool_or(color <> 0)) SELECT row_number() OVER (ORDER BY pal) - 1 AS slot, pal FROM s")
@@ -558,7 +622,13 @@ def code_runs(spark, d):
     return D.code_runs(k, "font")
 
 
-@query("string_pool")
+@query("string_pool", sql("message", r"""
+WITH RECURSIVE m AS (SELECT file_id, pos, regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\1,', 'g') || '00,' AS h FROM message),
+f AS MATERIALIZED (SELECT file_id, list(h ORDER BY strlen(h) DESC, pos) AS hs, list(pos ORDER BY strlen(h) DESC, pos) AS ps FROM m GROUP BY file_id),
+s AS (SELECT file_id, 0 AS k, '' AS pool, CAST([] AS BIGINT[]) AS places FROM f
+ UNION ALL SELECT s.file_id, k + 1, CASE WHEN contains(pool, hs[k + 1]) THEN pool ELSE pool || hs[k + 1] END, list_append(places, CASE WHEN contains(pool, hs[k + 1]) THEN (instr(pool, hs[k + 1]) - 1) // 3 ELSE strlen(pool) // 3 END) FROM s JOIN f USING (file_id) WHERE k < len(hs)),
+l AS (SELECT file_id, arg_max(places, k) AS places FROM s GROUP BY file_id)
+SELECT file_id, unnest(ps) AS pos, unnest(places) AS "offset" FROM l JOIN f USING (file_id)""").replace("WITH message", "WITH RECURSIVE message", 1).replace(", RECURSIVE m AS", ", m AS", 1))
 def string_pool(spark, d):
     return D.pool_strings(R.message(spark, d))
 
@@ -688,11 +758,17 @@ def crop_image(spark, d):
     return S.cropped(R.pixel(spark, d), 10, 20, 20, 30)
 
 
-@query("composite", sql("pixel", "SELECT p.img, p.x, p.y, (p.r * p.a + q.r * (255 - p.a) + 127) // 255 AS r FROM pixel p JOIN pixel q ON q.img = 0 AND p.img > 0 AND p.x = q.x AND p.y = q.y"))
+def _over_sql(ch):
+    mixed = f"(p.{ch} * 255 * p.a + q.{ch} * (255 - p.a) * q.a) // greatest(255 * p.a + (255 - p.a) * q.a, 1)" if ch != "a" else "(255 * p.a + (255 - p.a) * q.a) // 255"
+    return f"CASE p.a WHEN 255 THEN p.{ch} WHEN 0 THEN q.{ch} ELSE {mixed} END AS {ch}"
+
+
+@query("composite", sql("pixel", "SELECT p.img, p.x, p.y, " + ", ".join(map(_over_sql, "rgba")) + " FROM pixel p JOIN pixel q ON q.img = 0 AND p.img > 0 AND p.x = q.x AND p.y = q.y"))
 def composite(spark, d):
     p = R.pixel(spark, d)
-    below = p.where("img = 0").select("x", "y", c("r").alias("under"))
-    return p.where("img > 0").join(L.within(below), ["x", "y"]).select("img", "x", "y", C.blend(c("r"), c("under"), c("a")).alias("r"))
+    below = p.where("img = 0").select("x", "y", *(c(ch).alias(f"b{ch}") for ch in "rgba"))
+    j = p.where("img > 0").join(L.within(below), ["x", "y"])
+    return j.select("img", "x", "y", *(v.alias(n) for v, n in zip(C.over(tuple(map(c, "rgba")), tuple(c(f"b{ch}") for ch in "rgba")), "rgba", strict=True)))
 
 
 @query("area_scale", sql("pixel", """
@@ -715,7 +791,10 @@ def line_widths(spark, d):
     return S.line_widths(R.table(spark, d, "conversations"), g, ["conv_id", "turn"], "text", 11)
 
 
-@query("flood")
+@query("flood", sql("pixel", """
+WITH RECURSIVE p AS MATERIALIZED (SELECT img, x, y, r // 128 AS idx FROM pixel),
+s AS (SELECT * FROM p WHERE x = 5 AND y = 5 UNION SELECT p.* FROM s, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy), p WHERE p.img = s.img AND p.x = s.x + dx AND p.y = s.y + dy AND p.idx = s.idx)
+SELECT img, x, y FROM s""").replace("WITH pixel", "WITH RECURSIVE pixel", 1).replace(", RECURSIVE p AS", ", p AS", 1))
 def flood(spark, d):
     return S.flood(R.pixel(spark, d).selectExpr("img", "x", "y", "r div 128 AS idx"), 5, 5)
 
@@ -738,15 +817,15 @@ def _files(spark, d):
 
 def _coded_query(kind):
     def run(spark, d):
-        packed = K.coded(_files(spark, d), "bytes", K.PACK[kind], keep=("path", "bytes"))
-        plain = K.coded(packed, "coded", K.UNPACK[kind], name="plain", keep=("path", "bytes"))
-        return plain.select("path", (c("plain") == c("bytes")).alias("same"), F.length("bytes").cast(BIG).alias("n"))
+        """Packed and unpacked again within one pass; what comes back is known by its hash."""
+        back = K.coded(_files(spark, d), "bytes", lambda x: K.UNPACK[kind](K.PACK[kind](x)), name="plain", keep=("path",))
+        return back.select("path", F.md5("plain").alias("md5"), F.length("plain").cast(BIG).alias("n"))
 
     return run
 
 
 for _kind in ("lz", "lz_magic", "lzx", "runs", "huffman4", "huffman8", "diff8", "diff16", "segments", "choice"):
-    query(f"codec_{_kind}", "SELECT CAST(doc_id AS VARCHAR) AS path, true AS same, strlen(text) AS n FROM documents WHERE text IS NOT NULL")(_coded_query(_kind))
+    query(f"codec_{_kind}", "SELECT CAST(doc_id AS VARCHAR) AS path, md5(text) AS md5, strlen(text) AS n FROM documents WHERE text IS NOT NULL")(_coded_query(_kind))
 
 
 @query("smallest_codec")
@@ -754,10 +833,18 @@ def smallest_codec(spark, d):
     return K.coded(_files(spark, d), "bytes", lambda x: K.smallest(x)[0], "string", keep=("path",))
 
 
-@query("detect_codec", "SELECT CAST(doc_id AS VARCHAR) AS path, 'runs' AS codec, strlen(text) AS n FROM documents WHERE text IS NOT NULL")
+#: The codecs that the documents are packed by in turn, to be found again.
+_TURNS = ("runs", "lz", "lzx", "huffman8", "diff8", "lz_magic", "segments")
+
+
+@query("detect_codec", f"SELECT CAST(doc_id AS VARCHAR) AS path, {list(_TURNS)}[doc_id % {len(_TURNS)} + 1] AS codec, md5(text) AS md5, strlen(text) AS n FROM documents WHERE text IS NOT NULL")
 def detect_codec(spark, d):
-    packed = K.coded(_files(spark, d), "bytes", K.pack_runs, name="bytes", keep=("path",))
-    return O.unpacked(packed).select("path", "codec", F.length("bytes").cast(BIG).alias("n"))
+    files = _files(spark, d)
+    packed = None
+    for k, kind in enumerate(_TURNS):
+        own = K.coded(files.where(c("path").cast(BIG) % len(_TURNS) == k), "bytes", K.PACK[kind], name="bytes", keep=("path",))
+        packed = own if packed is None else packed.unionByName(own)
+    return O.unpacked(packed).select("path", "codec", F.md5("bytes").alias("md5"), F.length("bytes").cast(BIG).alias("n"))
 
 
 @query("crc16", sql("byte_seq", "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(list_reduce(list(b ORDER BY pos), lambda s, b: xor(xor(s, b) >> 8, xor(xor(xor(s, b) & 255, (xor(s, b) & 255) * 0)::BIGINT * 0, list_reduce(range(8), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 40961) ELSE v // 2 END, xor(s, b) & 255))), 65535) AS BIGINT) AS crc FROM byte_seq GROUP BY doc_id").replace("xor(xor(xor(s, b) & 255, (xor(s, b) & 255) * 0)::BIGINT * 0, list_reduce", "(list_reduce"))
@@ -765,12 +852,17 @@ def crc16(spark, d):
     return K.coded(_files(spark, d).where("length(bytes) > 0"), "bytes", K.crc16, "long", "crc", ("path",))
 
 
-@query("huffman_lengths")
+@query("huffman_lengths", sql("byte_seq", """
+WITH RECURSIVE n AS (SELECT b, count(*) AS n FROM byte_seq GROUP BY b),
+s AS (SELECT list_sort(list({'n': n, 's': -b, 'm': [b]})) AS h, list_transform(range(256), lambda x: 0) AS bits FROM n
+ UNION ALL SELECT list_sort(list_append(h[3:], {'n': h[1].n + h[2].n, 's': greatest(h[1].s, h[2].s), 'm': list_concat(h[1].m, h[2].m)})), list_transform(bits, lambda x, k: x + CASE WHEN list_contains(h[1].m, k - 1) OR list_contains(h[2].m, k - 1) THEN 1 ELSE 0 END) FROM s WHERE len(h) > 1),
+l AS (SELECT unnest(range(256)) AS symbol, unnest(bits) AS bits FROM s WHERE len(h) = 1)
+SELECT symbol, CAST(coalesce(sum(pow(2.0, -bits)) OVER (ORDER BY bits, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * pow(2, bits) AS BIGINT) AS code, CAST(bits AS BIGINT) AS bits FROM l WHERE bits > 0""").replace("WITH byte_seq", "WITH RECURSIVE byte_seq", 1).replace(", RECURSIVE n AS", ", n AS", 1))
 def huffman_lengths(spark, d):
     """Canonical codes of all documents' bytes: counts by the engine, a tree of 256 leaves at most on the driver."""
     counts = {r["b"]: r["n"] for r in K.byte_counts(_files(spark, d), "bytes").collect()}
     codes = K.canonical(K.code_lengths(counts))
-    return spark.createDataFrame([(s, code, bits) for s, (code, bits) in sorted(codes.items())] or [(0, 0, 0)], "symbol long, code long, bits long")
+    return spark.createDataFrame([(s, code, bits) for s, (code, bits) in sorted(codes.items())], "symbol long, code long, bits long")
 
 
 def _confidence_sql():
@@ -826,12 +918,13 @@ def raw_characters(spark, d):
     return px.groupBy("path", "tile_no").agg(F.sum((c("pos") + 1) * c("idx")).alias("total"))
 
 
-@query("file_slices", "SELECT CAST(doc_id AS VARCHAR) AS path, p AS part, strlen(text) // 4 AS n FROM documents, range(4) t(p) WHERE text IS NOT NULL")
+@query("file_slices", "SELECT CAST(doc_id AS VARCHAR) AS path, p AS part, md5(from_hex(substr(hex(encode(text)), CAST(2 * (strlen(text) // 4) * p + 1 AS BIGINT), CASE p WHEN 3 THEN 2 * strlen(text) ELSE 2 * (strlen(text) // 4) END))) AS md5 FROM documents, range(4) t(p) WHERE text IS NOT NULL")
 def file_slices(spark, d):
+    """Four slices of each file, the last with what division leaves."""
     files = _files(spark, d)
-    quarter = F.expr("length(bytes) div 4")
-    specs = files.select("path", quarter.alias("size"), F.explode(F.sequence(F.lit(0).cast(BIG), F.lit(3).cast(BIG))).alias("part")).withColumn("offset", c("part") * c("size"))
-    return O.slices(files, specs).select("path", "part", F.length("bytes").cast(BIG).alias("n"))
+    quarter, part = F.expr("length(bytes) div 4"), F.explode(F.sequence(F.lit(0).cast(BIG), F.lit(3).cast(BIG)))
+    specs = files.select("path", F.length("bytes").alias("all"), quarter.alias("quarter"), part.alias("part")).select("path", "part", (c("part") * c("quarter")).alias("offset"), F.when(c("part") == 3, c("all") - c("quarter") * 3).otherwise(c("quarter")).alias("size"))
+    return O.slices(files, specs).select("path", "part", F.md5("bytes").alias("md5"))
 
 
 # ------------------------------------------------------------------ textures, text, backgrounds
@@ -900,18 +993,20 @@ def message_tags(spark, d):
     return back.select("conv_id", "turn", F.substring("back", 10, 1 << 30).alias("back"), F.length("coded").cast(BIG).alias("n"))
 
 
-@query("message_recode", "SELECT conv_id, turn, true AS same FROM conversations")
+@query("message_recode", "SELECT conv_id, turn, 2 * length(text) AS n, md5(text) AS md5 FROM conversations")
 def message_recode(spark, d):
+    """UTF-8 to 16-bit units and back; the texts have no character of two units."""
     m = R.table(spark, d, "conversations").select("conv_id", "turn", F.encode("text", "UTF-8").alias("t"))
-    wide = K.coded(m, "t", lambda x: T.recode(x, 4, 2), name="w", keep=("conv_id", "turn", "t"))
-    back = K.coded(wide, "w", lambda x: T.recode(x, 2, 4), name="b", keep=("conv_id", "turn", "t"))
-    return back.select("conv_id", "turn", (c("b") == c("t")).alias("same"))
+    wide = K.coded(m, "t", lambda x: T.recode(x, 4, 2), name="w", keep=("conv_id", "turn"))
+    back = K.coded(wide, "w", lambda x: T.recode(x, 2, 4), name="b", keep=("conv_id", "turn", "w"))
+    return back.select("conv_id", "turn", F.length("w").cast(BIG).alias("n"), F.md5("b").alias("md5"))
 
 
-@query("name_hashes", "SELECT p_partkey AS id, CAST(list_reduce(list_transform(string_split(p_name, ''), lambda x: CAST(unicode(x) AS BIGINT)), lambda h, b: (xor(((h << 5) | (h >> 27)) & 4294967295, b) + b) & 4294967295, CAST(0 AS BIGINT)) AS BIGINT) AS h FROM part")
+@query("name_hashes", """
+SELECT p_partkey AS id, CAST(xor(list_reduce(list_transform(string_split(p_name, ''), lambda x: CAST(unicode(x) AS BIGINT)), lambda h, b: ((((xor(h, b) >> 5) | (xor(h, b) << 11)) & 65535) + ((((xor(h, b) >> 5) | (xor(h, b) << 11)) & 65535) >> 8)) & 65535, CAST(0 AS BIGINT)), length(p_name)) AS BIGINT) AS h FROM part""")
 def name_hashes(spark, d):
     p = R.table(spark, d, "part").select(c("p_partkey").alias("id"), F.encode("p_name", "UTF-8").alias("n"))
-    return K.coded(p, "n", lambda x: T.name_hash(x.decode()), "long", "h", ("id",))
+    return K.coded(p, "n", T.name_hash, "long", "h", ("id",))
 
 
 @query("background")

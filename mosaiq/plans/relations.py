@@ -37,12 +37,19 @@ def tile_px(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_dup(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    """(tile_no, pos, idx): 240 tiles, 120 different, 30 under flips; the same at every size."""
+    """(tile_no, pos, idx): a character file of 240 tiles, 120 different, 30 under flips; a lookup side, the same at every size."""
     k = spark.range(240).selectExpr("id AS tile_no", "explode(sequence(0L, 63L)) AS pos")
     k = k.withColumn("m", F.expr("CASE (tile_no div 30) % 4 WHEN 0 THEN 0L WHEN 1 THEN 7L WHEN 2 THEN 56L ELSE 63L END"))
     return k.selectExpr("tile_no", "pos", "((tile_no % 30) * 13 + (pos ^ m) * 7 * (1 + (tile_no % 30) % 3)) % 11 AS idx")
 
 
+def tile_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tile_no, pos, idx): a pixel an order, 64 a tile, whole tiles only; of every 240 tiles 120 differ, 30 under flips."""
+    k = table(spark, sf_dir, "orders").selectExpr("o_orderkey div 64 AS tile_no", "o_orderkey % 64 AS pos").withColumn("whole", F.expr("count(*) OVER (PARTITION BY tile_no) = 64")).where("whole")
+    k = k.withColumn("m", F.expr("CASE (tile_no div 30) % 4 WHEN 0 THEN 0L WHEN 1 THEN 7L WHEN 2 THEN 56L ELSE 63L END"))
+    return k.selectExpr("tile_no", "pos", "((tile_no % 30) * 13 + (pos ^ m) * 7 * (1 + (tile_no % 30) % 3)) % 11 AS idx")
+
+
 def screen_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, raw): packed references, some to tiles that aren't there."""
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS cell", "(o_custkey % 300) + 1024 * (o_orderkey % 4) + 4096 * (o_orderkey % 16) AS raw")
@@ -91,6 +98,7 @@ SQL = {
     "palette": "SELECT p_partkey AS idx, (p_partkey * 7919 + p_size * 31) % 32768 AS color FROM part WHERE p_partkey < 256",
     "tile_px": "SELECT img * 64 + (y // 8) * 8 + x // 8 AS tile_no, (y % 8) * 8 + x % 8 AS pos, r % 16 AS idx FROM pixel",
     "tile_dup": "SELECT k AS tile_no, p AS pos, ((k % 30) * 13 + xor(p, CASE (k // 30) % 4 WHEN 0 THEN 0 WHEN 1 THEN 7 WHEN 2 THEN 56 ELSE 63 END) * 7 * (1 + (k % 30) % 3)) % 11 AS idx FROM range(240) a(k), range(64) b(p)",
+    "tile_copies": "SELECT k AS tile_no, p AS pos, ((k % 30) * 13 + xor(p, CASE (k // 30) % 4 WHEN 0 THEN 0 WHEN 1 THEN 7 WHEN 2 THEN 56 ELSE 63 END) * 7 * (1 + (k % 30) % 3)) % 11 AS idx FROM (SELECT o_orderkey // 64 AS k, o_orderkey % 64 AS p FROM orders QUALIFY count(*) OVER (PARTITION BY o_orderkey // 64) = 64)",
     "screen_cell": "SELECT o_orderkey AS cell, (o_custkey % 300) + 1024 * (o_orderkey % 4) + 4096 * (o_orderkey % 16) AS raw FROM orders",
     "message": "SELECT conv_id AS file_id, turn AS pos, text FROM conversations",
     "byte_seq": "SELECT doc_id, pos, CAST(('0x' || h) AS BIGINT) AS b FROM (SELECT doc_id, unnest(h) AS h, unnest(range(len(h))) AS pos FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents WHERE text IS NOT NULL))",
