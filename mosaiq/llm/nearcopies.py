@@ -1,8 +1,9 @@
 """The exact half of SimHash deduplication: Jaccard similarity of word shingles, over classes and min-hash keys as candidates.
 
 A text's sketch is ``BANDS`` keys, each of ``ROWS`` min-hashes. Two texts of similarity s share a key
-with probability ``1 - (1 - s**ROWS)**BANDS``: 0.99995 at 0.8. Texts that share a key are candidates;
-only pairs whose shingle sets, compared whole, reach the threshold are near copies.
+with probability ``1 - (1 - s**ROWS)**BANDS``: 0.9995 at 0.8, and 0.28 at 0.55, so that texts of one
+pattern that aren't near copies seldom meet. Texts that share a key are candidates; only pairs whose
+shingle sets, compared whole, reach the threshold are near copies.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow
 
-ROWS, BANDS = 5, 25
-#: Shingles whose min-hashes are made at once; bounds a worker's matrix to some 4 MB.
-BLOCK = 4096
-_A = np.random.default_rng(17).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = np.random.default_rng(18).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
+ROWS, BANDS = 8, 41
+#: Shingles whose min-hashes are made at once; bounds a worker's matrix to some 3 MB.
+BLOCK = 2048
+_A = np.random.default_rng(17).integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = np.random.default_rng(18).integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,9 +48,10 @@ def sketch(text: str | None, width: int, digest) -> tuple[int, np.ndarray]:
     for i in range(k):
         s = _mixed(s * _MIX + h[i : len(h) - k + 1 + i])
     s = np.unique(s)
-    low = np.full(len(_A), np.iinfo(np.uint64).max)
+    low = np.full(len(_A), np.iinfo(np.uint32).max, np.uint32)
+    halves = (s >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(s), BLOCK):
-        low = np.minimum(low, (_A[:, None] * s[None, at : at + BLOCK] + _B[:, None]).min(axis=1))
+        low = np.minimum(low, (_A[:, None] * halves[None, at : at + BLOCK] + _B[:, None]).min(axis=1))
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for part in low.reshape(BANDS, ROWS).T:
         keys = _mixed(keys * _MIX + part)
@@ -90,47 +92,58 @@ def _similar(width: int, least: Fraction):
 def copies(docs: DataFrame, width: int, least: Fraction, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, dropped): ``rows(node, low)`` and the nodes that are near copies of a smaller one.
 
-    Candidates share a min-hash key or one of ``classes(doc_id, class)``.
-
-    Nodes are different texts, ordered by their least doc_id, ``low``. In every round each bucket
-    (texts of one key) names leaders that are compared with all its texts; those similar to a smaller
-    one leave all buckets. The first round names one leader, each later one four times as many as the
-    round before, so that a group of near copies takes as many comparisons as it has members. It ends
-    when every pair left in a bucket has been compared.
+    Nodes are different texts, ordered by their least doc_id, ``low``. First every text is compared
+    with the first of its class, of ``classes(doc_id, class)``. Then rounds follow over the texts left: in
+    each, every bucket (texts of one key) names leaders that are compared with all its texts; those
+    similar to a smaller one leave all buckets. The first round names one leader, each later one four
+    times as many as the round before, so that a group of near copies takes as many comparisons as it
+    has members. It ends when every pair left in a bucket has been compared.
     """
     found = cut(sketches(docs, width))
     own = cut(found.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    rest = own.select("node", "low", "n", F.explode("keys").alias("key"))
-    classed = classes.select(F.col("doc_id").alias("low"), F.xxhash64(F.lit("class"), "class").alias("key")).distinct()
-    rest = rest.unionByName(own.select("node", "low", "n").join(classed, "low").select("node", "low", "n", "key")).withColumn("led", F.lit(False))
+    texts = docs.select(F.col("doc_id").cast("long").alias("low"), F.col("text").cast("string").alias("text"))
+    size = F.least("na", "nb") * least.denominator >= F.greatest("na", "nb") * least.numerator
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        """(a, b) of candidates (x, lx, na, y, ly, nb) that may be similar by their sizes, the smaller text first."""
+        first = F.struct("lx", "x") < F.struct("ly", "y")
+        return pairs.where((F.col("x") != F.col("y")) & size).select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
+
+    classed = own.select("low", "node", "n").join(classes.select(F.col("doc_id").alias("low"), "class").distinct(), "low")
+    heads = classed.groupBy("class").agg(F.min(F.struct("low", "node", "n")).alias("h"), F.count("*").alias("all")).where("all > 1")
+    of_class = cut(ordered(classed.select("class", F.col("node").alias("y"), F.col("low").alias("ly"), F.col("n").alias("nb")).join(heads.select("class", F.col("h.node").alias("x"), F.col("h.low").alias("lx"), F.col("h.n").alias("na")), "class")))
+    rest = own.select("node", "low", "n", F.explode("keys").alias("key"), F.lit(False).alias("led"))
     shared = rest.groupBy("key").count().where("count > 1").select("key")
     rest = cut(rest.join(shared, "key"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("low"), F.col("text").cast("string").alias("text"))
-    some = found.join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("low"))
+    compared = rest.select("node").unionByName(of_class.selectExpr("a AS node")).unionByName(of_class.selectExpr("b AS node")).distinct()
+    some = found.join(compared, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = map_arrow(texts.join(some.select("low").distinct(), "low", "left_semi"), _with_node, "node long, text string")
     held = cut(named.join(some, "node", "left_semi").dropDuplicates(["node"]))
-    dropped, tested, classes = None, None, 1
-    size = F.least("na", "nb") * least.denominator >= F.greatest("na", "nb") * least.numerator
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The larger texts of the pairs whose shingle sets, compared whole, are similar."""
+        both = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        return cut(map_arrow(both.select("a", "b", "ta", "tb"), _similar(width, least), "a long, b long").select(F.col("b").alias("node")).distinct())
+
+    tested, dropped, leaders = of_class, similar(of_class), 1
+    rest = cut(_open(rest.join(dropped, "node", "left_anti")))
     while not rest.isEmpty():
-        new = cut(rest.where("NOT led").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(classes)).alias("class")).agg(F.min(F.struct("low", "node", "n")).alias("a")).select("key", "a"))
+        new = cut(rest.where("NOT led").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("part")).agg(F.min(F.struct("low", "node", "n")).alias("a")).select("key", "a"))
         pairs = new.select("key", F.col("a.node").alias("x"), F.col("a.low").alias("lx"), F.col("a.n").alias("na")).join(rest.select("key", F.col("node").alias("y"), F.col("low").alias("ly"), F.col("n").alias("nb")), "key")
-        first = F.struct("lx", "x") < F.struct("ly", "y")
-        pairs = pairs.where((F.col("x") != F.col("y")) & size).select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        both = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        gone = cut(map_arrow(both.select("a", "b", "ta", "tb"), _similar(width, least), "a long, b long").select(F.col("b").alias("node")).distinct())
+        pairs = cut(ordered(pairs).join(tested, ["a", "b"], "left_anti"))
+        gone = similar(pairs)
         led = new.select("key", F.col("a.node").alias("node"), F.lit(True).alias("now"))
         rest = rest.join(gone, "node", "left_anti").join(led, ["key", "node"], "left").select("key", "node", "low", "n", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
-        rest = cut(rest)
-        open_ = rest.groupBy("key").agg(F.count("*").alias("all"), F.count_if(~F.col("led")).alias("new")).where("all > 1 AND new > 0").select("key")
-        rest = cut(rest.join(open_, "key", "left_semi"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        classes *= 4
-    dropped = found.select("node").limit(0) if dropped is None else dropped.distinct()
-    return own.select("node", "low"), dropped
+        rest = cut(_open(rest))
+        tested, dropped = tested.unionByName(pairs), dropped.unionByName(gone)
+        leaders *= 4
+    return own.select("node", "low"), dropped.distinct()
+
+
+def _open(rest: DataFrame) -> DataFrame:
+    """Rows of the buckets that have two texts or more, and one that hasn't led yet."""
+    open_ = rest.groupBy("key").agg(F.count("*").alias("all"), F.count_if(~F.col("led")).alias("new")).where("all > 1 AND new > 0").select("key")
+    return rest.join(open_, "key", "left_semi")
 
 
 def _with_node(batches):
