@@ -807,6 +807,7 @@ def covering(spark, d):
 # ------------------------------------------------------------------ bytes and files
 
 from ..functions import codecs as K  # noqa: E402
+from ..sources import files as W  # noqa: E402
 from ..sources import objects as O  # noqa: E402
 
 
@@ -866,23 +867,113 @@ def huffman_lengths(spark, d):
 
 
 def _confidence_sql():
-    rows = []
-    for k, entry in enumerate(O.FORMATS.replace("\n", " ").split(";")):
-        kind, name, checks = entry.split()
-        score = sum({"H": 100, "F": 50, "S": 400, "C": 100, "X": 200, "Z": 50, "N": 25, "W": 475}.get(x, 0) for x in checks)
-        rows.append(f"({k}, '{kind}', '{name}', {score})")
-    values = ", ".join(rows)
+    """Every registered format, scored as plain sums of what its checks look at."""
+    weight = {"header": 100, "footer": 50, "signature": 400, "chunked": 100, "checksum": 200, "compression": 50, "size": 25, "over_host": 475}
+    values = ", ".join(f"({k}, '{kind}', '{name}', {sum(weight.get(x, 0) for x in checks)})" for k, (kind, name, checks) in enumerate(O.FORMATS))
     return f"""WITH f(id, type, name, confidence) AS (VALUES {values}), s AS (SELECT s_suppkey AS path, s_nationkey AS k FROM supplier)
     SELECT CAST(path AS VARCHAR) AS path, type, name, CAST(confidence AS BIGINT) AS confidence, row_number() OVER (PARTITION BY path ORDER BY confidence DESC, id) AS place FROM s JOIN f ON (f.id + s.path) % 11 = s.k % 11"""
 
 
-@query("identify_formats", _confidence_sql())
-def identify_formats(spark, d):
+@query("format_confidence", _confidence_sql())
+def format_confidence(spark, d):
     files = R.table(spark, d, "supplier").select(c("s_suppkey").cast("string").alias("path"), c("s_suppkey").alias("p"), c("s_nationkey").alias("k"))
     found = O.identify(files, O.registry(spark), (c("id") + c("p")) % 11 == c("k") % 11)
     return found.select("path", "type", "name", "confidence", "place")
 
 
+# ---- files of objects: parts as palettes, orders as tiles, screens, records and nodes, events as animations
+
+#: Formats that the files of a kind are written in, in turn.
+_PALETTES = ("NCLR", "NCL", "5PL", "5PC", "Tose", "Hudson", "Binary", "NTFP")
+_CHARACTERS = ("NCGR", "NCG", "Tose", "Hudson", "Hudson 2", "Slices", "Binary")
+_SCREENS = ("NSCR", "NSC", "Tose", "Hudson", "Hudson 2")
+#: Endings of the palettes' paths: raw ones are known by them alone.
+_ENDINGS = (".nclr", ".ncl", ".5pl", ".5pc", ".x", ".y", ".pal", ".ntfp")
+
+
+def _written(rows, kind, names):
+    """Files (path, bytes): ``rows`` with a number ``file``, written in the formats in turn."""
+    out = None
+    for k, name in enumerate(names):
+        own = W.write(rows.where(c("file") % len(names) == k).drop("file"), kind, name)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _palette_rows(spark, d):
+    part = R.table(spark, d, "part").selectExpr("p_partkey div 64 AS file", "p_partkey % 64 AS idx", "(p_partkey * 7919 + p_size * 31) % 32768 AS color")
+    grid = part.select("file").distinct().withColumn("idx", F.explode(F.sequence(F.lit(0).cast(BIG), F.lit(63).cast(BIG))))
+    endings = F.element_at(F.array(*map(F.lit, _ENDINGS)), (c("file") % len(_ENDINGS) + 1).cast("int"))
+    return grid.join(part, ["file", "idx"], "left").select("file", F.concat(c("file").cast("string"), endings).alias("path"), "idx", F.coalesce("color", F.lit(0)).alias("color"))
+
+
+_PALETTE_FILES = f"p AS (SELECT f.file, CAST(f.file AS VARCHAR) || {list(_ENDINGS)}[f.file % {len(_ENDINGS)} + 1] AS path, i AS idx, coalesce((p_partkey * 7919 + p_size * 31) % 32768, 0) AS color FROM (SELECT DISTINCT p_partkey // 64 AS file FROM part) f CROSS JOIN range(64) t(i) LEFT JOIN part ON p_partkey = f.file * 64 + i)"
+
+
+@query("palette_files", f"WITH {_PALETTE_FILES} SELECT path, idx, color FROM p")
+def palette_files(spark, d):
+    """Palettes of 64 colours through eight formats."""
+    return W.read(_written(_palette_rows(spark, d), "palette", _PALETTES), "palette")
+
+
+@query("identify_files", f"WITH {_PALETTE_FILES} SELECT path, ['none', 'lz', 'runs'][min(file) // 8 % 3 + 1] AS codec, 'palette' AS kind, {list(_PALETTES)}[min(file) % 8 + 1] AS format FROM p GROUP BY path")
+def identify_files(spark, d):
+    """The whole way: a codec undone, endings, checks, guesses."""
+    files = _written(_palette_rows(spark, d), "palette", _PALETTES).withColumn("file", F.regexp_extract("path", r"^(\d+)", 1).cast(BIG))
+    turn = F.expr("file div 8 % 3")
+    packed = files.where(turn == 0).select("path", "bytes")
+    for k, kind in ((1, "lz"), (2, "runs")):
+        packed = packed.unionByName(K.coded(files.where(turn == k), "bytes", K.PACK[kind], name="bytes", keep=("path",)).select("path", "bytes"))
+    return W.identify(packed)
+
+
+def _identify_sql():
+    # The formats as which a palette of 64 colours in each format reads, with their confidence: its size decides for those that check nothing.
+    raw, any_, px = ("palette", "Binary", 0), ("palette", "NTFP", 0), ("character", "Binary", 0)
+    found = {"NCLR": [("palette", "NCLR", 600), any_], "NCL": [("palette", "NCL", 600), raw, any_, px], "5PL": [("palette", "5PL", 600), any_], "5PC": [("palette", "5PC", 600), any_], "Tose": [("palette", "Tose", 500), any_], "Hudson": [("palette", "Hudson", 100), any_], "Binary": [raw, any_, px], "NTFP": [raw, any_, px]}
+    values = ", ".join(f"({k}, {place}, '{kind}', '{name}', {n})" for k, key in enumerate(_PALETTES) for place, (kind, name, n) in enumerate(found[key], 1))
+    return f"WITH {_PALETTE_FILES}, v(k, place, kind, format, confidence) AS (VALUES {values}) SELECT path, CAST(place AS BIGINT) AS place, kind, format, CAST(confidence AS BIGINT) AS confidence FROM (SELECT DISTINCT file, path FROM p) x JOIN v ON v.k = x.file % 8"
+
+
+@query("identify_formats", _identify_sql())
+def identify_formats(spark, d):
+    """Every format as which a file reads, by the formats' own checks."""
+    return W.formats_of(_written(_palette_rows(spark, d), "palette", _PALETTES))
+
+
+@query("character_files", sql("tile_px", "SELECT CAST(t.tile_no // 16 AS VARCHAR) AS path, t.tile_no % 16 AS tile_no, p AS pos, coalesce(x.idx, 0) AS idx FROM (SELECT DISTINCT tile_no FROM tile_px) t CROSS JOIN range(64) b(p) LEFT JOIN tile_px x ON x.tile_no = t.tile_no AND x.pos = p"))
+def character_files(spark, d):
+    """Graphics of 16 tiles through seven formats."""
+    rows = R.tile_px(spark, d).selectExpr("tile_no div 16 AS file", "CAST(tile_no div 16 AS STRING) AS path", "tile_no % 16 AS tile_no", "pos", "idx")
+    return W.read(_written(rows, "character", _CHARACTERS), "character")
+
+
+@query("screen_files", "SELECT CAST(f.file AS VARCHAR) AS path, 40 AS width, 30 AS height, i AS cell, coalesce(o_custkey * 40503 % 65536, 0) AS raw FROM (SELECT DISTINCT o_orderkey // 1200 AS file FROM orders) f CROSS JOIN range(1200) t(i) LEFT JOIN orders ON o_orderkey = f.file * 1200 + i")
+def screen_files(spark, d):
+    """Screens of 40 by 30 cells through five formats, in panels or not."""
+    rows = R.table(spark, d, "orders").selectExpr("o_orderkey div 1200 AS file", "CAST(o_orderkey div 1200 AS STRING) AS path", "40L AS width", "30L AS height", "o_orderkey % 1200 AS cell", "o_custkey * 40503 % 65536 AS raw")
+    return W.read(_written(rows, "screen", _SCREENS), "screen")
+
+
+@query("cell_files", sql("sprite", "SELECT CAST(cell // 16 AS VARCHAR) AS path, cell % 16 AS cell, cell % 3 AS cell_attr, n, attr0, attr1, attr2 FROM sprite"))
+def cell_files(spark, d):
+    rows = R.sprite(spark, d).selectExpr("CAST(cell div 16 AS STRING) AS path", "cell % 16 AS cell", "cell % 3 AS cell_attr", "n", "attr0", "attr1", "attr2")
+    return W.read(W.write(rows, "cell", "NCER"), "cell")
+
+
+@query("animation_files", sql("anim_frame", "SELECT CAST(seq // 8 AS VARCHAR) AS path, seq % 8 AS seq, 0 AS start, 1 AS type, mode, frame_no, duration, cell AS \"index\", CASE seq % 3 WHEN 1 THEN frame_no * 100 % 65536 ELSE 0 END AS rot_z, 4096 AS sx, CASE seq % 3 WHEN 1 THEN 4096 + cell ELSE 4096 END AS sy, CASE seq % 3 WHEN 2 THEN cell - 20 ELSE 0 END AS px, 0 AS py FROM anim_frame"))
+def animation_files(spark, d):
+    """Animations in their narrowest frame types: indices, with scale and turn, with offsets."""
+    rows = R.anim_frame(spark, d).selectExpr("CAST(seq div 8 AS STRING) AS path", "seq % 8 AS seq", "0L AS start", "1L AS type", "mode", "frame_no", "duration", "cell AS index", "CASE seq % 3 WHEN 1 THEN frame_no * 100 % 65536 ELSE 0 END AS rot_z", "4096L AS sx", "CASE seq % 3 WHEN 1 THEN 4096 + cell ELSE 4096 END AS sy", "CASE seq % 3 WHEN 2 THEN cell - 20 ELSE 0 END AS px", "0L AS py")
+    return W.read(W.write(rows, "animation", "NANR"), "animation")
+
+
+@query("multicell_files", "SELECT CAST(o_orderkey // 128 AS VARCHAR) AS path, o_orderkey // 8 % 16 AS mc, o_orderkey % 8 AS node, o_custkey % 65536 AS seq, o_orderkey % 200 - 100 AS x, o_custkey % 90 - 45 AS y, o_orderkey % 4 AS attr FROM orders")
+def multicell_files(spark, d):
+    rows = R.table(spark, d, "orders").selectExpr("CAST(o_orderkey div 128 AS STRING) AS path", "o_orderkey div 8 % 16 AS mc", "o_orderkey % 8 AS node", "o_custkey % 65536 AS seq", "o_orderkey % 200 - 100 AS x", "o_custkey % 90 - 45 AS y", "o_orderkey % 4 AS attr")
+    return W.read(W.write(rows, "multicell", "NMCR"), "multicell")
+
+
 @query("guess_kinds")
 def guess_kinds(spark, d):
     return K.coded(_files(spark, d), "bytes", O.guess_kind, "string", "kind", ("path",))

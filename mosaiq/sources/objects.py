@@ -1,4 +1,4 @@
-"""Scans and sinks of packed binary objects: whole files, identification, chunks, and five formats.
+"""Scans and sinks of packed binary objects: whole files, the register of formats, guesses by content, message and raw files.
 
 Files come through Spark's ``binaryFile`` source, so any store that Spark reads will do.
 """
@@ -12,25 +12,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codecs import UNPACK, detect
+from ..functions.text import ENCODINGS, units
 
 # ---- identification
 
 # Weights of what an identification checks, by flag bit.
 WEIGHTS = {"header": (1, 100), "footer": (2, 50), "signature": (4, 400), "chunked": (8, 100), "checksum": (16, 200), "compression": (32, 50), "validated": (64, 0), "size": (128, 25), "offsets": (256, 0), "host": (512, 475), "over_host": (1024, 475)}
 
-# Registered formats as type, name and checks (H header, F footer, S signature,
-# C chunked, X checksum, Z compression, V validated, N size, O offsets, W before host codecs).
-FORMATS = """
-palette NCLR HSCVO; palette NCL HSCV; palette 5PL HSCV; palette 5PC HSCV; palette Tose HS; palette Bomberman HSV; palette Hudson H; palette Setosa HSC; palette Binary -; palette NTFP -;
-character NCGR HSCVO; character NCG HSCV; character ICG FCSV; character ACG FCSV; character Tose HSV; character Bomberman HSZ; character Hudson H; character Hudson2 H; character GhostTrick Z; character Setosa HSCV; character Binary -;
-screen NSCR HSCV; screen NSC HSCV; screen ISC FSCV; screen ASC FSCV; screen Tose HS; screen Bomberman HSV; screen Hudson H; screen Hudson2 H; screen Binary N;
-cell NCER HSCOV; cell Setosa HSCOV; cell Hudson HO; cell Bomberman HSV; cell GhostTrick HO; animation NANR HSCOV; animation GhostTrick OV; multicell NMCR HSCOV;
-font NFTR0.1 HSOCV; font NFTR1.0 HSOCV; font NFTR1.1 HSOCV; font NFTR1.2 HSOCV; font BNFR2.0 HSOCV; font BNFR1.2 HSOV; font BNFR1.1 HSOV; font GameFreak1.1 HSCVO; font Starfy HVO; codemap BNCMP1.1 HSOV; codemap BNCMP1.2 HSOV;
-message BMG HSCOV; layout BNLL HSV; layout BNCL HSV; layout BNBL HSV;
-texture NNSTGA HVCOW; texture NNSPIC HVCOW; texture 5TX HSVC; texture SPT HSV; texture TDS HSVO; texture NTGA HSVO; texture ToLoveRu HSVO; texture GRF HSCV; archive NSBTX HSOCV; archive BMD HVO; archive STTEX HS;
-combination 5BG HSCV; combination 5BGOBJ HSCV; combination BNCD HSVO; combination Banner HVX; combination AOB HSCV; combination GRF HSCV; combination MBB HVO; combination TimeAce HVO; combination DataFile -; scene SCN HSV
-"""
-_LETTER = dict(zip("HFSCXZVNOW", ("header", "footer", "signature", "chunked", "checksum", "compression", "validated", "size", "offsets", "over_host"), strict=True))
+# Registered formats, as kind, name and what their checks look at.
+_G = ("header", "signature", "chunked", "validated")
+_GO = ("header", "signature", "chunked", "offsets", "validated")
+_HS, _HSV, _HSVO = ("header", "signature"), ("header", "signature", "validated"), ("header", "signature", "validated", "offsets")
+_FOOT = ("footer", "signature", "chunked", "validated")
+FORMATS = (
+    ("palette", "NCLR", _GO), ("palette", "NCL", _G), ("palette", "5PL", _G), ("palette", "5PC", _G), ("palette", "Tose", _HS),
+    ("palette", "Bomberman", _HSV), ("palette", "Hudson", ("header",)), ("palette", "Setosa", ("header", "signature", "chunked")), ("palette", "Binary", ()), ("palette", "NTFP", ()),
+    ("character", "NCGR", _GO), ("character", "NCG", _G), ("character", "ICG", _FOOT), ("character", "ACG", _FOOT), ("character", "Tose", _HSV),
+    ("character", "Bomberman", ("header", "signature", "compression")), ("character", "Hudson", ("header",)), ("character", "Hudson 2", ("header",)), ("character", "Ghost Trick", ("compression",)), ("character", "Setosa", _G), ("character", "Binary", ()),
+    ("screen", "NSCR", _G), ("screen", "NSC", _G), ("screen", "ISC", _FOOT), ("screen", "ASC", _FOOT), ("screen", "Tose", _HS),
+    ("screen", "Bomberman", _HSV), ("screen", "Hudson", ("header",)), ("screen", "Hudson 2", ("header",)), ("screen", "Binary", ("size",)),
+    ("cell", "NCER", _GO), ("cell", "Setosa", _GO), ("cell", "Hudson", ("header", "offsets")), ("cell", "Bomberman", _HSV), ("cell", "Ghost Trick", ("header", "offsets")),
+    ("animation", "NANR", _GO), ("animation", "Ghost Trick", ("offsets", "validated")), ("multicell", "NMCR", _GO),
+    ("font", "NFTR 0.1", _GO), ("font", "NFTR 1.0", _GO), ("font", "NFTR 1.1", _GO), ("font", "NFTR 1.2", _GO), ("font", "BNFR 2.0", _GO),
+    ("font", "BNFR 1.2", _HSVO), ("font", "BNFR 1.1", _HSVO), ("font", "GameFreak 1.1", _GO), ("font", "Starfy", ("header", "validated", "offsets")), ("codemap", "BNCMP 1.1", _HSVO), ("codemap", "BNCMP 1.2", _HSVO),
+    ("message", "BMG", _GO), ("layout", "BNLL", _HSV), ("layout", "BNCL", _HSV), ("layout", "BNBL", _HSV),
+    ("texture", "NNS TGA", ("header", "validated", "chunked", "offsets", "over_host")), ("texture", "NNS PIC", ("header", "validated", "chunked", "offsets", "over_host")), ("texture", "5TX", _G), ("texture", "SPT", _HSV),
+    ("texture", "TDS", _HSVO), ("texture", "NTGA", _HSVO), ("texture", "To Love Ru", _HSVO), ("texture", "GRF", _G),
+    ("archive", "NSBTX", _GO), ("archive", "BMD", ("header", "validated", "offsets")), ("archive", "STTEX", _HS),
+    ("combination", "5BG", _G), ("combination", "5BG OBJ", _G), ("combination", "BNCD", _HSVO), ("combination", "Banner", ("header", "validated", "checksum")), ("combination", "AOB", _G),
+    ("combination", "GRF", _G), ("combination", "MBB", ("header", "validated", "offsets")), ("combination", "Time Ace", ("header", "validated", "offsets")), ("combination", "Data File", ()), ("scene", "SCN", _HSV),
+)
 
 
 def confidence(flags: Column) -> Column:
@@ -42,10 +53,7 @@ def confidence(flags: Column) -> Column:
 
 def registry(spark: SparkSession) -> DataFrame:
     """(id, type, name, flags): the formats, about seventy rows whatever the input."""
-    rows = []
-    for k, entry in enumerate(FORMATS.replace("\n", " ").split(";")):
-        kind, name, checks = entry.split()
-        rows.append((k, kind, name, sum(WEIGHTS[_LETTER[x]][0] for x in checks if x != "-")))
+    rows = [(k, kind, name, sum(WEIGHTS[x][0] for x in checks)) for k, (kind, name, checks) in enumerate(FORMATS)]
     return spark.createDataFrame(rows, "id long, type string, name string, flags long")
 
 
@@ -60,54 +68,64 @@ def identify(files: DataFrame, formats: DataFrame, predicate: Column) -> DataFra
 
 
 def guess_kind(data: bytes) -> str:
-    """palette, character or screen, by votes over the bytes as colours, cell references and pixels.
+    """palette, character or screen by content, or invalid if the size fits none.
 
-    Colours have no bit 15, sizes must fit; references vote by how many are flipped, how often they
-    rise, and how much of their range they use; pixels by their longest run. The palette wins ties,
-    then the screen.
+    A kind whose size fits has one vote; a palette's colours have no bit 15. Where several kinds
+    have one, a screen wins and loses votes by how many references are turned, how many follow a
+    lower one, and how much of their range they use, and characters by the longest run of a byte. Ties
+    go to the palette, then the screen.
     """
     import numpy as np
 
     n = len(data)
-    u = np.frombuffer(data[: n // 2 * 2], "<u2").astype(np.int64)
-    pal = int(n % 2 == 0 and n <= 32768 and not (u & 0x8000).any())
-    chars = int(n > 0 and n % 32 == 0)
-    scr = int(n in _SCREEN_SIZES)
-    votes = {"palette": pal, "character": chars, "screen": scr}
-    if sum(map(bool, votes.values())) <= 1:
-        return next((k for k, v in votes.items() if v), "invalid")
-    if scr:
-        flips = int(((u >> 10) & 3 > 0).sum())
-        scr += (flips <= n // 2 // 4) - (flips > n // 2 // 2)
-    if not scr and pal != chars:
-        return "palette" if pal else "character"
-    if scr:
-        c = u & 0x3FF
-        rising = int((c >= np.concatenate(([-1], c[:-1]))).sum())
-        scr = max(0, scr - (rising * 2 < len(u))) + (rising * 4 >= 3 * len(u))
-    if scr:
-        c = np.sort(u) & 0x3FF
-        span, used = int(c[-1] - c[0] + 1), int((c != np.concatenate(([c[0] - 1], c[:-1]))).sum())
-        scr = max(0, scr - (used * 4 < span)) + (used * 4 >= 3 * span)
-    if not pal and bool(chars) != bool(scr):
-        return "character" if chars else "screen"
-    if chars:
-        a = np.frombuffer(data, np.uint8)
-        stops = np.append(np.flatnonzero(np.diff(a)) + 1, n)
-        at = longest = 0
-        while at < n:
-            stop = int(stops[np.searchsorted(stops, at, side="right")])
-            if a[at]:
-                # A run counts one more than it has, and the byte that ends it begins none.
-                longest = max(longest, stop - at + 1)
-                stop += 1
-            at = stop
-        chars = max(0, chars - (longest < 16)) + (longest >= 24)
-    votes = {"palette": pal, "screen": scr, "character": chars}
+    numbers = np.frombuffer(data[: n // 2 * 2], "<u2").astype(np.int64)
+    votes = {"palette": int(n % 2 == 0 and n <= 32768 and not (numbers & 0x8000).any()), "screen": int(n in _SCREEN_SIZES), "character": int(n > 0 and n % 32 == 0)}
+    standing = lambda: [k for k, v in votes.items() if v]
+    if len(standing()) < 2:
+        return (standing() or ["invalid"])[0]
+    for rule in (_turned, _rising, _spread):
+        if votes["screen"]:
+            votes["screen"] = max(0, votes["screen"] + rule(numbers))
+        if len(standing()) == 1:
+            return standing()[0]
+    if votes["character"]:
+        longest = _longest_pixels(np.frombuffer(data, np.uint8))
+        votes["character"] = max(0, votes["character"] - (longest < 16)) + (longest >= 24)
     top = max(votes.values())
     return next(k for k, v in votes.items() if v == top) if top else "character"
 
 
+def _turned(numbers) -> int:
+    """Few references of a screen are turned."""
+    turned = int((numbers >> 10 & 3 > 0).sum())
+    return int(4 * turned <= len(numbers)) - int(2 * turned > len(numbers))
+
+
+def _rising(numbers) -> int:
+    """Most references of a screen are no lower than the one before."""
+    c = numbers & 0x3FF
+    rising = 1 + int((c[1:] >= c[:-1]).sum())
+    return int(4 * rising >= 3 * len(c)) - int(2 * rising < len(c))
+
+
+def _spread(numbers) -> int:
+    """A screen uses most characters between its lowest and its highest."""
+    import numpy as np
+
+    c = np.unique(numbers & 0x3FF)
+    span = int(c[-1] - c[0] + 1)
+    return int(4 * len(c) >= 3 * span) - int(4 * len(c) < span)
+
+
+def _longest_pixels(a) -> int:
+    """The longest run of one byte but 0."""
+    import numpy as np
+
+    edges = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
+    size = np.diff(edges)[a[edges[:-1]] != 0]
+    return int(size.max()) if len(size) else 0
+
+
 # Bytes of the screen sizes that the hardware has.
 _SCREEN_SIZES = frozenset((512, 1536, 2048, 4096, 8192, 16384, 32768))
 
@@ -136,31 +154,43 @@ def unpacked(files: DataFrame) -> DataFrame:
     return files.select("path", "bytes").mapInArrow(one, "path string, codec string, bytes binary")
 
 
-# ---- chunks
+# ---- message containers
 
-def pack_chunks(kind: bytes, chunks: list[tuple[bytes, bytes]]) -> bytes:
-    """A file of 16 bytes of header (kind, byte order, version, size, header size, count), then (signature, size, data)."""
-    body = b"".join(s + struct.pack("<I", len(d) + 8) + d for s, d in chunks)
-    return kind + struct.pack("<HHIHH", 0xFEFF, 0x0100, 16 + len(body), 16, len(chunks)) + body
+#: Bytes of a message file's header, and the multiple to which it and every block are padded.
+MESSAGE_HEADER, ALIGN = 32, 32
 
 
-def chunk_list(data: bytes) -> list[tuple[str, int, int]]:
-    """(signature, offset of the data, size of the data) of a file's chunks; ValueError if it isn't one."""
-    if len(data) < 16:
-        raise ValueError("too short")
-    bom, _, size, start, count = struct.unpack_from("<HHIHH", data, 4)
-    if bom != 0xFEFF or size > len(data) or start < 16:
+def _signed(data: bytes, signature: bytes) -> bool | None:
+    """Whether a signature stands in ``data`` as it reads (False) or backwards (True); None if neither."""
+    return False if data == signature else True if data == signature[::-1] else None
+
+
+def message_blocks(data: bytes) -> tuple[str, dict[str, bytes], list[tuple[str, int, int]]]:
+    """(byte order, blocks by name, (name, offset of the data, its size) in order) of a message container; ValueError if it isn't one."""
+    if len(data) < MESSAGE_HEADER or (turned := _signed(data[:4], b"MESG")) is None or _signed(data[4:8], b"bmg1") is not turned:
         raise ValueError("another kind")
-    out, at = [], start
-    for _ in range(count):
-        if at + 8 > size:
-            raise ValueError("too short")
-        n = struct.unpack_from("<I", data, at + 4)[0]
-        if n < 8 or at + n > size:
-            raise ValueError("too long")
-        out.append((data[at : at + 4].decode("latin-1"), at + 8, n - 8))
-        at += n
-    return out
+    for order in "<>":
+        size, count = struct.unpack_from(f"{order}II", data, 8)
+        own, at = [], MESSAGE_HEADER
+        if not MESSAGE_HEADER <= size <= len(data):
+            continue
+        for _ in range(count):
+            if at + 8 > size or not 8 <= (n := struct.unpack_from(f"{order}I", data, at + 4)[0]) <= size - at:
+                break
+            name = data[at : at + 4][:: -1 if turned else 1].decode("latin-1")
+            own.append((name, at + 8, n - 8))
+            at += n
+        else:
+            blocks: dict[str, bytes] = {}
+            for name, start, n in own:
+                blocks.setdefault(name, data[start : start + n])
+            return order, blocks, own
+    raise ValueError("no whole blocks")
+
+
+def chunk_list(data: bytes) -> list[tuple[str, int, int]]:
+    """(signature, offset of the data, size of the data) of a message container's blocks; ValueError if it isn't one."""
+    return message_blocks(data)[2]
 
 
 def chunks(files: DataFrame) -> DataFrame:
@@ -213,25 +243,55 @@ def write_u16(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.unhex(F.array_join(h, "")).alias("bytes"))
 
 
-def pack_messages(messages: list[tuple[int, bytes]]) -> bytes:
-    """A message file: an index of offsets into a pool of terminated strings, and the ids."""
-    pool, at = b"\0", []
-    for _, m in messages:
-        at.append(len(pool) if m else 0)
-        pool += m + b"\0" if m else b""
-    index = struct.pack("<HHI", len(messages), 4, 0) + b"".join(struct.pack("<I", a) for a in at)
-    ids = struct.pack("<HHI", len(messages), 0, 0) + b"".join(struct.pack("<I", k) for k, _ in messages)
-    return pack_chunks(b"MESG", [(b"INF1", index), (b"DAT1", pool), (b"MID1", ids)])
+def pool(strings: list[bytes], step: int = 1) -> tuple[bytes, list[int]]:
+    """One run of bytes that holds all strings, and where each lies: longest first, those that it holds already shared."""
+    out, at = b"", [0] * len(strings)
+    for k in sorted(range(len(strings)), key=lambda k: (-len(strings[k]), k)):
+        place = out.find(strings[k])
+        while place >= 0 and place % step:
+            place = out.find(strings[k], place + 1)
+        if place < 0:
+            place, out = len(out), out + strings[k]
+        at[k] = place
+    return out, at
+
+
+def pack_messages(messages: list[tuple[int, bytes]], encoding: int = 4, order: str = "<", group: int = 0, extra: bytes = b"") -> bytes:
+    """A message file of (id, text): an index of offsets into a pool of terminated strings, the pool, and the ids.
+
+    ``extra`` follows every offset of the index. Sizes are padded to 32; signatures read forwards.
+    """
+    size = 2 if encoding == 2 else 1
+    strings, at = pool([m + bytes(size) for _, m in messages], size)
+    ordered = all(a[0] < b[0] for a, b in zip(messages, messages[1:], strict=False))
+    entry = 4 + len(extra)
+    step = -(-entry // 4) * 4
+    index = struct.pack(f"{order}HHHBB", len(messages), entry, group, 0, 0) + b"".join((struct.pack(f"{order}I", a) + extra).ljust(step, b"\0") for a in at)
+    ids = struct.pack(f"{order}HBBI", len(messages), 0x10 if ordered else 0, 0, 0) + b"".join(struct.pack(f"{order}I", k) for k, _ in messages)
+    body = b""
+    for name, data in ((b"INF1", index), (b"DAT1", strings), (b"MID1", ids)):
+        data += bytes(-(len(data) + 8) % ALIGN)
+        body += name + struct.pack(f"{order}I", len(data) + 8) + data
+    return b"MESGbmg1" + struct.pack(f"{order}IIB", MESSAGE_HEADER + len(body), 3, encoding) + bytes(MESSAGE_HEADER - 17) + body
 
 
 def message_list(data: bytes) -> list[tuple[int, bytes]]:
-    own = {s: data[o : o + n] for s, o, n in chunk_list(data)}
-    if data[:4] != b"MESG" or not {"INF1", "DAT1"} <= own.keys():
+    """(id, text's bytes) of a message file in either byte order; without ids, the places."""
+    order, own, _ = message_blocks(data)
+    if not {"INF1", "DAT1"} <= own.keys() or data[16] > 4:
         raise ValueError("another kind")
-    n = struct.unpack_from("<H", own["INF1"])[0]
-    at = struct.unpack_from(f"<{n}I", own["INF1"], 8)
-    ids = struct.unpack_from(f"<{n}I", own["MID1"], 8) if "MID1" in own else range(n)
-    return [(k, own["DAT1"][a : own["DAT1"].index(b"\0", a)]) for k, a in zip(ids, at, strict=True)]
+    index, strings, size = own["INF1"], own["DAT1"], 2 if data[16] == 2 else 1
+    n, step = struct.unpack_from(f"{order}HH", index)
+    step = -(-step // 4) * 4
+    at = [struct.unpack_from(f"{order}I", index, 8 + step * k)[0] for k in range(n)]
+    ids = struct.unpack_from(f"{order}{n}I", own["MID1"], 8) if "MID1" in own else range(n)
+    out = []
+    for k, a in zip(ids, at, strict=True):
+        if a >= len(strings):
+            raise ValueError("beyond the pool")
+        text = strings[a : a + units(strings[a:], size)]
+        out.append((k, b"".join(text[i : i + 2][::-1] for i in range(0, len(text), 2)) if size == 2 and order == ">" else text))
+    return out
 
 
 def read_messages(files: DataFrame) -> DataFrame:
@@ -242,7 +302,8 @@ def read_messages(files: DataFrame) -> DataFrame:
             rows = []
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows += [(path, pos, k, m.decode("utf-8", "replace")) for pos, (k, m) in enumerate(message_list(data or b""))]
+                    name = ENCODINGS.get((data or b"").ljust(17, b"\0")[16], "utf-8")
+                    rows += [(path, pos, k, m.decode(name, "replace")) for pos, (k, m) in enumerate(message_list(data or b""))]
                 except (ValueError, struct.error):
                     continue
             types = (pa.string(), pa.int64(), pa.int64(), pa.string())

@@ -16,6 +16,7 @@ from mosaiq.operators import dedup as D
 from mosaiq.operators import lookup as L
 from mosaiq.operators import quantize as Q
 from mosaiq.operators import sequence as S
+from mosaiq.sources import files as W
 from mosaiq.sources import objects as O
 from mosaiq.streaming.playback import Player, play_stream
 
@@ -222,6 +223,110 @@ def test_binary_files(spark, tmp_path):
     assert got == {"a.bin": ("lz", 160), "b.bin": ("none", 64)}
 
 
+def _rows_of(kind, r):
+    plain = W.PLAIN
+    return {
+        "palette": [(i, r.randrange(1, 32768)) for i in range(64)],
+        "character": [(t, p, r.randrange(16)) for t in range(5) for p in range(64)],
+        "screen": [(32, 24, c, r.randrange(4096)) for c in range(768)],
+        "cell": [(k, k % 3, i, *(r.randrange(65536) for _ in range(3))) for k in range(4) for i in range(k + 1)],
+        "animation": [(s, 0, 1, 1 + s % 4, i, 1 + r.randrange(9), r.randrange(50), *((r.randrange(65536), 4096 + i, 4096, -9, 3) if s % 3 == 1 else (*plain[:3], i, 2) if s % 3 == 2 else plain)) for s in range(5) for i in range(3)],
+        "multicell": [(m, n, r.randrange(9), r.randrange(-50, 50), r.randrange(-50, 50), r.randrange(4)) for m in range(3) for n in range(m + 1)],
+    }[kind]
+
+
+@pytest.mark.parametrize("f", W.FORMATS.formats, ids=lambda f: f"{f.kind}-{f.name}")
+def test_formats_round_trip_and_reject(f):
+    r = random.Random(31)
+    rows = _rows_of(f.kind, r)
+    data = f.write(rows)
+    assert sorted(f.read(data)) == sorted(rows) and f.valid(data)
+    if f.checks and f.checks != ("size",):
+        assert W.FORMATS.identify(data)[0] is f
+        assert not any(f.valid(data[:n]) for n in (0, 3, 11, len(data) // 2))
+    for _ in range(200):  # damaged files are refused or read, never worse
+        bad = bytearray(data)
+        for _ in range(3):
+            bad[r.randrange(len(bad))] = r.randrange(256)
+        assert f.valid(bytes(bad)) in (True, False)
+
+
+def test_formats_of_known_bytes():
+    """Files written out by hand: a palette of four colours, new, old and compressed; a bitmap of two tiles; a big-endian message file."""
+    head = lambda sig, size, n=1: sig + b"\xff\xfe\x00\x01" + size.to_bytes(4, "little") + b"\x10\x00" + n.to_bytes(2, "little")
+    body = (3).to_bytes(4, "little") + bytes(4) + (8).to_bytes(4, "little") + (16).to_bytes(4, "little") + b"\x01\x00\x02\x00\x03\x00\x04\x00"
+    new = head(b"RLCN", 48) + b"TTLP" + (32).to_bytes(4, "little") + body
+    old = head(b"RLCN", 40) + b"TTLP" + (24).to_bytes(4, "little") + body
+    want = [(0, 1), (1, 2), (2, 3), (3, 4)]
+    assert W.FORMATS.named("palette", "NCLR").read(new) == want == W.FORMATS.named("palette", "NCLR").read(old)
+    assert W.FORMATS.named("palette", "NCLR").write(want) == new
+    sparse = [(i, i if i // 16 == 2 else 0) for i in range(256)]
+    packed = W.write_compressed_nclr(sparse)
+    assert W.FORMATS.named("palette", "NCLR").read(packed) == sparse and len(packed) < 100
+    px = bytes(range(64))  # two tiles side by side, 16 pixels a row, 4 bits each
+    char = (1).to_bytes(2, "little") + (2).to_bytes(2, "little") + b"".join(n.to_bytes(4, "little") for n in (3, 0, 1, 64, 24)) + px
+    got = W.FORMATS.named("character", "NCGR").read(head(b"RGCN", 16 + 8 + len(char)) + b"RAHC" + (8 + len(char)).to_bytes(4, "little") + char)
+    assert [v for t, p, v in got if t == 1][:8] == [4, 0, 5, 0, 6, 0, 7, 0] and [v for t, p, v in got if t == 0][8:10] == [8, 0]
+    inf = (1).to_bytes(2, "big") + (4).to_bytes(2, "big") + bytes(4) + (1).to_bytes(4, "big")
+    blocks = b"".join(n + (32).to_bytes(4, "big") + d.ljust(24, b"\0") for n, d in ((b"INF1", inf), (b"DAT1", b"\0hi\0")))
+    assert O.message_list(b"MESGbmg1" + (96).to_bytes(4, "big") + (2).to_bytes(4, "big") + b"\x04" + bytes(15) + blocks) == [(0, b"hi")]
+    assert O.pack_messages([(0, b"hi")])[:20] == b"MESGbmg1" + (128).to_bytes(4, "little") + (3).to_bytes(4, "little") + b"\x04\0\0\0"
+
+
+def test_messages_in_either_order_and_wide():
+    for order in "<>":
+        assert O.message_list(O.pack_messages([(9, b"ab"), (2, b"b")], order=order, extra=b"xy")) == [(9, b"ab"), (2, b"b")]
+    wide = "né".encode("utf-16-le")
+    assert O.message_list(O.pack_messages([(0, wide), (1, b"")], encoding=2)) == [(0, wide), (1, b"")]
+
+
+def test_registry_takes_new_formats_once():
+    own = W.Registry([W.FORMATS.named("palette", "NCLR")])
+    f = own.register(W.Format("palette", "Mine", ("header", "signature"), lambda data: [(0, 7)] if data[:4] == b"MINE" else 1 / 0 if not data else (_ for _ in ()).throw(ValueError("no"))))
+    assert own.identify(b"MINE") == [f] and f.confidence == 500 and own.identify(b"other") == []
+    with pytest.raises(ValueError):
+        own.register(f)
+    with pytest.raises(ValueError):
+        own.register(W.Format("no such kind", "x", (), f.read))
+
+
+def test_identification_goes_by_codec_ending_check_guess_and_size():
+    r = random.Random(32)
+    pal = W.FORMATS.named("palette", "NCLR").write(_rows_of("palette", r))
+    assert W.identified(pal) == ("none", "palette", "NCLR") and W.identified(K.pack_lz(pal)) == ("lz", "palette", "NCLR")
+    raw = bytes(range(64))
+    assert W.identified(raw, "a.ntfp")[1:] == ("palette", "NTFP") and W.identified(raw, "a.NBFC")[1:] == ("character", "Binary")
+    assert W.identified(raw, kind="character")[1:] == ("character", "Binary") and W.identified(b"abc")[1:] == ("invalid", "")
+
+
+def test_huffman_of_known_bytes():
+    # Symbols 7 and 9 under one node: 7 is the left leaf, 9 the right one; bits 0 1 1 0, padded to a word of 32, stored from its lowest byte.
+    assert K.unpack_huffman(K.header(K.HUFFMAN8, 4) + bytes((1, 0xC0, 7, 9)) + (0b0110 << 28).to_bytes(4, "little")) == bytes((7, 9, 9, 7))
+    # Half bytes 1 (bit 0) and 2 (bit 1), the low half first.
+    assert K.unpack_huffman(K.header(K.HUFFMAN4, 1) + bytes((1, 0xC0, 1, 2)) + (0b01 << 30).to_bytes(4, "little")) == b"\x21"
+    with pytest.raises(ValueError):
+        K.unpack_huffman(K.header(K.HUFFMAN8, 4) + bytes((1, 0x00, 7, 9)) + bytes(4))
+
+
+def test_formulas_of_known_values(spark):
+    """Worked out by hand from the formats' rules."""
+    from mosaiq.functions import packed as P
+    from mosaiq.functions import text as T
+
+    assert T.name_hash(b"") == 0
+    h = 0x61 >> 5 | 0x61 << 11 & 0xFFFF  # one letter: turned right by 5, its upper byte added, the length in
+    assert T.name_hash(b"a") == ((h + (h >> 8)) & 0xFFFF) ^ 1 == 0x080A
+    one = spark.range(1)
+    value = lambda column: one.select(column.alias("v")).first().v
+    lit = lambda v: F.lit(v).cast("bigint")
+    assert value(P.hash3(lit(0x12), lit(0x34), lit(0xF6))) == 0x12 ^ 0x26 << 1 ^ 0xE4 << 2 & 0x1FF ^ 0xE4 >> 7
+    assert [value(P.permille_changed(lit(a), lit(b))) for a, b in ((1000, 250), (1000, 1500), (0, 5), (3, 1))] == [750, 500, 0, 667]
+    assert value(C.gray(lit(31), lit(31), lit(31))) == 31 and value(C.gray(lit(31), lit(0), lit(0))) == int(31 * 0.2126 ** (1 / 2.2) + 0.5) == 15
+    got = [value(x) for x in C.over((lit(200), lit(0), lit(0), lit(128)), (lit(0), lit(100), lit(0), lit(64)))]
+    assert got == [200 * 32640 // 40768, 100 * 8128 // 40768, 0, 40768 // 255]
+    assert [value(x) for x in C.over((lit(1), lit(2), lit(3), lit(0)), (lit(4), lit(5), lit(6), lit(7)))] == [4, 5, 6, 7]
+
+
 def test_guess_kind():
     assert O.guess_kind(np.arange(256, dtype="<u2").tobytes()) in ("palette", "screen", "character")
     assert O.guess_kind(b"") == "palette" and O.guess_kind(b"abc") == "invalid"
