@@ -28,8 +28,14 @@ def give_back() -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with small batches; narrow, so a lost executor costs one input split."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow with small batches; narrow, so a lost executor costs one input split.
+
+    The size of a batch is the session's; it is lowered to BATCH_ROWS where it is larger, and stays so,
+    as the plan is run later.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches):
         try:
@@ -64,6 +70,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it lies."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: rows are written to the shared checkpoint folder, and survive lost executors."""
     shared_dir(df.sparkSession)
@@ -75,7 +88,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Returns ``(node, label)``, one row per node that occurs in an edge; the label is the smallest
     node of its component. Every round is a grouped minimum and a join, written to the checkpoint
-    folder; nothing but two numbers per round reaches the driver. No edges give no rows.
+    folder; nothing but two numbers per round reaches the driver. A hub's edges, two numbers each, meet
+    in a sort-merge join with one row a node, which adaptive execution splits on the edges' side.
+    No edges give no rows.
     """
     e = cut(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
     before = None
@@ -94,4 +109,4 @@ def components(edges: DataFrame) -> DataFrame:
     return e.selectExpr("a AS node", "b AS label").unionByName(e.selectExpr("b AS node", "b AS label").distinct())
 
 
-__all__ = ["BATCH_ROWS", "components", "cut", "map_arrow", "shared_dir", "table"]
+__all__ = ["BATCH_ROWS", "components", "cut", "lasting_dir", "map_arrow", "remove", "shared_dir", "table"]

@@ -19,6 +19,8 @@ from .common import map_arrow, table
 
 DIMS = 1024
 UNDETERMINED = "und"
+#: Different languages that a table may name.
+LANGUAGES = 2000
 #: Unit vectors are added as integers of this scale, so that sums don't depend on their order.
 SCALE = 1 << 20
 #: Texts bundled together; bounds the matrix of trigram counts.
@@ -108,7 +110,8 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
     """Language -> unit prototype, learnt from all of ``docs(text, lang)`` with a lang.
 
     Partitions add up their own documents and send one vector a language; those are added by
-    dimension in a shuffle. DIMS numbers a language reach the driver.
+    dimension in a shuffle. DIMS numbers a language reach the driver; more than LANGUAGES raise, as
+    such a column doesn't name languages.
     """
 
     def partial(batches):
@@ -125,7 +128,10 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
     rows = map_arrow(docs.where("lang IS NOT NULL AND text IS NOT NULL").selectExpr("CAST(text AS string) text", "CAST(lang AS string) lang"), partial, "lang string, v array<long>")
     total = rows.select("lang", F.posexplode("v").alias("dim", "x")).groupBy("lang", "dim").agg(F.sum("x").alias("x"))
     found: dict[str, np.ndarray] = {}
-    for lang, dim, x in total.collect():
+    rows = total.limit(LANGUAGES * DIMS + 1).collect()
+    if len(rows) > LANGUAGES * DIMS:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    for lang, dim, x in rows:
         found.setdefault(lang, np.zeros(DIMS))[dim] = x
     return {k: v / norm for k, v in sorted(found.items()) if (norm := np.linalg.norm(v)) > 0}
 
@@ -167,6 +173,12 @@ def held_out(doc_id: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
 
 
 def op5_language(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row of ``documents``.
+
+    Prototypes come from the rows with a text and a lang that aren't held out; with none, every
+    text is ``und``. Null texts and texts without letters are ``und`` with score 0; repeated rows and
+    null doc_ids (never held out) each come back; no rows give no rows. Texts are read whole.
+    """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", held_out())
     model = prototypes(docs.where(~F.col("held_out")))
     return identify(docs, model, ("doc_id", "held_out"))

@@ -331,4 +331,5 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op3_sentencepiece(spark, sf_dir: str, model: str = MODEL) -> DataFrame:
+    """``encode`` of every row of ``documents`` with the pieces of a file: null, empty and repeated rows as stated there."""
     return encode(table(spark, sf_dir, "documents"), Pieces.read(model))

@@ -92,6 +92,8 @@ def links(fps: DataFrame) -> DataFrame:
     components, by a count of rows that grows with the bucket, not with its square.
     """
     n = len(SEGMENTS)
+    # 69 rows come of each fingerprint: these are dealt out first, whatever few files they were read from.
+    fps = fps.repartition(4 * fps.sparkSession.sparkContext.defaultParallelism, "fp")
     fp = F.col("fp")
     exact = [F.struct(F.lit(i).alias("i"), _key(fp, i).alias("key")) for i in range(n)]
     near = [F.struct(F.lit(i).alias("i"), _key(fp, i, flip).alias("key")) for i in range(n) for flip in (0, *(1 << j for j in range(SEGMENTS[(i + 1) % n][1])))]

@@ -130,6 +130,11 @@ def _merged(parts: list[DataFrame], k: int) -> DataFrame:
 
 
 def op4_topk(spark, sf_dir: str) -> DataFrame:
+    """The K best of all ``embeddings`` for every vec_id that EVERY divides.
+
+    Null ids, null vectors and such with a null or non-finite component take no part; empty vectors
+    score 0; repeated ids are searched once and compete each; no rows give no rows.
+    """
     rows = usable(table(spark, sf_dir, "embeddings"))
     return search(rows.where(F.col("vec_id") % EVERY == 0), rows)
 
