@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.llm import decontaminate, langid, pii, sentencepieces, simhash
-from mosaiq.llm.common import shared_dir, table
+from mosaiq.llm.common import remove, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Cosine with the nearest language under which a text counts as in none: four times the chance cosine of random
@@ -73,12 +73,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each but the last written to the shared folder."""
+    """All stages over ``documents``, each but the last written to the shared folder.
+
+    A stage's files go once the next stage's are written; those that the last one reads stay.
+    """
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{at}/{k}-{name}")
             docs = spark.read.parquet(f"{at}/{k}-{name}")
+            if before:
+                remove(spark, before)
+            before = f"{at}/{k}-{name}"
     return docs
