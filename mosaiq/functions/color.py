@@ -96,6 +96,23 @@ def distance(p: tuple[Column, ...], q: tuple[Column, ...], w: tuple[int, int, in
     return sum(((a - b) * (a - b) * (k * k) for a, b, k in zip(p[:3], q[:3], w, strict=True)), F.lit(0.0))
 
 
+def uniform_background() -> tuple[tuple[float, float, float], tuple[float, float, float]]:
+    """Means of y, i and q and of their squares, over colours of which each channel is anything from 0 to 255."""
+    means = tuple(127.5 * sum(row) for row in YIQ)
+    return means, tuple(m * m + 255.0 * 255.0 / 12.0 * sum(k * k for k in row) for m, row in zip(means, YIQ, strict=True))
+
+
+def alpha_distance(p: tuple[Column, ...], q: tuple[Column, ...], w: tuple[int, int, int] = (20, 20, 20), background=None) -> Column:
+    """Weighted squared distance of two (y, i, q, a), as seen on the average over a distribution of backgrounds.
+
+    ``background`` has the means of y, i and q and of their squares; by default every colour is equally likely.
+    """
+    means, squares = background or uniform_background()
+    da = p[3] - q[3]
+    mixed = sum(((a - b) * (2.0 * m * k * k) for a, b, m, k in zip(p[:3], q[:3], means, w, strict=True)), F.lit(0.0))
+    return distance(p, q, w) + da * da * sum(s * k * k for s, k in zip(squares, w, strict=True)) - da * mixed
+
+
 #: Rows of y, u and v over red, green and blue, and their weights in the squared distance; fixed values.
 YUV = ((0.2990, 0.5870, 0.1140), (-0.1684, -0.3316, 0.5000), (0.5000, -0.4187, -0.0813))
 YUV_WEIGHTS = (4.0, 1.0, 1.0)

@@ -79,6 +79,15 @@ def layout_coordinate(raw: Column) -> tuple[Column, Column]:
     return signed(bits(raw, 0, 12), 12), bits(raw, 12, 2)
 
 
+def layout_word(pos: Column, origin: Column, align: Column) -> Column:
+    """The 16 bits of a layout's coordinate: position, origin and alignment."""
+    return F.pmod(pos, F.lit(4096)) + origin * 4096 + align * 16384
+
+
+def layout_alignment(raw: Column) -> Column:
+    return bits(raw, 14, 2)
+
+
 def anchored(pos: Column, size: Column, anchor: Column) -> Column:
     """Left or top edge: anchor 0 at the edge, 1 at the centre, 2 at the far edge."""
     return pos - F.when(anchor == 1, div(size + 1, 2)).when(anchor == 2, size).otherwise(0)

@@ -42,6 +42,11 @@ def vram_totals(textures: DataFrame) -> DataFrame:
     return t.agg(F.sum("texels").alias("texels"), F.sum("indices").alias("indices"), F.sum(total).alias("total"), F.sum(F.when(block, total).otherwise(0)).alias("block_total"), F.sum(F.when(block, 0).otherwise(total)).alias("other_total"), F.count_if(block).alias("n_block"))
 
 
+def palette_bytes(palettes: DataFrame) -> DataFrame:
+    """(n_palettes, bytes): video memory of palettes (n_colors), two bytes a colour."""
+    return palettes.agg(F.count("*").alias("n_palettes"), (F.sum("n_colors") * 2).cast("bigint").alias("bytes"))
+
+
 def opaque_box(px: DataFrame, by: str = "img") -> DataFrame:
     """(img, x0, y0, x1, y1): bounds of opaque pixels, ends exclusive; -1 where there are none."""
     solid = F.col("a") >= 128

@@ -118,6 +118,16 @@ def linked(links: DataFrame) -> DataFrame:
     return links.groupBy("from_id").agg(F.max_by("to_id", "at").alias("to_id")).where("to_id IS NOT NULL")
 
 
+def forest(events: DataFrame) -> DataFrame:
+    """(from_id, to_id): what each object links to after events (from_id, to_id, at, what) of linking and unlinking.
+
+    An object has one link: a new one takes the last away. Unlinking takes away only a link to the object it names.
+    """
+    last = events.where("what = 'link'").groupBy("from_id").agg(F.max_by("to_id", "at").alias("to_id"), F.max("at").alias("since"))
+    undone = events.where("what = 'unlink'").groupBy("from_id", "to_id").agg(F.max("at").alias("until"))
+    return last.join(undone, ["from_id", "to_id"], "left").where("until IS NULL OR until < since").select("from_id", "to_id")
+
+
 def sorted_palette(palette: DataFrame, by: list[str]) -> DataFrame:
     """(idx, place): a palette's entries in order of columns, then of index."""
     return palette.select("idx", (F.row_number().over(Window.orderBy(*by, "idx")) - 1).cast("bigint").alias("place"))

@@ -124,6 +124,39 @@ def code_runs(codes: DataFrame, by: str | None = None) -> DataFrame:
     return runs.select(*([by] if by else []), "first", "last", "n", cost.alias("cost"))
 
 
+def code_map_cost(n: int, reach: int) -> int:
+    """Bytes of the cheapest map of ``n`` codes within ``reach``: dense if there is no gap, a table, or a scan."""
+    return min(*([24] if n == reach else []), (20 + 2 * reach + 3) // 4 * 4, 24 + 4 * n)
+
+
+def merge_code_runs(runs: DataFrame, by: str) -> DataFrame:
+    """(by, first, last, n, cost): neighbouring runs (first, last, n) of a font made one while that saves most, or costs nothing.
+
+    Of equal savings the later pair goes first. A font's runs are one group, as each step needs the last.
+    """
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = sorted(zip(pdf["first"].tolist(), pdf["last"].tolist(), pdf["n"].tolist(), strict=True))
+        cost = [code_map_cost(n, z - a + 1) for a, z, n in own]
+        while len(own) > 1:
+            saved = [cost[i] + cost[i + 1] - code_map_cost(own[i][2] + own[i + 1][2], own[i + 1][1] - own[i][0] + 1) for i in range(len(own) - 1)]
+            i = max(range(len(saved)), key=lambda i: (saved[i], i))
+            if saved[i] < 0:
+                break
+            own[i : i + 2] = [(own[i][0], own[i + 1][1], own[i][2] + own[i + 1][2])]
+            cost[i : i + 2] = [cost[i] + cost[i + 1] - saved[i]]
+        return pd.DataFrame([(pdf[by].iloc[0], *o, k) for o, k in zip(own, cost, strict=True)], columns=[by, "first", "last", "n", "cost"])
+
+    return runs.select(by, "first", "last", "n").groupBy(by).applyInPandas(one, f"{by} long, first long, last long, n long, cost long")
+
+
+def used_widths(px: DataFrame, by: str = "tile_no", width: int = 8) -> DataFrame:
+    """(tile_no, width): columns of a glyph up to the last with a pixel but 0."""
+    end = F.max(F.when(F.col("idx") != 0, F.col("pos") % width + 1))
+    return px.groupBy(by).agg(F.coalesce(end, F.lit(0)).cast("bigint").alias("width"))
+
+
 def pool_strings(messages: DataFrame, by: str = "file_id", pos: str = "pos", text: str = "text") -> DataFrame:
     """(file_id, pos, offset): places in a file's string pool, longest strings first, substrings shared.
 

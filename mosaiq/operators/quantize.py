@@ -102,6 +102,41 @@ def principal_axis(hist: DataFrame) -> tuple[float, float, float]:
     return tuple((axis if axis[0] >= 0 else -axis).tolist())
 
 
+def principal_order(hist: DataFrame) -> DataFrame:
+    """Colours with ``score``, how far along the direction of greatest variance they lie, and ``place`` in that order."""
+    axis = principal_axis(hist)
+    p = with_yiq(hist).withColumn("score", sum((F.col(n) * k for n, k in zip(("cy", "ci", "cq"), axis, strict=True)), F.lit(0.0)))
+    return p.withColumn("place", (F.row_number().over(Window.orderBy("score", "r", "g", "b")) - 1).cast("bigint"))
+
+
+def by_lightness(palettes: DataFrame) -> DataFrame:
+    """(pal, place): palettes (pal, r, g, b, a) by their mean lightness, opacity weighing; those without any come first."""
+    y, _, _, a = yiq(F.col("r"), F.col("g"), F.col("b"), F.col("a"))
+    sums = palettes.groupBy("pal").agg(F.sum(y).alias("y"), F.sum(a).alias("a"))
+    light = F.when(F.col("a") > 0, F.round(F.col("y") / F.col("a"), 6))
+    return sums.select("pal", (F.row_number().over(Window.orderBy(light.asc_nulls_first(), "pal")) - 1).cast("bigint").alias("place"))
+
+
+def layered_distance(rows: DataFrame, keys: list[str], d: Column) -> DataFrame:
+    """(*keys, d): distances of colours with a value a layer, added up over the layers."""
+    return rows.groupBy(*keys).agg(F.sum(d).alias("d"))
+
+
+def closest_palettes(colors: DataFrame, uses: DataFrame) -> DataFrame:
+    """(file, p, q, d): in each file the two palettes of one type that are least missed if made one, the first at ties.
+
+    ``colors`` has (file, pal, pos, r, g, b), ``uses`` (file, pal, type, n): the difference of the colours,
+    place by place, times the uses of both. Palettes meet within their file alone.
+    """
+    c = with_yiq(colors).select("file", "pal", "pos", "cy", "ci", "cq").join(uses, ["file", "pal"])
+    a, b = c.alias("a"), c.alias("b")
+    meet = (F.col("a.file") == F.col("b.file")) & (F.col("a.type") == F.col("b.type")) & (F.col("a.pos") == F.col("b.pos")) & (F.col("a.pal") < F.col("b.pal"))
+    d = distance(*(tuple(F.col(f"{s}.{n}") for n in ("cy", "ci", "cq")) for s in "ab"))
+    pairs = a.join(b, meet).groupBy(F.col("a.file").alias("file"), F.col("a.pal").alias("p"), F.col("b.pal").alias("q"), (F.col("a.n") + F.col("b.n")).alias("n")).agg(F.sum(d).alias("d"))
+    best = pairs.groupBy("file").agg(F.min(F.struct(F.round(F.col("d") * F.col("n"), 4).alias("d"), "p", "q")).alias("m"))
+    return best.select("file", "m.p", "m.q", "m.d")
+
+
 def best_split(hist: DataFrame, score: Column) -> DataFrame:
     """(gain, wl, n): the split of colours in order of ``score`` that lessens the weighted squared error most.
 

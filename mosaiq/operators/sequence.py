@@ -104,6 +104,34 @@ def interpolated(pairs: DataFrame, frames: int) -> DataFrame:
     return p.select("id", F.col("i").cast("bigint").alias("i"), x.alias("x"), F.get(shares["d"], F.col("i")).alias("duration"))
 
 
+def interpolated_frames(pairs: DataFrame, frames: int, clockwise: bool) -> DataFrame:
+    """(id, i, duration, index, px, py, sx, sy, rot_z): ``frames`` steps between two frames, their values numbered 0 and 1.
+
+    As ``interpolated`` for every value. A turn goes the way asked for: the angle behind gains a whole
+    turn. Index and turn round half up, the others half away from zero.
+    """
+    p = pairs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(frames - 1).cast("bigint"))))
+    w0, w1, total = (F.lit(frames) - F.col("i")) * 2, (F.col("i") + 1) * 2, 2 * frames + 2
+    mixed = lambda a, b: a * w0 + b * w1
+
+    def away(name: str) -> Column:
+        x = mixed(F.col(f"{name}0"), F.col(f"{name}1"))
+        return div(x + F.when(x < 0, -(total // 2)).otherwise(total // 2), total).alias(name)
+
+    a, b = F.col("rot_z0"), F.col("rot_z1")
+    rot = mixed(a, F.when(b < a, b + 65536).otherwise(b)) if clockwise else mixed(F.when(a < b, a + 65536).otherwise(a), b)
+    even = interpolated(pairs.select("id", F.lit(0).cast("bigint").alias("x0"), F.lit(0).cast("bigint").alias("x1"), "total"), frames).select("id", "i", "duration")
+    index = div(mixed(F.col("index0"), F.col("index1")) + total // 2, total).alias("index")
+    out = p.select("id", "i", index, *map(away, ("px", "py", "sx", "sy")), (div(rot + total // 2, total) % 65536).alias("rot_z"))
+    return out.join(even, ["id", "i"])
+
+
+def widened(frames: DataFrame) -> DataFrame:
+    """Frames with every value that a frame type may leave out: no turn, a scale of one, no offset."""
+    plain = {"rot_z": 0, "sx": 4096, "sy": 4096, "px": 0, "py": 0}
+    return frames.withColumns({n: (F.coalesce(F.col(n), F.lit(v)) if n in frames.columns else F.lit(v)).cast("bigint") for n, v in plain.items()})
+
+
 def frame_kind(frames: DataFrame, key: str = "seq") -> DataFrame:
     """(seq, kind): the narrowest frame type that keeps a sequence: 0 index, 1 with offsets, 2 with scale and turn."""
     turn = F.bool_or((F.col("sx") != 4096) | (F.col("sy") != 4096) | (F.col("rot_z") != 0))
@@ -149,6 +177,13 @@ def swizzled(x: Column, y: Column, width: int, panel: int = 32) -> Column:
     return (div(y, panel) * across + div(x, panel)) * (panel * panel) + (y % panel) * panel + x % panel
 
 
+def unswizzled(place: Column, width: int, panel: int = 32) -> tuple[Column, Column]:
+    """(x, y) of a cell stored at ``place`` in panels: the inverse of ``swizzled``."""
+    across, size = width // panel, panel * panel
+    n, within = div(place, size), place % size
+    return n % across * panel + within % panel, div(n, across) * panel + div(within, panel)
+
+
 def guessed_width(n: Column) -> Column:
     """32 if that divides n, else the larger of the factors that are nearest each other."""
     low = F.array_max(F.filter(F.sequence(F.lit(1).cast("bigint"), F.floor(F.sqrt(n.cast("double")))), lambda k: n % k == 0))
@@ -194,6 +229,18 @@ def area_scaled(px: DataFrame, width: int, height: int, out_w: int, out_h: int,
     return p.groupBy(by, F.col("u").alias("x"), F.col("v").alias("y")).agg(mean("r"), mean("g"), mean("b"), F.expr("(2 * sum(s * a) + sum(s)) div (2 * sum(s))").alias("a"))
 
 
+def fitted(px: DataFrame, width: int, height: int, out_w: int, out_h: int, cover: bool, by: str = "img") -> DataFrame:
+    """(img, x, y, r, g, b, a): images scaled with their proportions kept, centred: to cover all of a frame, or to fit into it.
+
+    What lies outside the frame goes; cells that nothing reaches aren't given.
+    """
+    options = ((out_w, height * out_w // width), (width * out_h // height, out_h))
+    w, h = (max if cover else min)(options)
+    dx, dy = int((w - out_w) / 2), int((h - out_h) / 2)
+    moved = area_scaled(px, width, height, w, h, by).withColumns({"x": F.col("x") - dx, "y": F.col("y") - dy})
+    return moved.where(F.col("x").between(0, out_w - 1) & F.col("y").between(0, out_h - 1))
+
+
 def owner(px: DataFrame, rects: DataFrame, by: str = "img") -> DataFrame:
     """(img, x, y, rect): the first rectangle (id, x0, y0, w, h) that holds each pixel; -1 if none."""
     inside = (px["x"] >= rects["x0"]) & (px["x"] < rects["x0"] + rects["w"]) & (px["y"] >= rects["y0"]) & (px["y"] < rects["y0"] + rects["h"])

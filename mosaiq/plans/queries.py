@@ -341,7 +341,7 @@ q AS (SELECT img, x, ((h + 50 * x) % 360) AS h, greatest(0, s - 10 * x) AS s, le
 def palette_operation(spark, d):
     from ..functions.palette_ops import rotate
 
-    return rotate(R.palette(spark, d), hue=50, saturation=-10, value=15, replicas=3)
+    return rotate(R.palette(spark, d), hue=50, saturation=-10, value=15, replicas=3).drop("place")
 
 
 @query("yiq", sql("pixel", "SELECT img, x, y, round((0.5146329 * r + 1.2303905 * g + 0.2588982 * b) * a / 255.0, 4) + 0.0 AS cy, round((-0.5885085 * r - 0.3060195 * g + 0.8945280 * b) * a / 255.0, 4) + 0.0 AS ci, round((0.7227111 * r - 1.3898515 * g + 0.6671403 * b) * a / 255.0, 4) + 0.0 AS cq FROM pixel_d").replace("pixel AS (", "pixel AS (", 1).replace("pixel_d", "(SELECT img, x, y, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b, CAST(a AS DOUBLE) AS a FROM pixel)"))
@@ -804,6 +804,144 @@ def covering(spark, d):
     return S.covering(R.pixel(spark, d))
 
 
+# ------------------------------------------------------------------ more of colours, frames, glyphs and links
+
+@query("alpha_distances", sql("pixel", """
+WITH p AS (SELECT img, x, y, a / 255.0 AS a, (0.5146329 * r + 1.2303905 * g + 0.2588982 * b) * a / 255.0 AS cy, (-0.5885085 * r - 0.3060195 * g + 0.8945280 * b) * a / 255.0 AS ci, (0.7227111 * r - 1.3898515 * g + 0.6671403 * b) * a / 255.0 AS cq FROM (SELECT img, x, y, """ + "CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b, CAST(a AS DOUBLE) AS a" + """ FROM pixel)),
+q AS (SELECT 0.5 AS a, (0.5146329 * 200 + 1.2303905 * 100 + 0.2588982 * 50) * 0.5 AS cy, (-0.5885085 * 200 - 0.3060195 * 100 + 0.8945280 * 50) * 0.5 AS ci, (0.7227111 * 200 - 1.3898515 * 100 + 0.6671403 * 50) * 0.5 AS cq),
+k AS (SELECT 127.5 * (0.5146329 + 1.2303905 + 0.2588982) AS my, 127.5 * (-0.5885085 - 0.3060195 + 0.8945280) AS mi, 127.5 * (0.7227111 - 1.3898515 + 0.6671403) AS mq, 5418.75 * (0.5146329 ** 2 + 1.2303905 ** 2 + 0.2588982 ** 2) AS vy, 5418.75 * (0.5885085 ** 2 + 0.3060195 ** 2 + 0.8945280 ** 2) AS vi, 5418.75 * (0.7227111 ** 2 + 1.3898515 ** 2 + 0.6671403 ** 2) AS vq)
+SELECT img, x, y, round(400 * ((p.cy - q.cy) ** 2 + (p.ci - q.ci) ** 2 + (p.cq - q.cq) ** 2) + 400 * (p.a - q.a) ** 2 * (my ** 2 + vy + mi ** 2 + vi + mq ** 2 + vq) - 800 * (p.a - q.a) * (my * (p.cy - q.cy) + mi * (p.ci - q.ci) + mq * (p.cq - q.cq)), 3) + 0.0 AS d FROM p, q, k"""))
+def alpha_distances(spark, d):
+    """Distance from half opaque (200, 100, 50), over any background."""
+    p = C.yiq(c("r"), c("g"), c("b"), c("a"))
+    q = C.yiq(F.lit(200), F.lit(100), F.lit(50), F.lit(127.5))
+    return R.pixel(spark, d).select("img", "x", "y", (F.round(C.alpha_distance(p, q), 3) + 0.0).alias("d"))
+
+
+@query("layered_distances", sql("pixel", f"WITH p AS (SELECT img, x, y, {_YIQ} FROM (SELECT img, x, y, {_DBL} FROM pixel)) SELECT img // 3 AS stack, x, y, round(sum(400 * (cy * cy + ci * ci + cq * cq)), 2) AS d FROM p GROUP BY ALL"))
+def layered_distances(spark, d):
+    """Distance from black of pixels with a layer an image, three images a stack."""
+    p = Q.with_yiq(R.pixel(spark, d)).withColumn("stack", F.expr("img div 3"))
+    black = (F.lit(0.0),) * 3
+    return Q.layered_distance(p, ["stack", "x", "y"], C.distance((c("cy"), c("ci"), c("cq")), black)).withColumn("d", F.round("d", 2))
+
+
+@query("palettes_by_lightness", """
+WITH b AS (SELECT p_partkey // 16 AS pal, CAST(p_partkey * 37 % 256 AS DOUBLE) AS r, CAST(p_partkey * 91 % 256 AS DOUBLE) AS g, CAST(p_size * 5 AS DOUBLE) AS b, CASE WHEN p_partkey // 16 % 5 = 0 THEN 0.0 WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 128 / 255.0 END AS a FROM part),
+s AS (SELECT pal, sum((0.5146329 * r + 1.2303905 * g + 0.2588982 * b) * a) AS y, sum(a) AS a FROM b GROUP BY pal)
+SELECT pal, row_number() OVER (ORDER BY CASE WHEN a > 0 THEN round(y / a, 6) END NULLS FIRST, pal) - 1 AS place FROM s""")
+def palettes_by_lightness(spark, d):
+    return Q.by_lightness(R.table(spark, d, "part").selectExpr("p_partkey div 16 AS pal", "p_partkey * 37 % 256 AS r", "p_partkey * 91 % 256 AS g", "p_size * 5L AS b", "CASE WHEN p_partkey div 16 % 5 = 0 THEN 0 WHEN p_partkey % 2 = 0 THEN 255 ELSE 128 END AS a"))
+
+
+@query("sort_palette_frequency", sql("tile_dup screen_cell palette", """
+WITH u AS (SELECT p.idx AS idx, count(*) AS n FROM screen_cell s JOIN tile_dup t ON s.raw % 1024 = t.tile_no JOIN palette p ON p.idx = (s.raw // 4096) * 16 + t.idx GROUP BY p.idx)
+SELECT palette.idx, row_number() OVER (ORDER BY coalesce(n, 0) DESC, palette.idx) - 1 AS place FROM palette LEFT JOIN u USING (idx)"""))
+def sort_palette_frequency(spark, d):
+    used = L.palette_usage(R.screen_cell(spark, d), R.tile_dup(spark), R.palette(spark, d))
+    own = R.palette(spark, d).select("idx").join(used, "idx", "left").withColumn("f", -F.coalesce("n", F.lit(0)))
+    return B.sorted_palette(own, ["f"])
+
+
+@query("closest_palettes", f"""
+WITH b AS (SELECT p_partkey // 32 AS file, p_partkey % 32 // 4 AS pal, p_partkey % 4 AS pos, CAST(p_partkey * 37 % 256 AS DOUBLE) AS r, CAST(p_partkey * 91 % 256 AS DOUBLE) AS g, CAST(p_size * 5 AS DOUBLE) AS b FROM part), c AS (SELECT file, pal, pos, {_YIQ} FROM b),
+u AS (SELECT DISTINCT file, pal, pal % 2 AS type, pal + 1 AS n FROM b),
+x AS (SELECT u.file, u.pal AS p, v.pal AS q, round(sum(400 * ((c.cy - e.cy) ** 2 + (c.ci - e.ci) ** 2 + (c.cq - e.cq) ** 2)) * (u.n + v.n), 4) AS d FROM u JOIN v2 v ON u.file = v.file AND u.type = v.type AND u.pal < v.pal JOIN c ON c.file = u.file AND c.pal = u.pal JOIN c e ON e.file = v.file AND e.pal = v.pal AND e.pos = c.pos GROUP BY u.file, u.pal, v.pal, u.n, v.n)
+SELECT file, arg_min(p, (d, p, q)) AS p, arg_min(q, (d, p, q)) AS q, min(d) AS d FROM x GROUP BY file""".replace("JOIN v2 v", "JOIN u v"))
+def closest_palettes(spark, d):
+    b = R.table(spark, d, "part").selectExpr("p_partkey div 32 AS file", "p_partkey % 32 div 4 AS pal", "p_partkey % 4 AS pos", "p_partkey * 37 % 256 AS r", "p_partkey * 91 % 256 AS g", "p_size * 5L AS b")
+    return Q.closest_palettes(b, b.selectExpr("file", "pal", "pal % 2 AS type", "pal + 1 AS n").distinct())
+
+
+@query("principal_order", sql("pixel_q", "SELECT r, g, b, count(*) AS w FROM pixel_q GROUP BY r, g, b"))
+def principal_order(spark, d):
+    """Colours in order of their principal score; what SQL can hold it against are the colours, the order is tested by itself."""
+    return Q.principal_order(Q.histogram(R.pixel_q(spark, d))).select("r", "g", "b", "w")
+
+
+@query("palette_turns", sql("palette", """
+WITH n AS (SELECT max(idx) + 1 AS size FROM palette) SELECT idx, replica, CASE WHEN idx = 0 THEN 0 ELSE (idx - 1 + replica * 5) % (size - 1) + 1 END AS place, CASE WHEN idx = 0 THEN (510 * (color % 32) + 31) // 62 END AS kept FROM palette, n, range(1, 4) t(replica)"""))
+def palette_turns(spark, d):
+    """Where entries go when a palette is turned by five for each replica, the first one kept."""
+    from ..functions.palette_ops import rotate
+
+    return rotate(R.palette(spark, d), hue=50, saturation=-10, value=15, replicas=3, turn=5, keep_first=True).select("idx", "replica", "place", F.when(c("idx") == 0, c("r")).alias("kept"))
+
+
+@query("layout_words", "SELECT o_orderkey AS id, CASE WHEN w % 4096 >= 2048 THEN w % 4096 - 4096 ELSE w % 4096 END AS pos, w // 4096 % 4 AS origin, w // 16384 AS align, w AS packed FROM (SELECT o_orderkey, o_orderkey * 40503 % 65536 AS w FROM orders)")
+def layout_words(spark, d):
+    raw = F.expr("o_orderkey * 40503 % 65536")
+    (pos, origin), align = P.layout_coordinate(raw), P.layout_alignment(raw)
+    return R.table(spark, d, "orders").select(c("o_orderkey").alias("id"), pos.alias("pos"), origin.alias("origin"), align.alias("align"), P.layout_word(pos, origin, align).alias("packed"))
+
+
+def _frames_sql():
+    away = lambda n, a, b: f"CAST(({a} * 2 * (6 - i) + {b} * 2 * (i + 1) + CASE WHEN {a} * 2 * (6 - i) + {b} * 2 * (i + 1) < 0 THEN -7 ELSE 7 END) // 14 AS BIGINT) AS {n}"
+    return f"""WITH p AS (SELECT p_partkey AS id, p_size % 50 AS i0, p_partkey % 64 AS i1, p_size * 7 - 170 AS x0, p_partkey % 300 - 150 AS x1, p_size * 300 % 65536 AS r0, p_partkey * 997 % 65536 AS r1, 4096 + p_size * 10 AS s0, 2048 - p_size * 100 AS s1 FROM part)
+    SELECT id, i, (i0 * 2 * (6 - i) + i1 * 2 * (i + 1) + 7) // 14 AS "index", {away("px", "x0", "x1")}, {away("sx", "s0", "s1")}, (r0 * 2 * (6 - i) + CASE WHEN r1 < r0 THEN r1 + 65536 ELSE r1 END * 2 * (i + 1) + 7) // 14 % 65536 AS rot_z FROM p, range(6) t(i)"""
+
+
+@query("frame_interpolation", _frames_sql())
+def frame_interpolation(spark, d):
+    p = R.table(spark, d, "part").selectExpr("p_partkey AS id", "100L AS total", "CAST(p_size % 50 AS BIGINT) AS index0", "p_partkey % 64 AS index1", "p_size * 7L - 170 AS px0", "p_partkey % 300 - 150 AS px1", "0L AS py0", "0L AS py1", "4096L + p_size * 10 AS sx0", "2048L - p_size * 100 AS sx1", "4096L AS sy0", "4096L AS sy1", "p_size * 300L % 65536 AS rot_z0", "p_partkey * 997 % 65536 AS rot_z1")
+    return S.interpolated_frames(p, 6, True).select("id", "i", "index", "px", "sx", "rot_z")
+
+
+@query("unswizzle", "SELECT o_orderkey AS id, p // 1024 % 2 * 32 + p % 32 AS x, p // 2048 * 32 + p % 1024 // 32 AS y FROM (SELECT o_orderkey, o_orderkey % 4096 AS p FROM orders)")
+def unswizzle(spark, d):
+    x, y = S.unswizzled(c("o_orderkey") % 4096, 64)
+    return R.table(spark, d, "orders").select(c("o_orderkey").alias("id"), x.alias("x"), y.alias("y"))
+
+
+def _fitted_sql(w, h, dx, dy, out_w, out_h):
+    s = "least((x + 1) * {w}, (u + 1) * 64) - greatest(x * {w}, u * 64)".format(w=w) + ") * (" + "least((y + 1) * {h}, (v + 1) * 64) - greatest(y * {h}, v * 64)".format(h=h)
+    mean = lambda ch: f"CAST(coalesce((2 * sum(s * a * {ch}) + sum(s * a)) // nullif(2 * sum(s * a), 0), 0) AS BIGINT) AS {ch}"
+    return sql("pixel", f"WITH u AS (SELECT *, unnest(range(x * {w} // 64, (x * {w} + {w - 1}) // 64 + 1)) AS u FROM pixel), v AS (SELECT *, unnest(range(y * {h} // 64, (y * {h} + {h - 1}) // 64 + 1)) AS v FROM u), s AS (SELECT *, ({s}) AS s FROM v), "
+               f"o AS (SELECT img, u - {dx} AS x, v - {dy} AS y, {mean('r')}, {mean('g')}, {mean('b')}, CAST((2 * sum(s * a) + sum(s)) // (2 * sum(s)) AS BIGINT) AS a FROM s WHERE s > 0 GROUP BY img, u, v) SELECT * FROM o WHERE x BETWEEN 0 AND {out_w - 1} AND y BETWEEN 0 AND {out_h - 1}")
+
+
+@query("cover_scale", _fitted_sql(40, 40, 0, 8, 40, 24))
+def cover_scale(spark, d):
+    return S.fitted(R.pixel(spark, d), 64, 64, 40, 24, True)
+
+
+@query("fit_scale", _fitted_sql(24, 24, -8, 0, 40, 24))
+def fit_scale(spark, d):
+    return S.fitted(R.pixel(spark, d), 64, 64, 40, 24, False)
+
+
+@query("glyph_widths", sql("tile_px", "SELECT tile_no, coalesce(max(CASE WHEN idx % 3 <> 0 AND pos % 8 < tile_no % 9 THEN pos % 8 + 1 END), 0) AS width FROM tile_px GROUP BY tile_no"))
+def glyph_widths(spark, d):
+    return D.used_widths(R.tile_px(spark, d).selectExpr("tile_no", "pos", "CASE WHEN pos % 8 < tile_no % 9 THEN idx % 3 ELSE 0 END AS idx"))
+
+
+@query("glyph_dedup", sql("tile_copies", "WITH f AS (SELECT tile_no, tile_no % 2 AS width, list(idx ORDER BY pos) AS px FROM tile_copies GROUP BY tile_no) SELECT f.tile_no, m.first FROM f JOIN (SELECT px, width, min(tile_no) AS first FROM f GROUP BY ALL) m ON m.px = f.px AND m.width = f.width"))
+def glyph_dedup(spark, d):
+    """The first glyph with the same picture and the same width."""
+    g = D.tile_arrays(R.tile_copies(spark, d)).withColumn("width", c("tile_no") % 2)
+    return D.first_equal(g, ["px", "width"], "tile_no").select("tile_no", "first")
+
+
+@query("code_maps")
+def code_maps(spark, d):
+    """Runs of codes of every font, made one where that saves."""
+    k = R.table(spark, d, "lineitem").groupBy(c("l_suppkey").alias("font"), c("l_partkey").alias("code")).agg(F.min("l_partkey").alias("glyph"))
+    return D.merge_code_runs(D.code_runs(k, "font"), "font")
+
+
+@query("object_forest", """
+WITH e AS (SELECT o_custkey AS f, o_orderkey % 7 AS t, o_orderkey AS k, o_orderkey % 3 = 0 AS off FROM orders),
+l AS (SELECT f, arg_max(t, k) AS t, max(k) AS since FROM e WHERE NOT off GROUP BY f), u AS (SELECT f, t, max(k) AS until FROM e WHERE off GROUP BY f, t)
+SELECT l.f AS from_id, l.t AS to_id FROM l LEFT JOIN u ON u.f = l.f AND u.t = l.t WHERE until IS NULL OR until < since""")
+def object_forest(spark, d):
+    return B.forest(R.table(spark, d, "orders").selectExpr("o_custkey AS from_id", "o_orderkey % 7 AS to_id", "o_orderkey AS at", "CASE WHEN o_orderkey % 3 = 0 THEN 'unlink' ELSE 'link' END AS what"))
+
+
+@query("palette_bytes", "SELECT count(*) AS n_palettes, CAST(2 * sum(p_size * 4) AS BIGINT) AS bytes FROM part")
+def palette_bytes(spark, d):
+    return A.palette_bytes(R.table(spark, d, "part").selectExpr("p_size * 4 AS n_colors"))
+
+
 # ------------------------------------------------------------------ bytes and files
 
 from ..functions import codecs as K  # noqa: E402

@@ -334,6 +334,38 @@ def test_guess_kind():
     assert O.guess_kind(b"\x22" * 96 + bytes(range(128, 160))) == "character"
 
 
+def test_principal_order_follows_the_axis(spark):
+    r = random.Random(33)
+    rows = [(i * 4, 2 * i + r.randrange(3), r.randrange(20), 1 + i % 3) for i in range(60)]
+    got = Q.principal_order(spark.createDataFrame(rows, "r long, g long, b long, w long")).orderBy("place").collect()
+    x = np.array([(p.r, p.g, p.b) for p in got]) @ np.array(C.YIQ).T
+    axis = np.linalg.eigh(np.cov(x.T, aweights=[p.w for p in got], ddof=0))[1][:, -1]
+    scores = x @ (axis if axis[0] >= 0 else -axis)
+    assert (np.diff(scores) > -1e-6).all() and [p.place for p in got] == list(range(60))
+
+
+def test_frames_between_two(spark):
+    one = spark.createDataFrame([(1, 10, 0, 9, -5, 7, 0, 3, 4096, 8192, 4096, 0, 65000, 500)], "id long, total long, index0 long, index1 long, px0 long, px1 long, py0 long, py1 long, sx0 long, sx1 long, sy0 long, sy1 long, rot_z0 long, rot_z1 long")
+    for clockwise in (True, False):
+        a, b = 65000, 500
+        a, b = (a, b + 65536) if clockwise else (a, b)
+        want = [((a * 2 * (3 - i) + b * 2 * (i + 1) + 4) // 8) % 65536 for i in range(3)]
+        got = S.interpolated_frames(one, 3, clockwise).orderBy("i").collect()
+        assert [x.rot_z for x in got] == want and sum(x.duration for x in got) == 10 and [x["index"] for x in got] == [(9 * 2 * (i + 1) + 4) // 8 for i in range(3)]
+    wide = S.widened(spark.createDataFrame([(1, 5, None)], "index long, px long, rot_z long")).first()
+    assert (wide.rot_z, wide.sx, wide.sy, wide.px, wide.py) == (0, 4096, 4096, 5, 0)
+
+
+def test_alpha_distance_is_the_mean_over_backgrounds(spark):
+    r = np.random.default_rng(34)
+    back = r.uniform(0, 255, (200_000, 3)) @ np.array(C.YIQ).T
+    one = spark.range(1)
+    p, q = (np.array([100.0, -20.0, 30.0]) * 0.4, 0.4), (np.array([180.0, 40.0, -10.0]) * 0.9, 0.9)
+    seen = ((p[0] + (1 - p[1]) * back) - (q[0] + (1 - q[1]) * back)) * 20
+    got = one.select(C.alpha_distance((*map(F.lit, p[0].tolist()), F.lit(p[1])), (*map(F.lit, q[0].tolist()), F.lit(q[1]))).alias("d")).first().d
+    assert abs(got / (seen**2).sum(axis=1).mean() - 1) < 0.02
+
+
 def test_neighbour_chain():
     assert S.neighbour_chain([(0, 0, 0), (9, 0, 0), (1, 0, 0), (4, 0, 0)]) in ([0, 2, 3, 1], [1, 3, 2, 0])
     assert S.neighbour_chain([]) == []

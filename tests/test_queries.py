@@ -118,6 +118,19 @@ def check_covering(got, db):
     assert all((p.img, p.x, p.y) in covered for p in _pixels(db).itertuples() if p.a >= 128)
 
 
+def check_code_maps(got, db):
+    """All codes of all fonts lie in the runs, no neighbours would do better as one, and no run costs more than its codes by themselves."""
+    from mosaiq.operators.dedup import code_map_cost
+
+    want = db.execute("SELECT l_suppkey AS font, l_partkey AS code FROM lineitem GROUP BY ALL").fetchdf()
+    for font, own in got.sort_values("first").groupby("font"):
+        codes = sorted(want[want["font"] == font]["code"])
+        rows = own[["first", "last", "n", "cost"]].to_numpy().tolist()
+        assert sum(r[2] for r in rows) == len(codes) and all(sum(a <= k <= z for k in codes) == n for a, z, n, _ in rows)
+        assert all(cost == code_map_cost(n, z - a + 1) for a, z, n, cost in rows)
+        assert all(code_map_cost(p[2] + q[2], q[1] - p[0] + 1) > p[3] + q[3] for p, q in zip(rows, rows[1:], strict=False))
+
+
 def check_background(got, db):
     """A reference for each tile of each image, to at most 1,024 characters and 4 palettes."""
     tiles = {(p.img, p.img * 64 + p.y // 8 * 8 + p.x // 8) for p in _pixels(db).itertuples()}
