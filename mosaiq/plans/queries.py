@@ -1023,8 +1023,8 @@ def format_confidence(spark, d):
 
 #: Formats that the files of a kind are written in, in turn.
 _PALETTES = ("NCLR", "NCL", "5PL", "5PC", "Tose", "Hudson", "Binary", "NTFP")
-_CHARACTERS = ("NCGR", "NCG", "Tose", "Hudson", "Hudson 2", "Slices", "Binary")
-_SCREENS = ("NSCR", "NSC", "Tose", "Hudson", "Hudson 2")
+_CHARACTERS = ("NCGR", "NCG", "ICG", "ACG", "Tose", "Hudson", "Hudson 2", "Slices", "Setosa", "Binary")
+_SCREENS = ("NSCR", "NSC", "ISC", "ASC", "Tose", "Hudson", "Hudson 2")
 #: Endings of the palettes' paths: raw ones are known by them alone.
 _ENDINGS = (".nclr", ".ncl", ".5pl", ".5pc", ".x", ".y", ".pal", ".ntfp")
 
@@ -1081,14 +1081,14 @@ def identify_formats(spark, d):
 
 @query("character_files", sql("tile_px", "SELECT CAST(t.tile_no // 16 AS VARCHAR) AS path, t.tile_no % 16 AS tile_no, p AS pos, coalesce(x.idx, 0) AS idx FROM (SELECT DISTINCT tile_no FROM tile_px) t CROSS JOIN range(64) b(p) LEFT JOIN tile_px x ON x.tile_no = t.tile_no AND x.pos = p"))
 def character_files(spark, d):
-    """Graphics of 16 tiles through seven formats."""
+    """Graphics of 16 tiles through ten formats."""
     rows = R.tile_px(spark, d).selectExpr("tile_no div 16 AS file", "CAST(tile_no div 16 AS STRING) AS path", "tile_no % 16 AS tile_no", "pos", "idx")
     return W.read(_written(rows, "character", _CHARACTERS), "character")
 
 
 @query("screen_files", "SELECT CAST(f.file AS VARCHAR) AS path, 40 AS width, 30 AS height, i AS cell, coalesce(o_custkey * 40503 % 65536, 0) AS raw FROM (SELECT DISTINCT o_orderkey // 1200 AS file FROM orders) f CROSS JOIN range(1200) t(i) LEFT JOIN orders ON o_orderkey = f.file * 1200 + i")
 def screen_files(spark, d):
-    """Screens of 40 by 30 cells through five formats, in panels or not."""
+    """Screens of 40 by 30 cells through seven formats, in panels or not."""
     rows = R.table(spark, d, "orders").selectExpr("o_orderkey div 1200 AS file", "CAST(o_orderkey div 1200 AS STRING) AS path", "40L AS width", "30L AS height", "o_orderkey % 1200 AS cell", "o_custkey * 40503 % 65536 AS raw")
     return W.read(_written(rows, "screen", _SCREENS), "screen")
 
@@ -1112,6 +1112,13 @@ def multicell_files(spark, d):
     return W.read(W.write(rows, "multicell", "NMCR"), "multicell")
 
 
+@query("layout_files", "SELECT CAST(o_orderkey // 100 AS VARCHAR) AS path, o_orderkey % 100 AS n, o_custkey % 4096 - 2048 AS x, o_orderkey % 500 - 250 AS y, o_orderkey % 3 AS origin_x, o_custkey % 3 AS origin_y, 0 AS align_x, 0 AS align_y, o_orderkey % 200 AS \"value\", CASE o_orderkey // 100 % 2 WHEN 1 THEN o_custkey % 100 ELSE 0 END AS height FROM orders")
+def layout_files(spark, d):
+    """Layouts of cells and of regions."""
+    rows = R.table(spark, d, "orders").selectExpr("o_orderkey div 100 AS file", "CAST(o_orderkey div 100 AS STRING) AS path", "o_orderkey % 100 AS n", "o_custkey % 4096 - 2048 AS x", "o_orderkey % 500 - 250 AS y", "o_orderkey % 3 AS origin_x", "o_custkey % 3 AS origin_y", "0L AS align_x", "0L AS align_y", "o_orderkey % 200 AS value", "CASE o_orderkey div 100 % 2 WHEN 1 THEN o_custkey % 100 ELSE 0 END AS height")
+    return W.read(_written(rows, "layout", ("BNCL", "BNBL")), "layout")
+
+
 @query("guess_kinds")
 def guess_kinds(spark, d):
     return K.coded(_files(spark, d), "bytes", O.guess_kind, "string", "kind", ("path",))

@@ -27,6 +27,7 @@ COLUMNS = {
     "cell": ("cell", "cell_attr", "n", "attr0", "attr1", "attr2"),
     "animation": ("seq", "start", "type", "mode", "frame_no", "duration", "index", "rot_z", "sx", "sy", "px", "py"),
     "multicell": ("mc", "node", "seq", "x", "y", "attr"),
+    "layout": ("n", "x", "y", "origin_x", "origin_y", "align_x", "align_y", "value", "height"),
 }
 
 Rows = list[tuple]
@@ -104,6 +105,91 @@ def _blocks(data: bytes, signatures: tuple[str, ...], reversed_: bool) -> dict[s
     return out
 
 
+def pack_offset_blocks(signature: str, blocks: list[tuple[str, bytes]]) -> bytes:
+    """A file of blocks whose places stand in a table after the header."""
+    data = [s.encode("latin-1") + struct.pack("<I", len(d) + 8 + -len(d) % 4) + d + bytes(-len(d) % 4) for s, d in blocks]
+    start = 16 + 4 * len(blocks)
+    places = np.cumsum([start, *map(len, data)])[:-1].tolist()
+    size = start + sum(map(len, data))
+    return signature.encode("latin-1") + struct.pack("<HHIHH", 0xFEFF, 0x0100, size, 16, len(blocks)) + struct.pack(f"<{len(blocks)}I", *places) + b"".join(data)
+
+
+def offset_block_list(data: bytes) -> list[tuple[str, bytes]]:
+    """(signature, data) of a file whose header has a table of its blocks' places; ValueError if it isn't one."""
+    if len(data) < 16 or not _printable(data, 0):
+        raise ValueError("another kind")
+    mark, _, size, start, count = struct.unpack_from("<HHIHH", data, 4)
+    if size != len(data) or start < 16 or mark not in (0xFFFE, 0xFEFF, 0) or not count:
+        raise ValueError("another kind")
+    out = []
+    for k in range(count):
+        at = _field(data, "<I", start + 4 * k)
+        n = _field(data, "<I", at + 4)
+        if not _printable(data, at) or n < 8 or at + n > len(data):
+            raise ValueError("no block there")
+        out.append((data[at : at + 4].decode("latin-1"), data[at + 8 : at + n]))
+    return out
+
+
+def pack_footer(blocks: list[tuple[str, bytes]]) -> bytes:
+    return b"".join(s.encode("latin-1") + struct.pack("<I", len(d)) + d for s, d in [*blocks, ("END ", b"")])
+
+
+def footer(data: bytes, needed: tuple[str, ...]) -> tuple[int, dict[str, bytes]]:
+    """(where it begins, its blocks) of the first run of blocks in ``data`` that ends in an END block and has all that are needed.
+
+    Blocks are followed back from the names of those needed, so that few places are tried.
+    """
+    names = {n.encode("latin-1") for n in needed}
+    starts = sorted({at for n in names for at in _places(data, n)})
+    for start in starts:
+        at, own = start, {}
+        while at + 8 <= len(data) and _printable(data, at):
+            n = _field(data, "<I", at + 4)
+            if at + 8 + n > len(data):
+                break
+            name = data[at : at + 4].decode("latin-1")
+            own.setdefault(name, data[at + 8 : at + 8 + n])
+            at += 8 + n
+            if name == "END ":
+                if set(needed) <= own.keys():
+                    return start, own
+                break
+    raise ValueError("no footer")
+
+
+def _places(data: bytes, name: bytes):
+    at = data.find(name)
+    while at >= 0:
+        yield at
+        at = data.find(name, at + 1)
+
+
+def resource_blocks(data: bytes) -> dict[str, bytes]:
+    """Blocks of a resource file by signature: each reaches to the next one's place; ValueError if it isn't one."""
+    if data[:4] != b"RSRC":
+        raise ValueError("another kind")
+    count = _field(data, "<I", 4)
+    if not count or (len(data) - 8) // 4 < count:
+        raise ValueError("too short")
+    places = [_field(data, "<I", 8 + 4 * k) for k in range(count)]
+    if any(p % 4 or p < 8 or not _printable(data, p) for p in places):
+        raise ValueError("no block there")
+    stops = {p: min([q for q in places if q > p], default=len(data)) for p in places}
+    out: dict[str, bytes] = {}
+    for p in places:
+        out.setdefault(data[p : p + 4].decode("latin-1"), data[p + 4 : stops[p]])
+    return out
+
+
+def pack_resource(blocks: list[tuple[str, bytes]]) -> bytes:
+    at, places, body = 8 + 4 * len(blocks), [], b""
+    for s, d in blocks:
+        places.append(at + len(body))
+        body += s.encode("latin-1") + d + bytes(-len(d) % 4)
+    return b"RSRC" + struct.pack(f"<I{len(blocks)}I", len(blocks), *places) + body
+
+
 # ---- pixels
 
 def _tiles(data: bytes, bits: int, count: int, width: int = 0) -> Rows:
@@ -251,6 +337,11 @@ def _read_ntfp(data: bytes) -> Rows:
     return list(enumerate(_u16(data)))
 
 
+def _read_resource_palette(data: bytes) -> Rows:
+    pltt = resource_blocks(data)["PLTT"]
+    return list(enumerate(_u16(pltt, 4, _field(pltt, "<I", 0) // 2)))
+
+
 # ---- characters
 
 def _read_ncgr(data: bytes) -> Rows:
@@ -371,6 +462,41 @@ def _write_slices(rows: Rows) -> bytes:
     return packed + bytes(-len(packed) % 4)
 
 
+#: Blocks of the footers that character and screen files have.
+_CHARACTER_FOOTER = ("LINK", "CMNT", "MODE", "SIZE", "VER ")
+_SCREEN_FOOTER = ("CLRF", "LINK", "CMNT", "CLRC", "MODE", "VER ")
+
+
+def _footed_character(version: bytes, wide_modes: tuple[int, ...], modes: tuple[int, int]):
+    """Graphics with an attribute a tile and a footer that has size and depth."""
+
+    def read(data: bytes) -> Rows:
+        _, own = footer(data, _CHARACTER_FOOTER)
+        if not own["VER "].startswith(version) or len(own["VER "]) < 8:
+            raise ValueError("another version")
+        width, height = _field(own["SIZE"], "<H", 0), _field(own["SIZE"], "<H", 2)
+        return _tiles(data, 8 if _field(own["MODE"], "<I", 0) in wide_modes else 4, width * height)
+
+    def write(rows: Rows) -> bytes:
+        bits = _depth(rows)
+        count, px = _pixels(rows, bits)
+        return px + bytes(count) + pack_footer([("LINK", b"\0\0"), ("CMNT", b"\0\0"), ("MODE", struct.pack("<I", modes[bits == 8])), ("SIZE", struct.pack("<HH", count, 1)), ("VER ", version + b"01")])
+
+    return read, write
+
+
+def _read_resource_character(data: bytes) -> Rows:
+    char = resource_blocks(data)["CHAR"]
+    width, height, flags = (_field(char, "<H", k) for k in (4, 6, 8))
+    return _tiles(char[12:], 8 if flags & 2 else 4, width * height, width if flags & 4 else 0)
+
+
+def _write_resource_character(rows: Rows) -> bytes:
+    bits = _depth(rows)
+    count, px = _pixels(rows, bits)
+    return pack_resource([("CHAR", struct.pack("<IHHHH", len(px), count, 1, 1 | (2 if bits == 8 else 0) | 64, 0) + px)])
+
+
 def _read_raw_character(data: bytes) -> Rows:
     if len(data) % 32:
         raise ValueError("another size")
@@ -445,12 +571,65 @@ def _write_hudson2_screen(rows: Rows) -> bytes:
     return struct.pack("<HBB", 2 * len(values), width, height) + _pack16(values)
 
 
+def _footed_screen(version: bytes, sized: bool):
+    """Cells in panels with a footer; one of the two has the size in a block of its own, the other in the mode's."""
+
+    def read(data: bytes) -> Rows:
+        _, own = footer(data, (*_SCREEN_FOOTER, "SIZE") if sized else _SCREEN_FOOTER)
+        if not own["VER "].startswith(version) or len(own["VER "]) < 8:
+            raise ValueError("another version")
+        width, height = (_field(own["SIZE"], "<H", 0), _field(own["SIZE"], "<H", 2)) if sized else (_field(own["MODE"], "<B", 0), _field(own["MODE"], "<B", 1))
+        affine = _field(own["MODE"], "<B", 0 if sized else 2)
+        return _screen(list(data[: width * height]) if affine else _u16(data, 0, width * height), width, height, not affine)
+
+    def write(rows: Rows) -> bytes:
+        width, height, values = _stored(rows, True)
+        mode = b"\0\0" if sized else struct.pack("<BBBB", width, height, 0, 2)
+        size = [("SIZE", struct.pack("<HH", width, height))] if sized else []
+        return _pack16(values) + pack_footer([("CLRF", bytes((2 * len(values) + 15) // 16)), ("LINK", b""), ("CMNT", b"\0\0"), ("CLRC", b"\0\0"), ("MODE", mode), *size, ("VER ", version + b"01")])
+
+    return read, write
+
+
 def _read_raw_screen(data: bytes) -> Rows:
     if len(data) % 2 or len(data) // 2 not in RAW_SCREENS:
         raise ValueError("another size")
     return _screen(_u16(data), *RAW_SCREENS[len(data) // 2], True)
 
 
+# ---- layouts
+
+def _layout(signature: bytes, form: str):
+    """Elements at packed positions: a cell's number, or a region's width and height."""
+    size = 4 + struct.calcsize(form)
+
+    def split(raw: int) -> tuple[int, int, int]:
+        origin, align = raw >> 12 & 3, raw >> 14
+        if origin == 3 or align == 3:
+            raise ValueError("no such origin")
+        return (raw & 0xFFF) - (raw << 1 & 0x1000), origin, align
+
+    def read(data: bytes) -> Rows:
+        if data[:4] != signature:
+            raise ValueError("another kind")
+        count = _field(data, "<H", 6)
+        if (len(data) - 8) // size < count:
+            raise ValueError("too short")
+        out = []
+        for k in range(count):
+            (x, ox, ax), (y, oy, ay) = (split(_field(data, "<H", 8 + size * k + at)) for at in (0, 2))
+            own = struct.unpack_from(form, data, 12 + size * k)
+            out.append((k, x, y, ox, oy, ax, ay, *(own if len(own) == 2 else (own[0], 0))))
+        return out
+
+    def write(rows: Rows) -> bytes:
+        word = lambda v, origin, align: v & 0xFFF | origin << 12 | align << 14
+        body = b"".join(struct.pack("<HH", word(x, ox, ax), word(y, oy, ay)) + struct.pack(form, *(v, w)[: len(form) - 1]) for _, x, y, ox, oy, ax, ay, v, w in sorted(rows))
+        return signature + struct.pack("<HH", 0, len(rows)) + body
+
+    return read, write
+
+
 # ---- cells, animations, multi-cells
 
 def _read_ncer(data: bytes) -> Rows:
@@ -553,6 +732,19 @@ def _write_nmcr(rows: Rows) -> bytes:
     return pack_blocks("NMCR", [("MCBK", struct.pack("<HHIIII", count, 0, 20, 20 + len(cells), 0, 0) + cells + nodes)])
 
 
+def _read_segments(data: bytes) -> Rows:
+    """One sequence that shows each of its pairs of place and size for a tick; pairs that tile the graphics from 0."""
+    if len(data) < 8 or len(data) % 8:
+        raise ValueError("another size")
+    pairs = np.frombuffer(data, "<u4").reshape(-1, 2).astype(np.int64)
+    if (pairs % 4).any() or not pairs[:, 1].all():
+        raise ValueError("another kind")
+    own = np.unique(pairs, axis=0)
+    if (own[:, 0] != np.concatenate(([0], own[:-1].sum(axis=1)))).any():
+        raise ValueError("gaps, overlaps, or two sizes at one place")
+    return [(0, 0, 1, 1, i, 1, i, *PLAIN) for i in range(len(pairs))]
+
+
 # ---- registry
 
 @dataclass(frozen=True)
@@ -613,24 +805,33 @@ FORMATS = Registry(
         Format("palette", "5PC", _BLOCKS, *_studio("NTPC")),
         Format("palette", "Tose", ("header", "signature"), _read_tose_palette, lambda rows: b"NCL\0" + struct.pack("<I", len(_colors(rows))) + _pack16(_colors(rows))),
         Format("palette", "Hudson", ("header",), _read_hudson_palette, lambda rows: struct.pack("<HH", 2 * len(_colors(rows)), len(_colors(rows))) + _pack16(_colors(rows))),
+        Format("palette", "Setosa", ("header", "signature", "chunked"), _read_resource_palette, lambda rows: pack_resource([("PLTT", struct.pack("<I", 2 * len(_colors(rows))) + _pack16(_colors(rows)))])),
         Format("palette", "Binary", (), _read_raw_palette, lambda rows: _pack16(_colors(rows))),
         Format("palette", "NTFP", (), _read_ntfp, lambda rows: _pack16(_colors(rows))),
         Format("character", "NCGR", (*_BLOCKS, "offsets"), _read_ncgr, _write_ncgr),
         Format("character", "NCG", _BLOCKS, _read_ncg, _write_ncg),
+        Format("character", "ICG", ("footer", "signature", "chunked", "validated"), *_footed_character(b"IS-ICG", (6, 8), (7, 6))),
+        Format("character", "ACG", ("footer", "signature", "chunked", "validated"), *_footed_character(b"IS-ACG", (2, 3), (1, 3))),
         Format("character", "Tose", ("header", "signature", "validated"), _read_tose_character, _write_tose_character),
         Format("character", "Hudson", ("header",), _read_hudson_character, _write_hudson_character),
         Format("character", "Hudson 2", ("header",), _read_hudson2_character, _write_hudson2_character),
         Format("character", "Slices", ("compression",), _read_slices, _write_slices),
+        Format("character", "Setosa", _BLOCKS, _read_resource_character, _write_resource_character),
         Format("character", "Binary", (), _read_raw_character, lambda rows: _pixels(rows, 4)[1]),
         Format("screen", "NSCR", _BLOCKS, _read_nscr, _write_nscr),
         Format("screen", "NSC", _BLOCKS, _read_nsc, _write_nsc),
+        Format("screen", "ISC", ("footer", "signature", "chunked", "validated"), *_footed_screen(b"IS-ISC", True)),
+        Format("screen", "ASC", ("footer", "signature", "chunked", "validated"), *_footed_screen(b"IS-ASC", False)),
         Format("screen", "Tose", ("header", "signature"), _read_tose_screen, _write_tose_screen),
         Format("screen", "Hudson", ("header",), _read_hudson_screen, _write_hudson_screen),
         Format("screen", "Hudson 2", ("header",), _read_hudson2_screen, _write_hudson2_screen),
         Format("screen", "Binary", ("size",), _read_raw_screen, lambda rows: _pack16(_stored(rows, True)[2])),
         Format("cell", "NCER", (*_BLOCKS, "offsets"), _read_ncer, _write_ncer),
         Format("animation", "NANR", (*_BLOCKS, "offsets"), _read_nanr, _write_nanr),
+        Format("animation", "Segments", ("offsets", "validated"), _read_segments),
         Format("multicell", "NMCR", (*_BLOCKS, "offsets"), _read_nmcr, _write_nmcr),
+        Format("layout", "BNCL", ("header", "signature", "validated"), *_layout(b"JNCL", "<I")),
+        Format("layout", "BNBL", ("header", "signature", "validated"), *_layout(b"JNBL", "<BB")),
     ]
 )
 
