@@ -109,6 +109,16 @@ def guess_palettes(textures: DataFrame, palettes: DataFrame) -> DataFrame:
     return by_key.select("id", "pal", F.col("rule").cast("bigint")).unionByName(found)
 
 
+def by_name(wanted: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, found): the first of ``named(found, name)`` with the same name as each row of ``wanted(id, name)``; -1 if none.
+
+    Names are told apart by their first NAME characters, as a file holds no more.
+    """
+    key = lambda c: F.substring(c, 1, NAME)
+    first = named.groupBy(key("name").alias("key")).agg(F.min("found").alias("found"))
+    return wanted.select("id", key("name").alias("key")).join(first, "key", "left").select("id", F.coalesce("found", F.lit(-1)).cast("bigint").alias("found"))
+
+
 def highest_index(texels: DataFrame) -> DataFrame:
     """(id, highest): the greatest palette index of textures' texel bytes (id, fmt, byte); -1 for the direct format.
 

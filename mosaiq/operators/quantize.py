@@ -83,6 +83,12 @@ def palette_error(hist: DataFrame, palette: list[tuple[int, int, int, int]]) ->
     return with_yiq(hist).select((d * F.col("w")).alias("e")).agg(F.sum("e").alias("error"))
 
 
+def image_errors(px: DataFrame, palette: list[tuple[int, int, int, int]], by: str = "img") -> DataFrame:
+    """(img, error, worst): distances of each image's opaque pixels to their nearest entries, added up, and the largest."""
+    p = with_yiq(px.where("a >= 128"))
+    return p.select(by, nearest(p, palette)[1].alias("d")).groupBy(by).agg(F.sum("d").alias("error"), F.max("d").alias("worst"))
+
+
 def moments(hist: DataFrame) -> DataFrame:
     """Weighted means and covariances of y, i and q, in one pass."""
     p = with_yiq(hist)
@@ -163,9 +169,12 @@ def lloyd_step(hist: DataFrame, palette: list[tuple[int, int, int, int]]) -> Dat
     return p.withColumn("idx", idx).groupBy("idx").agg(F.sum("w").alias("w"), mean("cy").alias("y"), mean("ci").alias("i"), mean("cq").alias("q"))
 
 
-def create_palette(hist: DataFrame, n: int, rounds: int = 8) -> list[tuple[int, int, int, int]]:
+def create_palette(hist: DataFrame, n: int, rounds: int = 8, pinned: list[tuple[int, int, int]] | None = None, reserve: int = 0) -> list[tuple[int, int, int, int]]:
     """(idx, r, g, b): up to n colours for a histogram, darkest first.
 
+    ``pinned`` colours are among them as they are, and come first; the others are chosen for what lies
+    nearer to them. ``reserve`` indices stay free before all.
+
     Divisive: the cluster whose best split along its principal axis lessens the error most is split
     until there are n; then Lloyd iterations, each one grouped sum over the histogram, move the
     means; a cluster that empties takes the colour with the greatest error. The division works on a
@@ -177,17 +186,21 @@ def create_palette(hist: DataFrame, n: int, rounds: int = 8) -> list[tuple[int,
         return []
     rgb = rows[["r", "g", "b"]].to_numpy(float)
     x, w = rgb @ np.array(YIQ).T, rows["w"].to_numpy(float)
-    means = divide(x, w, n)
+    own = [tuple(c) for c in pinned or []][:n]
+    if own:  # the division leaves out what a pinned colour hits
+        far = ((x[:, None] - (np.array(own, float) @ np.array(YIQ).T)[None]) ** 2).sum(-1).min(1) > 0
+        x, w = x[far], w[far]
     to_rgb = np.linalg.inv(np.array(YIQ)).T
-    palette = [(k, *np.clip(np.floor(m @ to_rgb + 0.5), 0, 255).astype(int).tolist()) for k, m in enumerate(means)]
+    means = divide(x, w, n - len(own)) if len(x) and n > len(own) else np.zeros((0, 3))
+    palette = [(k, *c) for k, c in enumerate([*own, *(tuple(np.clip(np.floor(m @ to_rgb + 0.5), 0, 255).astype(int).tolist()) for m in means)])]
     for _ in range(rounds):
         found = {r["idx"]: (r["y"], r["i"], r["q"]) for r in lloyd_step(hist, palette).collect()}  # 256 rows at most
-        new = [(k, *np.clip(np.floor(np.array(found[k]) @ to_rgb + 0.5), 0, 255).astype(int).tolist()) if k in found else old for k, old in enumerate(palette)]
+        new = [(k, *np.clip(np.floor(np.array(found[k]) @ to_rgb + 0.5), 0, 255).astype(int).tolist()) if k in found and k >= len(own) else old for k, old in enumerate(palette)]
         if new == palette:
             break
         palette = new
-    unique = sorted({p[1:] for p in palette}, key=lambda c: (sum(k * v for k, v in zip(YIQ[0], c, strict=True)), c))
-    return [(k, *c) for k, c in enumerate(unique)]
+    unique = sorted({p[1:] for p in palette[len(own) :]} - set(own), key=lambda c: (sum(k * v for k, v in zip(YIQ[0], c, strict=True)), c))
+    return [(reserve + k, *c) for k, c in enumerate([*own, *unique])]
 
 
 def divide(x: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:

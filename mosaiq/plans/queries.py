@@ -937,6 +937,20 @@ def object_forest(spark, d):
     return B.forest(R.table(spark, d, "orders").selectExpr("o_custkey AS from_id", "o_orderkey % 7 AS to_id", "o_orderkey AS at", "CASE WHEN o_orderkey % 3 = 0 THEN 'unlink' ELSE 'link' END AS what"))
 
 
+@query("image_errors", sql("pixel", f"""
+WITH {_PAL8}, p AS (SELECT img, x, y, {_YIQ} FROM (SELECT img, x, y, {_DBL} FROM pixel WHERE a >= 128)),
+n AS (SELECT img, x, y, min(round(400 * (p.cy - py.cy) ** 2 + 400 * (p.ci - py.ci) ** 2 + 400 * (p.cq - py.cq) ** 2, 6)) AS d FROM p, py GROUP BY img, x, y)
+SELECT img, round(sum(d), 1) AS error, round(max(d), 3) AS worst FROM n GROUP BY img"""))
+def image_errors(spark, d):
+    return Q.image_errors(R.pixel(spark, d), PALETTE24).select("img", F.round("error", 1).alias("error"), F.round("worst", 3).alias("worst"))
+
+
+@query("textures_by_name", "WITH t AS (SELECT p_partkey AS id, substr(p_name, 1, 16) AS k FROM part), f AS (SELECT k, min(id) AS found FROM t WHERE id % 3 = 0 GROUP BY k) SELECT t.id, coalesce(f.found, -1) AS found FROM t LEFT JOIN f USING (k)")
+def textures_by_name(spark, d):
+    p = R.table(spark, d, "part").select(c("p_partkey").alias("id"), c("p_name").alias("name"))
+    return L.by_name(p, p.where("id % 3 = 0").withColumnRenamed("id", "found"))
+
+
 @query("palette_bytes", "SELECT count(*) AS n_palettes, CAST(2 * sum(p_size * 4) AS BIGINT) AS bytes FROM part")
 def palette_bytes(spark, d):
     return A.palette_bytes(R.table(spark, d, "part").selectExpr("p_size * 4 AS n_colors"))
@@ -1119,6 +1133,16 @@ def layout_files(spark, d):
     return W.read(_written(rows, "layout", ("BNCL", "BNBL")), "layout")
 
 
+@query("rewritten_files", f"WITH {_PALETTE_FILES} SELECT path, idx, CASE WHEN color < 100 THEN 99 - color ELSE color END AS color FROM p")
+def rewritten_files(spark, d):
+    """Files changed in place: format, and the codec of every other one, stay what they were."""
+    files = _written(_palette_rows(spark, d), "palette", _PALETTES)
+    odd = F.regexp_extract("path", r"^(\d+)", 1).cast(BIG) % 16 >= 8
+    mixed = W.packed(files.where(odd), "lz").unionByName(files.where(~odd))
+    changed = W.rewritten(mixed, lambda kind, rows: [(i, 99 - v if v < 100 else v) for i, v in rows])
+    return W.read(changed, "palette")
+
+
 @query("guess_kinds")
 def guess_kinds(spark, d):
     return K.coded(_files(spark, d), "bytes", O.guess_kind, "string", "kind", ("path",))

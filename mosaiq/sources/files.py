@@ -8,6 +8,7 @@ every format writes a file from such rows. A file is one value and is taken apar
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codecs import LZX, UNPACK, detect, pack_lzx, unpack_lzx
+from ..functions.codecs import LZX, PACK, UNPACK, coded, detect, pack_lzx, unpack_lzx
+from ..functions.text import name_hash
 from .objects import WEIGHTS, guess_kind
 
 # Columns of each kind's rows, in order.
@@ -926,6 +928,146 @@ def write(rows: DataFrame, kind: str, name: str, registry: Registry = FORMATS) -
     return rows.select("path", *names).groupBy("path").applyInPandas(one, "path string, bytes binary")
 
 
-def save(files: DataFrame, folder: str) -> None:
-    """Write files (path, bytes) as Parquet to a folder that Spark can reach: bytes with their paths, not loose files."""
-    files.select("path", F.col("bytes").alias("bytes")).write.mode("append").parquet(folder)
+def packed(files: DataFrame, codec: str) -> DataFrame:
+    """(path, bytes): files in a codec; those that it can't hold come back as they are."""
+    return coded(files, "bytes", PACK[codec], name="bytes_", keep=("path", "bytes")).select("path", F.coalesce("bytes_", "bytes").alias("bytes"))
+
+
+def rewritten(files: DataFrame, change, registry: Registry = FORMATS) -> DataFrame:
+    """(path, bytes): files read, their rows changed by ``change(kind, rows)``, and written in the format and codec that they had.
+
+    What is in no format that can be written comes back as it is.
+    """
+
+    def one(batches):
+        for b in batches:
+            out = []
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                codec, kind, name = identified(data, path or "", registry=registry) if data is not None else ("none", "invalid", "")
+                f = registry.named(kind, name) if name else None
+                out.append(PACK[codec](f.write(change(kind, f.read(UNPACK[codec](data))))) if f and f.write else data)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "bytes"])
+
+    return files.select("path", "bytes").mapInArrow(one, "path string, bytes binary")
+
+
+def save(files: DataFrame, folder: str) -> DataFrame:
+    """Write each file (path, bytes) under ``folder``, in any store that Arrow knows; returns (path, size) as written.
+
+    A file is written beside its place and then moved there, so a task that is run again leaves the
+    same files. Null bytes write nothing.
+    """
+
+    def one(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            done = []
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if data is None:
+                    continue
+                place = f"{root}/{path.lstrip('/')}"
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                beside = f"{place}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(beside) as out:
+                    out.write(data)
+                store.move(beside, place)
+                done.append((path, len(data)))
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "size"])
+
+    return files.select("path", "bytes").mapInArrow(one, "path string, size long")
+
+
+class Stream:
+    """Bytes built up by writing at a place: writing beyond the end fills with zeros, within it replaces."""
+
+    def __init__(self, data: bytes = b""):
+        self.data, self.at = bytearray(data), 0
+
+    def write(self, data: bytes) -> int:
+        """Bytes put at the place, which moves behind them; the place they begin at."""
+        start = self.at
+        self.data += bytes(max(0, start - len(self.data)))
+        self.data[start : start + len(data)] = data
+        self.at = start + len(data)
+        return start
+
+    def insert(self, data: bytes) -> None:
+        self.data[self.at : self.at] = data
+        self.at += len(data)
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        """From the begin (0), the place (1) or the end (2); never before the begin."""
+        self.at = max(0, offset + (0, self.at, len(self.data))[whence])
+        return self.at
+
+    def align(self, to: int) -> None:
+        """Zeros up to the next multiple, at the end."""
+        self.at = len(self.data)
+        self.write(bytes(-len(self.data) % to))
+
+    def take(self, size: int) -> bytes:
+        out = bytes(self.data[self.at : self.at + size])
+        self.at += len(out)
+        return out
+
+
+# ---- names in trees
+
+NAME_BYTES = 16
+
+
+def _bit(name: bytes, bit: int) -> int:
+    return name[bit // 8] >> bit % 8 & 1
+
+
+def name_tree(names: list[bytes]) -> tuple | int:
+    """A tree over names of up to 16 bytes: (bit, without, with) by the highest bit in which they differ, or a name's number.
+
+    Bits count from the first byte's lowest. Equal names raise.
+    """
+    whole = [n[:NAME_BYTES].ljust(NAME_BYTES, b"\0") for n in names]
+
+    def grow(own: list[int]):
+        if len(own) == 1:
+            return own[0]
+        differ = [b for b in range(8 * NAME_BYTES - 1, -1, -1) if len({_bit(whole[i], b) for i in own}) == 2]
+        if not differ:
+            raise ValueError("a name stands twice")
+        return (differ[0], *(grow([i for i in own if _bit(whole[i], differ[0]) == side]) for side in (0, 1)))
+
+    return grow(list(range(len(names)))) if names else -1
+
+
+def find_name(tree: tuple | int, names: list[bytes], name: bytes) -> int:
+    """The number of a name by the bits that the tree asks for, and one comparison at its leaf; -1 if it isn't there."""
+    own = name[:NAME_BYTES].ljust(NAME_BYTES, b"\0")
+    while isinstance(tree, tuple):
+        tree = tree[1 + _bit(own, tree[0])]
+    return tree if tree >= 0 and names[tree][:NAME_BYTES].ljust(NAME_BYTES, b"\0") == own else -1
+
+
+def pack_directory(entries: list[tuple[str, bytes]]) -> bytes:
+    """A directory of named objects: (name's place, length and hash, object's place) in order of the hash, the names, the objects."""
+    own = sorted(entries, key=lambda e: (name_hash(e[0].encode()), e[0]))
+    start = 4 + 12 * len(own)
+    names = b"".join(n.encode() for n, _ in own)
+    names += bytes(-(start + len(names)) % 4)
+    heads, objects, at = b"", b"", start
+    for n, d in own:
+        heads += struct.pack("<IHHI", at, len(n.encode()), name_hash(n.encode()), start + len(names) + len(objects))
+        objects += d + bytes(-len(d) % 4)
+        at += len(n.encode())
+    return struct.pack("<HH", len(own), 1) + heads + names + objects
+
+
+def directory(data: bytes) -> list[tuple[str, int, int]]:
+    """(name, hash, object's place) of a directory, as stored."""
+    out = []
+    for k in range(_field(data, "<H", 0)):
+        at, size, hashed, place = (_field(data, f, 4 + 12 * k + o) for f, o in (("<I", 0), ("<H", 4), ("<H", 6), ("<I", 8)))
+        if at + size > len(data) or place > len(data):
+            raise ValueError("beyond the end")
+        out.append((data[at : at + size].decode(), hashed, place))
+    return out

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators.sequence import BACKWARD, BACKWARD_LOOP, FORWARD, FORWARD_LOOP
 
+#: Sequences of an animation file, at most: their number has 16 bits.
+MOST_SEQUENCES = 65536
 STATE = "frame long, time long, direction int, playing boolean, reset boolean"
 OUTPUT = "seq long, tick long, frame_no long, playing boolean"
 
@@ -61,6 +63,16 @@ class Player:
                 self.advance()
 
 
+def tick_source(spark, sequences: DataFrame, per_second: int = 60) -> DataFrame:
+    """A stream of (seq, tick, command): every sequence of (seq) is played and ticked ``per_second`` times a second.
+
+    Ticks come from Spark's rate source, one partition; sequences are a static bank.
+    """
+    rate = spark.readStream.format("rate").option("rowsPerSecond", per_second).option("numPartitions", 1).load()
+    ticks = rate.select(F.col("value").alias("tick"))
+    return ticks.crossJoin(F.broadcast(sequences.select("seq").limit(MOST_SEQUENCES))).select("seq", "tick", F.when(F.col("tick") == 0, "play").otherwise("tick").alias("command"))
+
+
 def play_stream(ticks: DataFrame, frames: DataFrame) -> DataFrame:
     """(seq, tick, frame_no, playing) of a stream of (seq, tick, command): play, pause, stop or tick.
 

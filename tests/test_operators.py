@@ -287,6 +287,66 @@ def test_segments_and_offset_blocks():
             W.offset_block_list(bad)
 
 
+def test_files_are_saved_and_read_again(spark, tmp_path):
+    df = spark.createDataFrame([("a/x.pal", bytes(range(64))), ("b.bin", b""), ("c", None)], "path string, bytes binary")
+    for _ in range(2):  # a second time leaves the same
+        assert sorted(tuple(x) for x in W.save(df, f"file://{tmp_path}/out").collect()) == [("a/x.pal", 64), ("b.bin", 0)]
+    assert (tmp_path / "out/a/x.pal").read_bytes() == bytes(range(64)) and not list(tmp_path.rglob("*.part"))
+    got = {x.path: (x.codec, x.kind, x.format) for x in W.identify(df).collect()}
+    assert got == {"a/x.pal": ("none", "palette", "Binary"), "b.bin": ("none", "palette", "NTFP"), "c": ("none", "invalid", "")} or got["a/x.pal"][1:] == ("palette", "Binary")
+
+
+def test_stream_builder():
+    s = W.Stream()
+    assert s.write(b"abc") == 0 and s.seek(1) == 1 and s.write(b"XY") == 1 and s.seek(2, 2) == 5 and s.write(b"z") == 5
+    assert bytes(s.data) == b"aXY\0\0z"
+    s.seek(0)
+    s.insert(b"__")
+    s.align(8)
+    assert bytes(s.data) == b"__aXY\0\0z" and s.seek(-100, 1) == 0 and s.take(3) == b"__a" and s.at == 3
+
+
+def test_name_trees_and_directories():
+    from mosaiq.functions.text import name_hash
+
+    r = random.Random(35)
+    names = [bytes(r.choice(b"abcd_") for _ in range(r.randrange(1, 20))) for _ in range(60)]
+    names = list({n[:16]: n for n in names}.values())
+    tree = W.name_tree(names)
+    assert [W.find_name(tree, names, n) for n in names] == list(range(len(names))) and W.find_name(tree, names, b"none such") == -1
+    assert W.find_name(W.name_tree([]), [], b"x") == -1 and W.name_tree([b"x"]) == 0
+    with pytest.raises(ValueError):
+        W.name_tree([b"same", b"same"])
+    own = [(n.decode(), n * 3) for n in names]
+    data = W.pack_directory(own)
+    found = W.directory(data)
+    assert [h for _, h, _ in found] == sorted(name_hash(n) for n in names)
+    assert all(data[at : at + 3 * len(n)] == n.encode() * 3 for n, _, at in found)
+
+
+def test_pinned_and_reserved_colors(spark):
+    r = random.Random(36)
+    px = spark.createDataFrame([(0, i % 32, i // 32, *r.choice([(250, 10, 10), (10, 240, 20), (20, 20, 230)]), 255) for i in range(600)], "img long, x long, y long, r long, g long, b long, a long")
+    got = Q.create_palette(Q.histogram(px), 4, pinned=[(1, 2, 3)], reserve=1)
+    assert got[0] == (1, 1, 2, 3) and [p[0] for p in got] == [1, 2, 3, 4] and len({p[1:] for p in got}) == 4
+    assert all(min(sum(abs(a - b) for a, b in zip(c, p[1:], strict=True)) for p in got) < 12 for c in [(250, 10, 10), (10, 240, 20), (20, 20, 230)])
+
+
+def test_ticks_come_at_a_rate(spark):
+    from mosaiq.streaming.playback import tick_source
+
+    bank = spark.createDataFrame([(1,), (2,)], "seq long")
+    q = tick_source(spark, bank, 20).writeStream.format("memory").queryName("ticked").start()
+    try:
+        until = time.time() + 60
+        while spark.table("ticked").count() < 10 and time.time() < until:
+            time.sleep(0.5)
+        got = [(x.seq, x.tick, x.command) for x in spark.table("ticked").collect()]
+    finally:
+        q.stop()
+    assert {(1, 0, "play"), (2, 0, "play"), (1, 1, "tick")} <= set(got)
+
+
 def test_messages_in_either_order_and_wide():
     for order in "<>":
         assert O.message_list(O.pack_messages([(9, b"ab"), (2, b"b")], order=order, extra=b"xy")) == [(9, b"ab"), (2, b"b")]
