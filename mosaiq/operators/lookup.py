@@ -174,6 +174,12 @@ def merge_prefixed(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("name", colors.alias("colors"), F.coalesce(~begins, F.lit(False)).alias("conflict"))
 
 
+def tile_attributes(objects: DataFrame, tiles: int = 1024) -> DataFrame:
+    """(tile, pal): the palette of the last object that shows each tile, over objects (obj, char, n, pal) of ``n`` tiles from ``char`` on."""
+    run = F.sequence(F.col("char"), F.least(F.col("char") + F.col("n") - 1, F.lit(tiles - 1)))
+    return last_writer(objects.where(F.col("char") < tiles).select("obj", "pal", F.explode(run).alias("tile")), "tile", "obj", "pal")
+
+
 def last_writer(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """(key, value): the value written last."""
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.color import YIQ, distance, from_yiq, yiq
 
 CLUSTERS = 256
+#: Colours of a bank of palettes.
+BANK = 256
 
 
 def with_yiq(px: DataFrame) -> DataFrame:
@@ -265,8 +267,10 @@ def diffused(px: DataFrame, palette: list[tuple[int, int, int, int]], amount: fl
 def palette_distances(palettes: DataFrame) -> DataFrame:
     """(p, q, d): for each ordered pair of palettes (pal, r, g, b) of a bank, the sum of each colour's distance to the other's nearest.
 
-    A bank has at most 16 palettes of 16 colours, by the format; pairs join on the bank's colours only.
+    A bank has at most 16 palettes of 16 colours, by the format; more raise.
     """
+    if palettes.limit(BANK + 1).count() > BANK:
+        raise ValueError(f"a bank has up to {BANK} colours")
     c = with_yiq(palettes)
     a, b = c.alias("a"), c.alias("b")
     d = distance(tuple(F.col("a." + n) for n in ("cy", "ci", "cq")), tuple(F.col("b." + n) for n in ("cy", "ci", "cq")))

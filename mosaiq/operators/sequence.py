@@ -241,10 +241,17 @@ def fitted(px: DataFrame, width: int, height: int, out_w: int, out_h: int, cover
     return moved.where(F.col("x").between(0, out_w - 1) & F.col("y").between(0, out_h - 1))
 
 
+#: Rectangles of a cell, and glyphs of a font, that are carried to the other side; more are joined by shuffle.
+RECTANGLES, GLYPHS = 1024, 65536
+
+
 def owner(px: DataFrame, rects: DataFrame, by: str = "img") -> DataFrame:
     """(img, x, y, rect): the first rectangle (id, x0, y0, w, h) that holds each pixel; -1 if none."""
+    from .lookup import within
+
+    rects = within(rects, RECTANGLES)
     inside = (px["x"] >= rects["x0"]) & (px["x"] < rects["x0"] + rects["w"]) & (px["y"] >= rects["y0"]) & (px["y"] < rects["y0"] + rects["h"])
-    return px.join(F.broadcast(rects), inside, "left").groupBy(by, "x", "y").agg(F.coalesce(F.min("id"), F.lit(-1)).cast("bigint").alias("rect"))
+    return px.join(rects, inside, "left").groupBy(by, "x", "y").agg(F.coalesce(F.min("id"), F.lit(-1)).cast("bigint").alias("rect"))
 
 
 def line_widths(messages: DataFrame, glyphs: DataFrame, keys: list[str], text: str, default: int) -> DataFrame:
@@ -252,8 +259,10 @@ def line_widths(messages: DataFrame, glyphs: DataFrame, keys: list[str], text: s
 
     Characters are counted within each message first, so that a message's letters, not its length, meet the font.
     """
+    from .lookup import within
+
     chars = messages.select(*keys, F.explode(F.split(text, "")).alias("c")).where("c <> ''").groupBy(*keys, "c").agg(F.count("*").alias("n"))
-    wide = chars.join(F.broadcast(glyphs), "c", "left")
+    wide = chars.join(within(glyphs, GLYPHS), "c", "left")
     return wide.groupBy(*keys).agg(F.sum(F.col("n") * F.coalesce("w", F.lit(default))).alias("width"))
 
 

@@ -150,10 +150,12 @@ def merge_palettes(spark, d):
     return L.merge_prefixed(o, n).select("name", F.array_join(c("colors").cast("array<string>"), ",").alias("colors"), "conflict")
 
 
-@query("tile_last_palette", sql("sprite", "SELECT attr2 % 1024 AS ch, arg_max(attr2 // 4096, obj) AS pal FROM sprite GROUP BY attr2 % 1024"))
+@query("tile_last_palette", sql("sprite", "WITH s AS (SELECT obj, attr2 // 4096 AS pal, attr2 % 1024 AS a, [8,16,32,64,16,32,32,64,8,8,16,32,8,8,8,8][(attr0 // 16384) * 4 + attr1 // 16384 + 1] * [8,16,32,64,8,8,16,32,16,32,32,64,8,8,8,8][(attr0 // 16384) * 4 + attr1 // 16384 + 1] // 64 AS k FROM sprite) SELECT tile, arg_max(pal, obj) AS pal FROM (SELECT obj, pal, unnest(range(a, least(a + k, 1024))) AS tile FROM s) GROUP BY tile"))
 def tile_last_palette(spark, d):
-    s = R.sprite(spark, d).select(P.bits(c("attr2"), 0, 10).alias("ch"), "obj", P.bits(c("attr2"), 12, 4).alias("pal"))
-    return L.last_writer(s, "ch", "obj", "pal")
+    """Every tile that an object spans, not its first alone."""
+    o = P.oam(c("attr0"), c("attr1"), c("attr2"))
+    s = R.sprite(spark, d).select("obj", o["char"].alias("char"), C.div(o["width"] * o["height"], 64).alias("n"), o["palette"].alias("pal"))
+    return L.tile_attributes(s)
 
 
 @query("nth_member", "SELECT l_orderkey, l_linestatus, l_partkey, l_suppkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) WHERE k = 2")
