@@ -1,9 +1,9 @@
 """The exact half of SimHash deduplication: Jaccard similarity of word shingles, over classes and min-hash keys as candidates.
 
 A text's sketch is ``BANDS`` keys, each of ``ROWS`` min-hashes. Two texts of similarity s share a key
-with probability ``1 - (1 - s**ROWS)**BANDS``: 0.9995 at 0.8, and 0.28 at 0.55, so that texts of one
-pattern that aren't near copies seldom meet. Texts that share a key are candidates; only pairs whose
-shingle sets, compared whole, reach the threshold are near copies.
+with probability ``1 - (1 - s**ROWS)**BANDS``: 0.9997 at 0.8. Texts that share a key are candidates, and
+are told apart by shared shingles within; only pairs whose shingle sets, compared whole, reach the
+threshold are near copies.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow
 
-ROWS, BANDS = 8, 41
+ROWS, BANDS = 6, 27
 #: Shingles whose min-hashes are made at once; bounds a worker's matrix to some 3 MB.
-BLOCK = 2048
+BLOCK = 4096
 _A = np.random.default_rng(17).integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = np.random.default_rng(18).integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -39,8 +39,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def sketch(text: str | None, width: int, digest) -> tuple[int, np.ndarray]:
-    """The number of different shingles, and the keys; ``digest`` gives a word's 64-bit hash."""
+def sketch(text: str | None, width: int, digest) -> np.ndarray:
+    """A text's keys; ``digest`` gives a word's 64-bit hash."""
     words = (text or "").lower().split()
     h = np.fromiter(map(digest, words), np.uint64, len(words)) if words else np.zeros(1, np.uint64)
     k = min(width, len(h))
@@ -55,11 +55,11 @@ def sketch(text: str | None, width: int, digest) -> tuple[int, np.ndarray]:
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for part in low.reshape(BANDS, ROWS).T:
         keys = _mixed(keys * _MIX + part)
-    return len(s), keys.view(np.int64)
+    return keys.view(np.int64)
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, n, keys) of ``docs(doc_id, text)``: the text's hash, shingles and keys."""
+    """(doc_id, node, keys) of ``docs(doc_id, text)``: the text's hash, and its keys."""
 
     def one(batches):
         digest = functools.lru_cache(200_000)(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
@@ -67,24 +67,40 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             texts = b.column(1).to_pylist()
             nodes = pa.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts], pa.int64())
             found = [sketch(t, width, digest) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), nodes, pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))], ["doc_id", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), nodes, pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, one, "doc_id long, node long, n long, keys array<long>")
+    return map_arrow(rows, one, "doc_id long, node long, keys array<long>")
 
 
-def _similar(width: int, least: Fraction):
-    """Keep (a, b) of rows (a, b, ta, tb) whose texts' shingle sets reach ``least``."""
+def _hash(shingle: tuple[str, ...]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(shingle).encode("utf-8", "surrogatepass"))
+
+
+def prefix(x: set[tuple[str, ...]], y: set[tuple[str, ...]], least: Fraction) -> list[int]:
+    """Hashes of as many shingles of ``y`` as one more than it may have outside a set similar to it; those not in ``x`` first.
+
+    Two sets that are similar share one of them, whatever ``x`` is: each lacks too few of the other's to lack all.
+    """
+    most = len(y) - -(-least.numerator * len(y) // least.denominator) + 1
+    apart = sorted(map(_hash, y - x))
+    return apart[:most] if len(apart) >= most else [*apart, *sorted(map(_hash, y & x))[: most - len(apart)]]
+
+
+def _compared(width: int, least: Fraction):
+    """(a, b, low, near, keys) of rows (a, b, low, more, ta, tb): whether the shingle sets reach ``least``, and b's prefix beside a."""
 
     def one(batches):
         of = functools.lru_cache(64)(lambda t: shingles(t, width))
         for b in batches:
-            keep = []
-            for ta, tb in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            near, keys = [], []
+            for head, more, ta, tb in zip(*(b.column(i).to_pylist() for i in (0, 3, 4, 5)), strict=True):
                 x, y = of(ta), of(tb)
                 both = len(x & y)
-                keep.append(both * least.denominator >= least.numerator * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                near.append(both * least.denominator >= least.numerator * (len(x) + len(y) - both))
+                own = [] if near[-1] or not more else prefix(x, y, least)
+                keys.append(_mixed(np.array(own, np.uint64) ^ np.int64(head).view(np.uint64)).view(np.int64) if own else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(near, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "low", "near", "keys"])
 
     return one
 
@@ -93,57 +109,48 @@ def copies(docs: DataFrame, width: int, least: Fraction, classes: DataFrame) ->
     """(rows, dropped): ``rows(node, low)`` and the nodes that are near copies of a smaller one.
 
     Nodes are different texts, ordered by their least doc_id, ``low``. First every text is compared
-    with the first of its class, of ``classes(doc_id, class)``. Then rounds follow over the texts left: in
-    each, every bucket (texts of one key) names leaders that are compared with all its texts; those
-    similar to a smaller one leave all buckets. The first round names one leader, each later one four
-    times as many as the round before, so that a group of near copies takes as many comparisons as it
-    has members. It ends when every pair left in a bucket has been compared.
+    with the first of its class, of ``classes(doc_id, class)``. Then rounds follow over buckets, at first the
+    texts of one key: each bucket's texts are compared with its first, and those similar to it go. Each
+    of the others is dealt to new buckets, by the shingles of its prefix beside that first one: two of
+    them that are similar share such a shingle, while the many that only share what the first one has
+    don't. So a group of one pattern takes a few comparisons a member, whatever its size. The first
+    text of a new bucket comes after that of the old one, so the rounds end.
     """
     found = cut(sketches(docs, width))
-    own = cut(found.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    own = cut(found.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys")))
     texts = docs.select(F.col("doc_id").cast("long").alias("low"), F.col("text").cast("string").alias("text"))
-    size = F.least("na", "nb") * least.denominator >= F.greatest("na", "nb") * least.numerator
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        """(a, b) of candidates (x, lx, na, y, ly, nb) that may be similar by their sizes, the smaller text first."""
-        first = F.struct("lx", "x") < F.struct("ly", "y")
-        return pairs.where((F.col("x") != F.col("y")) & size).select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
-
-    classed = own.select("low", "node", "n").join(classes.select(F.col("doc_id").alias("low"), "class").distinct(), "low")
-    heads = classed.groupBy("class").agg(F.min(F.struct("low", "node", "n")).alias("h"), F.count("*").alias("all")).where("all > 1")
-    of_class = cut(ordered(classed.select("class", F.col("node").alias("y"), F.col("low").alias("ly"), F.col("n").alias("nb")).join(heads.select("class", F.col("h.node").alias("x"), F.col("h.low").alias("lx"), F.col("h.n").alias("na")), "class")))
-    rest = own.select("node", "low", "n", F.explode("keys").alias("key"), F.lit(False).alias("led"))
-    shared = rest.groupBy("key").count().where("count > 1").select("key")
-    rest = cut(rest.join(shared, "key"))
+
+    def pairs(buckets: DataFrame) -> DataFrame:
+        """(a, b, low, more) of buckets (key, node, low): each text with the first of its bucket, and whether there are others."""
+        first = buckets.groupBy("key").agg(F.min(F.struct("low", "node")).alias("h"), (F.count("*") > 2).alias("more"))
+        met = buckets.join(first, "key").where(F.col("node") != F.col("h.node"))
+        return met.groupBy(F.col("h.node").alias("a"), F.col("node").alias("b"), "low").agg(F.bool_or("more").alias("more"))
+
+    def shared(buckets: DataFrame) -> DataFrame:
+        return buckets.join(buckets.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
+
+    of_class = own.select("low", "node").join(classes.select(F.col("doc_id").alias("low"), "class").distinct(), "low")
+    of_class = cut(pairs(of_class.select(F.col("class").alias("key"), "node", "low")).withColumn("more", F.lit(False)))
+    rest = cut(shared(own.select("node", "low", F.explode("keys").alias("key"))))
     compared = rest.select("node").unionByName(of_class.selectExpr("a AS node")).unionByName(of_class.selectExpr("b AS node")).distinct()
     some = found.join(compared, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = map_arrow(texts.join(some.select("low").distinct(), "low", "left_semi"), _with_node, "node long, text string")
     held = cut(named.join(some, "node", "left_semi").dropDuplicates(["node"]))
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """The larger texts of the pairs whose shingle sets, compared whole, are similar."""
-        both = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        return cut(map_arrow(both.select("a", "b", "ta", "tb"), _similar(width, least), "a long, b long").select(F.col("b").alias("node")).distinct())
+    def judged(met: DataFrame) -> DataFrame:
+        both = met.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        return cut(map_arrow(both.select("a", "b", "low", "more", "ta", "tb"), _compared(width, least), "a long, b long, low long, near boolean, keys array<long>"))
 
-    tested, dropped, leaders = of_class, similar(of_class), 1
-    rest = cut(_open(rest.join(dropped, "node", "left_anti")))
+    near = F.col("b").alias("node")
+    dropped = cut(judged(of_class).where("near").select(near).distinct())
+    rest = cut(shared(rest.join(dropped, "node", "left_anti")))
     while not rest.isEmpty():
-        new = cut(rest.where("NOT led").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("part")).agg(F.min(F.struct("low", "node", "n")).alias("a")).select("key", "a"))
-        pairs = new.select("key", F.col("a.node").alias("x"), F.col("a.low").alias("lx"), F.col("a.n").alias("na")).join(rest.select("key", F.col("node").alias("y"), F.col("low").alias("ly"), F.col("n").alias("nb")), "key")
-        pairs = cut(ordered(pairs).join(tested, ["a", "b"], "left_anti"))
-        gone = similar(pairs)
-        led = new.select("key", F.col("a.node").alias("node"), F.lit(True).alias("now"))
-        rest = rest.join(gone, "node", "left_anti").join(led, ["key", "node"], "left").select("key", "node", "low", "n", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
-        rest = cut(_open(rest))
-        tested, dropped = tested.unionByName(pairs), dropped.unionByName(gone)
-        leaders *= 4
-    return own.select("node", "low"), dropped.distinct()
-
-
-def _open(rest: DataFrame) -> DataFrame:
-    """Rows of the buckets that have two texts or more, and one that hasn't led yet."""
-    open_ = rest.groupBy("key").agg(F.count("*").alias("all"), F.count_if(~F.col("led")).alias("new")).where("all > 1 AND new > 0").select("key")
-    return rest.join(open_, "key", "left_semi")
+        now = judged(pairs(rest))
+        gone = now.where("near").select(near).distinct()
+        dropped = cut(dropped.unionByName(gone).distinct())
+        others = now.where("NOT near AND keys IS NOT NULL").select(near, "low", F.explode("keys").alias("key")).distinct()
+        rest = cut(shared(others.join(dropped, "node", "left_anti")))
+    return own.select("node", "low"), dropped
 
 
 def _with_node(batches):

@@ -681,6 +681,37 @@ def test_near_copies_of_the_pipeline(spark):
     assert 12 < len(kept) < 60
 
 
+def test_prefixes_of_similar_sets_share_a_shingle():
+    from mosaiq.llm import nearcopies
+
+    r = random.Random(27)
+    for _ in range(2000):
+        base = [(str(i),) for i in range(r.randrange(1, 60))]
+        x, y, z = ({s for s in base if r.random() < 0.93} | {(f"n{r.randrange(30)}",) for _ in range(r.randrange(6))} for _ in range(3))
+        if y and z and 5 * len(y & z) >= 4 * len(y | z):
+            assert set(nearcopies.prefix(x, y, Fraction(4, 5))) & set(nearcopies.prefix(x, z, Fraction(4, 5)))
+
+
+def test_a_large_group_of_one_pattern(spark):
+    """Texts that share most with one another, few of them near copies: those go, and no others."""
+    import corpus_pipeline as C
+
+    r = random.Random(28)
+    base = words(r, 120, 10**6).split()
+    texts = []
+    for i in range(400):
+        t = [w if r.random() > 0.05 else f"e{r.randrange(10**6)}" for w in base] if i % 4 or not texts else list(texts[r.randrange(len(texts))])
+        if not i % 4:
+            t[r.randrange(120)] = "zz"
+        texts.append(t)
+    texts = [" ".join(t) for t in texts]
+    kept = sorted(x.doc_id for x in C.near_duplicates(spark, docs_of(spark, texts), "").collect())
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    assert not [(i, j) for i in kept for j in kept if i < j and near(i, j)]
+    assert all(any(near(i, j) for j in range(len(texts)) if j != i) for i in set(range(400)) - set(kept)) and 250 < len(kept) < 330
+
+
 def test_texts_that_share_an_id_are_judged_each(spark):
     import corpus_pipeline as C
 
