@@ -17,15 +17,15 @@ from mosaiq.llm import decontaminate, langid, pii, sentencepieces, simhash
 from mosaiq.llm.common import remove, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Cosine with the nearest language under which a text counts as in none: four times the chance cosine of random
-#: vectors of ``langid.DIMS`` numbers. A text of fewer than SHORT characters has too few trigrams to be judged by it.
-LEAST_SCORE, SHORT = 0.125, 32
+#: Cosine with the nearest language under which a text counts as in none. Clean texts of a few words lie as low as chance
+#: does (0.03), so it only rejects what no trigram speaks for.
+LEAST_SCORE = 0.02
 #: Near copies share this much of their shingles of so many words.
 SHINGLE, SIMILARITY = 5, Fraction(4, 5)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language; those without letters, or longer ones like none of the languages, go.
+    """Documents in some language; those without letters, or like none of the languages, go.
 
     Prototypes are learnt from all documents with a lang that aren't held out. A document without a
     lang gets the predicted one; a given lang stays.
@@ -34,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.prototypes(docs.where(~langid.held_out()))
     found = langid.identify(docs, model, COLUMNS)
     if model:  # with nothing learnt, nothing can be rejected
-        found = found.where((F.col("lang_pred") != langid.UNDETERMINED) & ((F.col("score") >= LEAST_SCORE) | (F.length("text") < SHORT)))
+        found = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
         found = found.withColumn("lang", F.coalesce("lang", "lang_pred"))
     return found.select(*COLUMNS)
 
