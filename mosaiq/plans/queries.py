@@ -1128,6 +1128,23 @@ def multicell_files(spark, d):
     return W.read(W.write(rows, "multicell", "NMCR"), "multicell")
 
 
+@query("texture_files", """
+WITH f AS (SELECT o_orderkey // 64 AS file, count(*) AS n FROM orders GROUP BY ALL),
+r AS (SELECT file, 0 AS part, k AS place, [4, 8, 8, 0, 0][k + 1] AS value FROM f, range(5) t(k) UNION ALL SELECT o_orderkey // 64, 1, o_orderkey % 64, o_custkey % 256 FROM orders WHERE o_orderkey // 64 IN (SELECT file FROM f WHERE n = 64) UNION ALL SELECT file, 1, k, 0 FROM f, range(64) t(k) WHERE n < 64 UNION ALL SELECT file, 3, k, (file * 7919 + k * 31) % 32768 FROM f, range(16) t(k))
+SELECT CAST(file AS VARCHAR) AS path, part, place, value FROM r""")
+def texture_files(spark, d):
+    """Textures of 8 by 8 with 256 colours at most, in two formats; a texture that lacks orders is blank."""
+    o = R.table(spark, d, "orders").selectExpr("o_orderkey div 64 AS file", "o_orderkey % 64 AS place", "o_custkey % 256 AS value")
+    f = o.groupBy("file").agg(F.count("*").alias("n"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast(BIG), F.lit(n - 1).cast(BIG))).alias("place")
+    head = f.select("file", F.lit(0).cast(BIG).alias("part"), upto(5)).withColumn("value", F.element_at(F.array(*(F.lit(v).cast(BIG) for v in (4, 8, 8, 0, 0))), (c("place") + 1).cast("int")))
+    texels = f.where("n = 64").join(o, "file").select("file", F.lit(1).cast(BIG).alias("part"), "place", "value")
+    blank = f.where("n < 64").select("file", F.lit(1).cast(BIG).alias("part"), upto(64)).withColumn("value", F.lit(0).cast(BIG))
+    colors = f.select("file", F.lit(3).cast(BIG).alias("part"), upto(16)).withColumn("value", (c("file") * 7919 + c("place") * 31) % 32768)
+    rows = head.unionByName(texels).unionByName(blank).unionByName(colors).withColumn("path", c("file").cast("string"))
+    return W.read(_written(rows, "texture", ("SPT", "To Love Ru")), "texture")
+
+
 @query("layout_files", "SELECT CAST(o_orderkey // 100 AS VARCHAR) AS path, o_orderkey % 100 AS n, o_custkey % 4096 - 2048 AS x, o_orderkey % 500 - 250 AS y, o_orderkey % 3 AS origin_x, o_custkey % 3 AS origin_y, 0 AS align_x, 0 AS align_y, o_orderkey % 200 AS \"value\", CASE o_orderkey // 100 % 2 WHEN 1 THEN o_custkey % 100 ELSE 0 END AS height FROM orders")
 def layout_files(spark, d):
     """Layouts of cells and of regions."""

@@ -29,6 +29,7 @@ COLUMNS = {
     "cell": ("cell", "cell_attr", "n", "attr0", "attr1", "attr2"),
     "animation": ("seq", "start", "type", "mode", "frame_no", "duration", "index", "rot_z", "sx", "sy", "px", "py"),
     "multicell": ("mc", "node", "seq", "x", "y", "attr"),
+    "texture": ("part", "place", "value"),
     "layout": ("n", "x", "y", "origin_x", "origin_y", "align_x", "align_y", "value", "height"),
 }
 
@@ -599,6 +600,67 @@ def _read_raw_screen(data: bytes) -> Rows:
     return _screen(_u16(data), *RAW_SCREENS[len(data) // 2], True)
 
 
+# ---- textures
+
+# What the places of a texture's part 0 hold; parts 1, 2 and 3 are texels, block indices and colours.
+TEXTURE_PLACES = ("fmt", "width", "height", "color0", "wrap")
+BLOCK_TEXTURE, DIRECT_TEXTURE = 5, 7
+
+
+def _texture(fmt: int, width: int, height: int, color0: int, wrap: int, texels: bytes, indices: list[int], colors: list[int]) -> Rows:
+    if not 1 <= fmt <= DIRECT_TEXTURE:
+        raise ValueError("no such format")
+    own = [(0, k, v) for k, v in enumerate((fmt, width, height, color0, wrap))] + [(1, k, v) for k, v in enumerate(texels)]
+    return own + [(2, k, v) for k, v in enumerate(indices if fmt == BLOCK_TEXTURE else [])] + [(3, k, v) for k, v in enumerate(colors if fmt != DIRECT_TEXTURE else [])]
+
+
+def _texture_parts(rows: Rows) -> tuple[list[int], bytes, list[int], list[int]]:
+    parts = [[v for _, v in sorted((k, v) for p, k, v in rows if p == part)] for part in range(4)]
+    return parts[0], bytes(parts[1]), parts[2], parts[3]
+
+
+def _slice(data: bytes, at: int, size: int) -> bytes:
+    if at > len(data) or size > len(data) - at:
+        raise ValueError("beyond the end")
+    return data[at : at + size]
+
+
+def _read_spt(data: bytes) -> Rows:
+    if data[:4] != b" TPS" or len(data) < 32:
+        raise ValueError("another kind")
+    word, texels, at_colors, colors, at_indices, indices, whole = struct.unpack_from("<7I", data, 4)
+    if texels + colors + indices + 32 != whole:
+        raise ValueError("another size")
+    return _texture(word & 15, 8 << (word >> 4 & 15), 8 << (word >> 8 & 15), word >> 16 & 1, word >> 12 & 15, _slice(data, 32, texels), _u16(_slice(data, at_indices, indices)), _u16(_slice(data, at_colors, colors)))
+
+
+def _write_spt(rows: Rows) -> bytes:
+    (fmt, width, height, color0, wrap), texels, indices, colors = _texture_parts(rows)
+    word = fmt | (width.bit_length() - 4) << 4 | (height.bit_length() - 4) << 8 | wrap << 12 | color0 << 16
+    c, i = _pack16(colors), _pack16(indices)
+    at = 32 + len(texels)
+    return b" TPS" + struct.pack("<7I", word, len(texels), at, len(c), at + len(c), len(i), at + len(c) + len(i)) + texels + c + i
+
+
+def _read_tex(data: bytes) -> Rows:
+    if data[:4] != b"tex\0" or len(data) < 40:
+        raise ValueError("another kind")
+    fmt, width, height = struct.unpack_from("<HHH", data, 6)
+    at_colors, colors, _, at_texels, texels, at_indices, indices = struct.unpack_from("<7I", data, 12)
+    if not 1 <= fmt <= DIRECT_TEXTURE or max(8 << width, 8 << height) > 1024 or colors % 2:
+        raise ValueError("another kind")
+    if fmt == BLOCK_TEXTURE and (not at_indices or not indices or indices != texels // 2):
+        raise ValueError("no indices")
+    return _texture(fmt, 8 << width, 8 << height, 0, 0, _slice(data, at_texels, texels), _u16(_slice(data, at_indices, indices)) if fmt == BLOCK_TEXTURE else [], _u16(_slice(data, at_colors, colors)) if fmt != DIRECT_TEXTURE else [])
+
+
+def _write_tex(rows: Rows) -> bytes:
+    (fmt, width, height, _, _), texels, indices, colors = _texture_parts(rows)
+    c, i = _pack16(colors), _pack16(indices)
+    at = 40 + len(texels)
+    return b"tex\0\0\0" + struct.pack("<HHH7I", fmt, width.bit_length() - 4, height.bit_length() - 4, at, len(c), 0, 40, len(texels), at + len(c) if i else 0, len(i)) + texels + c + i
+
+
 # ---- layouts
 
 def _layout(signature: bytes, form: str):
@@ -832,6 +894,8 @@ FORMATS = Registry(
         Format("animation", "NANR", (*_BLOCKS, "offsets"), _read_nanr, _write_nanr),
         Format("animation", "Segments", ("offsets", "validated"), _read_segments),
         Format("multicell", "NMCR", (*_BLOCKS, "offsets"), _read_nmcr, _write_nmcr),
+        Format("texture", "SPT", ("header", "signature", "validated"), _read_spt, _write_spt),
+        Format("texture", "To Love Ru", ("header", "signature", "validated", "offsets"), _read_tex, _write_tex),
         Format("layout", "BNCL", ("header", "signature", "validated"), *_layout(b"JNCL", "<I")),
         Format("layout", "BNBL", ("header", "signature", "validated"), *_layout(b"JNBL", "<BB")),
     ]

@@ -231,6 +231,7 @@ def _rows_of(kind, r):
         "screen": [(32, 24, c, r.randrange(4096)) for c in range(768)],
         "cell": [(k, k % 3, i, *(r.randrange(65536) for _ in range(3))) for k in range(4) for i in range(k + 1)],
         "animation": [(s, 0, 1, 1 + s % 4, i, 1 + r.randrange(9), r.randrange(50), *((r.randrange(65536), 4096 + i, 4096, -9, 3) if s % 3 == 1 else (*plain[:3], i, 2) if s % 3 == 2 else plain)) for s in range(5) for i in range(3)],
+        "texture": [(0, 0, 5), (0, 1, 8), (0, 2, 16), (0, 3, 0), (0, 4, 0), *((1, k, r.randrange(256)) for k in range(32)), *((2, k, r.randrange(65536)) for k in range(8)), *((3, k, r.randrange(32768)) for k in range(12))],
         "layout": [(n, r.randrange(-2048, 2048), r.randrange(-2048, 2048), n % 3, 1, 0, 2, r.randrange(256), 0) for n in range(9)],
         "multicell": [(m, n, r.randrange(9), r.randrange(-50, 50), r.randrange(-50, 50), r.randrange(4)) for m in range(3) for n in range(m + 1)],
     }[kind]
