@@ -445,6 +445,23 @@ def test_pii_finds_every_rewritten_form_in_a_sentence(spark):
     assert pii.spans_of("page 3 of 6 has a table", model)[1] == []
 
 
+def test_pii_on_held_out_sentences(monkeypatch):
+    """Made sentences of another seed: what is added is right, and most is found; long texts give the same in windows."""
+    model = pii.fit(pii.examples())
+    right = wrong = missed = 0
+    own = pii.examples(400, 2)
+    for t, gold in own:
+        base, spans = pii.spans_of(t, model)
+        right += len({*spans} & {*gold})
+        wrong += len({*spans} - {*gold} - {*base})
+        missed += len({*gold} - {*spans})
+    assert right / (right + wrong) > 0.98 and right / (right + missed) > 0.85
+    long = " and ".join(t for t, _ in own[:60])
+    whole = model.decode(long, 0, len(long))
+    monkeypatch.setattr(pii, "WINDOW", 300)
+    assert model.decode(long, 0, len(long)) == whole and len(whole) > 20
+
+
 def test_pii_zones_hold_the_neighbours_of_all_their_triggers():
     for text in ("a jane [at] mail [dot] com b", "a jane82 [at] mail.com b"):
         assert [text[a:b] for a, b in pii.zones(text, [])] in (["jane [at] mail [dot] com"], ["a jane82 [at] mail.com"])
