@@ -1,9 +1,9 @@
 """The exact half of SimHash deduplication: Jaccard similarity of word shingles, over classes and min-hash keys as candidates.
 
 A text's sketch is ``BANDS`` keys, each of ``ROWS`` min-hashes. Two texts of similarity s share a key
-with probability ``1 - (1 - s**ROWS)**BANDS``: 0.9997 at 0.8. Texts that share a key are candidates, and
-are told apart by shared shingles within; only pairs whose shingle sets, compared whole, reach the
-threshold are near copies.
+with probability ``1 - (1 - s**ROWS)**BANDS``: 0.9997 at 0.8. Texts that share a key meet in one task, as
+sets of shingle hashes of 64 bits; there the whole sets are compared, many at once as products of
+matrices, and no pair leaves the task. Buckets of more than ``MEET`` texts are dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -24,30 +24,31 @@ ROWS, BANDS = 6, 27
 BLOCK = 4096
 _A = np.random.default_rng(17).integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = np.random.default_rng(18).integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
+#: Texts of a bucket that one block holds; two blocks meet at most. Different hashes that are counted at once.
+MEET, COLUMNS = 1024, 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str | None, width: int) -> set[tuple[str, ...]]:
-    """The text's runs of ``width`` lower-case words; all its words where they are fewer."""
-    words = (text or "").lower().split()
-    return set(zip(*(words[i:] for i in range(width)), strict=False)) if len(words) > width else {tuple(words)}
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def sketch(text: str | None, width: int, digest) -> np.ndarray:
-    """A text's keys; ``digest`` gives a word's 64-bit hash."""
+def hashed(text: str | None, width: int, digest) -> np.ndarray:
+    """Hashes of the text's different shingles, ascending; ``digest`` gives a word's 64-bit hash."""
     words = (text or "").lower().split()
     h = np.fromiter(map(digest, words), np.uint64, len(words)) if words else np.zeros(1, np.uint64)
     k = min(width, len(h))
     s = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         s = _mixed(s * _MIX + h[i : len(h) - k + 1 + i])
-    s = np.unique(s)
+    return np.unique(s)
+
+
+def sketch(text: str | None, width: int, digest) -> np.ndarray:
+    """A text's keys."""
+    s = hashed(text, width, digest)
     low = np.full(len(_A), np.iinfo(np.uint32).max, np.uint32)
     halves = (s >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(s), BLOCK):
@@ -73,34 +74,53 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(rows, one, "doc_id long, node long, keys array<long>")
 
 
-def _hash(shingle: tuple[str, ...]) -> int:
-    return xxhash.xxh64_intdigest(" ".join(shingle).encode("utf-8", "surrogatepass"))
-
-
-def prefix(x: set[tuple[str, ...]], y: set[tuple[str, ...]], least: Fraction) -> list[int]:
-    """Hashes of as many shingles of ``y`` as one more than it may have outside a set similar to it; those not in ``x`` first.
+def similar_to_smaller(sets: list[np.ndarray], least: Fraction) -> list[bool]:
+    """For each set of hashes, in order, whether it is similar to one before it that isn't similar to one itself.
 
-    Two sets that are similar share one of them, whatever ``x`` is: each lacks too few of the other's to lack all.
+    Overlaps are counted by products of 0/1 matrices, COLUMNS different hashes at a time.
     """
-    most = len(y) - -(-least.numerator * len(y) // least.denominator) + 1
-    apart = sorted(map(_hash, y - x))
-    return apart[:most] if len(apart) >= most else [*apart, *sorted(map(_hash, y & x))[: most - len(apart)]]
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    if n < 2:
+        return [False] * n
+    hashes, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), sizes)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    edges = np.searchsorted(column, np.arange(0, len(hashes) + COLUMNS, COLUMNS))
+    for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        own = np.zeros((n, COLUMNS), np.float32)
+        own[row[lo:hi], column[lo:hi] - k * COLUMNS] = 1.0
+        both += own @ own.T
+    both = np.rint(both).astype(np.int64)
+    near = both * least.denominator >= least.numerator * (sizes[:, None] + sizes[None, :] - both)
+    gone = np.zeros(n, bool)
+    for i in range(1, n):
+        gone[i] = (near[i, :i] & ~gone[:i]).any()
+    return gone.tolist()
+
+
+def _meet(least: Fraction):
+    """Nodes that are similar to a smaller one of their group, from rows (key, low, node, shingles) sorted by these."""
 
+    def one(batches):
+        key, nodes, sets = None, [], []
 
-def _compared(width: int, least: Fraction):
-    """(a, b, low, near, keys) of rows (a, b, low, more, ta, tb): whether the shingle sets reach ``least``, and b's prefix beside a."""
+        def finish():
+            gone = [n for n, g in zip(nodes, similar_to_smaller(sets, least), strict=True) if g]
+            return pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["node"])
 
-    def one(batches):
-        of = functools.lru_cache(64)(lambda t: shingles(t, width))
         for b in batches:
-            near, keys = [], []
-            for head, more, ta, tb in zip(*(b.column(i).to_pylist() for i in (0, 3, 4, 5)), strict=True):
-                x, y = of(ta), of(tb)
-                both = len(x & y)
-                near.append(both * least.denominator >= least.numerator * (len(x) + len(y) - both))
-                own = [] if near[-1] or not more else prefix(x, y, least)
-                keys.append(_mixed(np.array(own, np.uint64) ^ np.int64(head).view(np.uint64)).view(np.int64) if own else None)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(near, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "low", "near", "keys"])
+            for k, node, raw in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if k != key:
+                    if len(nodes) > 1:
+                        yield finish()
+                    key, nodes, sets = k, [], []
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    sets.append(np.frombuffer(raw, np.uint64))
+        if len(nodes) > 1:
+            yield finish()
 
     return one
 
@@ -108,55 +128,42 @@ def _compared(width: int, least: Fraction):
 def copies(docs: DataFrame, width: int, least: Fraction, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, dropped): ``rows(node, low)`` and the nodes that are near copies of a smaller one.
 
-    Nodes are different texts, ordered by their least doc_id, ``low``. First every text is compared
-    with the first of its class, of ``classes(doc_id, class)``. Then rounds follow over buckets, at first the
-    texts of one key: each bucket's texts are compared with its first, and those similar to it go. Each
-    of the others is dealt to new buckets, by the shingles of its prefix beside that first one: two of
-    them that are similar share such a shingle, while the many that only share what the first one has
-    don't. So a group of one pattern takes a few comparisons a member, whatever its size. The first
-    text of a new bucket comes after that of the old one, so the rounds end.
+    Nodes are different texts, ordered by their least doc_id, ``low``. Candidates share a min-hash key or
+    one of ``classes(doc_id, class)``. Only texts that have a candidate are turned into shingle sets, and
+    sent to each of their keys. A bucket of more than MEET texts is dealt into blocks, and every pair of
+    blocks is a group of its own, so that a group fits a task however large a bucket is.
     """
     found = cut(sketches(docs, width))
     own = cut(found.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys")))
+    classed = classes.select(F.col("doc_id").alias("low"), F.xxhash64(F.lit("class"), "class").alias("key")).distinct()
+    rest = own.select("node", "low", F.explode("keys").alias("key")).unionByName(own.select("node", "low").join(classed, "low").select("node", "low", "key"))
+    rest = cut(rest.join(rest.groupBy("key").agg(F.count("*").alias("all")).where("all > 1"), "key"))
+    some = found.join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("low"))
     texts = docs.select(F.col("doc_id").cast("long").alias("low"), F.col("text").cast("string").alias("text"))
+    sets = map_arrow(texts.join(some.select("low").distinct(), "low", "left_semi"), _with_shingles(width), "node long, shingles binary")
+    sets = sets.join(some.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    blocks = F.ceil(F.col("all") / MEET).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    others = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    dealt = rest.select("node", "low", "key", block.alias("block"), others)
+    group = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    rows = dealt.select(group.alias("key"), "low", "node").join(sets, "node").select("key", "low", "node", "shingles")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = map_arrow(rows.repartition(parts, "key").sortWithinPartitions("key", "low", "node"), _meet(least), "node long")
+    return own.select("node", "low"), cut(met.distinct())
+
+
+def _with_shingles(width: int):
+    """(node, shingles): a text's hash, and the hashes of its different shingles."""
+
+    def one(batches):
+        digest = functools.lru_cache(200_000)(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            nodes = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([hashed(t, width, digest).tobytes() for t in texts], pa.binary())], ["node", "shingles"])
 
-    def pairs(buckets: DataFrame) -> DataFrame:
-        """(a, b, low, more) of buckets (key, node, low): each text with the first of its bucket, and whether there are others."""
-        first = buckets.groupBy("key").agg(F.min(F.struct("low", "node")).alias("h"), (F.count("*") > 2).alias("more"))
-        met = buckets.join(first, "key").where(F.col("node") != F.col("h.node"))
-        return met.groupBy(F.col("h.node").alias("a"), F.col("node").alias("b"), "low").agg(F.bool_or("more").alias("more"))
-
-    def shared(buckets: DataFrame) -> DataFrame:
-        return buckets.join(buckets.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
-
-    of_class = own.select("low", "node").join(classes.select(F.col("doc_id").alias("low"), "class").distinct(), "low")
-    of_class = cut(pairs(of_class.select(F.col("class").alias("key"), "node", "low")).withColumn("more", F.lit(False)))
-    rest = cut(shared(own.select("node", "low", F.explode("keys").alias("key"))))
-    compared = rest.select("node").unionByName(of_class.selectExpr("a AS node")).unionByName(of_class.selectExpr("b AS node")).distinct()
-    some = found.join(compared, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("low"))
-    named = map_arrow(texts.join(some.select("low").distinct(), "low", "left_semi"), _with_node, "node long, text string")
-    held = cut(named.join(some, "node", "left_semi").dropDuplicates(["node"]))
-
-    def judged(met: DataFrame) -> DataFrame:
-        both = met.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        return cut(map_arrow(both.select("a", "b", "low", "more", "ta", "tb"), _compared(width, least), "a long, b long, low long, near boolean, keys array<long>"))
-
-    near = F.col("b").alias("node")
-    dropped = cut(judged(of_class).where("near").select(near).distinct())
-    rest = cut(shared(rest.join(dropped, "node", "left_anti")))
-    while not rest.isEmpty():
-        now = judged(pairs(rest))
-        gone = now.where("near").select(near).distinct()
-        dropped = cut(dropped.unionByName(gone).distinct())
-        others = now.where("NOT near AND keys IS NOT NULL").select(near, "low", F.explode("keys").alias("key")).distinct()
-        rest = cut(shared(others.join(dropped, "node", "left_anti")))
-    return own.select("node", "low"), dropped
-
-
-def _with_node(batches):
-    for b in batches:
-        nodes = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) - (1 << 63) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), b.column(1)], ["node", "text"])
+    return one
 
 
 def deduplicate(docs: DataFrame, width: int, least: Fraction, classes: DataFrame) -> DataFrame:

@@ -698,21 +698,26 @@ def test_near_copies_of_the_pipeline(spark):
     assert 12 < len(kept) < 60
 
 
-def test_prefixes_of_similar_sets_share_a_shingle():
+def test_sets_similar_to_smaller_ones(monkeypatch):
     from mosaiq.llm import nearcopies
 
+    monkeypatch.setattr(nearcopies, "COLUMNS", 7)
     r = random.Random(27)
-    for _ in range(2000):
-        base = [(str(i),) for i in range(r.randrange(1, 60))]
-        x, y, z = ({s for s in base if r.random() < 0.93} | {(f"n{r.randrange(30)}",) for _ in range(r.randrange(6))} for _ in range(3))
-        if y and z and 5 * len(y & z) >= 4 * len(y | z):
-            assert set(nearcopies.prefix(x, y, Fraction(4, 5))) & set(nearcopies.prefix(x, z, Fraction(4, 5)))
+    for _ in range(300):
+        sets = [{r.randrange(12) for _ in range(r.randrange(1, 12))} for _ in range(r.randrange(8))]
+        want = []
+        for i, x in enumerate(sets):
+            want.append(any(not want[j] and 5 * len(x & y) >= 4 * len(x | y) for j, y in enumerate(sets[:i])))
+        assert nearcopies.similar_to_smaller([np.array(sorted(x), np.uint64) for x in sets], Fraction(4, 5)) == want
 
 
-def test_a_large_group_of_one_pattern(spark):
+@pytest.mark.parametrize("meet", [1024, 7])
+def test_a_large_group_of_one_pattern(spark, monkeypatch, meet):
     """Texts that share most with one another, few of them near copies: those go, and no others."""
     import corpus_pipeline as C
+    from mosaiq.llm import nearcopies
 
+    monkeypatch.setattr(nearcopies, "MEET", meet)
     r = random.Random(28)
     base = words(r, 120, 10**6).split()
     texts = []
