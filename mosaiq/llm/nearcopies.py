@@ -26,6 +26,8 @@ _A = np.random.default_rng(17).integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint3
 _B = np.random.default_rng(18).integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 #: Texts of a bucket that one block holds; two blocks meet at most. Different hashes that are counted at once.
 MEET, COLUMNS = 1024, 4096
+#: Bits of the filter of ids whose texts are read again: 1 MB.
+FILTER_BITS = 1 << 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,18 +131,24 @@ def copies(docs: DataFrame, width: int, least: Fraction, classes: DataFrame) ->
     """(rows, dropped): ``rows(node, low)`` and the nodes that are near copies of a smaller one.
 
     Nodes are different texts, ordered by their least doc_id, ``low``. Candidates share a min-hash key or
-    one of ``classes(doc_id, class)``. Only texts that have a candidate are turned into shingle sets, and
-    sent to each of their keys. A bucket of more than MEET texts is dealt into blocks, and every pair of
+    one of ``classes(doc_id, class)``. Only texts that have a candidate are turned into shingle sets (a
+    filter of fixed size leaves most others unmoved), and sent to each of their keys. A bucket of more than MEET texts is dealt into blocks, and every pair of
     blocks is a group of its own, so that a group fits a task however large a bucket is.
     """
     found = cut(sketches(docs, width))
     own = cut(found.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys")))
     classed = classes.select(F.col("doc_id").alias("low"), F.xxhash64(F.lit("class"), "class").alias("key")).distinct()
     rest = own.select("node", "low", F.explode("keys").alias("key")).unionByName(own.select("node", "low").join(classed, "low").select("node", "low", "key"))
-    rest = cut(rest.join(rest.groupBy("key").agg(F.count("*").alias("all")).where("all > 1"), "key"))
+    # Of keys with the very same texts one is enough: near copies share several.
+    held = rest.groupBy("key").agg(F.count("*").alias("all"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("all > 1")
+    held = held.groupBy("all", "x", "y").agg(F.min("key").alias("key")).select("key", "all")
+    rest = cut(rest.join(held, "key"))
     some = found.join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("low"))
     texts = docs.select(F.col("doc_id").cast("long").alias("low"), F.col("text").cast("string").alias("text"))
-    sets = map_arrow(texts.join(some.select("low").distinct(), "low", "left_semi"), _with_shingles(width), "node long, shingles binary")
+    some = cut(some)
+    passed = docs.sparkSession.sparkContext.broadcast(_id_filter(some.select("low")))
+    few = map_arrow(texts, lambda batches: (b.filter(pa.array(_passes(b.column(0), passed.value))) for b in batches), "low long, text string")
+    sets = map_arrow(few.join(some.select("low").distinct(), "low", "left_semi"), _with_shingles(width), "node long, shingles binary")
     sets = sets.join(some.select("node"), "node", "left_semi").dropDuplicates(["node"])
     blocks = F.ceil(F.col("all") / MEET).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -153,6 +161,34 @@ def copies(docs: DataFrame, width: int, least: Fraction, classes: DataFrame) ->
     return own.select("node", "low"), cut(met.distinct())
 
 
+def _places(ids: np.ndarray) -> np.ndarray:
+    """Places in the filter of ids that each sets, a row each."""
+    own = ids.astype(np.int64).view(np.uint64)
+    return np.stack([_mixed(own + np.uint64(k)) % np.uint64(FILTER_BITS) for k in (1, 2, 3)], axis=1)
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits that all ``ids`` (one column) pass, and few others; only its set words reach the driver."""
+
+    def words(batches):
+        for b in batches:
+            at = np.unique(_places(b.column(0).to_numpy()))
+            word, owner = np.unique(at >> np.uint64(6), return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, owner, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    for word, bits in map_arrow(ids, words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+        out[word] = np.int64(bits).view(np.uint64)
+    return out
+
+
+def _passes(ids: pa.Array, held: np.ndarray) -> np.ndarray:
+    at = _places(ids.fill_null(0).to_numpy(zero_copy_only=False))
+    return ((held[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+
+
 def _with_shingles(width: int):
     """(node, shingles): a text's hash, and the hashes of its different shingles."""
 
