@@ -191,11 +191,9 @@ def guessed_width(n: Column) -> Column:
 
 
 def power_of_two(n: Column) -> Column:
-    """The next power of two, 8 at least."""
-    p = F.lit(8).cast("bigint")
-    for k in range(4, 14):
-        p = F.when(n > 1 << (k - 1), F.lit(1 << k).cast("bigint")).otherwise(p)
-    return p
+    """The next power of two, 8 at least, of any n up to 2^62; a null counts as 8."""
+    bits = F.length(F.bin(n.cast("bigint") - 1))
+    return F.when(n > 8, F.call_function("shiftleft", F.lit(1).cast("bigint"), bits)).otherwise(F.lit(8).cast("bigint"))
 
 
 def flipped(px: DataFrame, across: bool, down: bool, by: str = "img") -> DataFrame:

@@ -488,3 +488,9 @@ def test_masked15_is_the_nearest_of_all(spark):
         d = ((yiq - np.array([x.r, x.g, x.b]) @ np.array(C.YIQ).T) ** 2).sum(axis=1)
         k = x.color
         assert np.isclose(d.min(), d[(k % 32) * 1024 + (k // 32 % 32) * 32 + k // 1024])
+
+
+def test_power_of_two_has_no_upper_bound(spark):
+    want = {0: 8, 1: 8, 8: 8, 9: 16, 8192: 8192, 8193: 16384, 16384: 16384, 16385: 32768, 1_200_000: 1 << 21, 1 << 40: 1 << 40, (1 << 40) + 1: 1 << 41, 1 << 62: 1 << 62, None: 8}
+    got = spark.createDataFrame([(k,) for k in want], "n long").select("n", S.power_of_two(F.col("n")).alias("p"))
+    assert got.dtypes[1] == ("p", "bigint") and {r["n"]: r["p"] for r in got.collect()} == want
