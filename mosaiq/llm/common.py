@@ -83,6 +83,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, marked so that a join with it sorts and shuffles both sides, and sends none through the driver.
+
+    Spark's estimates count neither the rows that an explode makes nor the length of texts and arrays, so a
+    side of any size can pass for one that is small enough to broadcast.
+    """
+    return df.hint("merge")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` by alternating large-star and small-star rounds.
 
@@ -97,10 +106,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.selectExpr("b AS a", "a AS b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(shuffled(low), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = cut(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").selectExpr("b AS a", "m AS b").unionByName(low.selectExpr("a", "m AS b"))
+        small = large.join(shuffled(low), "a").selectExpr("b AS a", "m AS b").unionByName(low.selectExpr("a", "m AS b"))
         e = cut(small.where("a <> b").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
@@ -109,4 +118,4 @@ def components(edges: DataFrame) -> DataFrame:
     return e.selectExpr("a AS node", "b AS label").unionByName(e.selectExpr("b AS node", "b AS label").distinct())
 
 
-__all__ = ["BATCH_ROWS", "components", "cut", "lasting_dir", "map_arrow", "remove", "shared_dir", "table"]
+__all__ = ["BATCH_ROWS", "components", "cut", "lasting_dir", "map_arrow", "remove", "shared_dir", "shuffled", "table"]

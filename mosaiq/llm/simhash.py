@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import nearcopies
-from .common import components, cut, map_arrow, table
+from .common import components, cut, map_arrow, shuffled, table
 
 WORDS_PER_SHINGLE = 4
 SEED = 42
@@ -104,10 +104,10 @@ def links(fps: DataFrame) -> DataFrame:
         tight = None
     else:
         # Members: whatever meets a dense bucket exactly or with one bit flipped.
-        tight = cut(around.join(dense, ["i", "key"], "left_semi").select(F.col("b").alias("fp")).distinct())
-        own = own.join(dense, ["i", "key"], "left_anti")
+        tight = cut(around.join(shuffled(dense), ["i", "key"], "left_semi").select(F.col("b").alias("fp")).distinct())
+        own = own.join(shuffled(dense), ["i", "key"], "left_anti")
     x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = own.withColumnRenamed("fp", "a").join(around, ["i", "key"]).where((F.col("a") < F.col("b")) & _chain(x)).select("a", "b").distinct()
+    pairs = own.withColumnRenamed("fp", "a").join(shuffled(around), ["i", "key"]).where((F.col("a") < F.col("b")) & _chain(x)).select("a", "b").distinct()
     if tight is not None:
         pairs = pairs.unionByName(midpoint_links(tight))
     return pairs
@@ -119,7 +119,7 @@ def midpoint_links(fps: DataFrame) -> DataFrame:
     flips = F.array(*(F.lit(int(np.uint64(m).astype(np.int64))) for m in masks))
     at = fps.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("at"))
     low = at.groupBy("at").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("at", "a")
-    return at.join(low, "at").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    return at.join(shuffled(low), "at").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = WORDS_PER_SHINGLE) -> DataFrame:
@@ -132,10 +132,10 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = WORDS_PER_SHINGLE)
     fps = cut(fingerprints(docs, words_per_shingle))
     own = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     labels = components(links(own.select("fp")))
-    of = cut(own.join(labels, own["fp"] == labels["node"], "left").select("fp", "low", F.coalesce("label", "fp").alias("label")))
+    of = cut(own.join(shuffled(labels), own["fp"] == labels["node"], "left").select("fp", "low", F.coalesce("label", "fp").alias("label")))
     least = of.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = cut(of.join(least, "label").select("fp", "component_id"))
-    out = fps.join(named, "fp")
+    named = cut(of.join(shuffled(least), "label").select("fp", "component_id"))
+    out = fps.join(shuffled(named), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

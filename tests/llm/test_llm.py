@@ -105,6 +105,22 @@ def test_links_of_random_fingerprints(spark, monkeypatch):
     assert all((of.get(a, a) == of.get(b, b)) == (label[place[a]] == label[place[b]]) for a in signed for b in signed)
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Any broadcast of a table fails."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+@pytest.mark.parametrize("dense", [256, 1])
+def test_simhash_sends_no_table_through_the_driver(spark, monkeypatch, no_broadcast, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    texts = [f"a b c d e f g h i j k l m n {i // 2}" for i in range(24)]
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components([brute_fingerprint(t) for t in texts])
+
+
 def test_simhash_null_ids_and_empty(spark):
     rows = spark.createDataFrame([(None, "a b"), (7, "a b"), (3, "a b"), (3, "a b")], "doc_id long, text string")
     assert sorted((x.doc_id or -1, x.component_id) for x in simhash.near_duplicates(rows).collect()) == [(-1, 3), (3, 3), (3, 3), (7, 3)]
