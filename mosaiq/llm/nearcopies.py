@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import cut, map_arrow, shuffled
 
 ROWS, BANDS = 6, 27
 #: Shingles whose min-hashes are made at once; bounds a worker's matrix to some 3 MB.
@@ -138,24 +138,24 @@ def copies(docs: DataFrame, width: int, least: Fraction, classes: DataFrame) ->
     found = cut(sketches(docs, width))
     own = cut(found.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys")))
     classed = classes.select(F.col("doc_id").alias("low"), F.xxhash64(F.lit("class"), "class").alias("key")).distinct()
-    rest = own.select("node", "low", F.explode("keys").alias("key")).unionByName(own.select("node", "low").join(classed, "low").select("node", "low", "key"))
+    rest = own.select("node", "low", F.explode("keys").alias("key")).unionByName(own.select("node", "low").join(shuffled(classed), "low").select("node", "low", "key"))
     # Of keys with the very same texts one is enough: near copies share several.
     held = rest.groupBy("key").agg(F.count("*").alias("all"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("all > 1")
     held = held.groupBy("all", "x", "y").agg(F.min("key").alias("key")).select("key", "all")
-    rest = cut(rest.join(held, "key"))
-    some = found.join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("low"))
+    rest = cut(rest.join(shuffled(held), "key"))
+    some = found.join(shuffled(rest.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("low"))
     texts = docs.select(F.col("doc_id").cast("long").alias("low"), F.col("text").cast("string").alias("text"))
     some = cut(some)
     passed = docs.sparkSession.sparkContext.broadcast(_id_filter(some.select("low")))
     few = map_arrow(texts, lambda batches: (b.filter(pa.array(_passes(b.column(0), passed.value))) for b in batches), "low long, text string")
-    sets = map_arrow(few.join(some.select("low").distinct(), "low", "left_semi"), _with_shingles(width), "node long, shingles binary")
-    sets = sets.join(some.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = map_arrow(few.join(shuffled(some.select("low").distinct()), "low", "left_semi"), _with_shingles(width), "node long, shingles binary")
+    sets = sets.join(shuffled(some.select("node")), "node", "left_semi").dropDuplicates(["node"])
     blocks = F.ceil(F.col("all") / MEET).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     others = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     dealt = rest.select("node", "low", "key", block.alias("block"), others)
     group = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    rows = dealt.select(group.alias("key"), "low", "node").join(sets, "node").select("key", "low", "node", "shingles")
+    rows = dealt.select(group.alias("key"), "low", "node").join(shuffled(sets), "node").select("key", "low", "node", "shingles")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = map_arrow(rows.repartition(parts, "key").sortWithinPartitions("key", "low", "node"), _meet(least), "node long")
     return own.select("node", "low"), cut(met.distinct())
@@ -211,7 +211,7 @@ def deduplicate(docs: DataFrame, width: int, least: Fraction, classes: DataFrame
     """
     named = docs.where("doc_id IS NOT NULL")
     own, dropped = copies(named, width, least, classes)
-    kept = own.join(dropped, "node", "left_anti").select(F.col("low").alias("doc_id"), "node")
+    kept = own.join(shuffled(dropped), "node", "left_anti").select(F.col("low").alias("doc_id"), "node")
     at = docs.columns.index("text")
 
     def tagged(batches):
@@ -220,5 +220,5 @@ def deduplicate(docs: DataFrame, width: int, least: Fraction, classes: DataFrame
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], [*b.schema.names, "node"])
 
     schema = named.withColumn("node", F.lit(0).cast("long")).schema
-    out = map_arrow(named, tagged, schema).join(kept, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"])
+    out = map_arrow(named, tagged, schema).join(shuffled(kept), ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"])
     return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -714,6 +714,14 @@ def test_near_copies_of_the_pipeline(spark):
     assert 12 < len(kept) < 60
 
 
+def test_near_copies_send_no_table_through_the_driver(spark, no_broadcast):
+    import corpus_pipeline as C
+
+    base = words(random.Random(28), 100, 10**6)
+    texts = [f"{base} {i // 2}" for i in range(12)] + [words(random.Random(40 + i), 30, 10**6) for i in range(12)]
+    assert sorted(x.doc_id for x in C.near_duplicates(spark, docs_of(spark, texts), "").collect()) == [0, *range(12, 24)]
+
+
 def test_sets_similar_to_smaller_ones(monkeypatch):
     from mosaiq.llm import nearcopies
 
