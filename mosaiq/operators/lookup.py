@@ -20,6 +20,15 @@ def within(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def carried(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
+    """``df``, marked as ``within`` does; if it is larger, so that a join with it by equality shuffles both sides.
+
+    Without that mark Spark may broadcast the other side, by an estimate from the size of its packed files.
+    """
+    side = within(df, rows)
+    return df.hint("merge") if side is df else side
+
+
 def cell_fields(cells: DataFrame) -> DataFrame:
     """Screen cells with their packed references taken apart."""
     return cells.withColumns({"char": screen_char(F.col("raw")), "flip": screen_flip(F.col("raw")), "pal": screen_palette(F.col("raw"))})
@@ -72,6 +81,8 @@ def with_default(rows: DataFrame, found: DataFrame, key: str, value: str, defaul
 
 #: Length that names are cut to, and the ending of a palette's name.
 NAME, ENDING = 16, "_pl"
+#: Palettes of a file that may be broadcast.
+FILE_PALETTES = 4096
 # Most colours of a palette by texture format, the format without one, the block format and its leeway.
 MOST_COLORS = {1: 256, 2: 8, 3: 16, 4: 256, 6: 256}
 DIRECT_FORMAT, BLOCK_FORMAT, BLOCK_LEEWAY = 7, 5, 7
@@ -90,22 +101,24 @@ def guess_palettes(textures: DataFrame, palettes: DataFrame) -> DataFrame:
     ``_pl``; 5 cut to 12 with ``_pl``; of the palettes (pal, pal_name, n_colors) that fit by size 6 the
     only one, 7 the nearest by edits, the first at ties; 8 the first of all. Textures of the direct
     format have none and give no row. Rules 1 to 5 are lookups by an equal key; only the different
-    (name, format, highest index) that they leave are compared with all palettes of a file.
+    (name, format, highest index) that they leave are compared with all palettes of a file. Palettes are
+    carried to the textures, up to FILE_PALETTES of them; textures are only ever shuffled.
     """
     textures = textures.where(F.col("fmt") != DIRECT_FORMAT)
     low = F.lower("name")
     keys = [low, F.substring(F.concat(low, F.lit(ENDING)), 1, NAME), F.substring(F.concat(low, F.lit(ENDING)), 1, NAME - 1), F.concat(F.substring(low, 1, NAME - 3), F.lit(ENDING)), F.concat(F.substring(low, 1, NAME - 4), F.lit(ENDING))]
     wanted = textures.select("id", "name", F.posexplode(F.array(*keys)).alias("rule", "key"))
     first = palettes.groupBy(F.lower("pal_name").alias("key")).agg(F.min("pal").alias("pal"))
-    by_key = wanted.join(first, "key").groupBy("id").agg(F.min_by("pal", F.struct("rule", "pal")).alias("pal"), (F.min("rule") + 1).alias("rule"))
-    rest = textures.join(by_key.select("id"), "id", "left_anti").select("id", "name", "fmt", "highest")
-    pairs = rest.select("name", "fmt", "highest").distinct().join(within(palettes, 4096))
+    by_key = wanted.join(carried(first, FILE_PALETTES), "key").groupBy("id").agg(F.min_by("pal", F.struct("rule", "pal")).alias("pal"), (F.min("rule") + 1).alias("rule"))
+    rest = textures.join(by_key.select("id").hint("merge"), "id", "left_anti").select("id", "name", "fmt", "highest")
+    kinds, few = rest.select("name", "fmt", "highest").distinct(), within(palettes, FILE_PALETTES)
+    pairs = kinds.join(few) if few is not palettes else kinds.join(palettes.hint("shuffle_replicate_nl"))
     fits = palette_fits(F.col("fmt"), F.col("highest"), F.col("n_colors"))
     edits = F.when(fits, F.levenshtein("name", "pal_name"))
     near = pairs.groupBy("name", "fmt", "highest").agg(F.count(edits).alias("n"), F.min(F.when(fits, F.struct(edits.alias("e"), "pal"))).alias("best"), F.min("pal").alias("any"))
     pal = F.when(F.col("n") > 0, F.col("best")["pal"]).otherwise(F.col("any"))
     rule = F.when(F.col("n") == 1, 6).when(F.col("n") > 1, 7).otherwise(8)
-    found = rest.join(near, [rest[k].eqNullSafe(near[k]) for k in ("name", "fmt", "highest")]).select("id", pal.alias("pal"), rule.cast("bigint").alias("rule"))
+    found = rest.join(near.hint("merge"), [rest[k].eqNullSafe(near[k]) for k in ("name", "fmt", "highest")]).select("id", pal.alias("pal"), rule.cast("bigint").alias("rule"))
     return by_key.select("id", "pal", F.col("rule").cast("bigint")).unionByName(found)
 
 

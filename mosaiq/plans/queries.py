@@ -94,7 +94,7 @@ SELECT id, CAST(pal AS BIGINT) AS pal, CAST(rule AS BIGINT) AS rule FROM a UNION
 def guess_palette_names(spark, d):
     part = R.table(spark, d, "part").selectExpr("p_partkey AS id", "concat(substr(p_name, 1, 12), CAST(p_partkey % 37 AS STRING)) AS name", "p_partkey % 8 AS fmt", "p_size % 20 AS highest")
     n = R.table(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS pal", "CAST(n_nationkey * 3 AS BIGINT) AS id", "n_nationkey * 7 % 22 + 1 AS n_colors")
-    pal = n.join(part.select("id", "name"), "id").selectExpr("pal", "CASE WHEN pal % 2 = 0 THEN concat(upper(substr(name, 1, 12)), substr(name, 13)) ELSE concat(substr(name, 1, 13), '_pl') END AS pal_name", "n_colors")
+    pal = part.select("id", "name").join(L.within(n), "id").selectExpr("pal", "CASE WHEN pal % 2 = 0 THEN concat(upper(substr(name, 1, 12)), substr(name, 13)) ELSE concat(substr(name, 1, 13), '_pl') END AS pal_name", "n_colors")
     return L.guess_palettes(part, pal)
 
 

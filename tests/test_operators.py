@@ -1,6 +1,7 @@
 """Operators that SQL doesn't express, and odd inputs."""
 
 import random
+import re
 import time
 
 import numpy as np
@@ -528,3 +529,17 @@ def test_code_map_runs_merge_as_by_scanning_all_pairs(spark):
     began = time.time()
     assert sum(x["n"] for x in merged([(1, k) for k in wide]).collect()) == len(wide)
     assert time.time() - began < 30
+
+
+@pytest.mark.parametrize("most", [4096, 2])
+def test_palette_guesses_carry_no_textures(spark, monkeypatch, most):
+    """Only palettes are broadcast, and only few; Spark takes the 150,000 textures for less than 10 MB."""
+    monkeypatch.setattr(L, "FILE_PALETTES", most, raising=False)
+    textures = spark.range(150_000).selectExpr("id", "concat('name', id) AS name", "id % 8 AS fmt", "id % 4 AS highest")
+    palettes = spark.createDataFrame([(0, "NAME1", 4), (1, "name2_pl", 4), (2, "other", 8), (3, "none", 2)], "pal long, pal_name string, n_colors long")
+    df = L.guess_palettes(textures, palettes)
+    got = {x["id"]: (x["pal"], x["rule"]) for x in df.collect()}
+    assert len(got) == 150_000 * 7 // 8
+    assert got[1] == (0, 1) and got[2] == (1, 2) and got[3] == (1, 7) and all(rule in (6, 7) for k, (_, rule) in got.items() if k > 2)
+    joins = set(re.findall(r"Broadcast\w+Join (?:\[(\w+)#.*?)?(Build\w+)", df._jdf.queryExecution().executedPlan().toString()))
+    assert joins == ({("key", "BuildRight"), ("", "BuildRight")} if most == 4096 else set())
